@@ -80,7 +80,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_id").alias("prediction_id"),
         by_type().alias("symbol"),
         at.alias("predicted_at"),
-        F.timestamp_micros(F.unix_micros(at) + (k - 2) * F.lit(60_000_000)).alias("target_timestamp"),
+        F.timestamp_micros(F.unix_micros(at) + (k - 2).cast("long") * 60_000_000).alias("target_timestamp"),
         F.element_at(
             F.array(F.lit("PRICE"), F.lit("DIRECTION"), F.lit("VOLATILITY"), F.lit("OTHER")), k % 4 + 1
         ).alias("prediction_type"),
