@@ -132,22 +132,47 @@ def direction(value: Column, previous: Column) -> Column:
     )
 
 
+def fixed_text(value: Column, places: int) -> Column:
+    """``value`` with ``places`` decimals, rounded as its exact binary value is (halves to even).
+
+    ``format_string`` rounds the shortest decimal text instead, which moves
+    values such as 1.255 to the other side. The product with the power of ten is
+    taken with its rounding error, so the comparison with one half is exact.
+    """
+    x, scale = F.abs(value.cast("double")), float(10**places)
+    product = x * scale
+    split = x * 134217729.0
+    high = split - (split - x)
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product)
+    rest = product - whole
+    odd = whole % 2 == 1
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & odd)))
+    units = whole + F.when(up, 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    if places == 0:
+        return F.concat(sign, units.cast("string"))
+    unit = F.lit(10**places)
+    before = F.floor(units / unit).cast("string")
+    return F.concat(sign, before, F.lit("."), F.lpad((units % unit).cast("string"), places, "0"))
+
+
 def humanise_volume(volume: Column) -> Column:
     v = volume.cast("double")
     return (
-        F.when(v >= 1_000_000, F.format_string("%.2fM", v / 1_000_000))
-        .when(v >= 1_000, F.format_string("%.2fK", v / 1_000))
-        .otherwise(F.format_string("%.2f", v))
+        F.when(v >= 1_000_000, F.concat(fixed_text(v / 1_000_000, 2), F.lit("M")))
+        .when(v >= 1_000, F.concat(fixed_text(v / 1_000, 2), F.lit("K")))
+        .otherwise(fixed_text(v, 2))
     )
 
 
 def humanise_duration(seconds: Column) -> Column:
     s = seconds.cast("double")
     return (
-        F.when(s < 60, F.format_string("%.0fs", s))
-        .when(s < 3_600, F.format_string("%.1fm", s / 60))
-        .when(s < 86_400, F.format_string("%.1fh", s / 3_600))
-        .otherwise(F.format_string("%.1fd", s / 86_400))
+        F.when(s < 60, F.concat(fixed_text(s, 0), F.lit("s")))
+        .when(s < 3_600, F.concat(fixed_text(s / 60, 1), F.lit("m")))
+        .when(s < 86_400, F.concat(fixed_text(s / 3_600, 1), F.lit("h")))
+        .otherwise(F.concat(fixed_text(s / 86_400, 1), F.lit("d")))
     )
 
 

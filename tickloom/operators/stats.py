@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tickloom import schema as S
 from tickloom.functions.candles import candle_type, engulfing, is_doji
-from tickloom.functions.scalars import direction
+from tickloom.functions.scalars import direction, fixed_text
 from tickloom.operators.ordered import (
     DEFAULT_BLOCK_ROWS,
     Slicing,
@@ -387,16 +387,15 @@ def timeframe_matrix(
             F.max_by("open", time), F.max_by("high", time), F.max_by("low", time), F.max_by("close", time)
         ).alias("candle"),
     )
-    number = lambda c, places: F.format_string(f"%.{places}f", c)
     long = facts.select(
         "symbol",
         "timeframe",
         F.inline(
             F.array(
                 F.struct(F.lit("Trend Direction").alias("metric"), F.col("trend").alias("value")),
-                F.struct(F.lit("Volatility").alias("metric"), number("avg_range", 5).alias("value")),
-                F.struct(F.lit("Volume Ratio").alias("metric"), number("volume_ratio", 2).alias("value")),
-                F.struct(F.lit("Price Range").alias("metric"), number("price_range", 5).alias("value")),
+                F.struct(F.lit("Volatility").alias("metric"), fixed_text(F.col("avg_range"), 5).alias("value")),
+                F.struct(F.lit("Volume Ratio").alias("metric"), fixed_text(F.col("volume_ratio"), 2).alias("value")),
+                F.struct(F.lit("Price Range").alias("metric"), fixed_text(F.col("price_range"), 5).alias("value")),
                 F.struct(F.lit("Candle Type").alias("metric"), F.col("candle").alias("value")),
             )
         ),

@@ -82,7 +82,7 @@ SHUFFLED = (
 
 LINES = (
     "lines AS (SELECT l_returnflag || l_linestatus AS symbol, l_shipdate AS ts, "
-    "datediff('day', TIMESTAMP '1970-01-01', l_shipdate) * CAST(17592186044416 AS BIGINT) + l_orderkey * 8 + l_linenumber AS seq, "
+    "datediff('day', TIMESTAMP '1970-01-01', l_shipdate) * CAST(281474976710656 AS BIGINT) + (l_orderkey * 8 + l_linenumber) * 64 + l_partkey % 64 AS seq, "
     "l_extendedprice / l_quantity AS bid, (l_extendedprice / l_quantity) * (1e0 + l_tax / 100) AS ask, "
     "l_quantity AS volume FROM lineitem)"
 )

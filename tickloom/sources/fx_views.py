@@ -55,15 +55,16 @@ def shuffled_ticks(spark: SparkSession, folder: str) -> DataFrame:
 def lineitem_ticks(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as ticks: unit price as bid, one symbol per return flag and line status.
 
-    The arrival number follows ship date, order and line.
+    The arrival number follows ship date, order, line and part.
     """
     lines = read_table(spark, folder, "lineitem")
     day = F.unix_date(F.col("l_shipdate").cast("date")).cast("long")
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return lines.select(
         F.concat("l_returnflag", "l_linestatus").alias("symbol"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        ((day * F.lit(1 << 44)) + F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"),
+        (day * F.lit(1 << 48) + line * 64 + F.col("l_partkey") % 64).alias("seq"),
         price.alias("bid"),
         (price * (F.lit(1.0) + F.col("l_tax") / 100)).alias("ask"),
         F.col("l_quantity").alias("volume"),
