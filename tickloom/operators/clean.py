@@ -14,8 +14,11 @@ from tickloom.operators.ordered import (
     Slicing,
     blocks,
     by_seq,
+    fold_blocks,
+    last_rows,
     running,
 )
+from tickloom.operators.rolling import moments_before, moments_up_to
 from tickloom.session import shared_folder
 
 KEYS = ["symbol"]
@@ -318,11 +321,27 @@ def counters(flagged: DataFrame, spike: str = "is_spike", dropped: str | None =
 # --- rolling statistics ------------------------------------------------------
 
 
+# Frames longer than this are computed per block in pandas: a window frame is
+# rescanned for every row, the merged moments are not.
+LONG_FRAME = 64
+
+
 def rolling_mean_std(
     ticks: DataFrame, n: int, slicing: Slicing | None = None, block_rows: int = DEFAULT_BLOCK_ROWS
 ) -> DataFrame:
     """Mean and sample deviation of bid and ask over the last ``n`` ticks (deviation 0 for one)."""
     cut = blocks(ticks, KEYS, slicing or by_seq(), n - 1, block_rows)
+    if n > LONG_FRAME:
+
+        def fold(frame: pd.DataFrame) -> pd.DataFrame:
+            made = {}
+            for c in ("bid", "ask"):
+                _, mean, std = moments_up_to(frame[c].to_numpy(dtype="float64"), n)
+                made |= {f"{c}_mean": mean, f"{c}_std": std}
+            return frame.assign(**made)
+
+        added = [f"{c}_{kind}" for c in ("bid", "ask") for kind in ("mean", "std")]
+        return fold_blocks(cut, fold, [T.StructField(name, T.DoubleType()) for name in added])
     frame = cut.frame(n)
     out = cut.df.select(
         "*",
@@ -348,18 +367,30 @@ def zscore_flags(
 ) -> DataFrame:
     """|x − mean| / std over the ``window`` ticks before; 0 when std is 0; no flag in warm-up."""
     cut = blocks(ticks, KEYS, slicing or by_seq(), window, block_rows)
-    before = cut.window.rowsBetween(-window, -1)
-
-    def z(c: str) -> Column:
-        mean, std = F.avg(c).over(before), F.stddev_samp(c).over(before)
-        return F.coalesce(F.when(std > 0, F.abs((F.col(c) - mean) / std)), F.lit(0.0))
 
-    warm = F.least(cut.position - 1, F.lit(window)) >= warmup
-    out = cut.df.select("*", z("bid").alias("bid_z"), z("ask").alias("ask_z"), warm.alias("__warm"))
-    out = out.withColumn(
-        "is_spike", F.col("__warm") & ((F.col("bid_z") > threshold) | (F.col("ask_z") > threshold))
-    ).drop("__warm")
-    return cut.finish(out)
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        made = {}
+        for c in ("bid", "ask"):
+            x = frame[c].to_numpy(dtype="float64")
+            count, mean, std = moments_before(x, window)
+            known = (count > 1) & (std > 0)
+            z = np.zeros(len(x))
+            z[known] = np.abs((x[known] - mean[known]) / std[known])
+            made[f"{c}_z"] = z
+        # a full block starts with its halo, so only the key's first rows are short
+        seen = np.minimum(frame["__pos"].to_numpy() - 1, window)
+        flag = (seen >= warmup) & ((made["bid_z"] > threshold) | (made["ask_z"] > threshold))
+        return frame.assign(**made, is_spike=flag)
+
+    return fold_blocks(
+        cut,
+        fold,
+        [
+            T.StructField("bid_z", T.DoubleType()),
+            T.StructField("ask_z", T.DoubleType()),
+            T.StructField("is_spike", T.BooleanType()),
+        ],
+    )
 
 
 # --- rates -------------------------------------------------------------------
@@ -427,8 +458,6 @@ def tick_summary(ticks: DataFrame) -> DataFrame:
 
 def latency_summary(samples: DataFrame, latency: str = "latency_ms", order: str = "seq", n: int = 100) -> DataFrame:
     """Average, nearest-rank 95th percentile and maximum of the last ``n`` samples per symbol."""
-    from tickloom.operators.ordered import last_rows
-
     few = last_rows(samples.select("symbol", order, latency), KEYS, order, n)
     held = few.groupBy("symbol").agg(
         F.avg(latency).alias("avg"),

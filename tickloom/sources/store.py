@@ -68,30 +68,17 @@ class KeyedStore:
     def save_partitioned(self, df: DataFrame, kind: str, date: str = "ts") -> None:
         """Save many keys in one job: one partition per symbol and day of ``date``.
 
-        Rows are spread over files by (symbol, day, part) so that a hot symbol's
-        day is written by several tasks.
+        The rebalance hint groups a partition's rows into few files and splits a
+        hot symbol's day over several tasks.
         """
-        parts = df.withColumn("__day", F.to_date(date)).withColumnsRenamed({"__day": "date"})
-        spread = parts.repartition("symbol", "date", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        parts = df.withColumn("date", F.to_date(date))
         (
-            spread.write.mode("overwrite")
+            parts.hint("rebalance", "symbol", "date")
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("symbol", "date")
             .parquet(f"{self.root}/data/{kind}")
         )
-        stamped = parts.select("symbol", "date").distinct().withColumns(
-            {
-                "metadata": F.create_map().cast(_META["metadata"].dataType),
-                "saved_at": F.current_timestamp(),
-            }
-        )
-        (
-            stamped.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("symbol", "date")
-            .parquet(f"{self.root}/meta/{kind}")
-        )
-
     def load_data(self, key: str) -> DataFrame:
         if not self._exists(key):
             raise KeyNotFound(key)
@@ -103,12 +90,17 @@ class KeyedStore:
     def load_metadata(self, key: str) -> DataFrame:
         if not self._exists(key):
             raise KeyNotFound(key)
-        return self.spark.read.schema(_META).parquet(self._dir("meta", key))
+        if self._fs().exists(self._path(self._dir("meta", key))):
+            return self.spark.read.schema(_META).parquet(self._dir("meta", key))
+        # saved in bulk: no metadata, the directory knows when it was written
+        saved = self._fs().getFileStatus(self._path(self._dir("data", key))).getModificationTime()
+        empty = self.spark.createDataFrame([({}, int(saved))], "metadata map<string,string>, ms long")
+        return empty.select("metadata", F.timestamp_millis("ms").alias("saved_at"))
 
     def delete_data(self, key: str) -> None:
         if not self._exists(key):
             raise KeyNotFound(key)
-        for area in ("data", "meta"):
+        for area in ("data", "meta"):  # a missing directory is left alone
             self._fs().delete(self._path(self._dir(area, key)), True)
 
     # -- whole table --------------------------------------------------------
