@@ -19,7 +19,7 @@ from tickloom.operators.ordered import (
     running,
 )
 from tickloom.operators.rolling import moments_before, moments_up_to
-from tickloom.session import shared_folder
+from tickloom.session import written
 
 KEYS = ["symbol"]
 
@@ -194,8 +194,6 @@ def _carried_in(
     the tick its predecessor really hands over. Each round settles at least one
     more slice of a symbol, and normally all of them.
     """
-    spark = runs.sparkSession
-    shared_folder(spark)
     schema = _summary_schema(runs.schema["symbol"].dataType)
 
     def summarise(frame: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +212,7 @@ def _carried_in(
         *[F.col(o).alias(o.replace("out", "free")) for o in outs],
         F.lit(False).alias("walked"),
         *[F.lit(None).cast("long" if c == "ts" else "double").alias(f"in_{c}") for c in _STATE],
-    ).checkpoint()
+    )
     scan = Window.partitionBy("symbol").orderBy("__slice")
     rounds = 0
     while True:
@@ -229,7 +227,7 @@ def _carried_in(
         moved = F.lit(False)
         for c in _STATE:
             moved = moved | ~F.col(f"out_{c}").eqNullSafe(F.col(f"free_{c}"))
-        state = state.withColumn("reset", F.col("agrees") & moved).checkpoint()
+        state = written(state.withColumn("reset", F.col("agrees") & moved), "spike-round")
         left = state.agg(F.count_if("todo").alias("todo"), F.count_if("reset").alias("reset")).first()
         if left["todo"] == 0 and left["reset"] == 0:
             return state.select("symbol", "__slice", *[F.col(f"new_{c}").alias(f"in_{c}") for c in _STATE])
@@ -263,7 +261,7 @@ def _carried_in(
                 F.when(F.col("todo"), F.col(f"new_{c}")).otherwise(F.col(f"in_{c}")).alias(f"in_{c}")
                 for c in _STATE
             ],
-        ).checkpoint()
+        )
 
 
 def flag_spikes(

@@ -72,7 +72,7 @@ def raw_rates(spark, folder):
     + ", CASE WHEN k % 10 = 0 THEN 0.0::DOUBLE ELSE CAST(k AS DOUBLE) END AS volume FROM ev",
 )
 def raw_ticks(spark, folder):
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = V.property_k()
     raw = V.read_table(spark, folder, "events").select(
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("time"),
         F.col("value").alias("bid"),

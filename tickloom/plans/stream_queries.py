@@ -17,7 +17,7 @@ _BAR = f"{r('open', 'high', 'low', 'close', 'volume')}, tick_count, {r('avg_spre
 def tick_stream(spark, folder):
     """The event table as a stream of ticks."""
     configure(spark)
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    schema = V.read_table(spark, folder, "events").schema
     events = S.read_ticks(spark, folder, schema, files_per_trigger=1, glob="events.parquet")
     return V.events_as_ticks(events, V.by_type())
 

@@ -21,7 +21,7 @@ DIRTY = (
 
 
 def dirty(spark, folder):
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = V.property_k()
     value = F.col("value")
     return V.read_table(spark, folder, "events").select(
         F.col("event_id").alias("seq"),

@@ -174,14 +174,16 @@ def bucket_start(ts: Column, tf: str | int) -> Column:
     Seconds and the intraday/daily names floor to the epoch, weeks open on
     Monday, months on the first calendar day.
     """
-    if isinstance(tf, int):
-        return F.window(ts, f"{tf} seconds").getField("start")
-    tf = timeframe(tf)
-    if tf == "MN":
-        return F.date_trunc("month", ts)
-    if tf == "W1":
-        return F.window(ts, "7 days", "7 days", "4 days").getField("start")
-    return F.window(ts, f"{TIMEFRAME_MINUTES[tf]} minutes").getField("start")
+    if isinstance(tf, str):
+        tf = timeframe(tf)
+        if tf == "MN":
+            return F.date_trunc("month", ts)
+    width = (tf if isinstance(tf, int) else timeframe_seconds(tf)) * 1_000_000
+    # The epoch was a Thursday; weeks are counted from the Monday after it.
+    shift = 4 * 86_400_000_000 if tf == "W1" else 0
+    at = F.unix_micros(ts)
+    past = F.pmod(at - F.lit(shift), F.lit(width)) if shift else F.pmod(at, F.lit(width))
+    return F.timestamp_micros(at - past)
 
 
 def bucket_end(start: Column, tf: str | int) -> Column:
