@@ -92,6 +92,17 @@ def test_recursive_averages_across_seams(bar_frame):
     assert close_to(column(I.rsi(df, **seams), "RSI_14"), pd.Series(expected), 1e-10)
 
 
+def test_indicators_share_one_pass(bar_frame):
+    x = walk(300)
+    out = I.calculate_indicators(bar_frame(x), ["sma", "bollinger", "ema", "rsi"], period=14, EMA={"period": [5, 9]}, **SEAMS)
+    assert {"SMA_14", "bb_upper", "EMA_5", "EMA_9", "RSI_14"} <= set(out.columns)
+    assert close_to(column(out, "SMA_14"), pd.Series(x).rolling(14).mean())
+    assert close_to(column(out, "EMA_9"), pd.Series(x).ewm(span=9, adjust=False).mean(), 1e-13)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # number the rows, cut the blocks, and the small summary of the numbering
+    assert plan.count("Exchange hashpartitioning") <= 4, plan
+
+
 def test_rsi_of_short_and_rising_series(bar_frame):
     assert column(I.rsi(bar_frame([1.0] * 10)), "RSI_14").isna().all()
     assert column(I.rsi(bar_frame([1.0 + i for i in range(20)])), "RSI_14")[14:].tolist() == [100.0] * 6
@@ -115,7 +126,7 @@ def test_unknown_indicator(bar_frame):
     try:
         assert I.calculate_indicators(bar_frame([1.0]), ["LAST"]).first()["copy"] == 1.0
     finally:
-        I.REGISTRY.pop("LAST")
+        I.unregister("LAST")
 
 
 def test_quantiles_equal_numpy(spark):

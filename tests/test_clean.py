@@ -10,7 +10,16 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tickloom.operators import clean as C
-from tickloom.operators.ordered import by_seq, by_time, last_rows, nearest, neighbours, running, with_position
+from tickloom.operators.ordered import (
+    by_seq,
+    by_time,
+    last_rows,
+    measured,
+    nearest,
+    neighbours,
+    running,
+    with_position,
+)
 from tickloom.operators.rolling import moments_before, moments_up_to
 
 
@@ -174,8 +183,9 @@ def test_ordered_primitives_ignore_the_slicing(spark, width):
     groups = data.groupby("symbol")["x"]
     assert near["before"].fillna(-1).tolist() == groups.shift(1).fillna(-1).tolist()
     assert near["after"].fillna(-1).tolist() == groups.shift(-1).fillna(-1).tolist()
-    run = running(df, ["symbol"], cut, {"top": ("max", F.col("x")), "total": ("sum", F.col("x"))})
-    run = run.toPandas().sort_values("seq")
+    folds = {"top": ("max", F.col("x")), "total": ("sum", F.col("x")), "base": ("first", F.col("x"))}
+    run = running(df, ["symbol"], cut, folds).toPandas().sort_values("seq")
+    assert run["base"].tolist() == groups.transform("first").tolist()
     assert run["top"].tolist() == groups.cummax().tolist()
     assert np.allclose(run["total"], groups.cumsum())
     spot = with_position(df, ["symbol"], cut).toPandas().sort_values("seq")
@@ -204,3 +214,9 @@ def test_time_slices_hold_neighbours(tick_frame):
     ticks = tick_frame([(i * 1000, float(i + 1)) for i in range(20)])
     near = neighbours(ticks, ["symbol"], by_time(1500, "ts"), prev={"before": "bid"}).orderBy("seq").collect()
     assert [r["before"] for r in near] == [None] + [float(i) for i in range(1, 20)]
+
+
+def test_measured_slices_follow_the_density(spark):
+    sparse = spark.range(1000).select((F.col("id") * 1_000_000).alias("seq"))
+    assert 9_900_000 <= measured(sparse, "seq", 10).width <= 10_000_000
+    assert measured(sparse.limit(0), "seq", 10).width == 10

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom import schema as S
 from tickloom.functions.candles import is_bullish
 from tickloom.functions.scalars import threshold_difference
-from tickloom.operators.ordered import Slicing, by_time, last_rows, nearest
+from tickloom.operators.ordered import Slicing, by_time, last_rows, nearest, small_side
 
 
 def _alert(
@@ -115,10 +115,7 @@ def price_threshold_alerts(
     at most ``broadcast_rows`` rows; a larger one is joined by shuffle, where
     adaptive skew handling splits a hot symbol.
     """
-    small = rules.select("symbol", "threshold", "severity")
-    if small.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        small = F.broadcast(small)
-    joined = quotes.join(small, "symbol")
+    joined = quotes.join(small_side(rules.select("symbol", "threshold", "severity"), broadcast_rows), "symbol")
     current, threshold = F.col(price).cast("float"), F.col("threshold").cast("float")
     return _alert(
         joined.filter(current > threshold).withColumn("difference", threshold_difference(current, threshold)),

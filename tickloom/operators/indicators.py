@@ -1,4 +1,4 @@
-"""Indicators over bars: a registry of DataFrame → DataFrame functions.
+"""Indicators over bars: definitions, functions on frames, and a dispatcher by name.
 
 Moving averages and bands are plain window frames inside blocks. Recursive
 averages (EMA, MACD, Wilder RSI) and rank correlation run in pandas over one
@@ -9,17 +9,20 @@ below the rounding of a double.
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickloom.operators.ordered import (
     DEFAULT_BLOCK_ROWS,
+    Blocks,
     Slicing,
     blocks,
     by_time,
@@ -44,170 +47,205 @@ def _double(name: str) -> T.StructField:
     return T.StructField(name, T.DoubleType())
 
 
-def sma(
+@dataclass(frozen=True)
+class Indicator:
+    """What an indicator needs and adds: window columns, or values per block in pandas."""
+
+    lookback: int
+    columns: Callable[[Blocks], dict[str, Column]] | None = None
+    fold: Callable[[pd.DataFrame], dict[str, object]] | None = None
+    adds: tuple[str, ...] = ()
+
+
+def add_indicators(
     bars: DataFrame,
-    period: int | Sequence[int] = 20,
-    column: str = "close",
+    indicators: Sequence[Indicator],
     keys: Sequence[str] = ("symbol",),
     slicing: Slicing = DEFAULT_SLICING,
     block_rows: int = DEFAULT_BLOCK_ROWS,
 ) -> DataFrame:
-    """``SMA_n``: mean of the last n rows, null until n exist."""
-    periods = [period] if isinstance(period, int) else list(period)
-    cut = blocks(bars, keys, slicing, max(periods) - 1, block_rows)
-    out = cut.df.select(
-        "*", *[cut.full(n, F.avg(column).over(cut.frame(n))).alias(f"SMA_{n}") for n in periods]
-    )
-    return cut.finish(out)
+    """Add all indicators in one pass: rows are numbered once and cut into blocks once.
 
+    Window frames and pandas folds work on the same blocks, so both share one
+    shuffle and one sort order.
+    """
+    cut = blocks(bars, keys, slicing, max(i.lookback for i in indicators), block_rows)
+    made: dict[str, Column] = {}
+    for i in indicators:
+        if i.columns:
+            made |= i.columns(cut)
+    if made:
+        cut = replace(cut, df=cut.df.select("*", *[c.alias(n) for n, c in made.items()]))
+    folds = [i for i in indicators if i.fold]
+    if not folds:
+        return cut.finish(cut.df)
 
-def moving_averages(bars: DataFrame, periods: Sequence[int] = MA_PERIODS, **options) -> DataFrame:
-    """MA5 / MA20 / MA50. A symbol with fewer rows than n has nulls in ``MAn``."""
-    out = sma(bars, periods, **options)
-    return out.withColumnsRenamed({f"SMA_{n}": f"MA{n}" for n in periods})
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        added: dict[str, object] = {}
+        for i in folds:
+            added |= i.fold(frame)
+        return frame.assign(**added)
 
+    return fold_blocks(cut, fold, [_double(n) for i in folds for n in i.adds])
 
-def bollinger(
-    bars: DataFrame,
-    period: int = 20,
-    width: float = 2.0,
-    column: str = "close",
-    keys: Sequence[str] = ("symbol",),
-    slicing: Slicing = DEFAULT_SLICING,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-) -> DataFrame:
-    """Mean, sample deviation and the bands ``width`` deviations away."""
-    cut = blocks(bars, keys, slicing, period - 1, block_rows)
-    frame = cut.frame(period)
-    out = cut.df.select(
-        "*",
-        cut.full(period, F.avg(column).over(frame)).alias("bb_middle"),
-        cut.full(period, F.stddev_samp(column).over(frame)).alias("bb_std"),
-    )
-    out = out.withColumns(
-        {
-            "bb_upper": F.col("bb_middle") + width * F.col("bb_std"),
-            "bb_lower": F.col("bb_middle") - width * F.col("bb_std"),
-        }
-    )
-    return cut.finish(out)
+
+def _periods(period: int | Sequence[int]) -> list[int]:
+    return [period] if isinstance(period, int) else list(period)
+
+
+def _nullable(values: np.ndarray) -> pd.Series:
+    series = pd.Series(values, dtype=object)
+    return series.where(~np.isnan(values), None)
 
 
 def _ema(values: pd.Series, alpha: float) -> pd.Series:
     return values.ewm(alpha=alpha, adjust=False).mean()
 
 
-def ema(
-    bars: DataFrame,
-    period: int | Sequence[int] = EMA_PERIODS,
-    column: str = "close",
-    keys: Sequence[str] = ("symbol",),
-    slicing: Slicing = DEFAULT_SLICING,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-) -> DataFrame:
-    """``EMA_n`` with α = 2/(n+1), started at the first value."""
-    periods = [period] if isinstance(period, int) else list(period)
-    halo = max(memory_rows(2 / (n + 1)) for n in periods)
-    cut = blocks(bars, keys, slicing, halo, block_rows)
+# Definitions. Each takes its own parameters and ignores none.
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame[column].astype("float64")
-        return frame.assign(**{f"EMA_{n}": _ema(x, 2 / (n + 1)) for n in periods})
 
-    return fold_blocks(cut, fold, [_double(f"EMA_{n}") for n in periods])
+def sma_of(period: int | Sequence[int] = 20, column: str = "close", name: str = "SMA_{}") -> Indicator:
+    periods = _periods(period)
 
+    def columns(cut: Blocks) -> dict[str, Column]:
+        return {name.format(n): cut.full(n, F.avg(column).over(cut.frame(n))) for n in periods}
 
-def macd(
-    bars: DataFrame,
-    fast: int = 12,
-    slow: int = 26,
-    signal: int = 9,
-    column: str = "close",
-    keys: Sequence[str] = ("symbol",),
-    slicing: Slicing = DEFAULT_SLICING,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-) -> DataFrame:
-    """EMA(fast) − EMA(slow), its EMA(signal), and the difference of the two."""
-    halo = memory_rows(2 / (slow + 1)) + memory_rows(2 / (signal + 1))
-    cut = blocks(bars, keys, slicing, halo, block_rows)
+    return Indicator(max(periods) - 1, columns)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+
+def moving_averages_of(period: int | Sequence[int] = MA_PERIODS, column: str = "close") -> Indicator:
+    return sma_of(period, column, "MA{}")
+
+
+def bollinger_of(period: int = 20, width: float = 2.0, column: str = "close") -> Indicator:
+    def columns(cut: Blocks) -> dict[str, Column]:
+        frame = cut.frame(period)
+        middle = cut.full(period, F.avg(column).over(frame))
+        std = cut.full(period, F.stddev_samp(column).over(frame))
+        return {
+            "bb_middle": middle,
+            "bb_std": std,
+            "bb_upper": middle + width * std,
+            "bb_lower": middle - width * std,
+        }
+
+    return Indicator(period - 1, columns)
+
+
+def ema_of(period: int | Sequence[int] = EMA_PERIODS, column: str = "close") -> Indicator:
+    periods = _periods(period)
+
+    def fold(frame: pd.DataFrame) -> dict[str, object]:
         x = frame[column].astype("float64")
-        line = _ema(x, 2 / (fast + 1)) - _ema(x, 2 / (slow + 1))
-        smooth = _ema(line, 2 / (signal + 1))
-        return frame.assign(macd=line, macd_signal=smooth, macd_hist=line - smooth)
+        return {f"EMA_{n}": _ema(x, 2 / (n + 1)) for n in periods}
 
-    return fold_blocks(cut, fold, [_double(n) for n in ("macd", "macd_signal", "macd_hist")])
+    lookback = max(memory_rows(2 / (n + 1)) for n in periods)
+    return Indicator(lookback, fold=fold, adds=tuple(f"EMA_{n}" for n in periods))
 
 
-def rsi(
-    bars: DataFrame,
-    period: int = 14,
-    column: str = "close",
-    keys: Sequence[str] = ("symbol",),
-    slicing: Slicing = DEFAULT_SLICING,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-) -> DataFrame:
-    """Wilder's RSI: mean gain and loss of the first n changes, then α = 1/n.
+def macd_of(fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> Indicator:
+    def fold(frame: pd.DataFrame) -> dict[str, object]:
+        x = frame[column].astype("float64")
+        line = _ema(x, 2 / (fast + 1)) - _ema(x, 2 / (slow + 1))
+        smooth = _ema(line, 2 / (signal + 1))
+        return {"macd": line, "macd_signal": smooth, "macd_hist": line - smooth}
 
-    Null until n changes exist; 100 when there was no loss.
-    """
-    cut = blocks(bars, keys, slicing, memory_rows(1 / period) + period + 1, block_rows)
+    lookback = memory_rows(2 / (slow + 1)) + memory_rows(2 / (signal + 1))
+    return Indicator(lookback, fold=fold, adds=("macd", "macd_signal", "macd_hist"))
 
+
+def rsi_of(period: int = 14, column: str = "close") -> Indicator:
     def wilder(moves: np.ndarray) -> np.ndarray:
         # moves[0] belongs to a row without predecessor
         out = np.full(len(moves), np.nan)
         if len(moves) > period:
             seeded = np.concatenate(([moves[1 : period + 1].mean()], moves[period + 1 :]))
-            out[period:] = pd.Series(seeded).ewm(alpha=1 / period, adjust=False).mean()
+            out[period:] = _ema(pd.Series(seeded), 1 / period)
         return out
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(frame: pd.DataFrame) -> dict[str, object]:
         change = frame[column].astype("float64").diff().to_numpy()
         gain, loss = wilder(np.maximum(change, 0)), wilder(np.maximum(-change, 0))
         with np.errstate(divide="ignore", invalid="ignore"):
             value = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
-        value = pd.Series(value, dtype=object).where(~np.isnan(gain), None)
-        return frame.assign(**{f"RSI_{period}": value})
+        return {f"RSI_{period}": _nullable(np.where(np.isnan(gain), np.nan, value))}
 
-    return fold_blocks(cut, fold, [_double(f"RSI_{period}")])
+    return Indicator(memory_rows(1 / period) + period + 1, fold=fold, adds=(f"RSI_{period}",))
 
 
-def rci(
-    bars: DataFrame,
-    period: int | Sequence[int] = RCI_PERIODS,
-    column: str = "close",
-    keys: Sequence[str] = ("symbol",),
-    slicing: Slicing = DEFAULT_SLICING,
-    block_rows: int = DEFAULT_BLOCK_ROWS,
-) -> DataFrame:
-    """``RCI_n`` = (1 − 6 Σd² / (n(n²−1))) · 100, d = time rank − price rank (ties averaged)."""
-    periods = [period] if isinstance(period, int) else list(period)
-    cut = blocks(bars, keys, slicing, max(periods) - 1, block_rows)
+def rci_of(period: int | Sequence[int] = RCI_PERIODS, column: str = "close") -> Indicator:
+    periods = _periods(period)
 
     def rank_index(x: np.ndarray, n: int) -> np.ndarray:
         out = np.full(len(x), np.nan)
         if len(x) < n:
             return out
         windows = np.lib.stride_tricks.sliding_window_view(x, n)
-        at = np.arange(1, n + 1)
         squares = np.zeros(len(windows))
         for j in range(n):  # one column of every window at a time
             mine = windows[:, j : j + 1]
             rank = (windows < mine).sum(axis=1) + ((windows == mine).sum(axis=1) + 1) / 2
-            squares += (at[j] - rank) ** 2
+            squares += (j + 1 - rank) ** 2
         out[n - 1 :] = (1 - 6 * squares / (n * (n * n - 1))) * 100
         return out
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(frame: pd.DataFrame) -> dict[str, object]:
         x = frame[column].to_numpy(dtype="float64")
-        made = {}
-        for n in periods:
-            values = rank_index(x, n)
-            made[f"RCI_{n}"] = pd.Series(values, dtype=object).where(~np.isnan(values), None)
-        return frame.assign(**made)
+        return {f"RCI_{n}": _nullable(rank_index(x, n)) for n in periods}
+
+    return Indicator(max(periods) - 1, fold=fold, adds=tuple(f"RCI_{n}" for n in periods))
+
+
+# Functions on frames. ``options``: keys, slicing, block_rows.
+
+
+def sma(bars: DataFrame, period: int | Sequence[int] = 20, column: str = "close", **options) -> DataFrame:
+    """``SMA_n``: mean of the last n rows, null until n exist."""
+    return add_indicators(bars, [sma_of(period, column)], **options)
+
+
+def moving_averages(
+    bars: DataFrame, period: int | Sequence[int] = MA_PERIODS, column: str = "close", **options
+) -> DataFrame:
+    """MA5 / MA20 / MA50. A symbol with fewer rows than n has nulls in ``MAn``."""
+    return add_indicators(bars, [moving_averages_of(period, column)], **options)
+
+
+def bollinger(
+    bars: DataFrame, period: int = 20, width: float = 2.0, column: str = "close", **options
+) -> DataFrame:
+    """Mean, sample deviation and the bands ``width`` deviations away."""
+    return add_indicators(bars, [bollinger_of(period, width, column)], **options)
 
-    return fold_blocks(cut, fold, [_double(f"RCI_{n}") for n in periods])
+
+def ema(
+    bars: DataFrame, period: int | Sequence[int] = EMA_PERIODS, column: str = "close", **options
+) -> DataFrame:
+    """``EMA_n`` with α = 2/(n+1), started at the first value."""
+    return add_indicators(bars, [ema_of(period, column)], **options)
+
+
+def macd(
+    bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close", **options
+) -> DataFrame:
+    """EMA(fast) − EMA(slow), its EMA(signal), and the difference of the two."""
+    return add_indicators(bars, [macd_of(fast, slow, signal, column)], **options)
+
+
+def rsi(bars: DataFrame, period: int = 14, column: str = "close", **options) -> DataFrame:
+    """Wilder's RSI: mean gain and loss of the first n changes, then α = 1/n.
+
+    Null until n changes exist; 100 when there was no loss.
+    """
+    return add_indicators(bars, [rsi_of(period, column)], **options)
+
+
+def rci(
+    bars: DataFrame, period: int | Sequence[int] = RCI_PERIODS, column: str = "close", **options
+) -> DataFrame:
+    """``RCI_n`` = (1 − 6 Σd² / (n(n²−1))) · 100, d = time rank − price rank (ties averaged)."""
+    return add_indicators(bars, [rci_of(period, column)], **options)
 
 
 def latest(indicated: DataFrame, keys: Sequence[str] = ("symbol",), order: str = "time") -> DataFrame:
@@ -217,36 +255,55 @@ def latest(indicated: DataFrame, keys: Sequence[str] = ("symbol",), order: str =
 
 # --- dispatcher --------------------------------------------------------------
 
-REGISTRY: dict[str, Callable[..., DataFrame]] = {}
+# Definitions are gathered into one pass; functions on frames run one by one.
+REGISTRY: dict[str, Callable[..., Indicator | DataFrame]] = {
+    "SMA": sma_of,
+    "MA": moving_averages_of,
+    "BOLLINGER": bollinger_of,
+    "EMA": ema_of,
+    "MACD": macd_of,
+    "RSI": rsi_of,
+    "RCI": rci_of,
+}
+_CUSTOM: set[str] = set()
 
 
 def register(name: str, function: Callable[..., DataFrame]) -> None:
-    """Make an indicator available to ``calculate_indicators``."""
+    """Make a function ``(bars, **params) → bars`` available to ``calculate_indicators``."""
     REGISTRY[name.upper()] = function
+    _CUSTOM.add(name.upper())
 
 
-for _name, _function in {
-    "SMA": sma,
-    "MA": moving_averages,
-    "BOLLINGER": bollinger,
-    "EMA": ema,
-    "MACD": macd,
-    "RSI": rsi,
-    "RCI": rci,
-}.items():
-    register(_name, _function)
+def unregister(name: str) -> None:
+    REGISTRY.pop(name.upper(), None)
+    _CUSTOM.discard(name.upper())
 
 
-def calculate_indicators(bars: DataFrame, names: Sequence[str], **params) -> DataFrame:
-    """Add each named indicator. ``params`` are shared (``period=…``), or a dict per name."""
-    unknown = [n for n in names if n.upper() not in REGISTRY]
+def calculate_indicators(
+    bars: DataFrame,
+    names: Sequence[str],
+    keys: Sequence[str] = ("symbol",),
+    slicing: Slicing = DEFAULT_SLICING,
+    block_rows: int = DEFAULT_BLOCK_ROWS,
+    **params,
+) -> DataFrame:
+    """Add each named indicator. ``params`` hold a dict per name (``SMA={"period": 10}``) or
+    values shared by the indicators that take them (``period=10``)."""
+    wanted = [n.upper() for n in names]
+    unknown = [n for n in wanted if n not in REGISTRY]
     if unknown:
         raise ValueError(f"unknown indicators {unknown}; known: {sorted(REGISTRY)}")
-    per_name = {n.upper(): params[n] for n in list(params) if n.upper() in REGISTRY}
+    own = {k.upper(): v for k, v in params.items() if k.upper() in REGISTRY}
     shared = {k: v for k, v in params.items() if k.upper() not in REGISTRY}
-    for name in names:
-        options = {**shared, **per_name.get(name.upper(), {})}
-        if name.upper() == "MACD":
-            options.pop("period", None)
-        bars = bars.transform(lambda df, f=REGISTRY[name.upper()], o=options: f(df, **o))
+
+    def options(name: str) -> dict:
+        takes = inspect.signature(REGISTRY[name]).parameters
+        return {k: v for k, v in shared.items() if k in takes} | own.get(name, {})
+
+    together = [REGISTRY[n](**options(n)) for n in wanted if n not in _CUSTOM]
+    if together:
+        bars = add_indicators(bars, together, keys, slicing, block_rows)
+    for n in wanted:
+        if n in _CUSTOM:
+            bars = REGISTRY[n](bars, **options(n))
     return bars

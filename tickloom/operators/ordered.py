@@ -44,10 +44,24 @@ class Slicing:
 
 
 def by_seq(width: int = DEFAULT_SLICE_ROWS, order: str = "seq") -> Slicing:
-    """Slices of ``width`` arrival numbers."""
+    """Slices of ``width`` arrival numbers; for numbers without large holes (else ``measured``)."""
     return Slicing(order, width)
 
 
+def measured(df: DataFrame, order: str = "seq", rows: int = DEFAULT_SLICE_ROWS) -> Slicing:
+    """Slices of about ``rows`` rows for an order column of unknown density.
+
+    Arrival numbers with holes (several feeds in one counter, time stamps used as
+    numbers) would leave fixed slices nearly empty. One narrow aggregate over the
+    column finds its span and count.
+    """
+    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
+    if not span["n"]:
+        return Slicing(order, rows)
+    width = (span["hi"] - span["lo"] + 1) * rows // span["n"]
+    return Slicing(order, min(max(width, 1), (1 << 62)))
+
+
 def by_time(seconds: int, order: str = "time") -> Slicing:
     """Slices of ``seconds`` of event time."""
     return Slicing(order, seconds * 1_000_000, True)
@@ -130,7 +144,12 @@ def neighbours(
     return both.filter(F.col(_EDGE) == 0).drop(_EDGE, _SLICE)
 
 
-_FOLDS: dict[str, Callable[[Column], Column]] = {"max": F.max, "min": F.min, "sum": F.sum}
+_FOLDS: dict[str, Callable[[Column], Column]] = {
+    "max": F.max,
+    "min": F.min,
+    "sum": F.sum,
+    "first": lambda c: F.first(c, ignorenulls=True),
+}
 
 
 def running(
@@ -140,7 +159,7 @@ def running(
     folds: dict[str, tuple[str, Column]],
     include_current: bool = True,
 ) -> DataFrame:
-    """Running max / min / sum per key, with or without the current row.
+    """Running max / min / sum / first per key, with or without the current row.
 
     ``folds={"latest": ("max", F.col("ts"))}``.
     """
@@ -148,7 +167,10 @@ def running(
     data = _sliced(df, slicing).select("*", *[v.alias(f"__v_{n}") for n, (_, v) in folds.items()])
     scan = _scan(keys).rowsBetween(Window.unboundedPreceding, -1)
     per_slice = data.groupBy(*keys, _SLICE).agg(
-        *[_FOLDS[f](F.col(f"__v_{n}")).alias(f"__v_{n}") for n, (f, _) in folds.items()]
+        *[
+            (F.min_by(f"__v_{n}", order) if f == "first" else _FOLDS[f](F.col(f"__v_{n}"))).alias(f"__v_{n}")
+            for n, (f, _) in folds.items()
+        ]
     )
     carry = per_slice.select(
         *keys,
@@ -218,6 +240,15 @@ def with_position(
     return running(df, keys, slicing, {name: ("sum", F.lit(1).cast("long"))})
 
 
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it holds at most ``rows`` rows, else unchanged.
+
+    Pass a stored table: counting it runs a job. Beyond the limit the join
+    shuffles, where adaptive execution splits a hot key.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 @dataclass(frozen=True)
 class Blocks:
     """Rows cut into equal blocks, with halo rows in front of each block."""

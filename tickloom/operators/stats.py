@@ -79,13 +79,8 @@ def normalised_price(ticks: DataFrame, slicing: Slicing | None = None) -> DataFr
     The first bid reaches each (symbol, slice) as a carried value, so no join on
     the symbol alone is needed.
     """
-    slicing = slicing or by_seq()
-    near = neighbours(ticks, KEYS, slicing, prev={"__prev": "seq"})
-    first = near.withColumn("__first", F.when(F.col("__prev").isNull(), F.col("bid")))
-    held = running(first, KEYS, slicing, {"__base": ("max", F.col("__first"))})
-    return held.withColumn("normalised", F.try_divide(F.col("bid"), F.col("__base")) * 100).drop(
-        "__prev", "__first", "__base"
-    )
+    held = running(ticks, KEYS, slicing or by_seq(), {"__base": ("first", F.col("bid"))})
+    return held.withColumn("normalised", F.try_divide(F.col("bid"), F.col("__base")) * 100).drop("__base")
 
 
 def _pair_matrix(vectors: DataFrame, cells: int) -> DataFrame:

@@ -15,6 +15,7 @@ from tickloom.plans.scalars import ALERTS, PREDICTIONS, f32
 from tickloom.plans.scans import hourly
 from tickloom.plans.tick_queries import GAPS, WIDE
 from tickloom.plans.validation import DIRTY, _SYMBOL, _violations, dirty
+from tickloom.session import written
 from tickloom.sources import fx_views as V
 
 _STEPS = (
@@ -235,7 +236,7 @@ _RULES = "rules AS (SELECT symbol, avg(bid) * 2 AS threshold, 'WARNING' AS sever
 def thresholds(spark, folder):
     ticks = V.ticks(spark, folder)
     rules = ticks.groupBy("symbol").agg((F.avg("bid") * 2).alias("threshold"), F.lit("WARNING").alias("severity"))
-    out = M.price_threshold_alerts(ticks, rules)
+    out = M.price_threshold_alerts(ticks, written(rules, "rules"))
     return out.select("symbol", "timestamp", "severity", "threshold_value", "current_value", "difference")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.bars import ohlc_records, tick_bars
 from tickloom.plans.registry import EV, HOURLY, TICKS, USER_TICKS, query, r, rx
+from tickloom.session import written
 from tickloom.sources import export, fx_views as V, history, ticks as X
 from tickloom.sources.store import KeyedStore
 from tickloom.streaming.sinks import stream_folder
@@ -174,7 +175,7 @@ def stored_keys(spark, folder):
 )
 def unread(spark, folder):
     ticks = V.ticks(spark, folder)
-    cursor = X.advance_cursor(ticks.filter(F.col("ts") < "2024-01-16"))
+    cursor = written(X.advance_cursor(ticks.filter(F.col("ts") < "2024-01-16")), "cursor")
     return X.new_ticks(ticks, cursor)
 
 

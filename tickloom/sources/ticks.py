@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import Slicing, by_seq, last_rows, with_position
+from tickloom.operators.ordered import Slicing, by_seq, last_rows, running, small_side, with_position
 
 
 class UnknownSymbol(ValueError):
@@ -58,10 +58,13 @@ def list_symbols(df: DataFrame, limit: int | None = None, visible: Column | None
 
 
 def new_ticks(ticks: DataFrame, cursor: DataFrame | None, start_seq: int = -1) -> DataFrame:
-    """Ticks after a reader's cursor (symbol, last_seq); a symbol without cursor is new."""
+    """Ticks after a reader's cursor (symbol, last_seq); a symbol without cursor is new.
+
+    The cursor is the table saved after the last read: one row per symbol.
+    """
     if cursor is None:
         return ticks.filter(F.col("seq") > start_seq)
-    joined = ticks.join(cursor.select("symbol", "last_seq"), "symbol", "left")
+    joined = ticks.join(small_side(cursor.select("symbol", "last_seq")), "symbol", "left")
     return joined.filter(F.col("seq") > F.coalesce("last_seq", F.lit(start_seq))).drop("last_seq")
 
 
@@ -78,8 +81,6 @@ def recent_ticks(ticks: DataFrame, n: int = 10_000) -> DataFrame:
 def arrival_batches(ticks: DataFrame, size: int = 100, slicing: Slicing | None = None) -> DataFrame:
     """Per symbol and run of ``size`` arrivals: rows, first and last time, lowest and highest bid,
     and the lowest and highest bid so far."""
-    from tickloom.operators.ordered import running
-
     slicing = slicing or by_seq()
     numbered = with_position(ticks, ["symbol"], slicing)
     batches = (
