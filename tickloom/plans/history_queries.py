@@ -46,7 +46,7 @@ _DAILY = (
 
 def user_days(spark, folder):
     events = V.read_table(spark, folder, "events")
-    return events.select("user_id", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("time")).distinct()
+    return events.select("user_id", F.date_trunc("day", "ts").alias("time")).distinct()
 
 
 @query(

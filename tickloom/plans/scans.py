@@ -75,7 +75,7 @@ def raw_rates(spark, folder):
 def raw_ticks(spark, folder):
     k = V.property_k()
     raw = V.read_table(spark, folder, "events").select(
-        (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("time"),
+        (F.unix_micros("ts") / 1_000_000).alias("time"),
         F.col("value").alias("bid"),
         (F.col("value") + 1).alias("ask"),
         F.when(k % 10 != 0, k).cast("long").alias("volume"),

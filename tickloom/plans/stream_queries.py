@@ -139,3 +139,39 @@ def late(spark, folder):
 def sliding(spark, folder):
     rates = S.sliding_rates(tick_stream(spark, folder), 10_800, 3600)
     return sinks.drain(rates, sinks.stream_folder(spark, "rates"))
+
+
+@query(
+    "st6_reset_state",
+    f"WITH {TICKS}, n AS (SELECT *, count(*) FILTER (seq % 500 = 0) OVER (PARTITION BY symbol ORDER BY seq) AS run FROM ticks), "
+    f"kept AS (SELECT symbol || '|' || run AS symbol, ts, seq, bid, ask, volume FROM n WHERE seq % 500 <> 0), {bars_sql('b', HOUR, 'kept')} "
+    f"SELECT split_part(symbol, '|', 1) AS symbol, time, {_BAR} FROM b QUALIFY lead(time) OVER (PARTITION BY symbol ORDER BY time) IS NOT NULL",
+)
+def reset(spark, folder):
+    # Every 500th event stands for a control row: what was held for its symbol is forgotten.
+    use_rocksdb(spark)
+    stream = tick_stream(spark, folder).withColumn("control", F.when(F.col("seq") % 500 == 0, "reset"))
+    plain = stateful.CleanSettings(bar_seconds=3600, gap_threshold=3600.0, spike_threshold_percent=None)
+    out = sinks.drain(stateful.clean_bars(stream, plain), sinks.stream_folder(spark, "reset"))
+    return stateful.only_bars(out).drop("end_time")
+
+
+@query(
+    "st7_admission_control",
+    f"WITH {TICKS} SELECT symbol, count(*) AS ticks, count(DISTINCT seq) AS distinct_ticks, {rx('sum(volume)', 'volume')} FROM ticks GROUP BY 1",
+)
+def admission(spark, folder):
+    # The ticks arrive as many files and are admitted one file at a time; none may be lost.
+    place = sinks.stream_folder(spark, "admission")
+    ticks = V.ticks(spark, folder)
+    ticks.repartition(6, "seq").write.parquet(f"{place}/in")
+    stream = S.read_ticks(spark, f"{place}/in", ticks.schema, files_per_trigger=1)
+    return (
+        sinks.drain(stream, f"{place}/run")
+        .groupBy("symbol")
+        .agg(
+            F.count(F.lit(1)).alias("ticks"),
+            F.countDistinct("seq").alias("distinct_ticks"),
+            F.sum("volume").alias("volume"),
+        )
+    )

@@ -25,7 +25,7 @@ def dirty(spark, folder):
     value = F.col("value")
     return V.read_table(spark, folder, "events").select(
         F.col("event_id").alias("seq"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         F.when(k % 17 == 0, "x_a").otherwise(F.concat(F.lit("x_"), F.col("event_type"))).alias("symbol"),
         F.when(k % 13 == 0, -value).when(k % 31 == 0, F.lit(float("nan"))).otherwise(value).alias("bid"),
         F.when(k % 11 == 0, value).otherwise(value + F.lit(0.01) * (k + 1)).alias("ask"),

@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from tickloom.session import configure
 
-# Declared, so that planning a query reads no file footers.
+# Declared, so that planning a query reads no file footers. The files hold zoneless
+# instants; read as UTC timestamps they need no cast, so time ranges reach the scan.
 TABLES = {
-    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "events": "event_id long, ts timestamp, user_id long, event_type string, value double, props string",
     "lineitem": (
         "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
         "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
-        "l_shipdate timestamp_ntz"
+        "l_shipdate timestamp"
     ),
 }
 
@@ -35,7 +36,7 @@ def events_as_ticks(events: DataFrame, symbol: Column) -> DataFrame:
     k = property_k()
     return events.select(
         symbol.alias("symbol"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        "ts",
         F.col("event_id").alias("seq"),
         F.col("value").alias("bid"),
         (F.col("value") + F.lit(0.01) * (k + 1)).alias("ask"),
@@ -78,7 +79,7 @@ def lineitem_ticks(spark: SparkSession, folder: str) -> DataFrame:
     price = F.col("l_extendedprice") / F.col("l_quantity")
     return lines.select(
         F.concat("l_returnflag", "l_linestatus").alias("symbol"),
-        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        F.col("l_shipdate").alias("ts"),
         (day * F.lit(1 << 48) + line * 64 + F.col("l_partkey") % 64).alias("seq"),
         price.alias("bid"),
         (price * (F.lit(1.0) + F.col("l_tax") / 100)).alias("ask"),
@@ -90,7 +91,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     """Forecast records from events: kind and score from ``k``, target one hour ahead."""
     events = read_table(spark, folder, "events")
     k = property_k()
-    at = F.col("ts").cast("timestamp")
+    at = F.col("ts")
     value = F.col("value")
     return events.select(
         F.col("event_id").alias("prediction_id"),
@@ -117,7 +118,7 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
     return events.select(
         F.col("event_id").alias("alert_id"),
         by_type().alias("symbol"),
-        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.col("ts").alias("timestamp"),
         F.element_at(kinds, k % 4 + 1).alias("alert_type"),
         F.element_at(levels, (k + F.col("event_id") % 3).cast("int") % 4 + 1).alias("severity"),
         F.repeat(F.lit("m"), k * 6).alias("message"),
