@@ -14,7 +14,6 @@ import time
 from pyspark.sql import functions as F
 
 from tickloom.operators import bars, clean, gaps, indicators, reconcile, stats, validate
-from tickloom.operators.ordered import measured
 from tickloom.session import local_session
 from tickloom.sources import fx_views as V
 
@@ -36,7 +35,7 @@ def cases(spark):
         "validate_ticks": lambda: validate.validate_ticks(ticks()),
         "drop_reversals": lambda: clean.accepted_ticks(V.shuffled_ticks(spark, FOLDER)),
         "tick_gaps": lambda: clean.tick_gaps(ticks(), 3600.0),
-        "tick_gaps_lineitem": lambda: clean.tick_gaps(lines(), 3600.0, measured(lines())),
+        "tick_gaps_lineitem": lambda: clean.tick_gaps(lines(), 3600.0, V.LINEITEM_DAYS),
         "spike_filter": lambda: clean.flag_spikes(good(ticks()), 50.0, 3600.0),
         "zscore_1000": lambda: clean.zscore_flags(ticks()),
         "trailing_rate": lambda: clean.trailing_rate(ticks(), 3600, 3600.0, "rate"),

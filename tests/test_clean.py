@@ -61,7 +61,7 @@ def test_known_spike(tick_frame):
 @pytest.mark.parametrize("width", [1, 7, 50, 1 << 20])
 @pytest.mark.parametrize("jump", [0.02, 0.4])
 def test_spikes_equal_the_fold_however_sliced(tick_frame, width, jump):
-    rows = noisy(600 if width > 1 else 20, 11, jump)
+    rows = noisy({1: 15, 7: 120}.get(width, 600), 11, jump)
     expected = fold_spikes(rows, 0.1, 300)
     assert any(expected)
     assert flags(C.flag_spikes(tick_frame(rows), slicing=by_seq(width))) == expected

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import by_seq
 from tickloom.session import configure
 
 # Declared, so that planning a query reads no file footers. The files hold zoneless
@@ -68,6 +69,10 @@ def shuffled_ticks(spark: SparkSession, folder: str) -> DataFrame:
     return ticks(spark, folder).withColumn("seq", disturbed)
 
 
+# One ship date of ``lineitem_ticks`` per slice.
+LINEITEM_DAYS = by_seq(1 << 48)
+
+
 def lineitem_ticks(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as ticks: unit price as bid, one symbol per return flag and line status.
 
