@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,7 @@ from tickloom.operators.ordered import (
     by_seq,
     fold_blocks,
     last_rows,
+    ordered_by,
     running,
 )
 from tickloom.operators.rolling import moments_before, moments_up_to
@@ -112,10 +114,6 @@ def gap_events(gaps: DataFrame, low: float = 10.0, medium: float = 20.0) -> Data
 _STATE = ("ts", "bid", "ask")
 
 
-def _micros(values: pd.Series) -> np.ndarray:
-    return values.to_numpy(dtype="datetime64[us]").astype("int64")
-
-
 def walk_spikes(ts, bid, ask, carried, threshold: float, market_gap: float):
     """Decide each tick of one run; returns (spike flags, last accepted tick).
 
@@ -168,21 +166,18 @@ def _summary_schema(symbol: T.DataType) -> T.StructType:
     return T.StructType(fields)
 
 
-def _columns(frame: pd.DataFrame):
-    frame = frame.sort_values("seq", kind="stable")
-    return (
-        frame,
-        _micros(frame["ts"]),
-        frame["bid"].to_numpy(dtype="float64"),
-        frame["ask"].to_numpy(dtype="float64"),
-    )
+def _quotes(table: pa.Table):
+    """The group's rows in arrival order and its times (µs), bids and asks."""
+    table = ordered_by(table, "seq")
+    ts = table.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
+    return table, ts, table.column("bid").to_numpy(), table.column("ask").to_numpy()
 
 
-def _carried(frame: pd.DataFrame):
-    ts = frame["in_ts"].iloc[0]
-    if pd.isna(ts):
+def _carried(table: pa.Table):
+    held = tuple(table.column(f"in_{c}")[0] for c in _STATE)
+    if not held[0].is_valid:
         return None
-    return int(ts), float(frame["in_bid"].iloc[0]), float(frame["in_ask"].iloc[0])
+    return held[0].as_py(), held[1].as_py(), held[2].as_py()
 
 
 def _carried_in(
@@ -196,14 +191,18 @@ def _carried_in(
     """
     schema = _summary_schema(runs.schema["symbol"].dataType)
 
-    def summarise(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, ts, bid, ask = _columns(frame)
-        carried = _carried(frame) if "in_ts" in frame else None
+    def summarise(table: pa.Table) -> pa.Table:
+        table, ts, bid, ask = _quotes(table)
+        carried = _carried(table) if "in_ts" in table.column_names else None
         _, out = walk_spikes(ts, bid, ask, carried, threshold, market_gap)
-        row = [frame["symbol"].iloc[0], int(frame["__slice"].iloc[0]), int(ts[0]), bid[0], ask[0], *out]
-        return pd.DataFrame([row], columns=schema.fieldNames())
-
-    free = runs.groupBy("symbol", "__slice").applyInPandas(summarise, schema)
+        one = table.select(["symbol", "__slice"]).slice(0, 1)
+        for prefix, tick in (("first", (int(ts[0]), bid[0], ask[0])), ("out", out)):
+            for c, value in zip(_STATE, tick):
+                kind = pa.int64() if c == "ts" else pa.float64()
+                one = one.append_column(f"{prefix}_{c}", pa.array([value], kind))
+        return one
+
+    free = runs.groupBy("symbol", "__slice").applyInArrow(summarise, schema)
     ins = [f"in_{c}" for c in _STATE]
     outs = [f"out_{c}" for c in _STATE]
     # free_*: result when the first tick is accepted; in_* / out_*: last walk.
@@ -240,7 +239,7 @@ def _carried_in(
         rewalked = (
             runs.join(again, ["symbol", "__slice"])
             .groupBy("symbol", "__slice")
-            .applyInPandas(summarise, schema)
+            .applyInArrow(summarise, schema)
             .select("symbol", "__slice", *[F.col(o).alias(f"re_{o}") for o in outs])
         )
         joined = state.join(rewalked, ["symbol", "__slice"], "left")
@@ -286,14 +285,14 @@ def flag_spikes(
     narrow = runs.select("symbol", "__slice", "ts", "seq", "bid", "ask")
     carried = _carried_in(narrow, threshold_percent, market_gap, max_rounds)
     schema = T.StructType([*typed.schema.fields, T.StructField("is_spike", T.BooleanType())])
-    names = schema.fieldNames()
+    names = typed.columns
 
-    def decide(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, ts, bid, ask = _columns(frame)
-        spikes, _ = walk_spikes(ts, bid, ask, _carried(frame), threshold_percent, market_gap)
-        return frame.assign(is_spike=spikes)[names]
+    def decide(table: pa.Table) -> pa.Table:
+        table, ts, bid, ask = _quotes(table)
+        spikes, _ = walk_spikes(ts, bid, ask, _carried(table), threshold_percent, market_gap)
+        return table.select(names).append_column("is_spike", pa.array(spikes))
 
-    return runs.join(carried, ["symbol", "__slice"]).groupBy("symbol", "__slice").applyInPandas(decide, schema)
+    return runs.join(carried, ["symbol", "__slice"]).groupBy("symbol", "__slice").applyInArrow(decide, schema)
 
 
 def drop_spikes(ticks: DataFrame, **options) -> DataFrame:
@@ -319,9 +318,8 @@ def counters(flagged: DataFrame, spike: str = "is_spike", dropped: str | None =
 # --- rolling statistics ------------------------------------------------------
 
 
-# Frames longer than this are computed per block in pandas: a window frame is
-# rescanned for every row, the merged moments are not.
-LONG_FRAME = 64
+# A window frame is rescanned for every row; merged moments of a block are not, which
+# outweighs the way through Arrow from about ten rows on.
 
 
 def rolling_mean_std(
@@ -329,30 +327,16 @@ def rolling_mean_std(
 ) -> DataFrame:
     """Mean and sample deviation of bid and ask over the last ``n`` ticks (deviation 0 for one)."""
     cut = blocks(ticks, KEYS, slicing or by_seq(), n - 1, block_rows)
-    if n > LONG_FRAME:
-
-        def fold(frame: pd.DataFrame) -> pd.DataFrame:
-            made = {}
-            for c in ("bid", "ask"):
-                _, mean, std = moments_up_to(frame[c].to_numpy(dtype="float64"), n)
-                made |= {f"{c}_mean": mean, f"{c}_std": std}
-            return frame.assign(**made)
-
-        added = [f"{c}_{kind}" for c in ("bid", "ask") for kind in ("mean", "std")]
-        return fold_blocks(cut, fold, [T.StructField(name, T.DoubleType()) for name in added])
-    frame = cut.frame(n)
-    out = cut.df.select(
-        "*",
-        *[
-            e
-            for c in ("bid", "ask")
-            for e in (
-                F.avg(c).over(frame).alias(f"{c}_mean"),
-                F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0)).alias(f"{c}_std"),
-            )
-        ],
-    )
-    return cut.finish(out)
+
+    def fold(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+        made = {}
+        for c in ("bid", "ask"):
+            _, mean, std = moments_up_to(frame[c].to_numpy(dtype="float64"), n)
+            made |= {f"{c}_mean": mean, f"{c}_std": std}
+        return made
+
+    added = [f"{c}_{kind}" for c in ("bid", "ask") for kind in ("mean", "std")]
+    return fold_blocks(cut, fold, ("bid", "ask"), [T.StructField(name, T.DoubleType()) for name in added])
 
 
 def zscore_flags(
@@ -366,7 +350,7 @@ def zscore_flags(
     """|x − mean| / std over the ``window`` ticks before; 0 when std is 0; no flag in warm-up."""
     cut = blocks(ticks, KEYS, slicing or by_seq(), window, block_rows)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(frame: pd.DataFrame) -> dict[str, np.ndarray]:
         made = {}
         for c in ("bid", "ask"):
             x = frame[c].to_numpy(dtype="float64")
@@ -378,11 +362,12 @@ def zscore_flags(
         # a full block starts with its halo, so only the key's first rows are short
         seen = np.minimum(frame["__pos"].to_numpy() - 1, window)
         flag = (seen >= warmup) & ((made["bid_z"] > threshold) | (made["ask_z"] > threshold))
-        return frame.assign(**made, is_spike=flag)
+        return made | {"is_spike": flag}
 
     return fold_blocks(
         cut,
         fold,
+        ("bid", "ask"),
         [
             T.StructField("bid_z", T.DoubleType()),
             T.StructField("ask_z", T.DoubleType()),

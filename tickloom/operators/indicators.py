@@ -54,6 +54,7 @@ class Indicator:
     lookback: int
     columns: Callable[[Blocks], dict[str, Column]] | None = None
     fold: Callable[[pd.DataFrame], dict[str, object]] | None = None
+    uses: tuple[str, ...] = ()
     adds: tuple[str, ...] = ()
 
 
@@ -80,24 +81,20 @@ def add_indicators(
     if not folds:
         return cut.finish(cut.df)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+    def fold(frame: pd.DataFrame) -> dict[str, object]:
         added: dict[str, object] = {}
         for i in folds:
             added |= i.fold(frame)
-        return frame.assign(**added)
+        return added
 
-    return fold_blocks(cut, fold, [_double(n) for i in folds for n in i.adds])
+    uses = sorted({c for i in folds for c in i.uses})
+    return fold_blocks(cut, fold, uses, [_double(n) for i in folds for n in i.adds])
 
 
 def _periods(period: int | Sequence[int]) -> list[int]:
     return [period] if isinstance(period, int) else list(period)
 
 
-def _nullable(values: np.ndarray) -> pd.Series:
-    series = pd.Series(values, dtype=object)
-    return series.where(~np.isnan(values), None)
-
-
 def _ema(values: pd.Series, alpha: float) -> pd.Series:
     return values.ewm(alpha=alpha, adjust=False).mean()
 
@@ -141,7 +138,7 @@ def ema_of(period: int | Sequence[int] = EMA_PERIODS, column: str = "close") ->
         return {f"EMA_{n}": _ema(x, 2 / (n + 1)) for n in periods}
 
     lookback = max(memory_rows(2 / (n + 1)) for n in periods)
-    return Indicator(lookback, fold=fold, adds=tuple(f"EMA_{n}" for n in periods))
+    return Indicator(lookback, fold=fold, uses=(column,), adds=tuple(f"EMA_{n}" for n in periods))
 
 
 def macd_of(fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> Indicator:
@@ -152,7 +149,7 @@ def macd_of(fast: int = 12, slow: int = 26, signal: int = 9, column: str = "clos
         return {"macd": line, "macd_signal": smooth, "macd_hist": line - smooth}
 
     lookback = memory_rows(2 / (slow + 1)) + memory_rows(2 / (signal + 1))
-    return Indicator(lookback, fold=fold, adds=("macd", "macd_signal", "macd_hist"))
+    return Indicator(lookback, fold=fold, uses=(column,), adds=("macd", "macd_signal", "macd_hist"))
 
 
 def rsi_of(period: int = 14, column: str = "close") -> Indicator:
@@ -169,9 +166,9 @@ def rsi_of(period: int = 14, column: str = "close") -> Indicator:
         gain, loss = wilder(np.maximum(change, 0)), wilder(np.maximum(-change, 0))
         with np.errstate(divide="ignore", invalid="ignore"):
             value = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
-        return {f"RSI_{period}": _nullable(np.where(np.isnan(gain), np.nan, value))}
+        return {f"RSI_{period}": np.where(np.isnan(gain), np.nan, value)}
 
-    return Indicator(memory_rows(1 / period) + period + 1, fold=fold, adds=(f"RSI_{period}",))
+    return Indicator(memory_rows(1 / period) + period + 1, fold=fold, uses=(column,), adds=(f"RSI_{period}",))
 
 
 def rci_of(period: int | Sequence[int] = RCI_PERIODS, column: str = "close") -> Indicator:
@@ -192,9 +189,9 @@ def rci_of(period: int | Sequence[int] = RCI_PERIODS, column: str = "close") ->
 
     def fold(frame: pd.DataFrame) -> dict[str, object]:
         x = frame[column].to_numpy(dtype="float64")
-        return {f"RCI_{n}": _nullable(rank_index(x, n)) for n in periods}
+        return {f"RCI_{n}": rank_index(x, n) for n in periods}
 
-    return Indicator(max(periods) - 1, fold=fold, adds=tuple(f"RCI_{n}" for n in periods))
+    return Indicator(max(periods) - 1, fold=fold, uses=(column,), adds=tuple(f"RCI_{n}" for n in periods))
 
 
 # Functions on frames. ``options``: keys, slicing, block_rows.

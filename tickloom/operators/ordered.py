@@ -20,6 +20,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -291,21 +293,33 @@ def blocks(
     return Blocks(spread, tuple(keys), window, F.col(_POS))
 
 
-def fold_blocks(cut: Blocks, fold: Callable, added: Sequence[T.StructField]) -> DataFrame:
-    """Run a pandas function over each block (rows in order, halo in front).
+def ordered_by(table: pa.Table, column: str) -> pa.Table:
+    """The rows of one group in order (a group's rows arrive in any order)."""
+    at = table.column(column).to_numpy()
+    return table if (at[1:] >= at[:-1]).all() else table.take(np.argsort(at, kind="stable"))
 
-    ``fold(frame)`` returns the frame with the ``added`` columns. ``__pos``
-    holds the row's number in its key, ``__own`` is false on halo rows.
+
+def fold_blocks(
+    cut: Blocks, fold: Callable, uses: Sequence[str], added: Sequence[T.StructField]
+) -> DataFrame:
+    """Run a function over each block (rows in order, halo in front).
+
+    ``fold(frame)`` sees the ``uses`` columns and ``__pos``, the row's number in
+    its key, as pandas columns, and returns the ``added`` columns by name. Other
+    columns pass through as Arrow data, untouched; NaN becomes null.
     """
     schema = T.StructType(list(cut.df.schema.fields) + list(added))
-    names = schema.fieldNames()
 
-    def run(frame):
-        frame = frame.sort_values(_POS, kind="stable").reset_index(drop=True)
-        done = fold(frame)
-        return done.loc[done[_OWN], names]
+    def run(table: pa.Table) -> pa.Table:
+        table = ordered_by(table, _POS)
+        made = fold(table.select([*uses, _POS]).to_pandas())
+        for field in added:
+            values = np.asarray(made[field.name])
+            missing = np.isnan(values) if values.dtype.kind == "f" else None
+            table = table.append_column(field.name, pa.array(values, mask=missing))
+        return table.filter(table.column(_OWN))
 
-    return cut.finish(cut.df.groupBy(*cut.keys, _BLOCK).applyInPandas(run, schema))
+    return cut.finish(cut.df.groupBy(*cut.keys, _BLOCK).applyInArrow(run, schema))
 
 
 def last_rows(
