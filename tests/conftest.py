@@ -36,6 +36,3 @@ def tick_frame(spark):
 
     return build
 
-
-def utc(*parts):
-    return dt.datetime(*parts)

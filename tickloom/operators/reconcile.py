@@ -11,6 +11,9 @@ from tickloom.operators.bars import resample_ohlc
 
 _FIELDS = ("open", "high", "low", "close")
 
+# Fixed value: the reason given for a bar without counterpart.
+NO_COUNTERPART = "No MT5 bar found"
+
 
 def compare_bars(
     tick_bars: DataFrame,
@@ -46,7 +49,7 @@ def compare_bars(
         "tick_volume_tick",
         "tick_volume_broker",
         (F.lit(100.0) - total * 10_000).alias("accuracy"),
-        F.when(F.col("found").isNull(), "No MT5 bar found").alias("reason"),
+        F.when(F.col("found").isNull(), NO_COUNTERPART).alias("reason"),
     )
 
 
