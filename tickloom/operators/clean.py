@@ -318,8 +318,8 @@ def counters(flagged: DataFrame, spike: str = "is_spike", dropped: str | None =
 # --- rolling statistics ------------------------------------------------------
 
 
-# A window frame is rescanned for every row; merged moments of a block are not, which
-# outweighs the way through Arrow from about ten rows on.
+# A window frame is rescanned for every row; merged moments of a block are not. With 20-row
+# frames, 12 million rows took 23 s this way and 37 s with four frame aggregates (one run each).
 
 
 def rolling_mean_std(
