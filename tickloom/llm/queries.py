@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import lines, mixing, rules
+from tickloom.llm import lines, mixing, packing, rules, tokens
 from tickloom.llm.common import table
 from tickloom.session import configure
 
@@ -64,3 +64,5 @@ FROM m GROUP BY rid
 _over_documents("op6_quality_rules", rules.quality)
 _over_documents("op7_mixing", mixing.mix, _MIX)
 _over_documents("op8_line_dedup", lines.line_report, _LINES)
+_over_documents("op4_best_fit_packing", packing.pack)
+_over_documents("op10_token_counts", tokens.token_counts)
