@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import lines, mixing, packing, rules, tokens
+from tickloom.llm import lines, mixing, neardup, packing, rules, tokens
 from tickloom.llm.common import table
 from tickloom.session import configure
 
@@ -61,8 +61,26 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTE
 FROM m GROUP BY rid
 """
 
+_NEAR = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+c AS (SELECT min(doc_id) AS node, hash(list_sort(sh)) AS hs, any_value(sh) AS sh FROM s WHERE len(sh) > 0 GROUP BY 2),
+e AS (SELECT node, len(sh) AS n, unnest(sh) AS x FROM c),
+i AS (SELECT a.node AS a, b.node AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
+  FROM e a JOIN e b ON a.x = b.x AND a.node < b.node AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY 1, 2),
+l AS (SELECT a, b FROM i WHERE 100 * k >= 75 * (na + nb - k)),
+t AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(node, reach) AS (SELECT node, node FROM c UNION SELECT r.node, t.b FROM r JOIN t ON t.a = r.reach),
+m AS (SELECT node, min(reach) AS component FROM r GROUP BY node)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id) AS component_id,
+  s.doc_id = coalesce(m.component, s.doc_id) AS kept
+FROM s LEFT JOIN c ON len(s.sh) > 0 AND hash(list_sort(s.sh)) = c.hs LEFT JOIN m ON m.node = c.node
+"""
+
 _over_documents("op6_quality_rules", rules.quality)
 _over_documents("op7_mixing", mixing.mix, _MIX)
 _over_documents("op8_line_dedup", lines.line_report, _LINES)
 _over_documents("op4_best_fit_packing", packing.pack)
 _over_documents("op10_token_counts", tokens.token_counts)
+_over_documents("op5_minhash_near_dedup", neardup.near_duplicates, _NEAR)
