@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import compression, languages, lines, mixing, neardup, packing, rules, tokens
+from tickloom.llm import compression, languages, lines, media, mixing, neardup, packing, rules, tokens
 from tickloom.llm.common import table
 from tickloom.session import configure
 
@@ -88,3 +88,4 @@ _over_documents("op1_language_id", languages.identify)
 QUERIES["op9_compression_quality"] = lambda spark, folder: compression.quality_scores(
     table(configure(spark), folder, "documents"), table(spark, folder, "labels")
 )
+_over_documents("op2_media_columns", media.document_sequences)
