@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +39,10 @@ def ascii_lower(text: Column) -> Column:
 def words(text: bytes) -> list[bytes]:
     """Lower-cased words of UTF-8 text: bytes.lower and bytes.split know only ASCII."""
     return text.lower().split()
+
+
+def small(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that few whole texts are unpacked at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.vocabulary import WordIds, is_wordwise, path
+from tickloom.llm.common import small
+from tickloom.llm.vocabulary import is_wordwise, library, path, word_ids
 from tickloom.session import written
 
 SIZE = 2048
@@ -148,22 +150,21 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SIZE) -> DataFrame:
     file = path(vocabulary)
     wordwise = is_wordwise(file)
 
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tickloom.llm.vocabulary import library
+    def encoded(texts: list[str]) -> list[bytes]:
+        if wordwise:
+            return [b"".join(ids) for ids in word_ids(file).ids(texts)]
+        return [np.array(library(file).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
-        memory = WordIds(file) if wordwise else None
-        for batch in batches:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = count()
+        for batch in small(batches):
             out: list[tuple] = []
-            for k, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                if memory:
-                    ids = b"".join(memory.ids(memory.words(text)))
-                else:
-                    ids = np.array(library(file).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for k, ids in zip(keys, encoded(texts), strict=True):
                 ids += b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
-                    out.append((k.as_py(), piece, at // 4, len(part) // 4, zlib.crc32(part), len(out)))
+                    out.append((k, piece, at // 4, len(part) // 4, zlib.crc32(part), next(rows)))
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "salt"]
             kinds = [batch.schema.field(0).type, pa.int32(), *[pa.int64()] * 4]
             columns = list(zip(*out, strict=True)) or [[]] * 6

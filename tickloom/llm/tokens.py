@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tickloom.llm.common import SPACES
-from tickloom.llm.vocabulary import WordIds, is_wordwise, library, path
+from tickloom.llm.common import SPACES, small
+from tickloom.llm.vocabulary import is_wordwise, library, path, word_ids
 
 CHUNK, OVERLAP = 16_384, 256
 Starts = Callable[[list[str]], list[np.ndarray]]
@@ -99,18 +99,17 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = starts_of(file)
-        memory = WordIds(file) if wordwise else None
-        for batch in batches:
-            sizes, counts = [], []
-            for text in batch.column(1):
-                text = text.as_py() or ""
-                sizes.append(len(text.encode()))
+        for batch in small(batches):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = [len(t.encode()) for t in texts]
+            if wordwise:
+                short = word_ids(file).ids([t if len(t) <= huge else "" for t in texts])
+                counts = [sum(map(len, ids)) // 4 for ids in short]
+            else:
+                counts = [len(s) for s in starts([t if len(t) <= huge else "" for t in texts])]
+            for i, text in enumerate(texts):
                 if len(text) > huge:
-                    counts.append(count_tokens(text, starts))
-                elif memory:
-                    counts.append(sum(map(len, memory.ids(memory.words(text)))) // 4)
-                else:
-                    counts.append(len(starts([text])[0]))
+                    counts[i] = count_tokens(text, starts)
             over = pa.array([c > limit for c in counts], pa.bool_())
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), over]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])

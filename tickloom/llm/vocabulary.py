@@ -49,34 +49,47 @@ def library(file: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def word_ids(file: str) -> WordIds:
+    """One memory per worker process: tasks that follow each other in it share the words."""
+    return WordIds(file)
+
+
 class WordIds:
     """Ids of white-space-separated words as little-endian 32-bit bytes; the library encodes each new word once.
 
-    For vocabularies of ``is_wordwise``. The memory is emptied at ``limit`` words, so it does not grow with the input.
-    Special strings are the library's: they hold no white space, so they lie within one word, and words with ``<`` keep
-    their capitals, because the library looks for those strings before it lower-cases.
+    For vocabularies of ``is_wordwise``. Words are remembered in two generations of at most ``limit`` words, so the memory
+    does not grow with the input and frequent words stay. Special strings are the library's: they hold no white space, so
+    they lie within one word, and texts with ``<`` keep their capitals, because the library looks for those strings
+    before it lower-cases.
     """
 
     def __init__(self, file: str, limit: int = 250_000) -> None:
         self.tokenizer = library(file)
         self.limit = limit
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size()
         self.ends = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
 
-    def words(self, text: str) -> list[bytes]:
+    @staticmethod
+    def words(text: str) -> list[bytes]:
         raw = text.encode()
         return raw.split() if b"<" in raw else raw.lower().split()
 
-    def ids(self, words: list[bytes]) -> list[bytes]:
-        known = self.known
-        new = {w for w in words if w not in known}
+    def ids(self, texts: list[str]) -> list[list[bytes]]:
+        """For each text the ids of its words."""
+        split = [self.words(t) for t in texts]
+        new = set().union(*split).difference(self.known)
         if new:
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = set(words)
-            self._learn(new)
-        return [known[w] for w in words]
+            if len(self.known) + len(new) > self.limit:
+                self.old, self.known = self.known, {}
+                new = set().union(*split)
+            back = new.intersection(self.old)
+            self.known.update((w, self.old[w]) for w in back)
+            self._learn(new - back)
+        find = self.known.__getitem__
+        return [list(map(find, words)) for words in split]
 
     def _learn(self, new: set[bytes]) -> None:
         known, plain, ending, rest = self.known, set(), [], []
