@@ -142,6 +142,41 @@ def learn(rows: DataFrame, per_language: int = PER_LANGUAGE, sample: int = SAMPL
     return Model(x, [r["lang"] for r in taken])
 
 
+PREDICTED = "_language"
+
+
+def with_language(docs: DataFrame, learnt_from: DataFrame | None = None) -> DataFrame:
+    """``docs`` with the column ``_language``: the predicted code, ``und`` for texts without a letter.
+
+    The model is learnt from ``learnt_from`` (``text, lang``), by default from all rows of ``docs``. Other columns and
+    repeated rows stay as they are.
+    """
+    model = learn((docs if learnt_from is None else learnt_from).select("text", "lang"))
+    return docs.withColumn(PREDICTED, _answer(model)(F.col("text"))["lang_pred"])
+
+
+def _answer(model: Model):
+    """A vectorised function from text to struct<lang_pred, score>."""
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def answer(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            codes, scores = [], []
+            for text in column:
+                code, score = _of(model, text.as_py() or "")
+                codes.append(code)
+                scores.append(score)
+            yield pa.StructArray.from_arrays([pa.array(codes, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+    return answer
+
+
+def _of(model: Model, text: str) -> tuple[str, float]:
+    if not has_letter(text):
+        return "und", 1.0
+    return model.predict(grams(text)) if model.languages else ("und", 0.0)
+
+
 def identify(docs: DataFrame, divisor: int = 4, at: int = 2) -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score``.
 
@@ -152,18 +187,5 @@ def identify(docs: DataFrame, divisor: int = 4, at: int = 2) -> DataFrame:
     out = held_out(F.col("doc_id"), divisor, at)
     model = learn(docs.filter(~out).select("text", "lang"))
 
-    def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            answers = []
-            for text in batch.column(2):
-                text = text.as_py() or ""
-                if not has_letter(text):
-                    answers.append(("und", 1.0))
-                else:
-                    answers.append(model.predict(grams(text)) if model.languages else ("und", 0.0))
-            columns = [pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["doc_id", "held_out", "lang_pred", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", out.alias("held_out"), "text")
-    return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    rows = docs.select("doc_id", out.alias("held_out"), _answer(model)(F.col("text")).alias("answer"))
+    return rows.select("doc_id", "held_out", "answer.lang_pred", "answer.score")
