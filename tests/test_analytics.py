@@ -92,15 +92,65 @@ def test_recursive_averages_across_seams(bar_frame):
     assert close_to(column(I.rsi(df, **seams), "RSI_14"), pd.Series(expected), 1e-10)
 
 
+def plain_rsi(x, period=14):
+    """Wilder's RSI row by row, gain and loss scaled together so that flat runs do not underflow."""
+    out, g, l = [np.nan] * min(period, len(x)), 0.0, 0.0
+    d = np.diff(x)
+    if len(d) >= period:
+        g, l = np.maximum(d[:period], 0).mean(), np.maximum(-d[:period], 0).mean()
+        out.append(100.0 if l == 0 else 100 - 100 / (1 + g / l))
+        for v in d[period:]:
+            if v:
+                g, l = (g * (period - 1) + max(v, 0)) / period, (l * (period - 1) + max(-v, 0)) / period
+            elif g > 1e-250 and l > 1e-250:
+                g, l = g * (period - 1) / period, l * (period - 1) / period
+            out.append(100.0 if l == 0 else 100 - 100 / (1 + g / l))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("block_rows", [50, 700, 65_536])
+def test_recursive_averages_remember_flat_runs(bar_frame, block_rows):
+    x = np.concatenate([walk(500), np.full(5000, walk(500)[-1]), walk(700)[500:]]).tolist()
+    options = {"slicing": by_time(86_400 * 40), "block_rows": block_rows}
+    assert np.allclose(column(I.rsi(bar_frame(x), **options), "RSI_14"), plain_rsi(x), rtol=1e-8, equal_nan=True)
+    s = pd.Series(x)
+    assert close_to(column(I.ema(bar_frame(x), 200, **options), "EMA_200"), s.ewm(span=200, adjust=False).mean(), 1e-12)
+    m = I.macd(bar_frame(x), **options)
+    line = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
+    assert np.allclose(column(m, "macd_signal"), line.ewm(span=9, adjust=False).mean(), atol=1e-10)
+
+
+@pytest.mark.parametrize("width", [1, 2, 100])
+def test_first_bid_skips_nulls_whatever_the_slices(spark, width):
+    rows = [("A", i, b) for i, b in enumerate([None, 2.0, None, 4.0, 8.0])]
+    ticks = spark.createDataFrame(rows, "symbol string, seq long, bid double")
+    out = {r.seq: r.normalised for r in A.normalised_price(ticks, by_seq(width)).collect()}
+    assert out == {0: None, 1: 100.0, 2: None, 3: 200.0, 4: 400.0}
+
+
+def test_correlation_by_time_is_centred(bar_frame, spark):
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=600), r.normal(size=600)
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=i) for i in range(600)]
+    closes = {"A": 1e6 + a * 1e-3, "B": 1e6 + (b - a) * 1e-3, "C": np.full(600, 1.1)}
+    rows = [(s, t, float(x)) for s, xs in closes.items() for t, x in zip(times, xs)]
+    bars = spark.createDataFrame(rows, "symbol string, time timestamp, close double")
+    out = {(x.symbol_a, x.symbol_b): x.r for x in A.correlation_by_time(bars, bucket_bars=50, cells=2).collect()}
+    true = np.corrcoef(closes["A"], closes["B"])[0, 1]
+    assert abs(out["A", "B"] - true) < 1e-6
+    assert out["A", "C"] is None and out["B", "C"] is None
+
+
 def test_indicators_share_one_pass(bar_frame):
     x = walk(300)
     out = I.calculate_indicators(bar_frame(x), ["sma", "bollinger", "ema", "rsi"], period=14, EMA={"period": [5, 9]}, **SEAMS)
     assert {"SMA_14", "bb_upper", "EMA_5", "EMA_9", "RSI_14"} <= set(out.columns)
     assert close_to(column(out, "SMA_14"), pd.Series(x).rolling(14).mean())
     assert close_to(column(out, "EMA_9"), pd.Series(x).ewm(span=9, adjust=False).mean(), 1e-13)
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    # number the rows, cut the blocks, and the small summary of the numbering
-    assert plan.count("Exchange hashpartitioning") <= 4, plan
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    # four indicators cost no more shuffles than one recursive average; frames alone only number and cut the rows
+    assert shuffles(out) == shuffles(I.ema(bar_frame(x), 5, **SEAMS))
+    assert shuffles(I.calculate_indicators(bar_frame(x), ["sma", "bollinger"], **SEAMS)) <= 4
 
 
 def test_rsi_of_short_and_rising_series(bar_frame):
@@ -323,13 +373,12 @@ def test_momentum_alerts_take_the_next_prediction(bar_frame, spark, width):
     assert [r["bar_time"].hour for r in out] == [0, 2]
 
 
-def test_price_threshold_alerts_with_and_without_broadcast(tick_frame, spark):
+def test_price_threshold_alerts(tick_frame, spark):
     ticks = tick_frame([(i, 1.0 + i) for i in range(5)])
     rules = spark.createDataFrame([("EURUSD", 3.0, "CRITICAL"), ("GBPUSD", 0.0, "INFO")], "symbol string, threshold double, severity string")
-    for limit in (100, 0):
-        out = M.price_threshold_alerts(ticks, rules, broadcast_rows=limit).collect()
-        assert sorted(r["current_value"] for r in out) == [4.0, 5.0]
-        assert {r["severity"] for r in out} == {"CRITICAL"}
+    out = M.price_threshold_alerts(ticks, rules).collect()
+    assert sorted(r["current_value"] for r in out) == [4.0, 5.0]
+    assert {r["severity"] for r in out} == {"CRITICAL"}
 
 
 def test_forecasts(bar_frame):

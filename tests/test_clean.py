@@ -203,6 +203,33 @@ def test_nearest(spark, width, direction):
     assert out.fillna(-1).tolist() == expected.fillna(-1).tolist()
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 100])
+def test_unusable_quotes_are_spikes(spark, width):
+    bids = [1.0, 0.0, 1.0001, float("nan"), None, -1.0, 1.0002, 2.0, 1.0003]
+    rows = [("EURUSD", i, i, b, None if b is None else b + 0.0001) for i, b in enumerate(bids)]
+    ticks = spark.createDataFrame(rows, "symbol string, sec long, seq long, bid double, ask double")
+    ticks = ticks.select("symbol", F.timestamp_seconds("sec").alias("ts"), "seq", "bid", "ask")
+    flagged = C.flag_spikes(ticks, 0.1, slicing=by_seq(width)).collect()
+    assert {r.seq for r in flagged if not r.is_spike} == {0, 2, 6, 8} and len(flagged) == len(bids)
+    nameless = ticks.withColumn("symbol", F.lit(None).cast("string"))
+    assert C.flag_spikes(nameless, 0.1, slicing=by_seq(width)).count() == len(bids)
+
+
+@pytest.mark.parametrize("n", [1, 150, 1500])
+def test_last_rows_of_any_number(spark, n):
+    df = spark.range(5000).select(F.when(F.col("id") % 5 < 4, "hot").when(F.col("id") % 2 == 0, "b").alias("symbol"), F.col("id").alias("seq"))
+    out = last_rows(df, ["symbol"], "seq", n, "back", slicing=by_seq(64)).collect()
+    again = last_rows(df, ["symbol"], "seq", n, "back").collect()
+    for rows in (out, again):
+        got = {}
+        for r in rows:
+            got.setdefault(r.symbol, {})[r.back] = r.seq
+        for symbol, ranks in got.items():
+            mine = [i for i in range(4999, -1, -1) if ("hot" if i % 5 < 4 else "b" if i % 2 == 0 else None) == symbol][:n]
+            assert [ranks[k] for k in sorted(ranks)] == mine
+    assert len(out) == len(again) and len({r.symbol for r in out}) == 3
+
+
 def test_last_rows(spark):
     df = spark.range(1000).select(F.concat(F.lit("S"), F.col("id") % 3).alias("symbol"), F.col("id").alias("seq"))
     out = last_rows(df, ["symbol"], "seq", 4, "back").orderBy("seq").collect()

@@ -274,6 +274,29 @@ def test_json_record(spark):
     assert record["predicted_at"] == "2025-01-20T10:00:00+00:00"
 
 
+def listed(store, *pattern):
+    return sorted(r.key for r in store.list_keys(*pattern).collect())
+
+
+@pytest.mark.parametrize("symbol", ["#AAPL", "0700", "EUR:USD", "a=b%"])
+def test_store_keeps_odd_symbols(spark, tmp_path, tick_frame, symbol):
+    store = KeyedStore(spark, str(tmp_path))
+    key = f"tick/{symbol}/2025-01-20"
+    store.save_partitioned(tick_frame([(i, 1.0 + i) for i in range(3)], symbol=symbol), "tick")
+    assert store.table("tick").first().symbol == symbol
+    store.save_data(tick_frame([(0, 1.0)], symbol=symbol), key)
+    assert [r.symbol for r in store.load_data(key).collect()] == [symbol]
+    assert listed(store) == listed(store, f"*/{symbol.replace('[', '[[]')}/*") == [key]
+    store.delete_data(key)
+    with pytest.raises(KeyNotFound):
+        store.load_data(key)
+
+
+def test_store_refuses_other_symbols(spark, tmp_path, tick_frame):
+    with pytest.raises(ValueError):
+        KeyedStore(spark, str(tmp_path)).save_data(tick_frame([(0, 1.0)]), "tick/GBPUSD/2025-01-20")
+
+
 def test_store(spark, tmp_path, tick_frame):
     store = KeyedStore(spark, str(tmp_path))
     ticks = tick_frame([(i, 1.0 + i) for i in range(5)])
@@ -283,8 +306,8 @@ def test_store(spark, tmp_path, tick_frame):
     meta = store.load_metadata("tick/EURUSD/2025-01-20").first()
     assert meta["metadata"] == {"source": "again"} and meta["saved_at"] is not None
     store.save_data([("x", 1.0)], "note/GBPUSD/2025-01-21", schema="name string, value double")
-    assert store.list_keys() == ["note/GBPUSD/2025-01-21", "tick/EURUSD/2025-01-20"]
-    assert store.list_keys("tick/EURUSD/*") == ["tick/EURUSD/2025-01-20"]
+    assert listed(store) == ["note/GBPUSD/2025-01-21", "tick/EURUSD/2025-01-20"]
+    assert listed(store, "tick/EUR*/*") == ["tick/EURUSD/2025-01-20"]
     assert store.query_data("SELECT count(*) AS n FROM tick WHERE symbol = :s", {"s": "EURUSD"}).first()["n"] == 2
     store.delete_data("tick/EURUSD/2025-01-20")
     for call in (store.load_data, store.delete_data, store.load_metadata):
@@ -298,7 +321,7 @@ def test_bulk_save_replaces_only_its_days(spark, tmp_path, tick_frame):
     store = KeyedStore(spark, str(tmp_path))
     store.save_partitioned(tick_frame([(i * 86_400, 1.0) for i in range(3)]), "tick")
     store.save_partitioned(tick_frame([(86_400, 2.0), (86_401, 2.0)]), "tick")
-    assert len(store.list_keys()) == 3
+    assert len(listed(store)) == 3
     assert store.load_data("tick/EURUSD/2025-01-21").count() == 2
     assert store.table("tick").count() == 4
     assert store.load_metadata("tick/EURUSD/2025-01-21").first()["saved_at"] is not None

@@ -37,14 +37,14 @@ def ticks_of(symbol, times, prices, first=0):
 
 def test_five_bars_from_five_minutes(spark, tmp_path):
     rows = ticks_of("EURUSD", range(301), [1.1234 + (i % 10) / 10000 for i in range(301)])
-    stream = W.windowed_bars(feed(spark, tmp_path / "in", rows, 3), 60)
+    stream = W.windowed_bars(feed(spark, tmp_path / "in", rows, 3), 60, delay="0 seconds")
     out = sinks.drain(stream, str(tmp_path / "run")).orderBy("time").collect()
     assert [(b["tick_count"], b["volume"]) for b in out] == [(60, 60.0)] * 5
 
 
 def test_update_mode_shows_the_current_bar(spark, tmp_path):
     rows = ticks_of("EURUSD", range(90), [1.0 + i for i in range(90)])
-    stream = W.windowed_bars(feed(spark, tmp_path / "in", rows, 3), 60)
+    stream = W.windowed_bars(feed(spark, tmp_path / "in", rows, 3), 60, delay="0 seconds")
     out = sinks.drain_updates(stream, str(tmp_path / "run"), ["symbol", "time"]).orderBy("time").collect()
     assert [(b["tick_count"], b["close"]) for b in out] == [(60, 60.0), (30, 90.0)]
 
@@ -134,6 +134,6 @@ def test_backpressure_reports_levels():
 
 def test_sliding_rates(spark, tmp_path):
     rows = ticks_of("EURUSD", range(40), [1.0] * 40)
-    out = sinks.drain(W.sliding_rates(feed(spark, tmp_path / "in", rows, 2)), str(tmp_path / "run"))
+    out = sinks.drain(W.sliding_rates(feed(spark, tmp_path / "in", rows, 2), delay="0 seconds"), str(tmp_path / "run"))
     full = out.filter((F.col("window_start") >= START) & (F.col("ticks") == 10))
     assert full.count() >= 20 and out.agg(F.max("ticks")).first()[0] == 10

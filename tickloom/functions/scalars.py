@@ -107,7 +107,7 @@ def threshold_difference(current: Column, threshold: Column) -> Column:
 
 def spread_points(bid: Column, ask: Column, points_per_unit: int = 100_000) -> Column:
     """Whole points, truncated toward zero."""
-    return ((ask - bid) * F.lit(points_per_unit)).cast("int")
+    return ((ask - bid) * F.lit(points_per_unit)).cast("long")
 
 
 def spread_in(bid: Column, ask: Column, point: Column) -> Column:

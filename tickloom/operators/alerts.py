@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tickloom import schema as S
 from tickloom.functions.candles import is_bullish
 from tickloom.functions.scalars import threshold_difference
-from tickloom.operators.ordered import Slicing, by_time, last_rows, nearest, small_side
+from tickloom.operators.ordered import Slicing, by_time, last_rows, nearest
 
 
 def _alert(
@@ -107,15 +107,14 @@ def price_threshold_alerts(
     rules: DataFrame,
     price: str = "bid",
     time: str = "ts",
-    broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """Alerts for quotes above a rule's threshold at float32.
 
-    ``rules`` has symbol, threshold, severity. It is broadcast only when it holds
-    at most ``broadcast_rows`` rows; a larger one is joined by shuffle, where
-    adaptive skew handling splits a hot symbol.
+    ``rules`` has symbol, threshold, severity. Spark broadcasts it below its byte
+    threshold; a larger table is joined by shuffle, where adaptive skew handling
+    splits a hot symbol.
     """
-    joined = quotes.join(small_side(rules.select("symbol", "threshold", "severity"), broadcast_rows), "symbol")
+    joined = quotes.join(rules.select("symbol", "threshold", "severity"), "symbol")
     current, threshold = F.col(price).cast("float"), F.col("threshold").cast("float")
     return _alert(
         joined.filter(current > threshold).withColumn("difference", threshold_difference(current, threshold)),

@@ -114,12 +114,24 @@ def gap_events(gaps: DataFrame, low: float = 10.0, medium: float = 20.0) -> Data
 _STATE = ("ts", "bid", "ask")
 
 
+def usable_quotes(bid, ask):
+    """Rows whose bid and ask are positive finite numbers."""
+    with np.errstate(invalid="ignore"):
+        return (bid > 0) & (ask > 0) & np.isfinite(bid) & np.isfinite(ask)
+
+
 def walk_spikes(ts, bid, ask, carried, threshold: float, market_gap: float):
     """Decide each tick of one run; returns (spike flags, last accepted tick).
 
     ``carried`` is the (ts, bid, ask) accepted before the run, or None. Stretches
-    where each tick accepts the next are taken in one step.
+    where each tick accepts the next are taken in one step. Ticks without two
+    positive finite quotes are flagged and never accepted.
     """
+    usable = usable_quotes(bid, ask)
+    if not usable.all():
+        flags = ~usable
+        flags[usable], state = walk_spikes(ts[usable], bid[usable], ask[usable], carried, threshold, market_gap)
+        return flags, state
     n = len(ts)
     spike = np.zeros(n, dtype=bool)
     gap = int(market_gap * 1_000_000)
@@ -152,7 +164,8 @@ def _accepts(prefix: str, threshold: float, market_gap: float) -> Column:
     t0, b0, a0 = (F.col(f"{prefix}_{c}") for c in _STATE)
     t, b, a = (F.col(f"first_{c}") for c in _STATE)
     moved = F.greatest(F.abs((b - b0) / b0) * 100, F.abs((a - a0) / a0) * 100)
-    return t0.isNull() | (t - t0 > int(market_gap * 1_000_000)) | ~(moved > threshold)
+    # a slice without a usable tick has no first one and disputes nothing
+    return t.isNull() | t0.isNull() | (t - t0 > int(market_gap * 1_000_000)) | ~(moved > threshold)
 
 
 def _summary_schema(symbol: T.DataType) -> T.StructType:
@@ -180,6 +193,13 @@ def _carried(table: pa.Table):
     return held[0].as_py(), held[1].as_py(), held[2].as_py()
 
 
+def _with_slice_of(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on symbol and slice; rows without a symbol or number form slices too."""
+    other = right.select(F.col("symbol").alias("__symbol"), F.col("__slice").alias("__other"), *[c for c in right.columns if c not in ("symbol", "__slice")])
+    same = F.col("symbol").eqNullSafe(F.col("__symbol")) & F.col("__slice").eqNullSafe(F.col("__other"))
+    return left.join(other, same, how).drop("__symbol", "__other")
+
+
 def _carried_in(
     runs: DataFrame, threshold: float, market_gap: float, max_rounds: int | None
 ) -> DataFrame:
@@ -196,8 +216,10 @@ def _carried_in(
         carried = _carried(table) if "in_ts" in table.column_names else None
         _, out = walk_spikes(ts, bid, ask, carried, threshold, market_gap)
         one = table.select(["symbol", "__slice"]).slice(0, 1)
-        for prefix, tick in (("first", (int(ts[0]), bid[0], ask[0])), ("out", out)):
-            for c, value in zip(_STATE, tick):
+        usable = np.flatnonzero(usable_quotes(bid, ask))
+        first = (int(ts[usable[0]]), bid[usable[0]], ask[usable[0]]) if len(usable) else None
+        for prefix, tick in (("first", first), ("out", out)):
+            for c, value in zip(_STATE, tick or (None,) * 3):
                 kind = pa.int64() if c == "ts" else pa.float64()
                 one = one.append_column(f"{prefix}_{c}", pa.array([value], kind))
         return one
@@ -212,11 +234,12 @@ def _carried_in(
         F.lit(False).alias("walked"),
         *[F.lit(None).cast("long" if c == "ts" else "double").alias(f"in_{c}") for c in _STATE],
     )
-    scan = Window.partitionBy("symbol").orderBy("__slice")
+    # slices that hand over nothing are looked through
+    scan = Window.partitionBy("symbol").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     rounds = 0
     while True:
         state = state.select(
-            "*", *[F.lag(f"out_{c}").over(scan).alias(f"new_{c}") for c in _STATE]
+            "*", *[F.last(f"out_{c}", ignorenulls=True).over(scan).alias(f"new_{c}") for c in _STATE]
         ).withColumn("agrees", _accepts("new", threshold, market_gap))
         same = F.col("walked")
         for c in _STATE:
@@ -237,12 +260,12 @@ def _carried_in(
             "symbol", "__slice", *[F.col(f"new_{c}").alias(f"in_{c}") for c in _STATE]
         )
         rewalked = (
-            runs.join(again, ["symbol", "__slice"])
+            _with_slice_of(runs, again)
             .groupBy("symbol", "__slice")
             .applyInArrow(summarise, schema)
             .select("symbol", "__slice", *[F.col(o).alias(f"re_{o}") for o in outs])
         )
-        joined = state.join(rewalked, ["symbol", "__slice"], "left")
+        joined = _with_slice_of(state, rewalked, "left")
         state = joined.select(
             "symbol",
             "__slice",
@@ -272,7 +295,9 @@ def flag_spikes(
 ) -> DataFrame:
     """Add ``is_spike``: bid or ask moved more than ``threshold_percent`` from the last
     accepted tick. The first tick and ticks more than ``market_gap`` seconds after the
-    last accepted one are accepted. Feed positive quotes only.
+    last accepted one are accepted. Ticks without two positive finite quotes are
+    flagged and compared with nothing. Rows without a symbol or an arrival number
+    stay: each such group is walked on its own.
 
     This runs Spark jobs while it is called (one walk that returns a row per
     slice, plus re-walks of disputed slices); the flags themselves are lazy.
@@ -292,7 +317,7 @@ def flag_spikes(
         spikes, _ = walk_spikes(ts, bid, ask, _carried(table), threshold_percent, market_gap)
         return table.select(names).append_column("is_spike", pa.array(spikes))
 
-    return runs.join(carried, ["symbol", "__slice"]).groupBy("symbol", "__slice").applyInArrow(decide, schema)
+    return _with_slice_of(runs, carried).groupBy("symbol", "__slice").applyInArrow(decide, schema)
 
 
 def drop_spikes(ticks: DataFrame, **options) -> DataFrame:
@@ -328,7 +353,8 @@ def rolling_mean_std(
     """Mean and sample deviation of bid and ask over the last ``n`` ticks (deviation 0 for one)."""
     cut = blocks(ticks, KEYS, slicing or by_seq(), n - 1, block_rows)
 
-    def fold(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, np.ndarray]:
+        del state
         made = {}
         for c in ("bid", "ask"):
             _, mean, std = moments_up_to(frame[c].to_numpy(dtype="float64"), n)
@@ -350,7 +376,8 @@ def zscore_flags(
     """|x − mean| / std over the ``window`` ticks before; 0 when std is 0; no flag in warm-up."""
     cut = blocks(ticks, KEYS, slicing or by_seq(), window, block_rows)
 
-    def fold(frame: pd.DataFrame) -> dict[str, np.ndarray]:
+    def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, np.ndarray]:
+        del state
         made = {}
         for c in ("bid", "ask"):
             x = frame[c].to_numpy(dtype="float64")

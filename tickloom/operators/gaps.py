@@ -171,12 +171,28 @@ def quality_score(
     timeframe: str | int,
     keys: Sequence[str] = ("symbol",),
     time: str = "time",
+    start=None,
+    end=None,
 ) -> DataFrame:
-    """Coverage of the span, 100 minus ten points per data gap, and a rating."""
+    """Coverage of the range, 100 minus ten points per data gap, and a rating.
+
+    The range is the requested one from ``start`` to ``end`` (bars outside do not
+    count). Without it, it begins with the key's first bar and ends where its
+    last bar ends, so complete history covers 100 %.
+    """
     expected = _interval(timeframe)
-    have = bars.groupBy(*keys).agg(
+    begin = F.min(time) if start is None else F.lit(start).cast("timestamp")
+    close = F.unix_micros(F.max(time)) + F.lit(int(expected * 1_000_000))
+    if end is not None:
+        close = F.unix_micros(F.lit(end).cast("timestamp"))
+    inside = bars
+    if start is not None:
+        inside = inside.filter(F.col(time) >= F.lit(start).cast("timestamp"))
+    if end is not None:
+        inside = inside.filter(F.col(time) < F.lit(end).cast("timestamp"))
+    have = inside.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("bars"),
-        ((F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))) / F.lit(1_000_000.0)).alias("span"),
+        ((close - F.unix_micros(begin)) / F.lit(1_000_000.0)).alias("span"),
     )
     lost = classified.groupBy(*keys).agg(
         F.count_if(F.col("gap_class") == "data_gap").alias("data_gaps")

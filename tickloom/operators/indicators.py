@@ -2,15 +2,14 @@
 
 Moving averages and bands are plain window frames inside blocks. Recursive
 averages (EMA, MACD, Wilder RSI) and rank correlation run in pandas over one
-block at a time. A recursive average forgets: the halo in front of a block is
-long enough that what lies before it weighs less than 2**-64 of the result,
-below the rounding of a double.
+block at a time. A recursive average is an affine map of what came before it:
+every block is condensed to a few numbers, a scan over one row per block gives
+each block the exact state it starts from, and nothing is cut off.
 """
 
 from __future__ import annotations
 
 import inspect
-import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
@@ -38,11 +37,6 @@ MA_PERIODS = (5, 20, 50)
 DEFAULT_SLICING = by_time(45 * 86_400)
 
 
-def memory_rows(alpha: float, bits: int = 64) -> int:
-    """Rows after which a recursive average with ``alpha`` has forgotten ``bits`` bits."""
-    return 1 if alpha >= 1 else math.ceil(bits * math.log(2) / -math.log1p(-alpha))
-
-
 def _double(name: str) -> T.StructField:
     return T.StructField(name, T.DoubleType())
 
@@ -53,9 +47,13 @@ class Indicator:
 
     lookback: int
     columns: Callable[[Blocks], dict[str, Column]] | None = None
-    fold: Callable[[pd.DataFrame], dict[str, object]] | None = None
+    fold: Callable[[pd.DataFrame, list[float] | None], dict[str, object]] | None = None
     uses: tuple[str, ...] = ()
     adds: tuple[str, ...] = ()
+    # For folds that never forget: a block in ``size`` numbers, and the state behind it.
+    summary: Callable[[pd.DataFrame], list[float]] | None = None
+    combine: Callable[[list[float] | None, list[float]], list[float]] | None = None
+    size: int = 0
 
 
 def add_indicators(
@@ -81,22 +79,64 @@ def add_indicators(
     if not folds:
         return cut.finish(cut.df)
 
-    def fold(frame: pd.DataFrame) -> dict[str, object]:
+    endless = [i for i in folds if i.summary]
+    cuts = np.cumsum([0, *[i.size for i in endless]])
+
+    def parts(numbers: list[float] | None) -> list[list[float] | None]:
+        return [numbers and numbers[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, object]:
         added: dict[str, object] = {}
+        states = iter(parts(state))
         for i in folds:
-            added |= i.fold(frame)
+            added |= i.fold(frame, next(states) if i.summary else None)
         return added
 
+    def summary(frame: pd.DataFrame) -> list[float]:
+        return [v for i in endless for v in i.summary(frame)]
+
+    def combine(state: list[float] | None, numbers: list[float]) -> list[float]:
+        joined = zip(endless, parts(state), parts(numbers), strict=True)
+        return [v for i, before, block in joined for v in i.combine(before, block)]
+
     uses = sorted({c for i in folds for c in i.uses})
-    return fold_blocks(cut, fold, uses, [_double(n) for i in folds for n in i.adds])
+    added = [_double(n) for i in folds for n in i.adds]
+    return fold_blocks(cut, fold, uses, added, *((summary, combine) if endless else ()))
 
 
 def _periods(period: int | Sequence[int]) -> list[int]:
     return [period] if isinstance(period, int) else list(period)
 
 
-def _ema(values: pd.Series, alpha: float) -> pd.Series:
-    return values.ewm(alpha=alpha, adjust=False).mean()
+def _own(frame: pd.DataFrame, column: str) -> np.ndarray:
+    """Values of the block's own rows."""
+    return frame[column].to_numpy("float64", na_value=np.nan)[frame["__own"].to_numpy()]
+
+
+def _padded(frame: pd.DataFrame, values: np.ndarray) -> np.ndarray:
+    """Values of own rows, with the halo rows in front empty."""
+    return np.concatenate([np.full(len(frame) - len(values), np.nan), values])
+
+
+def _ema(x: np.ndarray, alpha: float, start: float = np.nan) -> np.ndarray:
+    """Exponential average from ``start`` on, or from the first value where that is missing.
+
+    Missing values leave the average as it was.
+    """
+    held = ~np.isnan(x)
+    values = np.concatenate([[start], x[held]])
+    if np.isnan(start):
+        values = values[1:]
+    smooth = pd.Series(values).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+    smooth = smooth if np.isnan(start) else smooth[1:]
+    at = np.cumsum(held) - 1
+    out = np.full(len(x), start)
+    out[at >= 0] = smooth[at[at >= 0]]
+    return out
+
+
+def _last(x: np.ndarray) -> float:
+    return float(x[-1]) if len(x) else np.nan
 
 
 # Definitions. Each takes its own parameters and ignores none.
@@ -132,43 +172,128 @@ def bollinger_of(period: int = 20, width: float = 2.0, column: str = "close") ->
 
 def ema_of(period: int | Sequence[int] = EMA_PERIODS, column: str = "close") -> Indicator:
     periods = _periods(period)
+    alphas = [2 / (n + 1) for n in periods]
 
-    def fold(frame: pd.DataFrame) -> dict[str, object]:
-        x = frame[column].astype("float64")
-        return {f"EMA_{n}": _ema(x, 2 / (n + 1)) for n in periods}
+    def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, object]:
+        x = _own(frame, column)
+        starts = (state or [np.nan] * len(periods))[: len(periods)]
+        return {f"EMA_{n}": _padded(frame, _ema(x, a, s)) for n, a, s in zip(periods, alphas, starts, strict=True)}
 
-    lookback = max(memory_rows(2 / (n + 1)) for n in periods)
-    return Indicator(lookback, fold=fold, uses=(column,), adds=tuple(f"EMA_{n}" for n in periods))
+    def summary(frame: pd.DataFrame) -> list[float]:
+        # values there are, and per period the end of the average begun at zero and at the first value
+        x = _own(frame, column)
+        return [float((~np.isnan(x)).sum()), *[_last(_ema(x, a, s)) for a in alphas for s in (0.0, np.nan)]]
 
+    def combine(state: list[float] | None, block: list[float]) -> list[float]:
+        n, *ends = block
+        state = (state or [np.nan] * len(periods))[: len(periods)]
+        after = [
+            from_own if np.isnan(s) else s * (1 - a) ** n + from_zero
+            for a, s, from_zero, from_own in zip(alphas, state, ends[::2], ends[1::2], strict=True)
+        ]
+        return after + [0.0] * (len(block) - len(after))
+
+    return Indicator(0, None, fold, (column,), tuple(f"EMA_{n}" for n in periods), summary, combine, 1 + 2 * len(periods))
 
-def macd_of(fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> Indicator:
-    def fold(frame: pd.DataFrame) -> dict[str, object]:
-        x = frame[column].astype("float64")
-        line = _ema(x, 2 / (fast + 1)) - _ema(x, 2 / (slow + 1))
-        smooth = _ema(line, 2 / (signal + 1))
-        return {"macd": line, "macd_signal": smooth, "macd_hist": line - smooth}
 
-    lookback = memory_rows(2 / (slow + 1)) + memory_rows(2 / (signal + 1))
-    return Indicator(lookback, fold=fold, uses=(column,), adds=("macd", "macd_signal", "macd_hist"))
+def macd_of(fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> Indicator:
+    a, b, c = 2 / (fast + 1), 2 / (slow + 1), 2 / (signal + 1)
+
+    def lines(x: np.ndarray, state: list[float] | None) -> tuple[np.ndarray, ...]:
+        starts = (state or [np.nan] * 3)[:3]
+        quick, calm = _ema(x, a, starts[0]), _ema(x, b, starts[1])
+        # where the value is missing the signal stays as it was too
+        smooth = _ema(np.where(np.isnan(x), np.nan, quick - calm), c, starts[2])
+        return quick, calm, smooth
+
+    def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, object]:
+        quick, calm, smooth = lines(_own(frame, column), state)
+        made = {"macd": quick - calm, "macd_signal": smooth, "macd_hist": quick - calm - smooth}
+        return {n: _padded(frame, v) for n, v in made.items()}
+
+    def summary(frame: pd.DataFrame) -> list[float]:
+        x = _own(frame, column)
+        n = int((~np.isnan(x)).sum())
+        from_zero = [_last(v) for v in lines(x, [0.0] * 3)]
+        from_own = [_last(v) for v in lines(x, None)]
+        # what is left in the signal of averages that were 1 in front of the block
+        step = np.arange(1, n + 1)
+        echo = [_last(_ema((1 - alpha) ** step, c, 0.0)) if n else 0.0 for alpha in (a, b)]
+        return [float(n), *from_zero, *from_own, *echo]
+
+    def combine(state: list[float] | None, block: list[float]) -> list[float]:
+        n, zero, own, echo = block[0], block[1:4], block[4:7], block[7:9]
+        if not state or np.isnan(state[0]):
+            after = own
+        else:
+            quick, calm, smooth = state[:3]
+            after = [
+                quick * (1 - a) ** n + zero[0],
+                calm * (1 - b) ** n + zero[1],
+                smooth * (1 - c) ** n + zero[2] + quick * echo[0] - calm * echo[1],
+            ]
+        return after + [0.0] * 6
+
+    return Indicator(0, None, fold, (column,), ("macd", "macd_signal", "macd_hist"), summary, combine, 9)
 
 
 def rsi_of(period: int = 14, column: str = "close") -> Indicator:
-    def wilder(moves: np.ndarray) -> np.ndarray:
-        # moves[0] belongs to a row without predecessor
-        out = np.full(len(moves), np.nan)
-        if len(moves) > period:
-            seeded = np.concatenate(([moves[1 : period + 1].mean()], moves[period + 1 :]))
-            out[period:] = _ema(pd.Series(seeded), 1 / period)
-        return out
-
-    def fold(frame: pd.DataFrame) -> dict[str, object]:
-        change = frame[column].astype("float64").diff().to_numpy()
-        gain, loss = wilder(np.maximum(change, 0)), wilder(np.maximum(-change, 0))
-        with np.errstate(divide="ignore", invalid="ignore"):
+    keep = 1 - 1 / period
+
+    def moves(frame: pd.DataFrame) -> np.ndarray:
+        """Changes of own rows; a missing value on either side is no change."""
+        x = frame[column].to_numpy("float64", na_value=np.nan)
+        change = np.diff(x, prepend=np.nan)[frame["__own"].to_numpy()]
+        return np.nan_to_num(change, nan=0.0)
+
+    def walk(frame: pd.DataFrame, state: list[float] | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+        """Mean gain and loss per row up to one common factor, and the state behind the block.
+
+        A row without a change shrinks both alike, so it is only counted: their
+        ratio survives runs without changes of any length.
+        """
+        change = moves(frame)
+        first = int(frame["__pos"].to_numpy()[frame["__own"].to_numpy()][0]) if len(change) else 1
+        gains, losses = np.full(len(change), np.nan), np.full(len(change), np.nan)
+        gain, loss, still = state[:3] if state else (0.0, 0.0, 0.0)
+        begin = 0
+        if first == 1:
+            begin = min(period + 1, len(change))
+            if begin == period + 1:
+                seed = change[1:begin]
+                gain, loss = np.maximum(seed, 0).mean(), np.maximum(-seed, 0).mean()
+                gains[period], losses[period] = gain, loss
+        for i, d in enumerate(change[begin:].tolist(), begin):
+            still += 1
+            if d:
+                shrunk = keep if still == 1 else keep**still
+                gain = gain * shrunk + (d / period if d > 0 else 0.0)
+                loss = loss * shrunk + (-d / period if d < 0 else 0.0)
+                still = 0.0
+            gains[i], losses[i] = gain, loss
+        return gains, losses, [gain, loss, still]
+
+    def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, object]:
+        gain, loss, _ = walk(frame, state)
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
             value = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
-        return {f"RSI_{period}": np.where(np.isnan(gain), np.nan, value)}
+        return {f"RSI_{period}": _padded(frame, np.where(np.isnan(gain), np.nan, value))}
+
+    def summary(frame: pd.DataFrame) -> list[float]:
+        return [float(frame["__own"].sum()), *walk(frame, None)[2]]
+
+    def combine(state: list[float] | None, block: list[float]) -> list[float]:
+        n, gain, loss, still = block
+        if state:
+            # rows up to the block's last change shrink what came before
+            shrunk = keep ** (state[2] + n - still) if still < n else 1.0
+            if still < n:
+                gain, loss = state[0] * shrunk + gain, state[1] * shrunk + loss
+            else:
+                gain, loss, still = state[0], state[1], state[2] + n
+        return [gain, loss, still, 0.0]
 
-    return Indicator(memory_rows(1 / period) + period + 1, fold=fold, uses=(column,), adds=(f"RSI_{period}",))
+    return Indicator(period + 1, None, fold, (column,), (f"RSI_{period}",), summary, combine, 4)
 
 
 def rci_of(period: int | Sequence[int] = RCI_PERIODS, column: str = "close") -> Indicator:
@@ -187,7 +312,8 @@ def rci_of(period: int | Sequence[int] = RCI_PERIODS, column: str = "close") ->
         out[n - 1 :] = (1 - 6 * squares / (n * (n * n - 1))) * 100
         return out
 
-    def fold(frame: pd.DataFrame) -> dict[str, object]:
+    def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, object]:
+        del state
         x = frame[column].to_numpy(dtype="float64")
         return {f"RCI_{n}": rank_index(x, n) for n in periods}
 

@@ -21,6 +21,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 DEFAULT_SLICE_ROWS = 1 << 20
 DEFAULT_BLOCK_ROWS = 1 << 16
 
-_SLICE, _EDGE, _POS, _BLOCK, _OWN = "__slice", "__edge", "__pos", "__block", "__own"
+_SLICE, _EDGE, _POS, _BLOCK, _OWN, _STATE = "__slice", "__edge", "__pos", "__block", "__own", "__state"
 
 
 @dataclass(frozen=True)
@@ -41,7 +42,7 @@ class Slicing:
     is_time: bool = False
 
     def column(self) -> Column:
-        value = F.unix_micros(F.col(self.order)) if self.is_time else F.col(self.order)
+        value = F.unix_micros(F.col(self.order).cast("timestamp")) if self.is_time else F.col(self.order)
         return F.floor(value / F.lit(self.width)).cast("long")
 
 
@@ -50,18 +51,30 @@ def by_seq(width: int = DEFAULT_SLICE_ROWS, order: str = "seq") -> Slicing:
     return Slicing(order, width)
 
 
-def measured(df: DataFrame, order: str = "seq", rows: int = DEFAULT_SLICE_ROWS) -> Slicing:
-    """Slices of about ``rows`` rows for an order column of unknown density.
+def measured(
+    df: DataFrame, order: str = "seq", rows: int = DEFAULT_SLICE_ROWS, keys: Sequence[str] = ("symbol",)
+) -> Slicing:
+    """Slices that hold about ``rows`` rows of the densest key.
 
     Arrival numbers with holes (several feeds in one counter, time stamps used as
-    numbers) would leave fixed slices nearly empty. One narrow aggregate over the
-    column finds its span and count.
+    numbers) would leave fixed slices nearly empty. One narrow aggregate finds how
+    many rows a key has per unit of the order column; where every key is sparse
+    the slices become wide, and a light key is a single slice.
     """
-    span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(order).alias("n")).first()
-    if not span["n"]:
-        return Slicing(order, rows)
-    width = (span["hi"] - span["lo"] + 1) * rows // span["n"]
-    return Slicing(order, min(max(width, 1), (1 << 62)))
+    column = F.col(order)
+    is_time = dict(df.dtypes)[order].startswith(("timestamp", "date"))
+    if is_time:
+        column = F.unix_micros(column.cast("timestamp"))
+    held = [k for k in keys if k in df.columns]
+    per_key = df.groupBy(*held).agg(
+        F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(column).alias("n")
+    )
+    span = F.col("hi") - F.col("lo") + 1
+    densest = per_key.agg(F.max(F.col("n") / span).alias("density"), F.max(span).alias("span")).first()
+    if not densest["density"]:
+        return Slicing(order, rows, is_time)
+    width = min(rows / densest["density"], float(densest["span"]) + 1)
+    return Slicing(order, min(max(int(width), 1), 1 << 62), is_time)
 
 
 def by_time(seconds: int, order: str = "time") -> Slicing:
@@ -154,6 +167,11 @@ _FOLDS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def _first_held(value: str, order: str) -> Column:
+    """The first value that is not null; the frame inside a slice skips nulls too."""
+    return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order)))
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -170,7 +188,7 @@ def running(
     scan = _scan(keys).rowsBetween(Window.unboundedPreceding, -1)
     per_slice = data.groupBy(*keys, _SLICE).agg(
         *[
-            (F.min_by(f"__v_{n}", order) if f == "first" else _FOLDS[f](F.col(f"__v_{n}"))).alias(f"__v_{n}")
+            (_first_held(f"__v_{n}", order) if f == "first" else _FOLDS[f](F.col(f"__v_{n}"))).alias(f"__v_{n}")
             for n, (f, _) in folds.items()
         ]
     )
@@ -242,15 +260,6 @@ def with_position(
     return running(df, keys, slicing, {name: ("sum", F.lit(1).cast("long"))})
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` marked for broadcast if it holds at most ``rows`` rows, else unchanged.
-
-    Pass a stored table: counting it runs a job. Beyond the limit the join
-    shuffles, where adaptive execution splits a hot key.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 @dataclass(frozen=True)
 class Blocks:
     """Rows cut into equal blocks, with halo rows in front of each block."""
@@ -300,49 +309,113 @@ def ordered_by(table: pa.Table, column: str) -> pa.Table:
 
 
 def fold_blocks(
-    cut: Blocks, fold: Callable, uses: Sequence[str], added: Sequence[T.StructField]
+    cut: Blocks,
+    fold: Callable,
+    uses: Sequence[str],
+    added: Sequence[T.StructField],
+    summary: Callable | None = None,
+    combine: Callable | None = None,
 ) -> DataFrame:
     """Run a function over each block (rows in order, halo in front).
 
-    ``fold(frame)`` sees the ``uses`` columns and ``__pos``, the row's number in
-    its key, as pandas columns, and returns the ``added`` columns by name. Other
-    columns pass through as Arrow data, untouched; NaN becomes null.
+    ``fold(frame, state)`` sees the ``uses`` columns, ``__pos``, the row's number in
+    its key, and ``__own``, false for halo rows, as pandas columns, and returns the
+    ``added`` columns by name. Other columns pass through as Arrow data, untouched;
+    NaN becomes null.
+
+    ``state`` is what all blocks before leave behind, for folds without end:
+    ``summary(frame)`` condenses a block to some numbers, and ``combine(state,
+    numbers)`` takes the state (None in front) over that block. One row per block
+    is scanned for this. Without ``summary`` the state is None.
     """
     schema = T.StructType(list(cut.df.schema.fields) + list(added))
 
-    def run(table: pa.Table) -> pa.Table:
+    def framed(table: pa.Table) -> pd.DataFrame:
+        return table.select([*uses, _POS, _OWN]).to_pandas()
+
+    def run(table: pa.Table, state: list | None = None) -> pa.Table:
         table = ordered_by(table, _POS)
-        made = fold(table.select([*uses, _POS]).to_pandas())
+        made = fold(framed(table), state)
         for field in added:
             values = np.asarray(made[field.name])
             missing = np.isnan(values) if values.dtype.kind == "f" else None
             table = table.append_column(field.name, pa.array(values, mask=missing))
         return table.filter(table.column(_OWN))
 
-    return cut.finish(cut.df.groupBy(*cut.keys, _BLOCK).applyInArrow(run, schema))
+    groups = [*cut.keys, _BLOCK]
+    if summary is None:
+        return cut.finish(cut.df.groupBy(*groups).applyInArrow(lambda table: run(table), schema))
+
+    types = {f.name: f.dataType for f in cut.df.schema.fields}
+    layout = T.StructType([T.StructField(n, types[n]) for n in groups] + [T.StructField(_STATE, T.ArrayType(T.DoubleType()))])
+
+    def condense(table: pa.Table) -> pa.Table:
+        numbers = [float(v) for v in summary(framed(ordered_by(table, _POS)))]
+        first = table.slice(0, 1).select(groups)
+        return first.append_column(_STATE, pa.array([numbers], pa.list_(pa.float64())))
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = ordered_by(table, _BLOCK)
+        states, state = [], None
+        for numbers in table.column(_STATE).to_pylist():
+            states.append(state)
+            state = combine(state, numbers)
+        return table.select(groups).append_column(_STATE, pa.array(states, pa.list_(pa.float64())))
+
+    def resumed(table: pa.Table, states: pa.Table) -> pa.Table:
+        return run(table, states.column(_STATE)[0].as_py())
+
+    narrow = cut.df.select(*groups, *[c for c in uses if c not in groups], _POS, _OWN)
+    sums = narrow.groupBy(*groups).applyInArrow(condense, layout)
+    carried = (sums.groupBy(*cut.keys) if cut.keys else sums.groupBy()).applyInArrow(scan, layout)
+    both = cut.df.groupBy(*groups).cogroup(carried.groupBy(*groups))
+    return cut.finish(both.applyInArrow(resumed, schema))
+
+
+# Ranks below this are limited by Spark in every input partition, before the shuffle.
+GROUP_LIMIT = 1000
+
+
+def _few_last_rows(df: DataFrame, keys: Sequence[str], order: str, n: int, name: str | None) -> DataFrame:
+    """Ranks within parts of a key, then within the key: the second step sees 64 · n rows of a key at most."""
+    rank = "__rank"
+    part = F.pmod(F.hash(order), F.lit(64))
+    in_part = Window.partitionBy(*keys, "__part").orderBy(F.desc_nulls_last(order))
+    few = df.filter(F.col(order).isNotNull()).withColumn("__part", part)
+    few = few.withColumn(rank, F.row_number().over(in_part)).filter(F.col(rank) <= n).drop(rank, "__part")
+    in_key = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(order))
+    kept = few.withColumn(rank, F.row_number().over(in_key)).filter(F.col(rank) <= n)
+    return kept.withColumnRenamed(rank, name) if name else kept.drop(rank)
 
 
 def last_rows(
-    df: DataFrame, keys: Sequence[str], order: str, n: int, name: str | None = None, fan_out: int = 64
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    n: int,
+    name: str | None = None,
+    slicing: Slicing | None = None,
 ) -> DataFrame:
-    """The newest ``n`` rows of each key; ``name`` keeps the rank (1 = newest).
+    """The newest ``n`` rows of each key, for any ``n``; ``name`` keeps the rank (1 = newest).
 
-    Ranks are limited twice: within ``fan_out`` parts of a key, then within the
-    key, so the second step sees at most ``fan_out * n`` rows of a key. Spark
-    limits each input partition to ``n`` rows per part before the shuffle.
+    A small ``n`` is limited by rank in every input partition. For a larger one rows are counted per slice, slices are summed from the newest, and rows of
+    slices behind the one that reaches ``n`` are dropped before anything is
+    ranked or shuffled by key. Within the slices that stay, a rank is the row's
+    rank in its slice plus the rows of newer slices. Rows without an order value
+    are not ranked.
     """
-    part = F.pmod(F.hash(order), F.lit(fan_out))
     rank = "__rank"
-    few = (
-        df.withColumn("__part", part)
-        .withColumn(
-            rank,
-            F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(F.desc(order))),
-        )
-        .filter(F.col(rank) <= n)
-        .drop(rank, "__part")
-    )
-    kept = few.withColumn(
-        rank, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    ).filter(F.col(rank) <= n)
+    if n < GROUP_LIMIT and slicing is None:
+        return _few_last_rows(df, keys, order, n, name)
+    slicing = slicing or measured(df, order, keys=keys)
+    data = _sliced(df, slicing).filter(F.col(order).isNotNull())
+    newer = Window.partitionBy(*keys).orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)
+    counts = data.groupBy(*keys, _SLICE).agg(F.count("*").alias("__rows"))
+    counts = counts.withColumn("__newer", F.coalesce(F.sum("__rows").over(newer), F.lit(0)))
+    needed = counts.filter(F.col("__newer") < n)
+    on = [F.col(f"__d.{k}").eqNullSafe(F.col(f"__c.{k}")) for k in [*keys, _SLICE]]
+    kept = data.alias("__d").join(needed.alias("__c"), on).select("__d.*", "__c.__newer")
+    within = Window.partitionBy(*keys, _SLICE).orderBy(F.desc(order))
+    kept = kept.withColumn(rank, (F.col("__newer") + F.row_number().over(within)).cast("int"))
+    kept = kept.filter(F.col(rank) <= n).drop(_SLICE, "__newer")
     return kept.withColumnRenamed(rank, name) if name else kept.drop(rank)

@@ -83,6 +83,14 @@ def normalised_price(ticks: DataFrame, slicing: Slicing | None = None) -> DataFr
     return held.withColumn("normalised", F.try_divide(F.col("bid"), F.col("__base")) * 100).drop("__base")
 
 
+CELL_SYMBOLS = 256
+
+
+def _cells(symbols: int) -> int:
+    """Parts of the symbols, so that a part holds a few hundred of them."""
+    return max(1, -(-symbols // CELL_SYMBOLS))
+
+
 def _pair_matrix(vectors: DataFrame, cells: int) -> DataFrame:
     """Correlation of every two vectors, cell by cell of a ``cells`` × ``cells`` grid of symbols."""
     part = F.pmod(F.hash("symbol"), F.lit(cells))
@@ -100,17 +108,17 @@ def _pair_matrix(vectors: DataFrame, cells: int) -> DataFrame:
         frame = frame.sort_values("symbol").reset_index(drop=True)
         x = np.vstack(frame["values"].to_numpy()).astype("float64")
         x = x - x.mean(axis=1, keepdims=True)
-        norm = np.sqrt((x * x).sum(axis=1))
         with np.errstate(divide="ignore", invalid="ignore"):
-            r = (x @ x.T) / np.outer(norm, norm)
+            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         row, column = frame["row"].iloc[0], frame["column"].iloc[0]
         part = frame["part"].to_numpy()
-        a, b = np.triu_indices(len(frame), k=1)
-        low, high = np.minimum(part[a], part[b]), np.maximum(part[a], part[b])
-        mine = (low == row) & (high == column)  # a pair is reported by its own cell only
-        a, b = a[mine], b[mine]
+        # a cell off the diagonal multiplies its two parts with each other only
+        left, right = np.flatnonzero(part == row), np.flatnonzero(part == column)
+        i, j = np.triu_indices(len(left), k=1) if row == column else np.indices((len(left), len(right))).reshape(2, -1)
+        r = (x[left] @ x[right].T)[i, j]
+        a, b = np.minimum(left[i], right[j]), np.maximum(left[i], right[j])
         names = frame["symbol"].to_numpy()
-        value = pd.Series(np.clip(r[a, b], -1, 1), dtype=object)
+        value = pd.Series(np.clip(r, -1, 1), dtype=object)
         return pd.DataFrame(
             {"symbol_a": names[a], "symbol_b": names[b], "r": value.where(value.notna(), None)}
         )
@@ -121,7 +129,7 @@ def _pair_matrix(vectors: DataFrame, cells: int) -> DataFrame:
 
 
 def correlation_matrix(
-    ticks: DataFrame, more_than: int = 50, last: int = 100, cells: int = 16
+    ticks: DataFrame, more_than: int = 50, last: int = 100, cells: int | None = None
 ) -> DataFrame:
     """Pearson r of every two symbols over their last ticks, aligned from the end.
 
@@ -139,21 +147,27 @@ def correlation_matrix(
     vectors = vectors.withColumn("__n", shortest).select(
         "symbol", F.expr("transform(slice(tail, 1, __n), p -> p.bid)").alias("values")
     )
-    return _pair_matrix(vectors, cells)
+    return _pair_matrix(vectors, cells or _cells(ticks.select("symbol").distinct().count()))
 
 
-def correlation_by_time(bars: DataFrame, bucket_bars: int = 4096, cells: int = 16, time: str = "time") -> DataFrame:
-    """Pearson r of every two symbols over the bar times they share.
+def correlation_by_time(
+    bars: DataFrame, bucket_bars: int = 4096, cells: int | None = None, time: str = "time", bar_seconds: int = 3600
+) -> DataFrame:
+    """Pearson r of every two symbols over the bar times they share; null where one of them does not move.
 
-    Bars are cut into runs of time; a task holds one run of two parts of the
-    symbols and reports the moments of each pair, which are then added up.
+    Bars are cut into runs of ``bucket_bars`` bars of ``bar_seconds``; a task holds one run of two parts of the
+    symbols and reports the moments of each pair, which are then added up. Closes are taken as differences from
+    the symbol's first close, the same in all runs, so that sums do not cancel.
     """
+    cells = cells or _cells(bars.select("symbol").distinct().count())
+    first = F.min_by("close", F.when(F.col("close").isNotNull(), F.col(time))).cast("double")
+    base = bars.groupBy("symbol").agg(first.alias("__base"))
+    bars = bars.select("symbol", time, "close").join(base, "symbol")
     part = F.pmod(F.hash("symbol"), F.lit(cells))
-    run = F.floor(F.unix_micros(time) / F.lit(bucket_bars * 3_600_000_000)).cast("long")
+    run = F.floor(F.unix_micros(time) / F.lit(bucket_bars * bar_seconds * 1_000_000)).cast("long")
     other = F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))
-    # Centring on the symbol's first close of the run keeps the sums small.
     spread = (
-        bars.select("symbol", F.unix_micros(time).alias("at"), F.col("close").cast("double").alias("x"), run.alias("run"), part.alias("part"))
+        bars.select("symbol", F.unix_micros(time).alias("at"), (F.col("close").cast("double") - F.col("__base")).alias("x"), run.alias("run"), part.alias("part"))
         .withColumn("__other", other)
         .select("symbol", "at", "x", "run", "part", F.least("part", "__other").alias("row"), F.greatest("part", "__other").alias("column"))
     )
@@ -372,7 +386,10 @@ def timeframe_comparison(bars: DataFrame, time: str = "time") -> DataFrame:
 def timeframe_matrix(
     bars: DataFrame, timeframes: Sequence[str] = ("M1", "M5", "M15", "H1", "H4", "D1"), time: str = "time"
 ) -> DataFrame:
-    """Metric rows × timeframe columns, per symbol."""
+    """Metric rows × timeframe columns, per symbol; ``N/A`` where a timeframe has fewer than two bars.
+
+    Values are bare numbers and words; units and arrows are left to display.
+    """
     facts = bars.groupBy("symbol", "timeframe").agg(
         _trend(F.min_by("close", time), F.max_by("close", time)).alias("trend"),
         F.avg(F.col("high") - F.col("low")).alias("avg_range"),
@@ -381,17 +398,19 @@ def timeframe_matrix(
         candle_type(
             F.max_by("open", time), F.max_by("high", time), F.max_by("low", time), F.max_by("close", time)
         ).alias("candle"),
+        F.count(F.lit(1)).alias("bars"),
     )
+    enough = lambda value: F.when(F.col("bars") >= 2, value).otherwise("N/A").alias("value")
     long = facts.select(
         "symbol",
         "timeframe",
         F.inline(
             F.array(
-                F.struct(F.lit("Trend Direction").alias("metric"), F.col("trend").alias("value")),
-                F.struct(F.lit("Volatility").alias("metric"), fixed_text(F.col("avg_range"), 5).alias("value")),
-                F.struct(F.lit("Volume Ratio").alias("metric"), fixed_text(F.col("volume_ratio"), 2).alias("value")),
-                F.struct(F.lit("Price Range").alias("metric"), fixed_text(F.col("price_range"), 5).alias("value")),
-                F.struct(F.lit("Candle Type").alias("metric"), F.col("candle").alias("value")),
+                F.struct(F.lit("Trend Direction").alias("metric"), enough(F.col("trend"))),
+                F.struct(F.lit("Volatility").alias("metric"), enough(fixed_text(F.col("avg_range"), 5))),
+                F.struct(F.lit("Volume Ratio").alias("metric"), enough(fixed_text(F.col("volume_ratio"), 2))),
+                F.struct(F.lit("Price Range").alias("metric"), enough(fixed_text(F.col("price_range"), 5))),
+                F.struct(F.lit("Candle Type").alias("metric"), enough(F.col("candle"))),
             )
         ),
     )

@@ -178,7 +178,7 @@ def cross_record_check(ticks: DataFrame, bars: DataFrame, predictions: DataFrame
     prediction.
     """
     symbol = F.upper("symbol").alias("symbol")
-    t = ticks.groupBy(symbol).agg(F.count(F.lit(1)).alias("ticks"), F.min("ts").alias("first_tick"))
+    t = ticks.groupBy(symbol).agg(F.count(F.lit(1)).alias("ticks"), F.max("ts").alias("last_tick"))
     b = bars.groupBy(symbol).agg(F.count(F.lit(1)).alias("bars"))
     p = predictions.groupBy(symbol).agg(
         F.count(F.lit(1)).alias("predictions"),
@@ -192,6 +192,6 @@ def cross_record_check(ticks: DataFrame, bars: DataFrame, predictions: DataFrame
         "symbol",
         *counts,
         F.coalesce(
-            (F.col("first_tick") <= F.col("last_prediction")) & (F.col("bad_targets") == 0), F.lit(False)
+            (F.col("last_tick") <= F.col("last_prediction")) & (F.col("bad_targets") == 0), F.lit(False)
         ).alias("times_consistent"),
     )

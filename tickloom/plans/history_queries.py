@@ -115,7 +115,7 @@ def coverage(spark, folder):
 
 @query(
     "g7_quality_score",
-    f"WITH {_CLASS}, b AS (SELECT symbol, count(*) AS bars, {seconds('min(time)', 'max(time)')} AS span FROM hourly GROUP BY 1), "
+    f"WITH {_CLASS}, b AS (SELECT symbol, count(*) AS bars, {seconds('min(time)', 'max(time)')} + 3600 AS span FROM hourly GROUP BY 1), "
     "g AS (SELECT symbol, count(*) AS n FROM classed WHERE gap_class = 'data_gap' GROUP BY 1), s AS (SELECT symbol, bars, bars / (span / 3600) * 100 AS coverage_ratio, "
     "coalesce(n, 0) AS data_gaps, greatest(0, 100 - 10 * coalesce(n, 0)) AS quality_score FROM b LEFT JOIN g USING (symbol)) "
     f"SELECT symbol, bars, {r('coverage_ratio')}, data_gaps, quality_score, CASE WHEN quality_score >= 90 THEN 'Excellent' WHEN quality_score >= 70 THEN 'Good' "
@@ -125,6 +125,19 @@ def quality(spark, folder):
     return G.quality_score(hourly(spark, folder), classified(spark, folder), "H1")
 
 
+@query(
+    "g7_quality_score_of_range",
+    f"WITH {_CLASS}, b AS (SELECT symbol, count(*) AS bars FROM hourly WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-12' GROUP BY 1), "
+    "g AS (SELECT symbol, count(*) AS n FROM classed WHERE gap_class = 'data_gap' GROUP BY 1) "
+    f"SELECT symbol, bars, {rx('bars * 100 / 168.0', 'coverage_ratio')}, coalesce(n, 0) AS data_gaps FROM b LEFT JOIN g USING (symbol)",
+)
+def quality_of_range(spark, folder):
+    scored = G.quality_score(
+        hourly(spark, folder), classified(spark, folder), "H1", start="2024-01-05", end="2024-01-12"
+    )
+    return scored.select("symbol", "bars", "coverage_ratio", "data_gaps")
+
+
 def _fill(method: str) -> str:
     value = {
         "forward": "last_value({c} IGNORE NULLS) OVER w",

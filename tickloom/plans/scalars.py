@@ -201,14 +201,14 @@ def directions(spark, folder):
     f"{seconds('lag(ts) OVER w', 'ts')} AS s FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY seq)) "
     "SELECT symbol, ts, CASE WHEN v >= 1000000 THEN printf('%.2fM', v / 1000000) WHEN v >= 1000 THEN printf('%.2fK', v / 1000) "
     "ELSE printf('%.2f', v) END AS volume_text, CASE WHEN s < 60 THEN printf('%.0fs', s) WHEN s < 3600 THEN printf('%.1fm', s / 60) "
-    "WHEN s < 86400 THEN printf('%.1fh', s / 3600) ELSE printf('%.1fd', s / 86400) END AS gap_text FROM g WHERE s > 0",
+    "WHEN s < 86400 THEN printf('%.1fh', s / 3600) ELSE printf('%.1fd', s / 86400) END AS gap_text FROM g WHERE s IS NOT NULL",
 )
 def humanised(spark, folder):
     from tickloom.operators.ordered import neighbours
 
     near = neighbours(V.ticks(spark, folder), ["symbol"], by_seq(), prev={"before": "ts"})
     s = (F.unix_micros("ts") - F.unix_micros("before")) / F.lit(1e6)
-    return near.filter(s > 0).select(
+    return near.filter(s.isNotNull()).select(
         "symbol",
         "ts",
         P.humanise_volume(F.col("volume") * 12345.5).alias("volume_text"),

@@ -163,8 +163,7 @@ def stored_query(spark, folder):
     "WHERE symbol = 'X_VIEW'",
 )
 def stored_keys(spark, folder):
-    keys = _store(spark, folder).list_keys("tick/X_VIEW/*")
-    return spark.createDataFrame([(k,) for k in keys], "key string")
+    return _store(spark, folder).list_keys("tick/X_VIEW/*")
 
 
 @query(

@@ -64,7 +64,7 @@ def listeners(spark, folder):
     "FROM b WHERE time + INTERVAL '1 hour' <= (SELECT max(ts) FROM ticks)",
 )
 def completed(spark, folder):
-    return sinks.drain(S.windowed_bars(tick_stream(spark, folder), 3600), sinks.stream_folder(spark, "bars"))
+    return sinks.drain(S.windowed_bars(tick_stream(spark, folder), 3600, delay="0 seconds"), sinks.stream_folder(spark, "bars"))
 
 
 @query(
@@ -74,7 +74,7 @@ def completed(spark, folder):
 def current(spark, folder):
     from tickloom.operators.bars import current_bars
 
-    bars = S.windowed_bars(tick_stream(spark, folder), 3600)
+    bars = S.windowed_bars(tick_stream(spark, folder), 3600, delay="0 seconds")
     newest = sinks.drain_updates(bars, sinks.stream_folder(spark, "current"), ["symbol", "time"])
     return current_bars(newest).drop("is_complete", "end_time")
 
@@ -137,7 +137,7 @@ def late(spark, folder):
     + " FROM s GROUP BY 1, 2 HAVING window_start + INTERVAL '3 hours' <= (SELECT max(ts) FROM ticks)",
 )
 def sliding(spark, folder):
-    rates = S.sliding_rates(tick_stream(spark, folder), 10_800, 3600)
+    rates = S.sliding_rates(tick_stream(spark, folder), 10_800, 3600, delay="0 seconds")
     return sinks.drain(rates, sinks.stream_folder(spark, "rates"))
 
 
@@ -154,24 +154,3 @@ def reset(spark, folder):
     plain = stateful.CleanSettings(bar_seconds=3600, gap_threshold=3600.0, spike_threshold_percent=None)
     out = sinks.drain(stateful.clean_bars(stream, plain), sinks.stream_folder(spark, "reset"))
     return stateful.only_bars(out).drop("end_time")
-
-
-@query(
-    "st7_admission_control",
-    f"WITH {TICKS} SELECT symbol, count(*) AS ticks, count(DISTINCT seq) AS distinct_ticks, {rx('sum(volume)', 'volume')} FROM ticks GROUP BY 1",
-)
-def admission(spark, folder):
-    # The ticks arrive as many files and are admitted one file at a time; none may be lost.
-    place = sinks.stream_folder(spark, "admission")
-    ticks = V.ticks(spark, folder)
-    ticks.repartition(6, "seq").write.parquet(f"{place}/in")
-    stream = S.read_ticks(spark, f"{place}/in", ticks.schema, files_per_trigger=1)
-    return (
-        sinks.drain(stream, f"{place}/run")
-        .groupBy("symbol")
-        .agg(
-            F.count(F.lit(1)).alias("ticks"),
-            F.countDistinct("seq").alias("distinct_ticks"),
-            F.sum("volume").alias("volume"),
-        )
-    )

@@ -175,8 +175,8 @@ def integrity(spark, folder):
     "v10_cross_record_check",
     f"WITH {PREDICTIONS}, pp AS (SELECT symbol, count(*) AS predictions, max(predicted_at) AS last_p, "
     "count(*) FILTER (NOT target_timestamp > predicted_at) AS bad FROM p GROUP BY 1), e AS (SELECT 'X_' || upper(event_type) AS symbol, "
-    "count(*) AS ticks, count(*) AS alerts, count(DISTINCT time_bucket(INTERVAL '1 hour', ts)) AS bars, min(ts) AS first_t FROM ev GROUP BY 1) "
-    "SELECT symbol, ticks, bars, predictions, alerts, first_t <= last_p AND bad = 0 AS times_consistent FROM e JOIN pp USING (symbol)",
+    "count(*) AS ticks, count(*) AS alerts, count(DISTINCT time_bucket(INTERVAL '1 hour', ts)) AS bars, max(ts) AS last_t FROM ev GROUP BY 1) "
+    "SELECT symbol, ticks, bars, predictions, alerts, last_t <= last_p AND bad = 0 AS times_consistent FROM e JOIN pp USING (symbol)",
 )
 def cross(spark, folder):
     low = F.lower("symbol").alias("symbol")

@@ -46,9 +46,13 @@ class KeyedStore:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _escaped(self, value: str) -> str:
+        """A partition value as Spark writes it in directory names."""
+        return self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
+
     def _dir(self, area: str, key: str) -> str:
         kind, symbol, date = split_key(key)
-        return f"{self.root}/{area}/{kind}/symbol={symbol}/date={date}"
+        return f"{self.root}/{area}/{kind}/symbol={self._escaped(symbol)}/date={self._escaped(date)}"
 
     def _exists(self, key: str) -> bool:
         return self._fs().exists(self._path(self._dir("data", key)))
@@ -56,8 +60,14 @@ class KeyedStore:
     # -- rows ---------------------------------------------------------------
 
     def save_data(self, data, key: str, metadata: Mapping[str, str] | None = None, schema=None) -> None:
-        """Replace what is stored under ``key``. ``data`` is a frame, or records with a schema."""
+        """Replace what is stored under ``key``. ``data`` is a frame, or records with a schema.
+
+        Rows of another symbol than the key's are an error.
+        """
         df = data if isinstance(data, DataFrame) else self.spark.createDataFrame(data, schema)
+        symbol = split_key(key)[1]
+        if "symbol" in df.columns and not df.filter(~F.col("symbol").eqNullSafe(symbol)).isEmpty():
+            raise ValueError(f"rows of another symbol under the key {key!r}")
         # symbol and date live in the directory names
         df.drop("symbol", "date").write.mode("overwrite").parquet(self._dir("data", key))
         meta = self.spark.createDataFrame([(dict(metadata or {}), None)], _META)
@@ -79,6 +89,7 @@ class KeyedStore:
             .partitionBy("symbol", "date")
             .parquet(f"{self.root}/data/{kind}")
         )
+
     def load_data(self, key: str) -> DataFrame:
         if not self._exists(key):
             raise KeyNotFound(key)
@@ -106,8 +117,12 @@ class KeyedStore:
     # -- whole table --------------------------------------------------------
 
     def table(self, kind: str) -> DataFrame:
-        """All keys of a kind as one partitioned frame."""
-        return self.spark.read.parquet(f"{self.root}/data/{kind}")
+        """All keys of a kind as one partitioned frame; a symbol is text, whatever it looks like."""
+        path = f"{self.root}/data/{kind}"
+        stored = self.spark.read.parquet(path).schema
+        parts = {"symbol": T.StringType(), "date": T.DateType()}
+        typed = [T.StructField(f.name, parts.get(f.name, f.dataType)) for f in stored.fields]
+        return self.spark.read.schema(T.StructType(typed)).parquet(path)
 
     def query_data(self, query: str, params: Mapping[str, object] | None = None) -> DataFrame:
         """Run SQL over the stored kinds, each a view of its own name, with named parameters."""
@@ -119,18 +134,18 @@ class KeyedStore:
         found = self._fs().globStatus(self._path(f"{self.root}/data/*"))
         return [s.getPath().getName() for s in (found or [])]
 
-    def list_keys(self, pattern: str = "*/*/*") -> list[str]:
-        """Keys that match a glob such as ``tick/USDJPY/*``."""
-        split_key(pattern)
-        found = self._fs().globStatus(self._path(f"{self.root}/data/*/symbol=*/date=*")) or []
-        keys = []
-        for status in found:
-            date = status.getPath()
-            symbol = date.getParent()
-            parts = (
-                symbol.getParent().getName(),
-                symbol.getName().split("=", 1)[1],
-                date.getName().split("=", 1)[1],
-            )
-            keys.append("/".join(parts))
-        return sorted(k for k in keys if fnmatch.fnmatchcase(k, pattern))
+    def list_keys(self, pattern: str = "*/*/*") -> DataFrame:
+        """Keys that match a glob such as ``tick/USDJPY/*``, one per row in column ``key``.
+
+        Partitions are pruned by the pattern, and keys are found by Spark from the
+        partition columns alone; only the names of kinds are read on the driver.
+        """
+        kind, *globs = split_key(pattern)
+        keys = self.spark.createDataFrame([], "key string")
+        for name in fnmatch.filter(sorted(self._kinds()), kind):
+            parts = self.table(name).select("symbol", F.col("date").cast("string").alias("date"))
+            for column, glob in zip(("symbol", "date"), globs, strict=True):
+                if glob != "*":
+                    parts = parts.filter(F.col(column).rlike(f"^{fnmatch.translate(glob)}"))
+            keys = keys.unionAll(parts.distinct().select(F.concat_ws("/", F.lit(name), "symbol", "date").alias("key")))
+        return keys

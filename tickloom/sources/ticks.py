@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.operators.ordered import Slicing, by_seq, last_rows, running, small_side, with_position
+from tickloom.operators.ordered import Slicing, by_seq, last_rows, running, with_position
 
 
 class UnknownSymbol(ValueError):
@@ -41,7 +41,8 @@ def fetch_tick_data(
 ) -> DataFrame:
     """Ticks of one symbol in a time range, oldest first.
 
-    Both conditions reach the scan. An unknown symbol is an error.
+    The time range reaches the scan, and so does the symbol where it is a stored
+    column. An unknown symbol is an error, which costs a look for it first.
     """
     mine = ticks.filter(F.col("symbol") == symbol.upper())
     if check and mine.isEmpty():
@@ -64,7 +65,7 @@ def new_ticks(ticks: DataFrame, cursor: DataFrame | None, start_seq: int = -1) -
     """
     if cursor is None:
         return ticks.filter(F.col("seq") > start_seq)
-    joined = ticks.join(small_side(cursor.select("symbol", "last_seq")), "symbol", "left")
+    joined = ticks.join(cursor.select("symbol", "last_seq"), "symbol", "left")
     return joined.filter(F.col("seq") > F.coalesce("last_seq", F.lit(start_seq))).drop("last_seq")
 
 

@@ -29,12 +29,14 @@ def read_ticks(
     return reader.parquet(path)
 
 
-def windowed_bars(stream: DataFrame, seconds: int = 60, delay: str = "0 seconds") -> DataFrame:
+def windowed_bars(stream: DataFrame, seconds: int = 60, *, delay: str) -> DataFrame:
     """Tumbling bars. In append mode a bar appears once, after the watermark passes its end;
     in update mode the unfinished bar is visible too.
 
-    The watermark is shared by all symbols; use ``stateful.clean_bars`` where a
-    bar must close by its own symbol's ticks only.
+    The watermark is shared by all symbols: ticks more than ``delay`` behind the
+    fastest symbol are dropped, so ``delay`` must cover how far symbols and files
+    get out of step. ``sinks.dropped_rows`` tells how many were dropped. Use
+    ``stateful.clean_bars`` where a bar must close by its own symbol's ticks only.
     """
     window = F.window("ts", f"{seconds} seconds")
     bars = (
@@ -59,9 +61,12 @@ def windowed_bars(stream: DataFrame, seconds: int = 60, delay: str = "0 seconds"
 
 
 def sliding_rates(
-    stream: DataFrame, seconds: int = 10, step: int = 1, delay: str = "0 seconds"
+    stream: DataFrame, seconds: int = 10, step: int = 1, *, delay: str
 ) -> DataFrame:
-    """Ticks per second per symbol over windows of ``seconds`` that start every ``step``."""
+    """Ticks per second per symbol over windows of ``seconds`` that start every ``step``.
+
+    ``delay`` as in ``windowed_bars``.
+    """
     window = F.window("ts", f"{seconds} seconds", f"{step} seconds")
     counted = (
         stream.withWatermark("ts", delay).groupBy("symbol", window).agg(F.count(F.lit(1)).alias("ticks"))

@@ -31,6 +31,13 @@ def write_bars(stream: DataFrame, path: str, checkpoint: str, trigger: dict | No
     )
 
 
+def dropped_rows(query: StreamingQuery) -> int:
+    """Rows a query dropped because they came behind its watermark."""
+    return sum(
+        state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators
+    )
+
+
 def drain(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over everything there is now and read back its output."""
     spark = stream.sparkSession
