@@ -118,6 +118,26 @@ REQUIRED_COLUMNS = {
 }
 
 
+def shape_report(named: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``validate_data`` as rows: name, kind, valid, and one row per error (null where there is none).
+
+    Whether a frame is empty is found by Spark with the other frames' answers, in one job.
+    """
+    out = None
+    for name, (df, kind) in named.items():
+        required = REQUIRED_COLUMNS.get(kind)
+        if required is None:
+            errors = F.array(F.lit(f"Invalid data type: {kind}"))
+        else:
+            missing = [F.lit(f"Missing column: {c}") for c in required if c not in df.columns]
+            empty = F.when(F.col("rows") == 0, F.array(F.lit("Data is empty"))).otherwise(F.array().cast("array<string>"))
+            errors = F.concat(empty, F.array(*missing).cast("array<string>"))
+        one = df.limit(1).agg(F.count(F.lit(1)).alias("rows"))
+        row = one.select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), errors.alias("errors"))
+        out = row if out is None else out.unionAll(row)
+    return out.select("name", "kind", (F.size("errors") == 0).alias("valid"), F.explode_outer("errors").alias("error"))
+
+
 def validate_data(df: DataFrame, kind: str) -> tuple[bool, list[str]]:
     """Shape check of a frame: known kind, rows present, columns present."""
     if kind not in REQUIRED_COLUMNS:

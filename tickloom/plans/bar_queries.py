@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.functions import scalars as P
 from tickloom.operators import bars as B
 from tickloom.operators import clean as C
+from tickloom.operators import gaps as G
 from tickloom.operators import indicators as I
 from tickloom.operators import stats as A
 from tickloom.operators.ordered import by_bars
@@ -14,6 +15,7 @@ from tickloom.plans.registry import (
     HOUR,
     HOURLY,
     LINES,
+    MINUTE,
     SHUFFLED,
     TICKS,
     USER_TICKS,
@@ -40,6 +42,14 @@ def tick_bars(spark, folder):
     return B.tick_bars(C.accepted_ticks(V.shuffled_ticks(spark, folder), WIDE), "H1")
 
 
+@query(
+    "b1_minute_bars",
+    f"WITH {TICKS}, {bars_sql('b', MINUTE)} SELECT symbol, time, time + INTERVAL '1 minute' - INTERVAL '1 microsecond' AS end_time, {_BAR} FROM b",
+)
+def minute_bars(spark, folder):
+    return B.tick_bars(V.ticks(spark, folder), "M1")
+
+
 for _tf, _bucket, _end in (
     ("D1", "time_bucket(INTERVAL '1 day', ts)", "time + INTERVAL '1 day'"),
     ("W1", "date_trunc('week', ts)", "time + INTERVAL '7 days'"),
@@ -231,6 +241,27 @@ def rsi(spark, folder):
     return I.rsi(hourly(spark, folder)).select("symbol", "time", "RSI_14")
 
 
+_FILLED = (
+    "ends AS (SELECT symbol, min(time) AS a, max(time) AS z FROM hourly GROUP BY 1), grid AS (SELECT symbol, unnest(generate_series(a, z, INTERVAL 1 HOUR)) AS time FROM ends), "
+    "filled AS (SELECT g.symbol, g.time, last_value(close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.time ROWS UNBOUNDED PRECEDING) AS close "
+    "FROM grid g LEFT JOIN hourly h ON g.symbol = h.symbol AND g.time = h.time)"
+)
+
+
+@query(
+    "i6_rsi_of_filled_bars",
+    f"WITH RECURSIVE {HOURLY}, {_FILLED}, {_N.replace('FROM hourly', 'FROM filled')}, seed AS (SELECT symbol, avg(greatest(d, 0)) AS g, avg(greatest(-d, 0)) AS l FROM n WHERE rn BETWEEN 2 AND 15 "
+    "GROUP BY 1), f AS (SELECT n.symbol, rn, time, g, l FROM n JOIN seed USING (symbol) WHERE rn = 15 UNION ALL "
+    "SELECT n.symbol, n.rn, n.time, (f.g * 13 + greatest(n.d, 0)) / 14, (f.l * 13 + greatest(-n.d, 0)) / 14 FROM f JOIN n "
+    "ON n.symbol = f.symbol AND n.rn = f.rn + 1) SELECT n.symbol, n.time, "
+    + rx("CASE WHEN n.rn >= 15 THEN CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END END", "RSI_14")
+    + " FROM n LEFT JOIN f ON n.symbol = f.symbol AND n.rn = f.rn",
+)
+def rsi_of_filled(spark, folder):
+    filled = G.fill_gaps(hourly(spark, folder), "H1", "forward")
+    return I.rsi(filled, block_rows=100).select("symbol", "time", "RSI_14")
+
+
 def _step(alpha: float, name: str, x: str = "n.close") -> str:
     return f"{alpha!r}::DOUBLE * {x} + {1 - alpha!r}::DOUBLE * e.{name}"
 

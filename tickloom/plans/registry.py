@@ -97,6 +97,7 @@ def bars_sql(name: str, bucket: str, source: str = "ticks", price: str = "bid")
 
 
 HOUR = "time_bucket(INTERVAL '1 hour', ts)"
+MINUTE = "time_bucket(INTERVAL '1 minute', ts)"
 HOURLY = f"{TICKS}, {bars_sql('hourly', HOUR)}"
 
 

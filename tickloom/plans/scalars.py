@@ -195,6 +195,15 @@ def directions(spark, folder):
     return out.select("symbol", "seq", "bid_direction", "ask_direction")
 
 
+@query(
+    "p20_spread_pips",
+    f"WITH {TICKS} SELECT seq, floor(trunc((ask - bid) * 100000) / 1e5 * 10 + 0.5) / 10 AS pips FROM ticks",
+)
+def pips(spark, folder):
+    points = P.spread_points(F.col("bid"), F.col("ask"))
+    return V.ticks(spark, folder).select("seq", P.spread_pips(points).alias("pips"))
+
+
 @query(
     "p23_humanised",
     f"WITH {TICKS}, g AS (SELECT symbol, ts, volume * 12345.5::DOUBLE AS v, "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tickloom.operators import clean as C
 from tickloom.operators.bars import tick_bars
 from tickloom.operators.ordered import by_seq
-from tickloom.plans.registry import HOURLY, SHUFFLED, TICKS, USER_TICKS, query, r, rx, seconds
+from tickloom.plans.registry import HOURLY, MINUTE, SHUFFLED, TICKS, USER_TICKS, bars_sql, query, r, rx, seconds
 from tickloom.sources import fx_views as V
 
 # The disturbed arrival numbers are 64 times as sparse as the rows.
@@ -171,6 +171,18 @@ def rates(spark, folder):
     return out.select("symbol", "seq", "tick_rate")
 
 
+@query(
+    "t11_bar_rate",
+    f"WITH {TICKS}, {bars_sql('b', MINUTE)}, n AS (SELECT symbol, time, count(*) OVER (PARTITION BY symbol ORDER BY epoch_us(time) "
+    "RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS c FROM b) SELECT symbol, time, "
+    + rx("c / 5e0", "bars_per_minute")
+    + " FROM n",
+)
+def bar_rate(spark, folder):
+    bars = tick_bars(V.ticks(spark, folder), "M1")
+    return C.trailing_rate(bars, 300, 5.0, "bars_per_minute", time="time").select("symbol", "time", "bars_per_minute")
+
+
 @query(
     "t12_run_rates",
     f"WITH {HOURLY}, t AS (SELECT symbol, count(*) AS ticks, {seconds('min(ts)', 'max(ts)')} AS elapsed FROM ticks GROUP BY 1), "

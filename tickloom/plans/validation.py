@@ -151,6 +151,27 @@ def positive(spark, folder):
     return Q.drop_non_positive(dirty(spark, folder)).select("seq", "bid", "ask")
 
 
+@query(
+    "v5_validate_data",
+    f"WITH {TICKS} SELECT * FROM (SELECT 'ticks' AS name, 'tick' AS kind, (SELECT count(*) > 0 FROM ticks) AS valid, "
+    "CASE WHEN (SELECT count(*) FROM ticks) = 0 THEN 'Data is empty' END AS error UNION ALL "
+    "SELECT 'quotes', 'tick', FALSE, 'Missing column: ask' UNION ALL SELECT 'quotes', 'tick', FALSE, 'Missing column: volume' UNION ALL "
+    "SELECT 'future', 'tick', (SELECT count(*) > 0 FROM ticks WHERE ts > TIMESTAMP '2030-01-01'), "
+    "CASE WHEN (SELECT count(*) FROM ticks WHERE ts > TIMESTAMP '2030-01-01') = 0 THEN 'Data is empty' END UNION ALL "
+    "SELECT 'odd', 'candle', FALSE, 'Invalid data type: candle')",
+)
+def shapes(spark, folder):
+    ticks = V.ticks(spark, folder).withColumnRenamed("ts", "timestamp")
+    return Q.shape_report(
+        {
+            "ticks": (ticks, "tick"),
+            "quotes": (ticks.drop("ask", "volume"), "tick"),
+            "future": (ticks.filter(F.col("timestamp") > "2030-01-01"), "tick"),
+            "odd": (ticks, "candle"),
+        }
+    )
+
+
 @query(
     "v8_interval_anomalies",
     f"WITH {HOURLY}, d AS (SELECT symbol, lag(time) OVER w AS previous_time, time, {seconds('lag(time) OVER w', 'time')} AS s "
