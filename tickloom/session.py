@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +23,27 @@ RUNTIME = {
 }
 
 
+# Applications whose workers have been given the package.
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever they run: once per application, through Spark's file server."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # else the package itself was loaded from a shipped archive
+        archive = Path(tempfile.mkdtemp(prefix=f"{root.name}-")).resolve() / f"{root.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def configure(spark: SparkSession) -> SparkSession:
+    ship_package(spark)
     for key, value in RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -46,6 +68,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
