@@ -85,9 +85,10 @@ class WordIds:
             if len(self.known) + len(new) > self.limit:
                 self.old, self.known = self.known, {}
                 new = set().union(*split)
-            back = new.intersection(self.old)
-            self.known.update((w, self.old[w]) for w in back)
-            self._learn(new - back)
+            old = self.old
+            back = [w for w in new if w in old]
+            self.known.update((w, old[w]) for w in back)
+            self._learn(new.difference(back))
         find = self.known.__getitem__
         return [list(map(find, words)) for words in split]
 
