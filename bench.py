@@ -11,11 +11,11 @@ import json
 import os
 import time
 
-from pyspark.sql import functions as F
-
 from tickloom.operators import bars, clean, gaps, indicators, reconcile, stats, validate
 from tickloom.session import local_session
 from tickloom.sources import fx_views as V
+from tickloom.streaming import bars as streams
+from tickloom.streaming import sinks
 
 FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -27,7 +27,20 @@ def cases(spark):
     lines = lambda: V.lineitem_ticks(spark, FOLDER)
     hourly = lambda: bars.tick_bars(ticks(), "H1")
     daily = lambda: bars.tick_bars(lines(), "D1")
-    good = lambda df: df.filter(F.col("bid") > 0)
+    # a million M1 bars of one symbol, with an hour missing in every 5,000
+    minutes = lambda: (
+        spark.range(1_000_000)
+        .filter("id % 300000 >= 60")
+        .selectExpr(
+            "'EURUSD' AS symbol",
+            "timestamp_seconds(1577836800 + id * 60) AS time",
+            "1.1 + 0.01 * sin(id / 500) AS close",
+        )
+    )
+    # the ticks as twenty files with symbols in step, admitted five at a time
+    arrived = f"{sinks.stream_folder(spark, 'bench')}/in"
+    ticks().repartitionByRange(20, "seq").write.parquet(arrived)
+    stream = lambda: streams.read_ticks(spark, arrived, ticks().schema, files_per_trigger=5)
     return {
         "tick_bars_h1": lambda: hourly(),
         "tick_bars_many_symbols": lambda: bars.tick_bars(many(), "H1"),
@@ -36,7 +49,7 @@ def cases(spark):
         "drop_reversals": lambda: clean.accepted_ticks(V.shuffled_ticks(spark, FOLDER)),
         "tick_gaps": lambda: clean.tick_gaps(ticks(), 3600.0),
         "tick_gaps_lineitem": lambda: clean.tick_gaps(lines(), 3600.0, V.LINEITEM_DAYS),
-        "spike_filter": lambda: clean.flag_spikes(good(ticks()), 50.0, 3600.0),
+        "spike_filter": lambda: clean.flag_spikes(ticks(), 50.0, 3600.0),
         "zscore_1000": lambda: clean.zscore_flags(ticks()),
         "trailing_rate": lambda: clean.trailing_rate(ticks(), 3600, 3600.0, "rate"),
         "sma_bollinger": lambda: indicators.calculate_indicators(hourly(), ["sma", "bollinger"]),
@@ -50,6 +63,11 @@ def cases(spark):
         "reconcile": lambda: reconcile.reconciliation_summary(
             reconcile.compare_bars(hourly(), bars.broker_bars(ticks(), "H1")), ["symbol"]
         ),
+        "million_m1_gaps": lambda: gaps.detect_missing_periods(minutes(), "M1"),
+        "million_m1_indicators": lambda: indicators.calculate_indicators(minutes(), ["sma", "ema", "rsi"]),
+        "stream_bars": lambda: sinks.drain(
+            streams.windowed_bars(stream(), 3600, delay="1 hour"), sinks.stream_folder(spark, "bench")
+        ),
         "patterns": lambda: stats.candle_patterns(hourly(), bars.by_bars(3600)),
     }
 
@@ -81,6 +99,9 @@ def main() -> None:
                     "ticks_to_bars_5_symbols": round(events / seconds["tick_bars_h1"]),
                     "ticks_to_bars_many_symbols": round(events / seconds["tick_bars_many_symbols"]),
                     "ticks_to_bars_lineitem": round(lines / seconds["tick_bars_lineitem_d1"]),
+                    "stream_bars": round(events / seconds["stream_bars"]),
+                    "million_m1_gaps": round(999_760 / seconds["million_m1_gaps"]),
+                    "million_m1_indicators": round(999_760 / seconds["million_m1_indicators"]),
                     "tick_gap_detection_lineitem": round(lines / seconds["tick_gaps_lineitem"]),
                 },
             }
