@@ -12,7 +12,7 @@ import os
 import time
 
 from tickloom.operators import bars, clean, gaps, indicators, reconcile, stats, validate
-from tickloom.session import local_session
+from tickloom.session import local_session, remove_written
 from tickloom.sources import fx_views as V
 from tickloom.streaming import bars as streams
 from tickloom.streaming import sinks
@@ -107,6 +107,7 @@ def main() -> None:
             }
         )
     )
+    remove_written(spark)
     spark.stop()
 
 

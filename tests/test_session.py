@@ -7,6 +7,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+from tickloom.session import remove_written, written
+
 SCRIPT = """
 import sys
 sys.path.insert(0, {root!r})
@@ -24,3 +26,12 @@ def test_workers_find_the_package_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     run = subprocess.run([sys.executable, "-c", SCRIPT.format(root=root)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 26" in run.stdout, run.stderr[-2000:]
+
+
+def test_written_tables_can_be_removed(spark):
+    remove_written(spark)
+    table = written(spark.range(5).toDF("id"), "numbers")
+    assert table.count() == 5
+    (file,) = {f.rsplit("/", 1)[0].removeprefix("file://") for f in table.inputFiles()}
+    assert os.path.isdir(file)
+    assert remove_written(spark) == 1 and not os.path.exists(file)

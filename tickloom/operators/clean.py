@@ -424,8 +424,11 @@ def trailing_rate(
     enter = F.struct(here.alias("__slice"), (at * 2).alias("__mark"), F.lit(1).alias("__step"), F.lit(True).alias("__row"))
     leave = F.struct(there.alias("__slice"), ((at + span) * 2 - 1).alias("__mark"), F.lit(-1).alias("__step"), F.lit(False).alias("__row"))
     hold = F.struct(there.alias("__slice"), F.lit(-(2**63)).cast("long").alias("__mark"), F.lit(1).alias("__step"), F.lit(False).alias("__row"))
-    marks = F.when(here == there, F.array(enter, leave)).otherwise(F.array(enter, leave, hold))
-    spread = df.select("*", F.inline(marks))
+    marks = F.when(here == there, F.array(leave)).otherwise(F.array(leave, hold))
+    # only the row itself carries its columns; what it leaves behind is a key, a time and a step
+    spread = df.select("*", F.inline(F.array(enter))).unionByName(
+        df.select("symbol", F.inline(marks)), allowMissingColumns=True
+    )
     # Equal marks share one value: the default frame is RANGE up to the current row.
     window = Window.partitionBy("symbol", "__slice").orderBy("__mark")
     return (

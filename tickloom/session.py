@@ -93,13 +93,33 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+# Tables that this process has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Delete the tables ``written`` has made for this application; returns how many.
+
+    Results are lazy and read those tables: call it when all results are collected
+    or saved. Nothing is removed otherwise.
+    """
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Cuts the lineage, survives lost executors, and gives the planner the true
-    size, so a small table is broadcast because it is small.
+    size, so a small table is broadcast because it is small. The table stays until
+    ``remove_written``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
