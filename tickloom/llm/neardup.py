@@ -124,6 +124,37 @@ class _Checker:
         return written(linked.select("a", "b"), "near-links")
 
 
+def _pairs_apart(rows: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of classes that share a bucket but no component yet; ``rows`` has key and node.
+
+    Buckets of more than ``MANY`` components are cut by the other bands of their members, ``LEVELS`` times at most.
+    """
+    out = None
+    for level in range(LEVELS):
+        placed = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        placed = written(placed, "near-placed")
+        groups = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
+        apart = groups.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", "size").alias("main"))
+        apart = written(apart.filter("kinds > 1"), "near-apart")
+        last = level == LEVELS - 1
+        small = apart if last else apart.filter(F.col("kinds") <= MANY)
+        other = placed.join(small.select("key", "main"), "key").filter("component != main")
+        x = other.select("key", F.col("node").alias("a"), F.col("component").alias("c_a"), "main")
+        y = placed.select("key", F.col("node").alias("b"), F.col("component").alias("c_b"))
+        # classes outside the main component against all of other components; two outside ones meet once
+        meet = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
+        pairs = x.join(y, "key").filter((F.col("c_a") != F.col("c_b")) & meet).select("a", "b")
+        out = pairs if out is None else out.unionAll(pairs)
+        large = apart.filter(F.col("kinds") > MANY).select("key")
+        if last or large.isEmpty():
+            return out
+        again = placed.join(large, "key").select("key", "node")
+        further = again.join(full.select("node", F.explode("bands").alias("band")), "node").filter("band != key")
+        mixed = F.xxhash64(F.least("key", "band"), F.greatest("key", "band"))
+        rows = further.select("node", mixed.alias("key")).distinct()
+    return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per ``doc_id, text`` row: ``doc_id, n_shingles, component_id, kept``.
 
@@ -149,35 +180,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(tied, "near-tied")
 
     rows = full.select("node", F.explode("bands").alias("key"))
-    for level in range(LEVELS):
-        buckets = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-        buckets = buckets.filter("first != last").select("key", "first")
-        rows = written(rows.join(buckets, "key"), "near-buckets")
-        pairs = rows.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-        links = written(links.unionAll(checker.confirmed(pairs)), "near-links")
-        found = components(links)
-        placed = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        placed = written(placed, "near-placed")
-        groups = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-        apart = groups.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", "size").alias("main"))
-        apart = written(apart.filter("kinds > 1"), "near-apart")
-        last = level == LEVELS - 1
-        small = apart if last else apart.filter(F.col("kinds") <= MANY)
-        other = placed.join(small.select("key", "main"), "key").filter("component != main")
-        x = other.select("key", F.col("node").alias("a"), F.col("component").alias("c_a"), "main")
-        y = placed.select("key", F.col("node").alias("b"), F.col("component").alias("c_b"))
-        # classes outside the main component against all of other components; two outside ones meet once
-        meet = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
-        pairs = x.join(y, "key").filter((F.col("c_a") != F.col("c_b")) & meet).select("a", "b").distinct()
-        links = written(links.unionAll(checker.confirmed(pairs)), "near-links")
-        large = apart.filter(F.col("kinds") > MANY).select("key")
-        if last or large.isEmpty():
-            break
-        again = placed.join(large, "key").select("key", "node")
-        further = again.join(full.select("node", F.explode("bands").alias("band")), "node").filter("band != key")
-        mixed = F.xxhash64(F.least("key", "band"), F.greatest("key", "band"))
-        rows = further.select("node", mixed.alias("key")).distinct()
-    found = components(links)
+    buckets = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    rows = written(rows.join(buckets.filter("first != last").select("key", "first"), "key"), "near-buckets")
+    stars = rows.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    found = components(links.unionAll(checker.confirmed(stars)))
+    pairs = written(_pairs_apart(rows.select("key", "node"), full, found), "near-apart-pairs").distinct()
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(checker.confirmed(pairs)))
     placed = classes.select("h1", "h2", "node").join(found, "node", "left")
     placed = placed.select("h1", "h2", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
