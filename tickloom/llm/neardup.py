@@ -3,8 +3,8 @@
 A signature keeps the smallest and the largest value of each permutation, so 88 hash evaluations give 176 values, cut into
 44 bands of four. Two sets of similarity 0.75 share no band with probability 6e-8. Sets that are equal are one class from
 the start. Candidates come in steps that never list all pairs of a bucket: first every class of a bucket against its
-smallest one, which joins large groups of near copies; then, in buckets whose classes are still apart, only classes of
-different components. A bucket of many components (a passage that very many documents share) is cut by the other bands of
+smallest one, in some bands, which joins large groups of near copies; then, in buckets of all bands that hold several
+components, each class against one of the smallest component; then the classes of different components that are left. A bucket of many components (a passage that very many documents share) is cut by the other bands of
 its members, again and again: similar sets share several bands.
 """
 
@@ -26,6 +26,7 @@ from tickloom.session import written
 PERMUTATIONS, BANDS, ROWS = 88, 44, 4
 MANY = 128  # components of a bucket beyond which it is cut by further bands
 LEVELS = 3
+STAR_BANDS = 8  # bands that join large groups of near copies before all are looked at
 # A pair of similarity 0.75 agrees in fewer than 55 % of 176 values with probability under 1e-8.
 SURE = 0.55
 
@@ -103,7 +104,16 @@ class _Checker:
     """Confirms candidate pairs: sizes, then sketches, then full sets."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame) -> None:
-        self.docs, self.classes = docs, classes
+        self.classes = classes
+        self.texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("node"), "text")
+        self.sets: DataFrame | None = None
+
+    def _sets_of(self, nodes: DataFrame) -> DataFrame:
+        return written(_sets(self.texts.join(nodes.distinct(), "node", "left_semi")), "near-sets")
+
+    def prepare(self, nodes: DataFrame) -> None:
+        """Make the sets that later pairs take once: pairs are of these nodes from now on."""
+        self.sets = self._sets_of(nodes)
 
     def _side(self, name: str) -> DataFrame:
         return self.classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
@@ -113,9 +123,7 @@ class _Checker:
         sized = pairs.join(self._side("a"), "a").join(self._side("b"), "b")
         sized = sized.filter(100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b"))
         near = written(sized.select("a", "b", "s_a", "s_b").mapInArrow(_alike, "a long, b long").distinct(), "near-pairs")
-        wanted = near.select(F.col("a").alias("node")).unionAll(near.select("b")).distinct()
-        texts = self.docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("node"), "text")
-        sets = written(_sets(texts.join(wanted, "node", "left_semi")), "near-sets")
+        sets = self.sets or self._sets_of(near.select(F.col("a").alias("node")).unionAll(near.select("b")))
         x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
@@ -124,6 +132,25 @@ class _Checker:
         return written(linked.select("a", "b"), "near-links")
 
 
+def _as_links(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Those of the rows ``node, component, key`` whose bucket holds more than one component."""
+    ends = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    return written(rows.join(ends.filter("low != high").select("key"), "key"), "near-apart")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b``: in every bucket the classes of other components against one class of the smallest component."""
+    ends = rows.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("node", "component").alias("centre")
+    )
+    met = rows.join(ends.filter("low != high").select("key", "low", "centre"), "key").filter("component != low")
+    return met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+
+
 def _pairs_apart(rows: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of classes that share a bucket but no component yet; ``rows`` has key and node.
 
@@ -179,13 +206,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tied = ids.agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a != b").select("a", "b")
     links = written(tied, "near-tied")
 
-    rows = full.select("node", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    rows = written(rows.join(buckets.filter("first != last").select("key", "first"), "key"), "near-buckets")
-    stars = rows.filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
-    found = components(links.unionAll(checker.confirmed(stars)))
-    pairs = written(_pairs_apart(rows.select("key", "node"), full, found), "near-apart-pairs").distinct()
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(checker.confirmed(pairs)))
+    some_bands = full.select("node", F.explode(F.slice("bands", 1, STAR_BANDS)).alias("key"))
+    found = components(links.unionAll(checker.confirmed(_stars(some_bands.withColumn("component", F.col("node"))))))
+
+    # all bands; from here on only buckets that hold more than one component
+    placed = full.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands")
+    rows = _apart(placed.select("node", "component", F.explode("bands").alias("key")))
+    checker.prepare(rows.select("node"))
+    found = components(_as_links(found).unionAll(checker.confirmed(_stars(rows))))
+    pairs = written(_pairs_apart(rows.select("key", "node"), full, found).distinct(), "near-apart-pairs")
+    found = components(_as_links(found).unionAll(checker.confirmed(pairs)))
     placed = classes.select("h1", "h2", "node").join(found, "node", "left")
     placed = placed.select("h1", "h2", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
