@@ -4,7 +4,8 @@ A signature keeps the smallest and the largest value of each permutation, so 88
 44 bands of four. Two sets of similarity 0.75 share no band with probability 6e-8. Sets that are equal are one class from
 the start. Candidates come in steps that never list all pairs of a bucket: first every class of a bucket against its
 smallest one, in some bands, which joins large groups of near copies; then, in buckets of all bands that hold several
-components, each class against one of the smallest component; then the classes of different components that are left. A bucket of many components (a passage that very many documents share) is cut by the other bands of
+components, each class against one of the smallest component; then, inside each bucket that is left, classes of different
+components by their sketches, of which only pairs that may be links leave the task. A bucket of many components (a passage that very many documents share) is cut by the other bands of
 its members, again and again: similar sets share several bands.
 """
 
@@ -24,7 +25,7 @@ from tickloom.llm.shingles import Shingles
 from tickloom.session import written
 
 PERMUTATIONS, BANDS, ROWS = 88, 44, 4
-MANY = 128  # components of a bucket beyond which it is cut by further bands
+MANY = 512  # components of a bucket beyond which it is cut by further bands
 LEVELS = 3
 STAR_BANDS = 8  # bands that join large groups of near copies before all are looked at
 # A pair of similarity 0.75 agrees in fewer than 55 % of 176 values with probability under 1e-8.
@@ -132,6 +133,46 @@ class _Checker:
         return written(linked.select("a", "b"), "near-links")
 
 
+def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's classes in different components whose sizes and sketches allow a link.
+
+    Rows ``key, node, component, n, sketch`` come sorted by key; a bucket's rows are compared block by block, and only
+    pairs that may be links leave the task.
+    """
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        keys = table.column("key").to_numpy()
+        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
+        yield from _meetings(table.slice(0, cut))
+        held = table.slice(cut)
+    if held is not None:
+        yield from _meetings(held)
+
+
+def _meetings(table: pa.Table, block: int = 64) -> Iterator[pa.RecordBatch]:
+    if not table.num_rows:
+        return
+    keys, node, component, n = (table.column(c).to_numpy() for c in ("key", "node", "component", "n"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(keys), -1)
+    edges = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
+    a, b = [], []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for at in range(lo, hi, block):
+            left, right = np.arange(at, min(at + block, hi)), np.arange(at, hi)
+            size = np.minimum(n[left, None], n[right]) * 100 >= np.maximum(n[left, None], n[right]) * 75
+            i, j = np.nonzero(size & (component[left, None] != component[right]) & (left[:, None] < right))
+            i, j = left[i], right[j]
+            near = np.concatenate(
+                [(sketch[i[k : k + 4096]] == sketch[j[k : k + 4096]]).mean(axis=1) >= SURE for k in range(0, len(i), 4096)] or [np.zeros(0, bool)]
+            )
+            a.append(np.maximum(node[i[near]], node[j[near]]))
+            b.append(np.minimum(node[i[near]], node[j[near]]))
+    columns = [pa.array(np.concatenate(x), pa.int64()) for x in (a, b)]
+    yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+
 def _as_links(found: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
@@ -160,17 +201,15 @@ def _pairs_apart(rows: DataFrame, full: DataFrame, found: DataFrame) -> DataFram
     for level in range(LEVELS):
         placed = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         placed = written(placed, "near-placed")
-        groups = placed.groupBy("key", "component").agg(F.count("*").alias("size"))
-        apart = groups.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", "size").alias("main"))
+        groups = placed.select("key", "component").distinct()
+        apart = groups.groupBy("key").agg(F.count("*").alias("kinds"))
         apart = written(apart.filter("kinds > 1"), "near-apart")
         last = level == LEVELS - 1
         small = apart if last else apart.filter(F.col("kinds") <= MANY)
-        other = placed.join(small.select("key", "main"), "key").filter("component != main")
-        x = other.select("key", F.col("node").alias("a"), F.col("component").alias("c_a"), "main")
-        y = placed.select("key", F.col("node").alias("b"), F.col("component").alias("c_b"))
-        # classes outside the main component against all of other components; two outside ones meet once
-        meet = (F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b"))
-        pairs = x.join(y, "key").filter((F.col("c_a") != F.col("c_b")) & meet).select("a", "b")
+        members = placed.join(small.select("key"), "key").join(full.select("node", "n", "sketch"), "node")
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sorted_members = members.select("key", "node", "component", "n", "sketch").repartition(parts, "key").sortWithinPartitions("key")
+        pairs = sorted_members.mapInArrow(_meet, "a long, b long")
         out = pairs if out is None else out.unionAll(pairs)
         large = apart.filter(F.col("kinds") > MANY).select("key")
         if last or large.isEmpty():
