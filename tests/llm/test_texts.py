@@ -207,6 +207,43 @@ def test_complements_are_exact():
     assert index.filling(50, 49) is None
 
 
+def test_mixers_of_blocks_add_up():
+    rng = np.random.default_rng(3)
+    parts = [([rng.normal(size=500).astype(np.float32) for _ in range(3)], rng.integers(0, 16, 500), rng.integers(0, 2, 500)) for _ in range(2)]
+    first, second, both = (scoring.Mixer(16, [1.0, 0.2, 0.6]) for _ in range(3))
+    first.learn(*parts[0])
+    second.learn(*parts[1])
+    both.add(first.sums() + second.sums())
+    assert np.allclose(both.all.sum(), 16 * 33 * 20 + 1000) and np.allclose(both.curve, first.curve + second.curve - np.eye(3) * 200)
+    again = scoring.Mixer(16, [1.0, 0.2, 0.6])
+    again.add(first.sums())
+    assert np.allclose(again.weights, first.weights, atol=1e-5) and np.allclose(again.ones, first.ones)
+
+
+def test_mixer_learns_from_every_bit():
+    texts = [f"the cat {i} sat on the mat {i % 7}" for i in range(60)]
+    read = scoring.Texts(texts)
+    hashes, n = np.unique(read.hashes, return_counts=True)
+    code = scoring.Code(hashes.tolist(), n.tolist(), 1, 0)
+    scorer = scoring.Scorer(scoring.Model(code, []))
+    symbols = code.symbols(read.hashes)
+    scorer.learn_words(read, symbols)
+    bits = len(code.bits(symbols)[0])
+    assert (scorer.of_words.all - 20).sum() == bits
+
+
+def test_equal_texts_score_equal_in_any_block(spark):
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    learnt = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    text = "the quick brown fox meets a new zyxwv"
+    # one partition with training texts, one with few, one without
+    rows = [(i, f"the fox number {i % 50} meets a quick dog {i}") for i in learnt[:600]] + [(ids[0], text)]
+    parts = [rows, [(learnt[700], "a dog"), (ids[1], text)], [(ids[2], text)]]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(lambda x: x), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in scoring.language_model_scores(df).collect()}
+    assert found[ids[0]] == found[ids[1]] == found[ids[2]]
+
+
 # --- quality scores ----------------------------------------------------------------
 
 

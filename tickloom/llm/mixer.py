@@ -14,12 +14,30 @@ STEPS = 33  # cells of the refinement over log odds of -8 to 8
 class Mixer:
     def __init__(self, gates: int, start: list[float]) -> None:
         k = len(start)
+        self.start = (gates, start)
         self.weights = np.tile(np.array(start, np.float32), (gates, 1))
         self.curve = np.tile(np.eye(k) * 200.0, (gates, 1, 1))
         centre = np.linspace(-8, 8, STEPS)
         self.ones = np.tile(20.0 / (1 + np.exp(-centre)), (gates, 1))
         self.all = np.full((gates, STEPS), 20.0)
 
+    def _state(self) -> np.ndarray:
+        pull = (self.curve @ self.weights[..., None].astype(np.float64))[..., 0]
+        return np.concatenate([x.ravel() for x in (self.curve, pull, self.ones, self.all)])
+
+    def sums(self) -> np.ndarray:
+        """All that was learnt, as numbers that add up: a Newton step leaves curve times weights as a plain sum over bits."""
+        return self._state() - Mixer(*self.start)._state()
+
+    def add(self, sums: np.ndarray) -> None:
+        """Learn what other mixers of the same start have learnt: the sum of their ``sums()``."""
+        state, at = self._state() + sums, 0
+        pull = np.empty(self.weights.shape)
+        for x in (self.curve, pull, self.ones, self.all):
+            x[...] = state[at : at + x.size].reshape(x.shape)
+            at += x.size
+        self.weights = np.linalg.solve(self.curve, pull[..., None])[..., 0].astype(np.float32)
+
     @staticmethod
     def _cell(odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
         cell = np.clip(odds, -8, 8)

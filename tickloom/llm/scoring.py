@@ -3,8 +3,9 @@
 A text is the sequence of its lower-cased words and an end. Frequent words are symbols of a Huffman code. Other words are
 an escape, then a word of the training texts by its share of them, or the sign of a new word and its bytes. Every bit of
 the code and of new words is predicted in several contexts; the bit counts of a context lie in a hashed table of fixed
-size, summed over all training texts. A mixer combines the predictors (mixer.py). It learns online, block by block, from
-training texts only, which are scored as if they had not been counted themselves.
+size, summed over all training texts. A mixer combines the predictors (mixer.py). In every task it learns online from
+each bit of the training texts, which are predicted as if they had not been counted themselves; what all tasks have
+learnt is summed to one mixer, and that one scores every text.
 
 The base score is exact: counts of all words, joined back to blocks of about eight megabytes of text.
 """
@@ -32,7 +33,6 @@ WORD_BITS, SPELL_BITS = 20, 18  # slots of hashed tables, as powers of two
 WORD_TABLES, SPELL_TABLES = 2, 4
 CHUNK = 1 << 13  # counts in a row of a table that is summed
 TOKENS, LETTERS = 8192, 10_240  # tokens and bytes worked on at a time: their arrays stay in the processor's cache
-STRIDE = 7  # the mixer learns from every seventh bit
 END = 0x5851F42D4C957F2D  # stands for the end of a text among word hashes
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77)
 
@@ -277,14 +277,22 @@ class Model:
         for at, raw in chunks:
             packed[at * CHUNK // 2 : (at + 1) * CHUNK // 2] = np.frombuffer(zlib.decompress(raw), "<u4")
         self.tables = np.split(packed, np.cumsum([1 << b for b in bits])[:-1])
+        self.learnt: np.ndarray | None = None  # what the mixers have learnt, as numbers that add up
 
 
 class Scorer:
-    """Scores texts in order; what it learns online stays in this object."""
+    """Scores texts, or learns from training texts in order; what it learns online stays in this object."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.of_words, self.of_letters = Mixer(16, [1.0, 0.2, 0.6]), Mixer(16, [1.0, 0.8, 0.7, 0.6])
+        if model.learnt is not None and len(model.learnt):
+            cut = len(self.of_words.sums())
+            self.of_words.add(model.learnt[:cut])
+            self.of_letters.add(model.learnt[cut:])
+
+    def sums(self) -> np.ndarray:
+        return np.concatenate([self.of_words.sums(), self.of_letters.sums()])
 
     @staticmethod
     def _seen(table: np.ndarray, slot: np.ndarray, own: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -297,9 +305,8 @@ class Scorer:
             np.maximum(zero, 0, out=zero)
         return zero, one
 
-    def _letters(self, spelled: list[bytes], own: bool) -> np.ndarray:
-        """Nats of each spelled word."""
-        out = np.zeros(len(spelled))
+    def _letters(self, spelled: list[bytes], own: bool) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """Word index, predictors, gate and bit of spelled words, some at a time."""
         for word, slots, bit in Letters(spelled).parts():
             bits = bit.astype(np.float32)
             own_bits = (1 - bits, bits) if own else None
@@ -310,19 +317,12 @@ class Scorer:
                 inputs.append(odds - below)
                 below = odds
                 seen.append(zero + one)
-            gate = confidence(seen[2]) * np.int32(4) + confidence(seen[3])
-            out += np.bincount(word, self.of_letters.costs(inputs, gate, 2 * bits - 1), len(spelled))
-            if own:
-                self.of_letters.learn([x[::STRIDE] for x in inputs], gate[::STRIDE], bit[::STRIDE])
-        return out
+            yield word, inputs, confidence(seen[2]) * np.int32(4) + confidence(seen[3]), bits
 
-    def score(self, read: Texts, count: np.ndarray, own: bool) -> np.ndarray:
-        """Nats of each text; ``count``: how often training texts have each token; ``own``: these are training texts,
-        counted in the tables, and are learnt from."""
+    def _words(self, read: Texts, symbols: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """Token index, predictors, gate and bit of the code bits, ``TOKENS`` tokens at a time."""
         code = self.model.code
-        symbols = code.symbols(read.hashes)
         found = contexts(symbols, read.starts, code.size)
-        costs = np.zeros(len(symbols))
         for at in range(0, len(symbols), TOKENS):
             token, flat, bit = code.bits(symbols[at : at + TOKENS])
             bits, node, p, odds = bit.astype(np.float32), code.hashed[flat], code.p[flat], code.odds[flat]
@@ -333,11 +333,28 @@ class Scorer:
                 inputs.append(stretch(one, zero, p, 1.0)[1])
                 inputs[-1] -= odds
                 seen.append(zero + one)
-            gate = confidence(seen[0]) * np.int32(4) + confidence(seen[1])
+            yield token, inputs, confidence(seen[0]) * np.int32(4) + confidence(seen[1]), bits
+
+    def learn_words(self, read: Texts, symbols: np.ndarray) -> None:
+        """Learn from every code bit of training texts, which are counted in the tables."""
+        for _, inputs, gate, bits in self._words(read, symbols, True):
+            self.of_words.learn(inputs, gate, bits)
+
+    def learn_letters(self, spelled: list[bytes]) -> None:
+        """Learn from every bit of words that one training text has once."""
+        for _, inputs, gate, bits in self._letters(spelled, True):
+            self.of_letters.learn(inputs, gate, bits)
+
+    def score(self, read: Texts, count: np.ndarray, own: bool) -> np.ndarray:
+        """Nats of each text; ``count``: how often training texts have each token; ``own``: these are training texts,
+        counted in the tables."""
+        code = self.model.code
+        symbols = code.symbols(read.hashes)
+        costs = np.zeros(len(symbols))
+        parts = self._words(read, symbols, own)
+        for at, (token, inputs, gate, bits) in zip(range(0, len(symbols), TOKENS), parts, strict=True):
             cost = self.of_words.costs(inputs, gate, 2 * bits - 1)
             costs[at : at + TOKENS] = np.bincount(token, cost, len(symbols[at : at + TOKENS]))
-            if own:
-                self.of_words.learn([x[::STRIDE] for x in inputs], gate[::STRIDE], bit[::STRIDE])
         escaped = np.flatnonzero(symbols == 0)
         others = count[escaped] - own
         old = others > 0
@@ -345,7 +362,10 @@ class Scorer:
         new = escaped[~old]
         if len(new):
             _, where, which = np.unique(read.hashes[new], return_index=True, return_inverse=True)
-            costs[new] += self._letters(read.words(new[where]), own)[which] - np.log(code.new)
+            nats = np.zeros(len(where))
+            for word, inputs, gate, bits in self._letters(read.words(new[where]), own):
+                nats += np.bincount(word, self.of_letters.costs(inputs, gate, 2 * bits - 1), len(nats))
+            costs[new] += nats[which] - np.log(code.new)
         return np.add.reduceat(costs, read.starts)
 
 
@@ -452,6 +472,54 @@ def _tables(blocks: DataFrame, code: Code) -> list[tuple[int, bytes]]:
     return [(r["chunk"], bytes(r["raw"])) for r in summed.collect()]
 
 
+def _learnt(blocks: DataFrame, uses: DataFrame, model: Model) -> np.ndarray:
+    """What the mixers learn from all training texts: a row of fixed size from each task, summed by place.
+
+    The texts are read where they lie. The mixer of letters learns from new words only: those without a symbol that
+    training texts have once.
+    """
+
+    def sums_of(scorer: Scorer) -> pa.Array:
+        return pa.array([scorer.sums()], pa.list_(pa.float64()))
+
+    def words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, rare = Scorer(model), {}
+
+        def seen_once() -> pa.RecordBatch:
+            got = {h: w for h, w in rare.items() if w is not None}
+            rare.clear()
+            hashes, spelled = np.array(list(got), np.uint64).view(np.int64), pa.array(got.values(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(got), pa.list_(pa.float64())), pa.array(hashes), spelled], ["sums", "word", "spelled"])
+
+        for batch in small(batches):
+            read = Texts(batch.column(0).to_pylist())
+            symbols = model.code.symbols(read.hashes)
+            scorer.learn_words(read, symbols)
+            escaped = np.flatnonzero(symbols == 0)
+            hashes, where, n = np.unique(read.hashes[escaped], return_index=True, return_counts=True)
+            for h, word, times in zip(hashes.tolist(), read.words(escaped[where]), n.tolist(), strict=True):
+                rare[h] = None if times > 1 or h in rare else word
+            if len(rare) > 300_000:
+                yield seen_once()
+        yield seen_once()
+        last = [sums_of(scorer), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())]
+        yield pa.RecordBatch.from_arrays(last, ["sums", "word", "spelled"])
+
+    def letters(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in small(batches, 10_000):
+            scorer.learn_letters(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([sums_of(scorer)], ["sums"])
+
+    rows = blocks.filter("NOT held_out").select("text").mapInArrow(words, "sums array<double>, word long, spelled binary")
+    rows = written(rows, "score-learnt")
+    once = uses.filter("first AND count = 1").select("word")
+    new = rows.filter("word IS NOT NULL").join(once, "word", "left_semi").select("spelled")
+    sums = rows.filter("sums IS NOT NULL").select("sums").unionAll(new.mapInArrow(letters, "sums array<double>"))
+    total = sums.select(F.posexplode("sums").alias("at", "value")).groupBy("at").agg(F.sum("value").alias("value")).collect()
+    return np.array([r["value"] for r in sorted(total, key=lambda r: r["at"])])
+
+
 def _score_block(model: Model, tokens: int, distinct: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
@@ -463,7 +531,6 @@ def _score_block(model: Model, tokens: int, distinct: int) -> Callable[[pa.Table
         docs = docs.take(pa.compute.sort_indices(docs, [("doc_id", "ascending"), ("text", "ascending")]))
         scorer, parts = Scorer(model), []
         out = docs.column("held_out").to_numpy()
-        # training texts first: what they teach is there for all texts that are held out
         for own in (True, False):
             mine = docs.filter(pa.array(out != own))
             for at in range(0, mine.num_rows, 128):
@@ -485,9 +552,9 @@ def language_model_scores(docs: DataFrame, divisor: int = 7, at: int = 2) -> Dat
     """One row per ``doc_id, text`` row: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, and
     ``bits_per_byte`` of the mixed model over the words and one byte behind each.
 
-    Counts, tables and the code come from all rows that are not held out (crc32 of doc_id modulo ``divisor`` is ``at``).
-    ``score`` is log10 of the model's probability. Null and empty texts are the end alone. Repeated rows are scored each
-    and may differ in the last digits of ``score``: the mixer learns between them. Without training texts the base score
+    Counts, tables, the code and the mixer come from all rows that are not held out (crc32 of doc_id modulo ``divisor`` is ``at``).
+    ``score`` is log10 of the model's probability. Null and empty texts are the end alone. Repeated rows are scored each,
+    by the same mixer. Without training texts the base score
     is zero and the model knows nothing but its code. An empty table gives no rows.
     """
     blocks = written(_blocks(docs, F.col("doc_id"), divisor, at), "score-blocks")
@@ -497,6 +564,7 @@ def language_model_scores(docs: DataFrame, divisor: int = 7, at: int = 2) -> Dat
     uses = written(uses.select("block", "word", "count", "first"), "score-words")
     code, tokens, distinct = _code(uses.filter("first AND count > 0"))
     model = Model(code, _tables(blocks, code))
+    model.learnt = _learnt(blocks, uses, model)
     grouped = blocks.groupBy("block").cogroup(uses.select("block", "word", "count").groupBy("block"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     layout = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
