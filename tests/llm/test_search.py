@@ -76,3 +76,46 @@ def test_components(spark):
     found = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {n: root(n) for pair in links for n in pair if pair[0] != pair[1]}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def crowd(spark, size):
+    """One bucket of unlike classes, of which only the first and the last are alike; no other band is shared."""
+    r = np.random.default_rng(5)
+    sketches = r.integers(0, 2**16, (size, 176)).astype("<u2")
+    sketches[-1] = sketches[0]
+    full = [(i, 100, bytearray(s.tobytes()), [1, 10 + i]) for i, s in enumerate(sketches)]
+    full = spark.createDataFrame(full, "node long, n long, sketch binary, bands array<long>")
+    rows = spark.createDataFrame([(1, i) for i in range(size)], "key long, node long")
+    return rows, full, spark.createDataFrame([], "node long, component long")
+
+
+@pytest.mark.parametrize("size", [100, 1300])
+def test_only_shared_band_is_a_large_bucket(spark, size):
+    found = neardup._pairs_apart(*crowd(spark, size)).collect()
+    assert {(r.a, r.b) for r in found} == {(size - 1, 0)}
+
+
+def test_large_bucket_is_cut_into_bounded_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MANY", 50)
+
+    def meet(one):
+        def sizes(batches):
+            import pyarrow as pa
+
+            tiles = Counter(t for b in batches for t in b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(tiles), pa.int64()), pa.array(list(tiles.values()), pa.int64())], ["a", "b"])
+
+        return sizes
+
+    monkeypatch.setattr(neardup, "_meet", meet)
+    largest = [r.b for r in neardup._pairs_apart(*crowd(spark, 1000)).collect()]
+    assert len(largest) == 210 and max(largest) < 200
+
+
+def test_one_pair_of_two_components(spark):
+    rows, full, _ = crowd(spark, 40)
+    sketch = full.first().sketch
+    full = spark.createDataFrame([(i, 100, sketch, [1]) for i in range(40)], full.schema)
+    found = spark.createDataFrame([(i, i % 2) for i in range(40)], "node long, component long")
+    assert len(neardup._pairs_apart(rows, full, found, True).collect()) == 1
+    assert len(neardup._pairs_apart(rows, full, found).collect()) == 400

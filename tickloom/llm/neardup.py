@@ -5,13 +5,14 @@ A signature keeps the smallest and the largest value of each permutation, so 88
 the start. Candidates come in steps that never list all pairs of a bucket: first every class of a bucket against its
 smallest one, in some bands, which joins large groups of near copies; then, in buckets of all bands that hold several
 components, each class against one of the smallest component; then, inside each bucket that is left, classes of different
-components by their sketches, of which only pairs that may be links leave the task. A bucket of many components (a passage that very many documents share) is cut by the other bands of
-its members, again and again: similar sets share several bands.
+components by their sketches, of which only pairs that may be links leave the task: one pair of two components first, and
+all others where components stay apart. A large bucket (a passage that very many documents share) is cut into parts, and
+every two parts meet in a task of bounded size, so that no pair of a bucket is left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,7 @@ from tickloom.llm.shingles import Shingles
 from tickloom.session import written
 
 PERMUTATIONS, BANDS, ROWS = 88, 44, 4
-MANY = 512  # components of a bucket beyond which it is cut by further bands
-LEVELS = 3
+MANY = 512  # classes of a bucket, about, that meet as many others in one task
 STAR_BANDS = 8  # bands that join large groups of near copies before all are looked at
 # A pair of similarity 0.75 agrees in fewer than 55 % of 176 values with probability under 1e-8.
 SURE = 0.55
@@ -133,44 +133,59 @@ class _Checker:
         return written(linked.select("a", "b"), "near-links")
 
 
-def _meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's classes in different components whose sizes and sketches allow a link.
+def _meet(one: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a tile's classes in different components whose sizes and sketches allow a link.
 
-    Rows ``key, node, component, n, sketch`` come sorted by key; a bucket's rows are compared block by block, and only
-    pairs that may be links leave the task.
+    Rows ``tile, part, same, node, component, n, sketch`` come sorted by tile, and only pairs that may be links leave the
+    task: with ``one``, of two components the pair whose sketches agree most.
     """
-    held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-        keys = table.column("key").to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-        yield from _meetings(table.slice(0, cut))
-        held = table.slice(cut)
-    if held is not None:
-        yield from _meetings(held)
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            keys = table.column("tile").to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last tile may go on
+            yield from _meetings(table.slice(0, cut), one)
+            held = table.slice(cut)
+        if held is not None:
+            yield from _meetings(held, one)
+
+    return meet
 
 
-def _meetings(table: pa.Table, block: int = 64) -> Iterator[pa.RecordBatch]:
+def _meetings(table: pa.Table, one: bool, block: int = 64) -> Iterator[pa.RecordBatch]:
     if not table.num_rows:
         return
-    keys, node, component, n = (table.column(c).to_numpy() for c in ("key", "node", "component", "n"))
+    keys, part, node, component, n = (table.column(c).to_numpy() for c in ("tile", "part", "node", "component", "n"))
+    same = table.column("same").to_numpy()
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(keys), -1)
     edges = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
-    a, b = [], []
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        best: dict[tuple[int, int], tuple[float, int, int]] = {}
         for at in range(lo, hi, block):
             left, right = np.arange(at, min(at + block, hi)), np.arange(at, hi)
             size = np.minimum(n[left, None], n[right]) * 100 >= np.maximum(n[left, None], n[right]) * 75
-            i, j = np.nonzero(size & (component[left, None] != component[right]) & (left[:, None] < right))
+            met = same[left, None] | (part[left, None] != part[right])
+            i, j = np.nonzero(size & met & (component[left, None] != component[right]) & (left[:, None] < right))
             i, j = left[i], right[j]
-            near = np.concatenate(
-                [(sketch[i[k : k + 4096]] == sketch[j[k : k + 4096]]).mean(axis=1) >= SURE for k in range(0, len(i), 4096)] or [np.zeros(0, bool)]
-            )
-            a.append(np.maximum(node[i[near]], node[j[near]]))
-            b.append(np.minimum(node[i[near]], node[j[near]]))
-    columns = [pa.array(np.concatenate(x), pa.int64()) for x in (a, b)]
-    yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+            agree = np.concatenate([(sketch[i[k : k + 4096]] == sketch[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
+            near = agree >= SURE
+            i, j, agree = i[near], j[near], agree[near]
+            a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+            if one:
+                x, y = np.maximum(component[i], component[j]), np.minimum(component[i], component[j])
+                order = np.lexsort((agree, y, x))
+                last = order[np.append((np.diff(x[order]) != 0) | (np.diff(y[order]) != 0), True)] if len(order) else order
+                for k in last.tolist():
+                    two = int(x[k]), int(y[k])
+                    best[two] = max(best.get(two, (0.0, 0, 0)), (float(agree[k]), int(a[k]), int(b[k])))
+            elif len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if best:
+            columns = [pa.array([v[k] for v in best.values()], pa.int64()) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
 
 def _as_links(found: DataFrame) -> DataFrame:
@@ -192,33 +207,22 @@ def _stars(rows: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def _pairs_apart(rows: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
+def _pairs_apart(rows: DataFrame, full: DataFrame, found: DataFrame, one: bool = False) -> DataFrame:
     """Pairs ``a, b`` of classes that share a bucket but no component yet; ``rows`` has key and node.
 
-    Buckets of more than ``MANY`` components are cut by the other bands of their members, ``LEVELS`` times at most.
+    A bucket is cut into parts of about ``MANY`` classes; each two parts, and each part by itself, are a tile.
     """
-    out = None
-    for level in range(LEVELS):
-        placed = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        placed = written(placed, "near-placed")
-        groups = placed.select("key", "component").distinct()
-        apart = groups.groupBy("key").agg(F.count("*").alias("kinds"))
-        apart = written(apart.filter("kinds > 1"), "near-apart")
-        last = level == LEVELS - 1
-        small = apart if last else apart.filter(F.col("kinds") <= MANY)
-        members = placed.join(small.select("key"), "key").join(full.select("node", "n", "sketch"), "node")
-        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        sorted_members = members.select("key", "node", "component", "n", "sketch").repartition(parts, "key").sortWithinPartitions("key")
-        pairs = sorted_members.mapInArrow(_meet, "a long, b long")
-        out = pairs if out is None else out.unionAll(pairs)
-        large = apart.filter(F.col("kinds") > MANY).select("key")
-        if last or large.isEmpty():
-            return out
-        again = placed.join(large, "key").select("key", "node")
-        further = again.join(full.select("node", F.explode("bands").alias("band")), "node").filter("band != key")
-        mixed = F.xxhash64(F.least("key", "band"), F.greatest("key", "band"))
-        rows = further.select("node", mixed.alias("key")).distinct()
-    return out
+    placed = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = written(placed, "near-placed")
+    ends = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("classes"))
+    apart = written(ends.filter("low != high").select("key", F.ceil(F.col("classes") / MANY).alias("parts")), "near-apart")
+    members = placed.join(apart, "key").join(full.select("node", "n", "sketch"), "node")
+    members = members.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tile = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
+    members = members.select(tile.alias("tile"), "part", (F.col("part") == F.col("other")).alias("same"), "node", "component", "n", "sketch")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_meet(one), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -253,8 +257,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _apart(placed.select("node", "component", F.explode("bands").alias("key")))
     checker.prepare(rows.select("node"))
     found = components(_as_links(found).unionAll(checker.confirmed(_stars(rows))))
-    pairs = written(_pairs_apart(rows.select("key", "node"), full, found).distinct(), "near-apart-pairs")
-    found = components(_as_links(found).unionAll(checker.confirmed(pairs)))
+    for one in (True, False):
+        pairs = written(_pairs_apart(rows.select("key", "node"), full, found, one).distinct(), "near-apart-pairs")
+        found = components(_as_links(found).unionAll(checker.confirmed(pairs)))
     placed = classes.select("h1", "h2", "node").join(found, "node", "left")
     placed = placed.select("h1", "h2", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
