@@ -119,3 +119,8 @@ def test_one_pair_of_two_components(spark):
     found = spark.createDataFrame([(i, i % 2) for i in range(40)], "node long, component long")
     assert len(neardup._pairs_apart(rows, full, found, True).collect()) == 1
     assert len(neardup._pairs_apart(rows, full, found).collect()) == 400
+
+
+def test_a_band_has_four_permutations():
+    rows = neardup.band_rows(np.tile(np.arange(neardup.PERMUTATIONS), 2))
+    assert rows.shape == (neardup.BANDS, neardup.ROWS) and all(len(set(r)) == neardup.ROWS for r in rows.tolist())

@@ -1,7 +1,9 @@
 """Near-duplicate documents by min-max hashing, confirmed on full shingle sets.
 
 A signature keeps the smallest and the largest value of each permutation, so 88 hash evaluations give 176 values, cut into
-44 bands of four. Two sets of similarity 0.75 share no band with probability 6e-8. Sets that are equal are one class from
+44 bands of four, each from four permutations. Two sets of similarity 0.75 agree in a band with probability 0.316, of any
+size, and share none with probability 6e-8 (if bands were independent; smallest and largest value of a permutation are
+not quite, in small sets). Sets that are equal are one class from
 the start. Candidates come in steps that never list all pairs of a bucket: first every class of a bucket against its
 smallest one, in some bands, which joins large groups of near copies; then, in buckets of all bands that hold several
 components, each class against one of the smallest component; then, inside each bucket that is left, classes of different
@@ -49,9 +51,15 @@ def signature(shingles: np.ndarray, block: int = 16_384) -> np.ndarray:
     return (np.concatenate([low, high]) >> np.uint64(32)).astype("<u4")
 
 
+def band_rows(values: np.ndarray) -> np.ndarray:
+    """The values of each band: smallest of permutations k and 44 + k, largest of 22 + k and 66 + k (modulo 88)."""
+    low, high = values[:PERMUTATIONS], np.roll(values[PERMUTATIONS:], -BANDS // 2)
+    return np.ascontiguousarray(np.concatenate([low, high]).reshape(ROWS, BANDS).T)
+
+
 def band_keys(values: np.ndarray) -> list[int]:
     """A 64-bit key per band; the four values of a band come from four permutations."""
-    rows = np.ascontiguousarray(values.reshape(ROWS, BANDS).T)
+    rows = band_rows(values)
     return [xxhash.xxh3_64_intdigest(row.tobytes(), seed=k) - 2**63 for k, row in enumerate(rows)]
 
 
