@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import compression, languages, lines, media, mixing, neardup, packing, rules, scoring, tokens
+from tickloom.llm import alignment, compression, languages, lines, media, mixing, neardup, packing, rules, scoring, tokens
 from tickloom.llm.common import table
 from tickloom.session import configure
 
@@ -90,3 +90,4 @@ QUERIES["op9_compression_quality"] = lambda spark, folder: compression.quality_s
 )
 _over_documents("op2_media_columns", media.document_sequences)
 _over_documents("op3_context_mixing_score", scoring.language_model_scores)
+_over_documents("op11_cross_alignment", alignment.cross_alignment)
