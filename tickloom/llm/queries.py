@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import alignment, compression, languages, lines, media, mixing, neardup, packing, rules, scoring, tokens
+from tickloom.llm import alignment, compression, languages, lines, media, mixing, neardup, packing, rules, scoring, subspaces, tokens
 from tickloom.llm.common import table
 from tickloom.session import configure
 
@@ -78,6 +78,20 @@ SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, coalesce(m.component, s.doc_id
 FROM s LEFT JOIN c ON len(s.sh) > 0 AND hash(list_sort(s.sh)) = c.hs LEFT JOIN m ON m.node = c.node
 """
 
+_COSINE = """
+WITH RECURSIVE g AS (SELECT row_number() OVER () AS rid, vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+v AS (SELECT rid, vec_id, x, sqrt(list_sum(list_transform(x, lambda c: c * c))) AS norm FROM g
+  WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (SELECT a.rid AS a, b.rid AS b, a.vec_id AS va, b.vec_id AS vb FROM v a JOIN v b ON a.rid <> b.rid
+  AND CASE WHEN len(a.x) = len(b.x) THEN list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.9 ELSE FALSE END),
+n AS (SELECT a AS rid, count(*) AS links FROM l GROUP BY a),
+r(node, reach) AS (SELECT DISTINCT va, va FROM l UNION SELECT r.node, l.vb FROM r JOIN l ON l.va = r.reach),
+m AS (SELECT node, min(reach) AS component FROM r GROUP BY node)
+SELECT g.vec_id, coalesce(n.links, 0)::BIGINT AS n_links, coalesce(m.component, g.vec_id) AS component_id,
+  g.vec_id = coalesce(m.component, g.vec_id) AS kept
+FROM g LEFT JOIN n ON g.rid = n.rid LEFT JOIN m ON g.vec_id = m.node
+"""
+
 _over_documents("op6_quality_rules", rules.quality)
 _over_documents("op7_mixing", mixing.mix, _MIX)
 _over_documents("op8_line_dedup", lines.line_report, _LINES)
@@ -91,3 +105,5 @@ QUERIES["op9_compression_quality"] = lambda spark, folder: compression.quality_s
 _over_documents("op2_media_columns", media.document_sequences)
 _over_documents("op3_context_mixing_score", scoring.language_model_scores)
 _over_documents("op11_cross_alignment", alignment.cross_alignment)
+QUERIES["op13_subspace_links"] = lambda spark, folder: subspaces.near_vectors(table(configure(spark), folder, "embeddings"))
+ORACLES["op13_subspace_links"] = _COSINE
