@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tickloom.llm import alignment, compression, languages, lines, media, mixing, neardup, packing, rules, scoring, subspaces, tokens
+from tickloom.llm import alignment, compression, divergence, languages, lines, media, mixing, neardup, packing, rules, scoring, subspaces, tokens
 from tickloom.llm.common import table
 from tickloom.session import configure
 
@@ -92,6 +92,30 @@ SELECT g.vec_id, coalesce(n.links, 0)::BIGINT AS n_links, coalesce(m.component,
 FROM g LEFT JOIN n ON g.rid = n.rid LEFT JOIN m ON g.vec_id = m.node
 """
 
+_DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n FROM g JOIN k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER s + 2 * count(*) OVER s)::HUGEINT AS p FROM a WINDOW s AS (PARTITION BY lang, source)),
+m AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM a GROUP BY lang, term),
+q AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER s + 2 * count(*) OVER s)::HUGEINT AS q FROM m WINDOW s AS (PARTITION BY lang)),
+x AS (SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+u AS (SELECT i.lang, i.source, 'pair' AS part, j.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g i JOIN g j ON i.lang = j.lang AND i.source <> j.source
+  LEFT JOIN x ON x.lang = i.lang AND x.source = i.source AND x.item = j.source
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (((p.p - q.q) * (p.p - q.q)) // (p.p + q.q))::BIGINT
+  FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p.p > q.q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM u)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
 _over_documents("op6_quality_rules", rules.quality)
 _over_documents("op7_mixing", mixing.mix, _MIX)
 _over_documents("op8_line_dedup", lines.line_report, _LINES)
@@ -107,3 +131,4 @@ _over_documents("op3_context_mixing_score", scoring.language_model_scores)
 _over_documents("op11_cross_alignment", alignment.cross_alignment)
 QUERIES["op13_subspace_links"] = lambda spark, folder: subspaces.near_vectors(table(configure(spark), folder, "embeddings"))
 ORACLES["op13_subspace_links"] = _COSINE
+_over_documents("op12_source_divergence", divergence.source_divergence, _DIVERGENCE)
