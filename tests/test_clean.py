@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tickloom.operators import clean as C
+from tickloom.operators import spikes as S
 from tickloom.operators.ordered import (
     by_seq,
     by_time,
@@ -88,6 +89,54 @@ def test_walk_equals_the_fold(steps):
     assert spike.tolist() == fold_spikes([(x / 1e6, b, b + 0.01) for x, b in zip(t, bid)], 0.1, 300)
 
 
+@pytest.mark.parametrize("slices", [4, 16, 64])
+def test_rounds_grow_with_the_logarithm_of_the_slices(tick_frame, slices):
+    """Two price levels that never agree, less than the market gap apart: every slice is in doubt."""
+    rows = [(i, 100.0 if i % 2 else 105.0, 106.0) for i in range(8 * slices)]
+    runs = tick_frame(rows).withColumn("__slice", by_seq(8).column())
+    carried, rounds = S._Filter(runs, 0.1, 10_000.0).carried()
+    assert rounds <= np.log2(slices) + 1
+    assert {r.carried.bid for r in carried.filter("__slice > 0").collect()} == {105.0}
+
+
+@settings(max_examples=100, deadline=None)
+@given(
+    st.lists(st.tuples(st.integers(-20, 200), st.sampled_from([100.0, 100.05, 100.2, 101.0, 150.0])), min_size=1, max_size=80),
+    st.integers(1, 12),
+)
+def test_maps_compose_to_the_fold(steps, width):
+    """Slice rows and maps alone give the tick carried into every slice; times may go back."""
+    t = np.cumsum([s for s, _ in steps]).astype("int64") * 1_000_000
+    bid = np.array([p for _, p in steps])
+    runs = [S.Run(t[i : i + width], bid[i : i + width], bid[i : i + width] + 0.01, 0.1, 300.0) for i in range(0, len(t), width)]
+    shown = lambda x: S._shown(x)
+    facts = [
+        dict(first=shown(r.tick(0)), free=shown(r.transfer(None)), ends=[shown(x) for x in r.ends()], ts_high=int(r.ts.max()),
+             bid_low=r.bid.min(), bid_high=r.bid.max(), ask_low=r.ask.min(), ask_high=r.ask.max())
+        for r in runs
+    ]
+    moves = [[] for _ in runs]
+    for rounds in range(60):
+        rows = [S.SliceRow(f, m, 0.1, 300.0) for f, m in zip(facts, moves)]
+        carried, asked = S.scan(rows, 1 << rounds)
+        if not asked:
+            break
+        for k, states in asked.items():
+            moves[k] += [{"before": shown(s), "after": shown(runs[k].transfer(s))} for s in states]
+    got = np.concatenate([r.flags(c) for r, c in zip(runs, carried, strict=True)])
+    assert got.tolist() == fold_spikes([(x / 1e6, b, b + 0.01) for x, b in zip(t, bid)], 0.1, 300)
+    for r in runs:  # whatever comes in, what goes out is an end or what came in
+        assert {r.transfer(s) for s in [(int(t[0]), 99.0, 99.01), (int(t[-1]), 150.0, 150.01)]} <= {*r.ends(), (int(t[0]), 99.0, 99.01), (int(t[-1]), 150.0, 150.01)}
+
+
+def test_a_future_tick_that_locks_out_settles_without_reading_ticks(tick_frame):
+    rows = [(0, 100.0), (10_000_000, 300.0), *[(10 + i, 100.0) for i in range(200)]]
+    runs = tick_frame(rows).withColumn("__slice", by_seq(4).column())
+    carried, rounds = S._Filter(runs, 0.1, 300.0).carried()
+    assert rounds <= 1 and {r.carried.bid for r in carried.filter("__slice > 0").collect()} == {300.0}
+    assert flags(C.flag_spikes(tick_frame(rows), slicing=by_seq(4))) == fold_spikes([(t, b, b + 0.0002) for t, b in rows], 0.1, 300)
+
+
 def test_bad_settings(tick_frame):
     with pytest.raises(ValueError):
         C.flag_spikes(tick_frame([(0, 1.0)]), threshold_percent=0)

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,11 +16,10 @@ from tickloom.operators.ordered import (
     by_seq,
     fold_blocks,
     last_rows,
-    ordered_by,
     running,
 )
 from tickloom.operators.rolling import moments_before, moments_up_to
-from tickloom.session import written
+from tickloom.operators.spikes import drop_spikes, flag_spikes, walk_spikes  # noqa: F401  part of cleaning
 
 KEYS = ["symbol"]
 
@@ -101,227 +99,7 @@ def gap_events(gaps: DataFrame, low: float = 10.0, medium: float = 20.0) -> Data
     )
 
 
-# --- percent spike filter ----------------------------------------------------
-#
-# The filter compares a tick with the last *accepted* tick, so a decision
-# depends on all decisions before it. The history is cut into slices that are
-# walked in parallel, each on the assumption that its first tick is accepted.
-# Two walks that accept the same tick agree from there on, so the assumption
-# holds whenever the carried-in tick would have accepted the slice's first one,
-# which is checked on one summary row per slice. Only slices that fail the check
-# are walked again, from the tick really carried in, until nothing changes.
-
-_STATE = ("ts", "bid", "ask")
-
-
-def usable_quotes(bid, ask):
-    """Rows whose bid and ask are positive finite numbers."""
-    with np.errstate(invalid="ignore"):
-        return (bid > 0) & (ask > 0) & np.isfinite(bid) & np.isfinite(ask)
-
-
-def walk_spikes(ts, bid, ask, carried, threshold: float, market_gap: float):
-    """Decide each tick of one run; returns (spike flags, last accepted tick).
-
-    ``carried`` is the (ts, bid, ask) accepted before the run, or None. Stretches
-    where each tick accepts the next are taken in one step. Ticks without two
-    positive finite quotes are flagged and never accepted.
-    """
-    usable = usable_quotes(bid, ask)
-    if not usable.all():
-        flags = ~usable
-        flags[usable], state = walk_spikes(ts[usable], bid[usable], ask[usable], carried, threshold, market_gap)
-        return flags, state
-    n = len(ts)
-    spike = np.zeros(n, dtype=bool)
-    gap = int(market_gap * 1_000_000)
-
-    def accepts(t0, b0, a0, t, b, a):
-        if t - t0 > gap:
-            return True
-        return not max(abs((b - b0) / b0) * 100, abs((a - a0) / a0) * 100) > threshold
-
-    with np.errstate(divide="ignore", invalid="ignore"):
-        moved = np.maximum(
-            np.abs((bid[1:] - bid[:-1]) / bid[:-1]) * 100, np.abs((ask[1:] - ask[:-1]) / ask[:-1]) * 100
-        )
-    breaks = np.flatnonzero((moved > threshold) & ~(ts[1:] - ts[:-1] > gap)) + 1
-    tl, bl, al = ts.tolist(), bid.tolist(), ask.tolist()
-    state, i = carried, 0
-    while i < n:
-        if state is None or accepts(*state, tl[i], bl[i], al[i]):
-            k = np.searchsorted(breaks, i, side="right")
-            i = int(breaks[k]) if k < len(breaks) else n
-            state = (tl[i - 1], bl[i - 1], al[i - 1])
-        else:
-            spike[i] = True
-            i += 1
-    return spike, state
-
-
-def _accepts(prefix: str, threshold: float, market_gap: float) -> Column:
-    """The same rule on summary rows: does the carried tick accept the first tick?"""
-    t0, b0, a0 = (F.col(f"{prefix}_{c}") for c in _STATE)
-    t, b, a = (F.col(f"first_{c}") for c in _STATE)
-    moved = F.greatest(F.abs((b - b0) / b0) * 100, F.abs((a - a0) / a0) * 100)
-    # a slice without a usable tick has no first one and disputes nothing
-    return t.isNull() | t0.isNull() | (t - t0 > int(market_gap * 1_000_000)) | ~(moved > threshold)
-
-
-def _summary_schema(symbol: T.DataType) -> T.StructType:
-    fields = [T.StructField("symbol", symbol), T.StructField("__slice", T.LongType())]
-    for prefix in ("first", "out"):
-        fields += [
-            T.StructField(f"{prefix}_ts", T.LongType()),
-            T.StructField(f"{prefix}_bid", T.DoubleType()),
-            T.StructField(f"{prefix}_ask", T.DoubleType()),
-        ]
-    return T.StructType(fields)
-
-
-def _quotes(table: pa.Table):
-    """The group's rows in arrival order and its times (µs), bids and asks."""
-    table = ordered_by(table, "seq")
-    ts = table.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
-    return table, ts, table.column("bid").to_numpy(), table.column("ask").to_numpy()
-
-
-def _carried(table: pa.Table):
-    held = tuple(table.column(f"in_{c}")[0] for c in _STATE)
-    if not held[0].is_valid:
-        return None
-    return held[0].as_py(), held[1].as_py(), held[2].as_py()
-
-
-def _with_slice_of(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """Join on symbol and slice; rows without a symbol or number form slices too."""
-    other = right.select(F.col("symbol").alias("__symbol"), F.col("__slice").alias("__other"), *[c for c in right.columns if c not in ("symbol", "__slice")])
-    same = F.col("symbol").eqNullSafe(F.col("__symbol")) & F.col("__slice").eqNullSafe(F.col("__other"))
-    return left.join(other, same, how).drop("__symbol", "__other")
-
-
-def _carried_in(
-    runs: DataFrame, threshold: float, market_gap: float, max_rounds: int | None
-) -> DataFrame:
-    """(symbol, slice, in_ts, in_bid, in_ask): the proven tick carried into each slice.
-
-    The loop keeps one row per slice and ends when every slice was walked from
-    the tick its predecessor really hands over. Each round settles at least one
-    more slice of a symbol, and normally all of them.
-    """
-    schema = _summary_schema(runs.schema["symbol"].dataType)
-
-    def summarise(table: pa.Table) -> pa.Table:
-        table, ts, bid, ask = _quotes(table)
-        carried = _carried(table) if "in_ts" in table.column_names else None
-        _, out = walk_spikes(ts, bid, ask, carried, threshold, market_gap)
-        one = table.select(["symbol", "__slice"]).slice(0, 1)
-        usable = np.flatnonzero(usable_quotes(bid, ask))
-        first = (int(ts[usable[0]]), bid[usable[0]], ask[usable[0]]) if len(usable) else None
-        for prefix, tick in (("first", first), ("out", out)):
-            for c, value in zip(_STATE, tick or (None,) * 3):
-                kind = pa.int64() if c == "ts" else pa.float64()
-                one = one.append_column(f"{prefix}_{c}", pa.array([value], kind))
-        return one
-
-    free = runs.groupBy("symbol", "__slice").applyInArrow(summarise, schema)
-    ins = [f"in_{c}" for c in _STATE]
-    outs = [f"out_{c}" for c in _STATE]
-    # free_*: result when the first tick is accepted; in_* / out_*: last walk.
-    state = free.select(
-        "*",
-        *[F.col(o).alias(o.replace("out", "free")) for o in outs],
-        F.lit(False).alias("walked"),
-        *[F.lit(None).cast("long" if c == "ts" else "double").alias(f"in_{c}") for c in _STATE],
-    )
-    # slices that hand over nothing are looked through
-    scan = Window.partitionBy("symbol").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    rounds = 0
-    while True:
-        state = state.select(
-            "*", *[F.last(f"out_{c}", ignorenulls=True).over(scan).alias(f"new_{c}") for c in _STATE]
-        ).withColumn("agrees", _accepts("new", threshold, market_gap))
-        same = F.col("walked")
-        for c in _STATE:
-            same = same & F.col(f"new_{c}").eqNullSafe(F.col(f"in_{c}"))
-        state = state.withColumn("todo", ~F.col("agrees") & ~same)
-        # A slice that agrees again after an earlier re-walk returns to its free result.
-        moved = F.lit(False)
-        for c in _STATE:
-            moved = moved | ~F.col(f"out_{c}").eqNullSafe(F.col(f"free_{c}"))
-        state = written(state.withColumn("reset", F.col("agrees") & moved), "spike-round")
-        left = state.agg(F.count_if("todo").alias("todo"), F.count_if("reset").alias("reset")).first()
-        if left["todo"] == 0 and left["reset"] == 0:
-            return state.select("symbol", "__slice", *[F.col(f"new_{c}").alias(f"in_{c}") for c in _STATE])
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError("spike filter did not settle")
-        rounds += 1
-        again = state.filter("todo").select(
-            "symbol", "__slice", *[F.col(f"new_{c}").alias(f"in_{c}") for c in _STATE]
-        )
-        rewalked = (
-            _with_slice_of(runs, again)
-            .groupBy("symbol", "__slice")
-            .applyInArrow(summarise, schema)
-            .select("symbol", "__slice", *[F.col(o).alias(f"re_{o}") for o in outs])
-        )
-        joined = _with_slice_of(state, rewalked, "left")
-        state = joined.select(
-            "symbol",
-            "__slice",
-            *[f"first_{c}" for c in _STATE],
-            *[
-                F.when(F.col("todo"), F.col(f"re_out_{c}"))
-                .when(F.col("agrees"), F.col(f"free_{c}"))
-                .otherwise(F.col(f"out_{c}"))
-                .alias(f"out_{c}")
-                for c in _STATE
-            ],
-            *[f"free_{c}" for c in _STATE],
-            (F.col("todo") | (F.col("walked") & ~F.col("agrees"))).alias("walked"),
-            *[
-                F.when(F.col("todo"), F.col(f"new_{c}")).otherwise(F.col(f"in_{c}")).alias(f"in_{c}")
-                for c in _STATE
-            ],
-        )
-
-
-def flag_spikes(
-    ticks: DataFrame,
-    threshold_percent: float = 0.1,
-    market_gap: float = 300.0,
-    slicing: Slicing | None = None,
-    max_rounds: int | None = None,
-) -> DataFrame:
-    """Add ``is_spike``: bid or ask moved more than ``threshold_percent`` from the last
-    accepted tick. The first tick and ticks more than ``market_gap`` seconds after the
-    last accepted one are accepted. Ticks without two positive finite quotes are
-    flagged and compared with nothing. Rows without a symbol or an arrival number
-    stay: each such group is walked on its own.
-
-    This runs Spark jobs while it is called (one walk that returns a row per
-    slice, plus re-walks of disputed slices); the flags themselves are lazy.
-    """
-    slicing = slicing or by_seq()
-    if threshold_percent <= 0 or market_gap < 0:
-        raise ValueError("threshold_percent must be positive and market_gap non-negative")
-    typed = ticks.withColumns({"bid": F.col("bid").cast("double"), "ask": F.col("ask").cast("double")})
-    runs = typed.withColumn("__slice", slicing.column())
-    narrow = runs.select("symbol", "__slice", "ts", "seq", "bid", "ask")
-    carried = _carried_in(narrow, threshold_percent, market_gap, max_rounds)
-    schema = T.StructType([*typed.schema.fields, T.StructField("is_spike", T.BooleanType())])
-    names = typed.columns
-
-    def decide(table: pa.Table) -> pa.Table:
-        table, ts, bid, ask = _quotes(table)
-        spikes, _ = walk_spikes(ts, bid, ask, _carried(table), threshold_percent, market_gap)
-        return table.select(names).append_column("is_spike", pa.array(spikes))
-
-    return _with_slice_of(runs, carried).groupBy("symbol", "__slice").applyInArrow(decide, schema)
-
-
-def drop_spikes(ticks: DataFrame, **options) -> DataFrame:
-    return flag_spikes(ticks, **options).filter(~F.col("is_spike")).drop("is_spike")
+# --- totals -------------------------------------------------------------------
 
 
 def counters(flagged: DataFrame, spike: str = "is_spike", dropped: str | None = None) -> DataFrame:
