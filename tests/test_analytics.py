@@ -13,6 +13,7 @@ from tickloom.operators import alerts as M
 from tickloom.operators import bars as B
 from tickloom.operators import gaps as G
 from tickloom.operators import indicators as I
+from tickloom.operators import ordered
 from tickloom.operators import reconcile as J
 from tickloom.operators import stats as A
 from tickloom.operators.ordered import by_seq, by_time
@@ -120,6 +121,57 @@ def test_recursive_averages_remember_flat_runs(bar_frame, block_rows):
     assert np.allclose(column(m, "macd_signal"), line.ewm(span=9, adjust=False).mean(), atol=1e-10)
 
 
+@pytest.mark.parametrize("group", [1, 3, 7])
+def test_no_task_scans_all_blocks_of_a_symbol(bar_frame, monkeypatch, group):
+    """The states of one symbol's 95 blocks are scanned in groups; values do not depend on their size."""
+    x = walk(1500)
+    s, seen = pd.Series(x), []
+    monkeypatch.setattr(ordered, "SCAN_GROUP", group)
+    scanned = ordered._scanned
+
+    def noted(sums, keys, *rest):
+        size = F.floor(F.col("__block") / group)
+        seen.append((sums.groupBy(*keys, size).count().agg(F.max("count")).first()[0], sums.count()))
+        return scanned(sums, keys, *rest)
+
+    monkeypatch.setattr(ordered, "_scanned", noted)
+    seams = {"slicing": by_time(86_400 * 3), "block_rows": 16}
+    out = I.calculate_indicators(bar_frame(x), ["EMA", "MACD", "RSI"], EMA={"period": [5, 200]}, **seams)
+    assert seen == [(group, 95)]  # the last one holds halo rows only
+    for n in (5, 200):
+        assert close_to(column(out, f"EMA_{n}"), s.ewm(span=n, adjust=False).mean(), 1e-13)
+    line = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
+    assert np.allclose(column(out, "macd_signal"), line.ewm(span=9, adjust=False).mean(), atol=1e-11)
+    assert np.allclose(column(out, "RSI_14"), plain_rsi(x), rtol=1e-9, equal_nan=True)
+
+
+def test_merged_blocks_combine_like_the_blocks():
+    r = np.random.default_rng(8)
+    for i in (I.ema_of([3, 50]), I.macd_of(), I.rsi_of(5)):
+        x = np.round(r.normal(size=90).cumsum(), 1)
+        x[r.random(90) < 0.1] = np.nan
+        frames = [pd.DataFrame({"close": x[a:b], "__own": True, "__pos": np.arange(a + 1, b + 1)}) for a, b in ((0, 30), (30, 31), (31, 90))]
+        a, b, c = map(i.summary, frames)
+        one_by_one = i.combine(i.combine(i.combine(None, a), b), c)
+        for merged in (i.merge(i.merge(a, b), c), i.merge(a, i.merge(b, c))):
+            assert np.allclose(i.combine(None, merged), one_by_one, rtol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("seed,holes", [(1, 0.0), (2, 0.02), (3, 0.4)])
+def test_sliding_ranks_equal_all_comparisons(seed, holes):
+    r = np.random.default_rng(seed)
+    x = r.integers(0, 12, 260).astype(float)
+    x[r.random(260) < holes] = np.nan
+    periods = [2, 9, 13, 108, 300]
+    found = I.rank_indices(x, periods)
+    for n in periods:
+        want = np.full(260, np.nan)
+        if n <= 260:
+            squares = I._rank_squares(np.lib.stride_tricks.sliding_window_view(x, n))
+            want[n - 1 :] = (1 - 6 * squares / (n * (n * n - 1))) * 100
+        assert np.array_equal(found[n], want, equal_nan=True)
+
+
 @pytest.mark.parametrize("width", [1, 2, 100])
 def test_first_bid_skips_nulls_whatever_the_slices(spark, width):
     rows = [("A", i, b) for i, b in enumerate([None, 2.0, None, 4.0, 8.0])]

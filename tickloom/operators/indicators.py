@@ -54,6 +54,8 @@ class Indicator:
     summary: Callable[[pd.DataFrame], list[float]] | None = None
     combine: Callable[[list[float] | None, list[float]], list[float]] | None = None
     size: int = 0
+    # The numbers of two blocks, one behind the other, as those of one block.
+    merge: Callable[[list[float], list[float]], list[float]] | None = None
 
 
 def add_indicators(
@@ -99,9 +101,13 @@ def add_indicators(
         joined = zip(endless, parts(state), parts(numbers), strict=True)
         return [v for i, before, block in joined for v in i.combine(before, block)]
 
+    def merge(left: list[float], right: list[float]) -> list[float]:
+        joined = zip(endless, parts(left), parts(right), strict=True)
+        return [v for i, a, b in joined for v in i.merge(a, b)]
+
     uses = sorted({c for i in folds for c in i.uses})
     added = [_double(n) for i in folds for n in i.adds]
-    return fold_blocks(cut, fold, uses, added, *((summary, combine) if endless else ()))
+    return fold_blocks(cut, fold, uses, added, *((summary, combine, merge) if endless else ()))
 
 
 def _periods(period: int | Sequence[int]) -> list[int]:
@@ -193,7 +199,13 @@ def ema_of(period: int | Sequence[int] = EMA_PERIODS, column: str = "close") ->
         ]
         return after + [0.0] * (len(block) - len(after))
 
-    return Indicator(0, None, fold, (column,), tuple(f"EMA_{n}" for n in periods), summary, combine, 1 + 2 * len(periods))
+    def merge(left: list[float], right: list[float]) -> list[float]:
+        n, out = right[0], [left[0] + right[0]]
+        for a, zero, own, zero_after, own_after in zip(alphas, left[1::2], left[2::2], right[1::2], right[2::2], strict=True):
+            out += [zero * (1 - a) ** n + zero_after, own_after if np.isnan(own) else own * (1 - a) ** n + zero_after]
+        return out
+
+    return Indicator(0, None, fold, (column,), tuple(f"EMA_{n}" for n in periods), summary, combine, 1 + 2 * len(periods), merge)
 
 
 def macd_of(fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> Indicator:
@@ -234,7 +246,32 @@ def macd_of(fast: int = 12, slow: int = 26, signal: int = 9, column: str = "clos
             ]
         return after + [0.0] * 6
 
-    return Indicator(0, None, fold, (column,), ("macd", "macd_signal", "macd_hist"), summary, combine, 9)
+    def merge(left: list[float], right: list[float]) -> list[float]:
+        n = left[0]
+        zero, own = combine(left[1:4], right)[:3], combine(left[4:7], right)[:3]
+        echo = [
+            e * (1 - c) ** right[0] + (1 - alpha) ** n * after
+            for alpha, e, after in zip((a, b), left[7:], right[7:], strict=True)
+        ]
+        return [n + right[0], *zero, *own, *echo]
+
+    return Indicator(0, None, fold, (column,), ("macd", "macd_signal", "macd_hist"), summary, combine, 9, merge)
+
+
+def _shrunk(amounts: np.ndarray, at: np.ndarray, keep: float, start: float) -> np.ndarray:
+    """``start`` and the amounts so far, each shrunk by ``keep`` per row since it came; ``at`` are rows behind ``start``.
+
+    Sums are taken in stretches over which the factor stays a normal number.
+    """
+    if keep == 0:
+        return amounts.copy()
+    out, base, lo, span = np.empty(len(amounts)), 0.0, 0, max(1.0, 500 / -np.log(keep))
+    while lo < len(amounts):
+        hi = int(np.searchsorted(at, at[lo] + span))
+        gone = at[lo:hi] - at[lo]
+        out[lo:hi] = (np.cumsum(amounts[lo:hi] * keep**-gone) + start * keep ** (at[lo] - base)) * keep**gone
+        start, base, lo = out[hi - 1], at[hi - 1], hi
+    return out
 
 
 def rsi_of(period: int = 14, column: str = "close") -> Indicator:
@@ -263,14 +300,15 @@ def rsi_of(period: int = 14, column: str = "close") -> Indicator:
                 seed = change[1:begin]
                 gain, loss = np.maximum(seed, 0).mean(), np.maximum(-seed, 0).mean()
                 gains[period], losses[period] = gain, loss
-        for i, d in enumerate(change[begin:].tolist(), begin):
-            still += 1
-            if d:
-                shrunk = keep if still == 1 else keep**still
-                gain = gain * shrunk + (d / period if d > 0 else 0.0)
-                loss = loss * shrunk + (-d / period if d < 0 else 0.0)
-                still = 0.0
-            gains[i], losses[i] = gain, loss
+        at = np.flatnonzero(change[begin:])
+        moved, since = change[begin:][at], still + 1 + at
+        ups = np.append(gain, _shrunk(np.maximum(moved, 0) / period, since, keep, gain))
+        downs = np.append(loss, _shrunk(np.maximum(-moved, 0) / period, since, keep, loss))
+        # rows without a change have the means of the last one
+        held = np.cumsum(change[begin:] != 0)
+        gains[begin:], losses[begin:] = ups[held], downs[held]
+        gain, loss = float(ups[-1]), float(downs[-1])
+        still = float(len(change) - begin - at[-1] - 1) if len(at) else still + len(change) - begin
         return gains, losses, [gain, loss, still]
 
     def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, object]:
@@ -293,29 +331,82 @@ def rsi_of(period: int = 14, column: str = "close") -> Indicator:
                 gain, loss, still = state[0], state[1], state[2] + n
         return [gain, loss, still, 0.0]
 
-    return Indicator(period + 1, None, fold, (column,), (f"RSI_{period}",), summary, combine, 4)
+    def merge(left: list[float], right: list[float]) -> list[float]:
+        return [left[0] + right[0], *combine(left[1:], right)[:3]]
+
+    return Indicator(period + 1, None, fold, (column,), (f"RSI_{period}",), summary, combine, 4, merge)
+
+
+def _rank_squares(windows: np.ndarray) -> np.ndarray:
+    """Σ (place − rank)² of each window by comparing all its values; a missing value has rank ½."""
+    squares = np.zeros(len(windows))
+    for j in range(windows.shape[1]):
+        mine = windows[:, j : j + 1]
+        rank = (windows < mine).sum(axis=1) + ((windows == mine).sum(axis=1) + 1) / 2
+        squares += (j + 1 - rank) ** 2
+    return squares
+
+
+def _sliding_squares(x: np.ndarray, periods: Sequence[int]) -> dict[int, np.ndarray]:
+    """The same for the windows of every period over values none of which is missing, in time linear in the longest.
+
+    Σ place · rank changes by what the value that leaves and the one that enters are compared with. Comparisons at a
+    distance of m rows serve all windows of more than m rows, so all periods share one pass over the distances. All
+    numbers are multiples of ½: sums are exact.
+    """
+    size = len(x)
+    below, above, above_far, left_far, same_before, same_after = np.zeros((6, size))
+    out, at = {}, 1
+    for n in sorted(set(periods)):
+        for at in range(at, min(n, size)):
+            same = x[at:] == x[:-at]
+            rises = (x[:-at] < x[at:]) + same / 2
+            falls = 1 - rises
+            below[at:] += rises
+            above[at:] += falls
+            above_far[at:] += at * falls
+            left_far[:-at] += at * rises
+            same_before[at:] += same
+            same_after[:-at] += same
+        at = min(n, size)
+        if size < n:
+            continue
+        enters, leaves = slice(n, None), slice(0, size - n)
+        step = n * above[enters] - above_far[enters] + n * (1 + below[enters]) - left_far[leaves] - n * (n + 1) / 2
+        first = x[:n]
+        rank = (first[None] < first[:, None]).sum(axis=1) + ((first[None] == first[:, None]).sum(axis=1) + 1) / 2
+        placed = np.cumsum(np.append((np.arange(1, n + 1) * rank).sum(), step))
+        cubes = lambda k: (k + 1) ** 3 - k**3
+        ties = np.unique(first, return_counts=True)[1]
+        tied = np.cumsum(np.append((ties**3).sum(), cubes(same_before[enters]) - cubes(same_after[leaves])))
+        out[n] = n * (n + 1) * (2 * n + 1) / 3 - (tied - n) / 12 - 2 * placed
+    return out
+
+
+def rank_indices(x: np.ndarray, periods: Sequence[int]) -> dict[int, np.ndarray]:
+    """Rank correlation with time of the last n values, per period; missing until n values exist."""
+    squares = {n: np.full(len(x), np.nan) for n in periods}
+    edges = np.flatnonzero(np.isnan(x))
+    for lo, hi in zip(np.append(-1, edges) + 1, np.append(edges, len(x)), strict=True):
+        for n, found in _sliding_squares(x[lo:hi], periods).items():
+            squares[n][lo + n - 1 : hi] = found
+    out = {}
+    for n, values in squares.items():
+        rest = np.flatnonzero(np.isnan(values[n - 1 :])) if len(x) >= n else np.zeros(0, np.int64)
+        if len(rest):  # windows that hold a missing value
+            values[rest + n - 1] = _rank_squares(np.lib.stride_tricks.sliding_window_view(x, n)[rest])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out[n] = (1 - 6 * values / (n * (n * n - 1))) * 100
+    return out
 
 
 def rci_of(period: int | Sequence[int] = RCI_PERIODS, column: str = "close") -> Indicator:
     periods = _periods(period)
 
-    def rank_index(x: np.ndarray, n: int) -> np.ndarray:
-        out = np.full(len(x), np.nan)
-        if len(x) < n:
-            return out
-        windows = np.lib.stride_tricks.sliding_window_view(x, n)
-        squares = np.zeros(len(windows))
-        for j in range(n):  # one column of every window at a time
-            mine = windows[:, j : j + 1]
-            rank = (windows < mine).sum(axis=1) + ((windows == mine).sum(axis=1) + 1) / 2
-            squares += (j + 1 - rank) ** 2
-        out[n - 1 :] = (1 - 6 * squares / (n * (n * n - 1))) * 100
-        return out
-
     def fold(frame: pd.DataFrame, state: list[float] | None) -> dict[str, object]:
         del state
         x = frame[column].to_numpy(dtype="float64")
-        return {f"RCI_{n}": rank_index(x, n) for n in periods}
+        return {f"RCI_{n}": values for n, values in rank_indices(x, periods).items()}
 
     return Indicator(max(periods) - 1, fold=fold, uses=(column,), adds=tuple(f"RCI_{n}" for n in periods))
 

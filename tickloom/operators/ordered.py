@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 
 DEFAULT_SLICE_ROWS = 1 << 20
 DEFAULT_BLOCK_ROWS = 1 << 16
+# Blocks whose states are scanned in one task.
+SCAN_GROUP = 1024
 
-_SLICE, _EDGE, _POS, _BLOCK, _OWN, _STATE = "__slice", "__edge", "__pos", "__block", "__own", "__state"
+_SLICE, _EDGE, _POS, _BLOCK, _OWN, _STATE, _GROUP = "__slice", "__edge", "__pos", "__block", "__own", "__state", "__group"
 
 
 @dataclass(frozen=True)
@@ -308,6 +310,36 @@ def ordered_by(table: pa.Table, column: str) -> pa.Table:
     return table if (at[1:] >= at[:-1]).all() else table.take(np.argsort(at, kind="stable"))
 
 
+def _scanned(sums: DataFrame, keys: Sequence[str], combine: Callable, merge: Callable, size: int) -> DataFrame:
+    """The state in front of every block, from the numbers of the blocks; ``size`` blocks are a group of their own."""
+    groups = [*keys, _GROUP]
+    grouped = sums.withColumn(_GROUP, F.floor(F.col(_BLOCK) / size).cast("long"))
+    states = pa.list_(pa.float64())
+    names = {field.name: field for field in grouped.schema.fields}
+    totals = T.StructType([names[c] for c in [*groups, _STATE]])
+
+    def total(table: pa.Table) -> pa.Table:
+        numbers = None
+        for block in ordered_by(table, _BLOCK).column(_STATE).to_pylist():
+            numbers = block if numbers is None else merge(numbers, block)
+        return table.slice(0, 1).select(groups).append_column(_STATE, pa.array([numbers], states))
+
+    def through(table: pa.Table, order: str, state: list | None) -> pa.Table:
+        table = ordered_by(table, order)
+        before = []
+        for numbers in table.column(_STATE).to_pylist():
+            before.append(state)
+            state = combine(state, numbers)
+        return table.set_column(table.column_names.index(_STATE), _STATE, pa.array(before, states))
+
+    def within(table: pa.Table, start: pa.Table) -> pa.Table:
+        return through(table, _BLOCK, start.column(_STATE)[0].as_py()).select([*keys, _BLOCK, _STATE])
+
+    of_groups = grouped.groupBy(*groups).applyInArrow(total, totals)
+    of_groups = of_groups.groupBy(*keys).applyInArrow(lambda table: through(table, _GROUP, None).select([*groups, _STATE]), totals)
+    return grouped.groupBy(*groups).cogroup(of_groups.groupBy(*groups)).applyInArrow(within, sums.schema)
+
+
 def fold_blocks(
     cut: Blocks,
     fold: Callable,
@@ -315,6 +347,7 @@ def fold_blocks(
     added: Sequence[T.StructField],
     summary: Callable | None = None,
     combine: Callable | None = None,
+    merge: Callable | None = None,
 ) -> DataFrame:
     """Run a function over each block (rows in order, halo in front).
 
@@ -325,8 +358,11 @@ def fold_blocks(
 
     ``state`` is what all blocks before leave behind, for folds without end:
     ``summary(frame)`` condenses a block to some numbers, and ``combine(state,
-    numbers)`` takes the state (None in front) over that block. One row per block
-    is scanned for this. Without ``summary`` the state is None.
+    numbers)`` takes the state (None in front) over that block. ``merge(left,
+    right)`` makes the numbers of two blocks those of one. One row per block is
+    scanned for this, on two levels: ``SCAN_GROUP`` blocks are merged to one row, the
+    groups of a key are scanned, and each group is scanned from its own start.
+    Without ``summary`` the state is None.
     """
     schema = T.StructType(list(cut.df.schema.fields) + list(added))
 
@@ -354,20 +390,13 @@ def fold_blocks(
         first = table.slice(0, 1).select(groups)
         return first.append_column(_STATE, pa.array([numbers], pa.list_(pa.float64())))
 
-    def scan(table: pa.Table) -> pa.Table:
-        table = ordered_by(table, _BLOCK)
-        states, state = [], None
-        for numbers in table.column(_STATE).to_pylist():
-            states.append(state)
-            state = combine(state, numbers)
-        return table.select(groups).append_column(_STATE, pa.array(states, pa.list_(pa.float64())))
+    narrow = cut.df.select(*groups, *[c for c in uses if c not in groups], _POS, _OWN)
+    sums = narrow.groupBy(*groups).applyInArrow(condense, layout)
+    carried = _scanned(sums, cut.keys, combine, merge, SCAN_GROUP)
 
     def resumed(table: pa.Table, states: pa.Table) -> pa.Table:
         return run(table, states.column(_STATE)[0].as_py())
 
-    narrow = cut.df.select(*groups, *[c for c in uses if c not in groups], _POS, _OWN)
-    sums = narrow.groupBy(*groups).applyInArrow(condense, layout)
-    carried = (sums.groupBy(*cut.keys) if cut.keys else sums.groupBy()).applyInArrow(scan, layout)
     both = cut.df.groupBy(*groups).cogroup(carried.groupBy(*groups))
     return cut.finish(both.applyInArrow(resumed, schema))
 
