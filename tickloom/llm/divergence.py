@@ -123,26 +123,41 @@ def _runs(batches: _Batches) -> Iterator[tuple[Transducer, pa.RecordBatch]]:
 
 
 def recounted(docs: DataFrame, machines: DataFrame) -> DataFrame:
-    """``lang, source, ordinal, n``: occurrences of kept terms; ordinals are slice and rank in it, in one number."""
+    """``lang, source, ordinal, n``: occurrences of kept terms; ordinals are slice and rank in it, in one number.
+
+    A task folds its text; what it has found of a group and a slice travels as one row, terms and counts packed.
+    """
     # one row per SLICE terms
     bounds = sorted((bytes(r["first"]), r["slice"]) for r in machines.select("first", "slice").collect())
     firsts, slices = [b[0] for b in bounds], [b[1] for b in bounds]
+    layout = "slice long, salt int, lang string, source string, terms binary, counts binary"
 
     def fold(batches: _Batches) -> _Rows:
         held: dict[tuple[str, str], Counter] = {}
         salt = TaskContext.get().partitionId() % SALTS
-        names = ["slice", "salt", "lang", "source", "key", "n"]
+        names = [f.split()[0] for f in layout.split(", ")]
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary()]
 
         def out() -> _Rows:
+            rows = []
             for (lang, source), found in held.items():
-                keys = [_key(lang) + t for t in found]
-                at = [bisect_right(firsts, k) - 1 for k in keys]
-                some = [i for i, a in enumerate(at) if a >= 0]  # a key before the first slice is not kept
-                counts = list(found.values())
-                columns = [[slices[at[i]] for i in some], [salt] * len(some), [lang] * len(some), [source] * len(some), [keys[i] for i in some], [counts[i] for i in some]]
-                kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.binary(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                # slices that begin inside the language cut its terms; the one before may hold its first ones
+                key = _key(lang)
+                lo, hi = bisect_right(firsts, key), bisect_right(firsts, key[:-1] + b"\1")
+                inside = [f[len(key) :] for f in firsts[lo:hi] if f.startswith(key)]
+                parts: list[list[bytes]] = [[] for _ in range(len(inside) + 1)]
+                if inside:
+                    for t in found:
+                        parts[bisect_right(inside, t)].append(t)
+                else:
+                    parts[0] = list(found)
+                for at, some in enumerate(parts, lo - 1):
+                    if some and at >= 0:  # terms before the first slice are not kept
+                        counts = np.fromiter(map(found.__getitem__, some), np.int64, len(some))
+                        rows.append((slices[at], salt, lang, source, b" ".join(some), counts.tobytes()))
             held.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in small(batches):
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -152,14 +167,27 @@ def recounted(docs: DataFrame, machines: DataFrame) -> DataFrame:
         yield from out()
 
     def count(batches: _Batches) -> _Rows:
+        held: dict[tuple[int, str, str], list] = {}
+
+        def out() -> _Rows:
+            for (number, lang, source), found in held.items():
+                ranks, at = np.unique(np.concatenate([r for r, _ in found]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([c for _, c in found]), len(ranks)).astype(np.int64)
+                group = [pa.array([v] * len(ranks), pa.string()) for v in (lang, source)]
+                yield pa.RecordBatch.from_arrays([*group, pa.array(number << 32 | ranks, pa.int64()), pa.array(n, pa.int64())], ["lang", "source", "ordinal", "n"])
+            held.clear()
+
         for machine, rows in _runs(batches):
-            ranks = machine.ranks(rows.column("key").to_pylist())
-            kept = pa.array(ranks >= 0)
-            ordinal = pa.array((rows.column("slice").to_numpy() << 32 | ranks), pa.int64()).filter(kept)
-            columns = [rows.column("lang").filter(kept), rows.column("source").filter(kept), ordinal, rows.column("n").filter(kept)]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "ordinal", "n"])
+            columns = (rows.column(c).to_pylist() for c in ("slice", "lang", "source", "terms", "counts"))
+            for number, lang, source, found, counts in zip(*columns, strict=True):
+                ranks = machine.ranks(found.split(), _key(lang))
+                kept = ranks >= 0
+                held.setdefault((number, lang, source), []).append((ranks[kept], np.frombuffer(counts, "<i8")[kept]))
+            if sum(len(r) for found in held.values() for r, _ in found) > HELD:
+                yield from out()
+        yield from out()
 
-    folded = docs.select("lang", "source", "text").mapInArrow(fold, "slice long, salt int, lang string, source string, key binary, n long")
+    folded = docs.select("lang", "source", "text").mapInArrow(fold, layout)
     counted = _through(machines, folded, count, "lang string, source string, ordinal long, n long")
     return counted.groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n"))
 

@@ -67,13 +67,26 @@ class Transducer:
         self.keys, self.targets, self.before = body[:arcs].astype(np.int64), body[arcs : 2 * arcs].astype(np.int64), body[2 * arcs :].astype(np.int64)
         self.ends = np.unpackbits(np.frombuffer(raw, np.uint8, offset=_HEAD.size + 12 * arcs), count=self.states).astype(bool)
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        """The rank of each word, -1 for a word that is none: all words take their first byte, then their second, …"""
+    def after(self, prefix: bytes) -> tuple[int, int] | None:
+        """The state behind a prefix and the number of words before those that have it; None if no word has it."""
+        state, rank = self.states - 1, 0
+        for byte in prefix:
+            at = int(np.searchsorted(self.keys, state << 8 | byte))
+            if at == len(self.keys) or self.keys[at] != state << 8 | byte:
+                return None
+            state, rank = int(self.targets[at]), rank + int(self.before[at])
+        return state, rank
+
+    def ranks(self, words: list[bytes], prefix: bytes = b"") -> np.ndarray:
+        """The rank of each word behind ``prefix``, -1 for none: all words take their first byte, then their second, …"""
         out = np.full(len(words), -1, np.int64)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         text = np.frombuffer(b"".join(words), np.uint8)
         starts = np.cumsum(lengths) - lengths
-        going, state, rank, depth = np.arange(len(words)), np.full(len(words), self.states - 1), np.zeros(len(words), np.int64), 0
+        begin = self.after(prefix)
+        if begin is None:
+            return out
+        going, state, rank, depth = np.arange(len(words)), np.full(len(words), begin[0]), np.full(len(words), begin[1]), 0
         while len(going):
             over = lengths[going] == depth
             done = over & self.ends[state]
