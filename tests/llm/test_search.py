@@ -24,7 +24,7 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(brute.empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("many", [1, 128])
+@pytest.mark.parametrize("many", [1, 2048])
 def test_shared_passages_and_chains(spark, monkeypatch, many):
     """Passages that many documents share, chains of near copies, copies whose smallest member is no neighbour of all."""
     monkeypatch.setattr(neardup, "MANY", many)
@@ -89,36 +89,42 @@ def crowd(spark, size):
     return rows, full, spark.createDataFrame([], "node long, component long")
 
 
-@pytest.mark.parametrize("size", [100, 1300])
-def test_only_shared_band_is_a_large_bucket(spark, size):
-    found = neardup._pairs_apart(*crowd(spark, size)).collect()
+def sets_of(spark, size):
+    """Sets whose links are those of ``crowd``: the last set is the first one but for one shingle."""
+    r = np.random.default_rng(6)
+    sets = [r.integers(0, 2**62, 100).tolist() for _ in range(size)]
+    sets[-1] = sets[0][:-1] + [7]
+    return spark.createDataFrame(list(enumerate(sets)), "node long, set array<long>")
+
+
+@pytest.mark.parametrize("size,many", [(100, 2048), (1300, 300), (1300, 2048)])
+def test_only_shared_band_is_a_large_bucket(spark, monkeypatch, size, many):
+    monkeypatch.setattr(neardup, "MANY", many)
+    found = neardup._links_apart(*crowd(spark, size), sets_of(spark, size)).collect()
     assert {(r.a, r.b) for r in found} == {(size - 1, 0)}
 
 
 def test_large_bucket_is_cut_into_bounded_tiles(spark, monkeypatch):
     monkeypatch.setattr(neardup, "MANY", 50)
-
-    def meet(one):
-        def sizes(batches):
-            import pyarrow as pa
-
-            tiles = Counter(t for b in batches for t in b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(tiles), pa.int64()), pa.array(list(tiles.values()), pa.int64())], ["a", "b"])
-
-        return sizes
-
-    monkeypatch.setattr(neardup, "_meet", meet)
-    largest = [r.b for r in neardup._pairs_apart(*crowd(spark, 1000)).collect()]
-    assert len(largest) == 210 and max(largest) < 200
+    tiles = Counter(r.tile for r in neardup._tiles(*crowd(spark, 1000)).collect())
+    assert len(tiles) == 210 and max(tiles.values()) < 200
 
 
-def test_one_pair_of_two_components(spark):
-    rows, full, _ = crowd(spark, 40)
+@pytest.mark.parametrize("alike", [0.9, 0.7])
+def test_rows_stay_in_proportion(spark, monkeypatch, alike):
+    """Texts of one bucket, all near each other or all just not: neither stage returns a row per pair."""
+    size = 1500
+    rows, full, found = crowd(spark, size)
     sketch = full.first().sketch
-    full = spark.createDataFrame([(i, 100, sketch, [1]) for i in range(40)], full.schema)
-    found = spark.createDataFrame([(i, i % 2) for i in range(40)], "node long, component long")
-    assert len(neardup._pairs_apart(rows, full, found, True).collect()) == 1
-    assert len(neardup._pairs_apart(rows, full, found).collect()) == 400
+    full = spark.createDataFrame([(i, 100, sketch, [1]) for i in range(size)], full.schema)
+    common, r = list(range(1000)), np.random.default_rng(1)
+    shared = int(200 * alike / (1 + alike))  # of 100 each, so that similarity is about ``alike``
+    sets = [(i, common[:shared] + r.integers(10**6, 2**60, 100 - shared).tolist()) for i in range(size)]
+    sets = spark.createDataFrame(sets, "node long, set array<long>")
+    members = neardup._in_tiles(neardup._tiles(rows, full, found), neardup._may_link, neardup._MEMBER)
+    assert members.count() == size
+    links = neardup._links_apart(rows, full, found, sets).collect()
+    assert len(links) == (size - 1 if alike > 0.75 else 0)
 
 
 def test_a_band_has_four_permutations():

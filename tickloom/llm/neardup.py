@@ -28,7 +28,7 @@ from tickloom.llm.shingles import Shingles
 from tickloom.session import written
 
 PERMUTATIONS, BANDS, ROWS = 88, 44, 4
-MANY = 512  # classes of a bucket, about, that meet as many others in one task
+MANY = 2048  # classes of a bucket, about, that meet as many others in one task
 STAR_BANDS = 8  # bands that join large groups of near copies before all are looked at
 # A pair of similarity 0.75 agrees in fewer than 55 % of 176 values with probability under 1e-8.
 SURE = 0.55
@@ -141,59 +141,93 @@ class _Checker:
         return written(linked.select("a", "b"), "near-links")
 
 
-def _meet(one: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a tile's classes in different components whose sizes and sketches allow a link.
+def _by_tile(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Call ``work`` with whole tiles; rows come sorted by tile."""
 
-    Rows ``tile, part, same, node, component, n, sketch`` come sorted by tile, and only pairs that may be links leave the
-    task: with ``one``, of two components the pair whose sketches agree most.
-    """
-
-    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             keys = table.column("tile").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last tile may go on
-            yield from _meetings(table.slice(0, cut), one)
+            for lo, hi in _edges(keys[:cut]):
+                yield from work(table.slice(lo, hi - lo))
             held = table.slice(cut)
-        if held is not None:
-            yield from _meetings(held, one)
-
-    return meet
-
-
-def _meetings(table: pa.Table, one: bool, block: int = 64) -> Iterator[pa.RecordBatch]:
-    if not table.num_rows:
-        return
-    keys, part, node, component, n = (table.column(c).to_numpy() for c in ("tile", "part", "node", "component", "n"))
-    same = table.column("same").to_numpy()
-    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(keys), -1)
-    edges = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for at in range(lo, hi, block):
-            left, right = np.arange(at, min(at + block, hi)), np.arange(at, hi)
-            size = np.minimum(n[left, None], n[right]) * 100 >= np.maximum(n[left, None], n[right]) * 75
-            met = same[left, None] | (part[left, None] != part[right])
-            i, j = np.nonzero(size & met & (component[left, None] != component[right]) & (left[:, None] < right))
-            i, j = left[i], right[j]
-            agree = np.concatenate([(sketch[i[k : k + 4096]] == sketch[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
-            near = agree >= SURE
-            i, j, agree = i[near], j[near], agree[near]
-            a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
-            if one:
-                x, y = np.maximum(component[i], component[j]), np.minimum(component[i], component[j])
-                order = np.lexsort((agree, y, x))
-                last = order[np.append((np.diff(x[order]) != 0) | (np.diff(y[order]) != 0), True)] if len(order) else order
-                for k in last.tolist():
-                    two = int(x[k]), int(y[k])
-                    best[two] = max(best.get(two, (0.0, 0, 0)), (float(agree[k]), int(a[k]), int(b[k])))
-            elif len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        if best:
-            columns = [pa.array([v[k] for v in best.values()], pa.int64()) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+        if held is not None and held.num_rows:
+            yield from work(held)
+
+    return run
+
+
+def _edges(keys: np.ndarray) -> list[tuple[int, int]]:
+    cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+_MEMBER = "tile long, part long, same boolean, node long, component long"
+
+
+def _may_link(table: pa.Table, block: int = 64) -> Iterator[pa.RecordBatch]:
+    """The members of a tile that have one of another component whose size and sketch allow a link: not the pairs."""
+    part, node, component, n = (table.column(c).to_numpy() for c in ("part", "node", "component", "n"))
+    same = table.column("same").to_numpy(zero_copy_only=False)
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(node), -1)
+    wanted = np.zeros(len(node), bool)
+    for at in range(0, len(node), block):
+        left, right = np.arange(at, min(at + block, len(node))), np.arange(at, len(node))
+        size = np.minimum(n[left, None], n[right]) * 100 >= np.maximum(n[left, None], n[right]) * 75
+        met = same[left, None] | (part[left, None] != part[right])
+        # two members that are both wanted already need no look
+        i, j = np.nonzero(size & met & (component[left, None] != component[right]) & ~(wanted[left, None] & wanted[right]))
+        i, j = left[i], right[j]
+        for k in range(0, len(i), 4096):
+            a, b = i[k : k + 4096], j[k : k + 4096]
+            near = (sketch[a] == sketch[b]).mean(axis=1) >= SURE
+            wanted[a[near]] = wanted[b[near]] = True
+    names = [f.split()[0] for f in _MEMBER.split(", ")]
+    for batch in table.select(names).filter(pa.array(wanted)).to_batches():
+        yield batch
+
+
+def _joined(table: pa.Table, columns: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Links between the components of a tile by the full sets of its members: one per component at most.
+
+    Intersections of all members at once are a product of 0/1 matrices over the shingles that two of them have.
+    """
+    part, component = table.column("part").to_numpy(), table.column("component").to_numpy()
+    same = table.column("same").to_numpy(zero_copy_only=False)
+    sets = table.column("set").combine_chunks()
+    n = np.diff(sets.offsets.to_numpy())
+    owner = np.repeat(np.arange(len(n)), n)
+    values, at, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    owner, at = owner[shared[at]], place[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((len(n), len(n)), np.float32)
+    for lo in range(0, int(shared.sum()), columns):
+        here = slice(*np.searchsorted(at, [lo, lo + columns]))
+        dense = np.zeros((len(n), columns), np.float32)
+        dense[owner[here], at[here] - lo] = 1
+        both += dense @ dense.T
+    linked = 100 * both >= 75 * (n[:, None] + n[None] - both)
+    linked &= (same[:, None] | (part[:, None] != part[None])) & (component[:, None] != component[None])
+    names, place = np.unique(component, return_inverse=True)
+    i, j = np.nonzero(linked)
+    root = np.arange(len(names))
+    i, j = place[i], place[j]
+    while len(i):
+        x, y = root[i], root[j]
+        apart = x != y
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(names)))
+    if len(moved):
+        yield pa.RecordBatch.from_arrays([pa.array(names[moved], pa.int64()), pa.array(names[root[moved]], pa.int64())], ["a", "b"])
 
 
 def _as_links(found: DataFrame) -> DataFrame:
@@ -215,22 +249,31 @@ def _stars(rows: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
 
 
-def _pairs_apart(rows: DataFrame, full: DataFrame, found: DataFrame, one: bool = False) -> DataFrame:
-    """Pairs ``a, b`` of classes that share a bucket but no component yet; ``rows`` has key and node.
+def _tiles(rows: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, by tile; ``rows`` has key and node.
 
     A bucket is cut into parts of about ``MANY`` classes; each two parts, and each part by itself, are a tile.
     """
     placed = rows.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     placed = written(placed, "near-placed")
     ends = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("classes"))
-    apart = written(ends.filter("low != high").select("key", F.ceil(F.col("classes") / MANY).alias("parts")), "near-apart")
+    apart = ends.filter("low != high").select("key", F.ceil(F.col("classes") / MANY).alias("parts"))
     members = placed.join(apart, "key").join(full.select("node", "n", "sketch"), "node")
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tile = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    members = members.select(tile.alias("tile"), "part", (F.col("part") == F.col("other")).alias("same"), "node", "component", "n", "sketch")
+    return members.select(tile.alias("tile"), "part", (F.col("part") == F.col("other")).alias("same"), "node", "component", "n", "sketch")
+
+
+def _in_tiles(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], layout: str) -> DataFrame:
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_meet(one), "a long, b long")
+    return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_by_tile(work), layout)
+
+
+def _links_apart(rows: DataFrame, full: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``a, b`` between components that share a bucket: all pairs of its classes are compared, none is listed."""
+    members = written(_in_tiles(_tiles(rows, full, found), _may_link, _MEMBER), "near-members")
+    return _in_tiles(members.join(sets, "node"), _joined, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -265,9 +308,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = _apart(placed.select("node", "component", F.explode("bands").alias("key")))
     checker.prepare(rows.select("node"))
     found = components(_as_links(found).unionAll(checker.confirmed(_stars(rows))))
-    for one in (True, False):
-        pairs = written(_pairs_apart(rows.select("key", "node"), full, found, one).distinct(), "near-apart-pairs")
-        found = components(_as_links(found).unionAll(checker.confirmed(pairs)))
+    links = written(_links_apart(rows.select("key", "node"), full, found, checker.sets), "near-links")
+    found = components(_as_links(found).unionAll(links))
     placed = classes.select("h1", "h2", "node").join(found, "node", "left")
     placed = placed.select("h1", "h2", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc", "n", "h1", "h2").join(placed, ["h1", "h2"], "left")
