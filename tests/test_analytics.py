@@ -438,6 +438,10 @@ def test_forecasts(bar_frame):
     (last,) = M.naive_forecasts(M.latest_bars(bars)).collect()
     assert np.isclose(last["predicted_value"], 102 * 1.001, rtol=1e-6) and last["confidence_score"] == 0.75
     row = M.evaluate_forecasts(M.naive_forecasts(bars, 3600), bars).first()
+    assert M.evaluate_forecasts(M.naive_forecasts(bars, 3600), bars, metrics=["rmse"]).columns == ["symbol", "pairs", "rmse"]
+    for bad in (["mse"], []):
+        with pytest.raises(ValueError):
+            M.evaluate_forecasts(M.naive_forecasts(bars, 3600), bars, metrics=bad)
     errors = np.array([100 * 1.001 - 101, 101 * 1.001 - 102])
     assert np.isclose(row["mae"], np.abs(errors).mean(), rtol=1e-4)
     assert np.isclose(row["rmse"], np.sqrt((errors**2).mean()), rtol=1e-4)

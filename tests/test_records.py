@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import json
 
 import numpy as np
@@ -327,6 +328,48 @@ def test_bulk_save_replaces_only_its_days(spark, tmp_path, tick_frame):
     assert store.load_metadata("tick/EURUSD/2025-01-21").first()["saved_at"] is not None
 
 
+def failing(frame):
+    """The rows of a frame, of which some fail while they are written."""
+    return frame.withColumn("bid", F.when(F.col("seq") == 3, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("bid")))
+
+
+def test_a_save_that_dies_leaves_the_old_rows(spark, tmp_path, tick_frame, monkeypatch):
+    store, key = KeyedStore(spark, str(tmp_path)), "tick/EURUSD/2025-01-20"
+    store.save_data(tick_frame([(i, 1.0) for i in range(5)]), key, {"run": "first"})
+    opened = store.load_data(key)
+    for save in (lambda df: store.save_data(df, key, {"run": "second"}), lambda df: store.save_partitioned(df, "tick")):
+        with pytest.raises(Exception, match="lost"):
+            save(failing(tick_frame([(i, 2.0) for i in range(9)])))  # dies among the rows
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):  # rows are written, the manifest is not
+            m.setattr(store, "_rename", lambda *_: (_ for _ in ()).throw(RuntimeError("killed")))
+            save(tick_frame([(i, 2.0) for i in range(9)]))
+        again = KeyedStore(spark, str(tmp_path))
+        assert [r.bid for r in again.load_data(key).collect()] == [1.0] * 5 == [r.bid for r in again.table("tick").collect()]
+        assert again.load_metadata(key).first()["metadata"] == {"run": "first"}
+    store.save_data(tick_frame([(0, 3.0)]), key, {"run": "third"})
+    assert [r.bid for r in store.load_data(key).collect()] == [3.0] and opened.count() == 5  # an open reader keeps its version
+    assert store.vacuum("tick") >= 3 and len(os.listdir(tmp_path / "data" / "tick")) == 1
+    assert [r.bid for r in store.table("tick").collect()] == [3.0] and store.load_metadata(key).first()["metadata"] == {"run": "third"}
+
+
+def test_two_writers_do_not_lose_each_other(spark, tmp_path, tick_frame, monkeypatch):
+    one, two = KeyedStore(spark, str(tmp_path)), KeyedStore(spark, str(tmp_path))
+    one.save_data(tick_frame([(0, 1.0)]), "tick/EURUSD/2025-01-20")
+    seen = one._entries("tick")
+    two.save_data(tick_frame([(0, 2.0)]), "tick/EURUSD/2025-01-21")
+    monkeypatch.setattr(one, "_entries", lambda kind: seen)  # as if it had looked before the other one published
+    one.save_data(tick_frame([(0, 3.0)]), "tick/EURUSD/2025-01-22")
+    assert len(listed(two)) == 3
+
+
+def test_expected_data_type(spark, tmp_path, tick_frame):
+    store, key = KeyedStore(spark, str(tmp_path)), "tick/EURUSD/2025-01-20"
+    store.save_data(tick_frame([(0, 1.0)]), key)
+    assert store.load_data(key, "tick").count() == 1
+    with pytest.raises(ValueError, match="ohlc"):
+        store.load_data(key, "ohlc")
+
+
 def test_cross_record_check(spark, tick_frame):
     ticks = tick_frame([(0, 1.0)], symbol="nzdusd")
     bars = spark.createDataFrame([(AT, "NZDUSD", "H1", 1.0, 1.0, 1.0, 1.0, 1.0)], S.OHLC)

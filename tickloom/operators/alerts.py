@@ -155,19 +155,29 @@ def recent_alerts(alerts: DataFrame, n: int = 5, time: str = "timestamp") -> Dat
     return alerts.orderBy(F.desc(time), *[c for c in alerts.columns if c != time and c != "metadata"]).limit(n)
 
 
+METRICS = ("mae", "rmse", "mape")
+
+
 def evaluate_forecasts(
-    predictions: DataFrame, actuals: DataFrame, keys: Sequence[str] = ("symbol",), price: str = "close"
+    predictions: DataFrame,
+    actuals: DataFrame,
+    keys: Sequence[str] = ("symbol",),
+    price: str = "close",
+    metrics: Sequence[str] = METRICS,
 ) -> DataFrame:
-    """mae, rmse, mape of predictions against the bar at their target time."""
+    """Pairs and the chosen metrics of predictions against the bar at their target time; unknown ones are an error."""
+    unknown = [m for m in metrics if m not in METRICS]
+    if unknown or not metrics:
+        raise ValueError(f"unknown metrics {unknown}; known: {list(METRICS)}")
     truth = actuals.select("symbol", F.col("time").alias("target_timestamp"), F.col(price).cast("double").alias("actual"))
     joined = predictions.join(truth, ["symbol", "target_timestamp"])
     error = F.col("predicted_value").cast("double") - F.col("actual")
-    return joined.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pairs"),
-        F.avg(F.abs(error)).alias("mae"),
-        F.sqrt(F.avg(error * error)).alias("rmse"),
-        (F.avg(F.try_divide(F.abs(error), F.abs(F.col("actual")))) * 100).alias("mape"),
-    )
+    made = {
+        "mae": F.avg(F.abs(error)),
+        "rmse": F.sqrt(F.avg(error * error)),
+        "mape": F.avg(F.try_divide(F.abs(error), F.abs(F.col("actual")))) * 100,
+    }
+    return joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), *[made[m].alias(m) for m in dict.fromkeys(metrics)])
 
 
 def naive_forecasts(

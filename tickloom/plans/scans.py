@@ -131,7 +131,24 @@ def keyed_save(spark, folder):
     "WHERE symbol = 'X_VIEW' AND CAST(ts AS DATE) = DATE '2024-01-05'",
 )
 def keyed_load(spark, folder):
-    return _store(spark, folder).load_data("tick/X_VIEW/2024-01-05")
+    return _store(spark, folder).load_data("tick/X_VIEW/2024-01-05", "tick")
+
+
+@query(
+    "s8_save_with_metadata",
+    f"WITH {TICKS}, t AS (SELECT *, CAST(ts AS DATE) = DATE '2024-01-05' AS again FROM ticks) "
+    f"SELECT symbol, count(*) FILTER (NOT again OR seq % 2 = 0) AS ticks, {rx('sum(bid) FILTER (NOT again OR seq % 2 = 0)', 'bids')}, "
+    "'even' AS kept, 'tick' AS data_type FROM t GROUP BY 1",
+)
+def save_with_metadata(spark, folder):
+    # one day of each symbol is saved again, with half of its rows; rows and metadata change together
+    store, day = _store(spark, folder), "2024-01-05"
+    even = V.ticks(spark, folder).filter((F.col("ts").cast("date") == day) & (F.col("seq") % 2 == 0))
+    for (symbol,) in X.list_symbols(V.ticks(spark, folder)).collect():
+        store.save_data(even.filter(F.col("symbol") == symbol), f"tick/{symbol}/{day}", {"kept": "even"})
+    totals = store.table("tick").groupBy("symbol").agg(F.count(F.lit(1)).alias("ticks"), F.sum("bid").alias("bids"))
+    kept = store.manifest("tick").filter(F.col("date") == day).select("symbol", F.col("metadata")["kept"].alias("kept"), "data_type")
+    return totals.join(kept, "symbol")
 
 
 @query(
