@@ -12,6 +12,7 @@ from tickloom import schema as S
 from tickloom.operators import bars as B
 from tickloom.operators import clean as C
 from tickloom.streaming import bars as W
+from tickloom.streaming import feed as feeds
 from tickloom.streaming import sinks
 from tickloom.streaming import stateful as X
 
@@ -137,3 +138,47 @@ def test_sliding_rates(spark, tmp_path):
     out = sinks.drain(W.sliding_rates(feed(spark, tmp_path / "in", rows, 2), delay="0 seconds"), str(tmp_path / "run"))
     full = out.filter((F.col("window_start") >= START) & (F.col("ticks") == 10))
     assert full.count() >= 20 and out.agg(F.max("ticks")).first()[0] == 10
+
+
+def test_two_readers_restart_and_get_each_tick_once(spark, tmp_path):
+    rows = sorted(messy("EURUSD", 90, 1) + messy("X/Y Z", 60, 2), key=lambda r: r[2])
+    ticks = spark.createDataFrame(rows, S.ARRIVED_TICK)
+    path, half = str(tmp_path / "feed"), [r for r in rows if r[2] < 50]
+    feeds.append(ticks.filter("seq < 50"), path)
+    runs = {}
+    for name, limit in (("slow", 20), ("fast", 45)):
+        place = str(tmp_path / name)
+        out = sinks.deliver(feeds.read_feed(spark, path, S.ARRIVED_TICK, f"{place}/reader", limit), place)
+        runs[name] = out
+        sizes = [r["count"] for r in out.groupBy("batch").count().orderBy("batch").collect()]
+        assert sizes == [limit] * (len(half) // limit) + ([len(half) % limit] if len(half) % limit else [])
+    feeds.append(ticks.filter("seq >= 50"), path)
+    for name, limit in (("slow", 20), ("fast", 45)):  # both go on from their own checkpoints
+        place = str(tmp_path / name)
+        out = sinks.deliver(feeds.read_feed(spark, path, S.ARRIVED_TICK, f"{place}/reader", limit), place)
+        got = [(r.symbol, r.seq) for r in out.select("symbol", "seq").collect()]
+        assert sorted(got) == sorted((r[0], r[2]) for r in rows)
+        order = out.groupBy("batch").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).orderBy("batch").collect()
+        assert all(a.hi <= b.lo for a, b in zip(order, order[1:], strict=False))
+    plain = sinks.deliver(feeds.read_feed(spark, path, S.ARRIVED_TICK), str(tmp_path / "plain"))
+    assert plain.count() == len(rows) and plain.exceptAll(ticks.withColumn("batch", F.lit(0).cast("long"))).isEmpty()
+
+
+def test_admission_follows_the_load(spark, tmp_path):
+    control = sinks.AdmissionControl(spark, str(tmp_path), 1000, least=10)
+    assert [control.after(1000, x) for x in (0.1, 0.8, 0.9, 1.0, 7.0)] == [1000, 750, 500, 250, 250]
+    assert control.after(100, 0.2) == 125 and control.after(12, 2.0) == 10
+    rows = ticks_of("EURUSD", range(100), [1.0] * 100)
+    feeds.append(spark.createDataFrame(rows, S.ARRIVED_TICK), str(tmp_path / "feed"))
+    control = sinks.AdmissionControl(spark, str(tmp_path / "run/reader"), 40, seconds=1e-6)  # always overloaded
+    control.note(-1, 0, 1.0)
+    stream = feeds.read_feed(spark, str(tmp_path / "feed"), S.ARRIVED_TICK, str(tmp_path / "run/reader"), 40)
+    out = sinks.deliver(stream, str(tmp_path / "run"))
+    sizes = [r["count"] for r in out.groupBy("batch").count().orderBy("batch").collect()]
+    assert sum(sizes) == 100 and set(sizes[:-1]) == {10}
+    assert control.metrics().first()["limit"] == 10
+
+
+def test_a_limit_needs_a_place(spark, tmp_path):
+    with pytest.raises(ValueError):
+        feeds.FeedReader(S.ARRIVED_TICK, {"path": str(tmp_path), "limit": "5"})

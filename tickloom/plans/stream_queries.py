@@ -1,7 +1,10 @@
-"""Streaming queries run over everything there is now, through real checkpoints and sinks."""
+"""Streaming queries run over everything there is now in several micro-batches, through real checkpoints and sinks."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tickloom.plans.registry import HOUR, SHUFFLED, TICKS, bars_sql, query, r, rx, seconds
@@ -9,24 +12,34 @@ from tickloom.plans.tick_queries import spikes_sql
 from tickloom.session import configure
 from tickloom.sources import fx_views as V
 from tickloom.streaming import bars as S
-from tickloom.streaming import sinks, stateful
+from tickloom.streaming import feed, sinks, stateful
 
 _BAR = f"{r('open', 'high', 'low', 'close', 'volume')}, tick_count, {r('avg_spread')}"
 
 
-def tick_stream(spark, folder):
-    """The event table as a stream of ticks."""
+BATCHES = 5
+
+
+def tick_stream(spark, folder, ticks=None):
+    """The event table, or other ticks, as a feed that a reader gets in ``BATCHES`` micro-batches of arrival order."""
     configure(spark)
-    schema = V.read_table(spark, folder, "events").schema
-    events = S.read_ticks(spark, folder, schema, files_per_trigger=1, glob="events.parquet")
-    return V.events_as_ticks(events, V.by_type())
+    ticks = V.ticks(spark, folder) if ticks is None else ticks
+    place = sinks.stream_folder(spark, "feed")
+    feed.append(ticks, f"{place}/feed")
+    limit = max(1, -(-ticks.count() // BATCHES))
+    return feed.read_feed(spark, f"{place}/feed", ticks.schema, f"{place}/reader", limit)
 
 
-def use_rocksdb(spark):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+@contextmanager
+def rocksdb(spark):
+    """The state store that keyed state needs, for the queries started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
 @query(
@@ -50,7 +63,8 @@ def listeners(spark, folder):
             F.count(F.lit(1)).alias("ticks"), F.min("bid").alias("low"), F.max("bid").alias("high")
         ).write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
-    sinks.notify(tick_stream(spark, folder), f"{place}/checkpoint", on_ticks).awaitTermination()
+    query = sinks.notify(tick_stream(spark, folder), f"{place}/checkpoint", on_ticks, trigger={"processingTime": "0 seconds"})
+    sinks.until_idle(query)
     return (
         spark.read.parquet(f"{place}/out")
         .groupBy("symbol")
@@ -85,9 +99,9 @@ SETTINGS = stateful.CleanSettings(
 
 
 def cleaned(spark, folder):
-    use_rocksdb(spark)
     stream = tick_stream(spark, folder).filter(F.col("bid") > 0)
-    return sinks.drain(stateful.clean_bars(stream, SETTINGS), sinks.stream_folder(spark, "clean"))
+    with rocksdb(spark):
+        return sinks.drain(stateful.clean_bars(stream, SETTINGS), sinks.stream_folder(spark, "clean"))
 
 
 _CLEAN = spikes_sql(TICKS, 50.0, 3_600_000_000) + (
@@ -121,12 +135,11 @@ def clean_gaps(spark, folder):
     " SELECT symbol, ts, last_ts, seq, 'timestamp_reversal' AS reason FROM timed WHERE ts < last_ts",
 )
 def late(spark, folder):
-    use_rocksdb(spark)
     disturbed = (F.col("seq") + (F.col("seq") * 7919) % 13) * F.lit(64) + F.col("seq") % 64
-    stream = tick_stream(spark, folder).withColumn("seq", disturbed)
+    stream = tick_stream(spark, folder, V.ticks(spark, folder).withColumn("seq", disturbed))
     plain = stateful.CleanSettings(bar_seconds=3600, gap_threshold=3600.0, spike_threshold_percent=None)
-    out = sinks.drain(stateful.clean_bars(stream, plain), sinks.stream_folder(spark, "late"))
-    return stateful.late_rows(out)
+    with rocksdb(spark):
+        return stateful.late_rows(sinks.drain(stateful.clean_bars(stream, plain), sinks.stream_folder(spark, "late")))
 
 
 @query(
@@ -149,8 +162,46 @@ def sliding(spark, folder):
 )
 def reset(spark, folder):
     # Every 500th event stands for a control row: what was held for its symbol is forgotten.
-    use_rocksdb(spark)
     stream = tick_stream(spark, folder).withColumn("control", F.when(F.col("seq") % 500 == 0, "reset"))
     plain = stateful.CleanSettings(bar_seconds=3600, gap_threshold=3600.0, spike_threshold_percent=None)
-    out = sinks.drain(stateful.clean_bars(stream, plain), sinks.stream_folder(spark, "reset"))
+    with rocksdb(spark):
+        out = sinks.drain(stateful.clean_bars(stream, plain), sinks.stream_folder(spark, "reset"))
     return stateful.only_bars(out).drop("end_time")
+
+
+@query(
+    "st7_admission_control",
+    f"WITH {TICKS}, n AS (SELECT count(*) AS rows FROM ticks), "
+    "b AS (SELECT unnest(range(CAST(ceil(rows / 1500e0) AS BIGINT))) AS batch, rows FROM n) "
+    "SELECT batch, least(1500, rows - batch * 1500)::BIGINT AS admitted, least(rows, (batch + 1) * 1500)::BIGINT AS delivered FROM b",
+)
+def admission(spark, folder):
+    # 1,500 ticks a batch are admitted; the rest waits in the feed, and nothing is lost
+    ticks, place = V.ticks(spark, folder), sinks.stream_folder(spark, "admission")
+    feed.append(ticks, f"{place}/feed")
+    stream = feed.read_feed(spark, f"{place}/feed", ticks.schema, f"{place}/reader", 1500)
+    sizes = sinks.deliver(stream, place).groupBy("batch").agg(F.count_distinct("symbol", "seq").alias("admitted"))
+    so_far = F.sum("admitted").over(Window.orderBy("batch"))  # one row per batch
+    return sizes.select("batch", "admitted", so_far.alias("delivered"))
+
+
+@query(
+    "s14_two_readers",
+    f"WITH {TICKS}, r AS (SELECT unnest(['fast', 'slow']) AS reader) "
+    f"SELECT reader, symbol, count(*) AS ticks, count(DISTINCT seq) AS different, {rx('sum(bid)', 'bids')} FROM ticks, r GROUP BY 1, 2",
+)
+def two_readers(spark, folder):
+    # the feed grows between two runs of each reader; each goes on from its own cursor
+    ticks, place = V.ticks(spark, folder), sinks.stream_folder(spark, "readers")
+    middle = ticks.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for some in (ticks.filter(F.col("seq") <= middle), ticks.filter(F.col("seq") > middle)):
+        feed.append(some, f"{place}/feed")
+        got = {}
+        for reader, limit in (("fast", 4000), ("slow", 1300)):
+            own = f"{place}/{reader}"
+            stream = feed.read_feed(spark, f"{place}/feed", ticks.schema, f"{own}/reader", limit)
+            got[reader] = sinks.deliver(stream, own).withColumn("reader", F.lit(reader))
+    both = got["fast"].unionByName(got["slow"])
+    return both.groupBy("reader", "symbol").agg(
+        F.count(F.lit(1)).alias("ticks"), F.count_distinct("seq").alias("different"), F.sum("bid").alias("bids")
+    )

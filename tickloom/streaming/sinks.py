@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.listener import StreamingQueryListener
 
@@ -38,11 +39,22 @@ def dropped_rows(query: StreamingQuery) -> int:
     )
 
 
+# Batches one after the other, as long as a source that admits a limited number of rows has more.
+_ON = {"processingTime": "0 seconds"}
+
+
+def until_idle(query: StreamingQuery) -> None:
+    """Let a query go on until its source has nothing new and its watermark closes nothing more, then stop it."""
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
 def drain(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over everything there is now and read back its output."""
     spark = stream.sparkSession
-    query = write_bars(stream, f"{folder}/out", f"{folder}/checkpoint")
-    query.awaitTermination()
+    until_idle(write_bars(stream, f"{folder}/out", f"{folder}/checkpoint", _ON))
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -60,11 +72,11 @@ def drain_updates(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     query = (
         stream.writeStream.outputMode("update")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**_ON)
         .foreachBatch(keep)
         .start()
     )
-    query.awaitTermination()
+    until_idle(query)
     versions = spark.read.parquet(f"{folder}/out")
     values = [c for c in stream.columns if c not in keys]
     newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("row"))
@@ -77,6 +89,7 @@ def notify(
     on_rows: Callable[[DataFrame, int], None],
     on_error: Callable[[Exception, int], None] | None = None,
     mode: str = "append",
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Call ``on_rows(frame, batch)`` with every micro-batch as a DataFrame.
 
@@ -95,15 +108,76 @@ def notify(
     return (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .foreachBatch(call)
         .start()
     )
 
 
+def deliver(stream: DataFrame, folder: str) -> DataFrame:
+    """Run a stream until its source has nothing new; its rows with the number of the ``batch`` that brought them.
+
+    For sources that admit a limited number of rows per batch, which is more than one trigger. Every batch is written
+    under its number, so a batch that is run again replaces its own rows.
+    """
+    spark = stream.sparkSession
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    until_idle(stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(keep).start())
+    layout = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(layout).parquet(f"{folder}/out")
+
+
+class AdmissionControl(StreamingQueryListener):
+    """Sets the limit of a feed's reader after each micro-batch by how much of ``seconds`` the batch took.
+
+    From a load of 0.8, 0.9 and 1.0 on, the next batches are three quarters, half and a quarter as large; below, they
+    grow by a quarter, up to ``most``. Nothing is dropped: what is not admitted stays in the feed. ``history`` has a row
+    per batch: its number, rows, load and the limit after it.
+    """
+
+    STEPS = ((1.0, 0.25), (0.9, 0.5), (0.8, 0.75))
+
+    def __init__(self, spark: SparkSession, reader: str, most: int, seconds: float = 1.0, least: int = 1) -> None:
+        self.spark, self.reader, self.most, self.least, self.seconds = spark, reader, most, least, seconds
+        self.limit = most
+        self.history: list[tuple[int, int, float, int]] = []
+
+    def after(self, limit: int, load: float) -> int:
+        factor = next((f for level, f in self.STEPS if load >= level), 1.25)
+        return max(self.least, min(self.most, int(limit * factor)))
+
+    def note(self, batch: int, rows: int, load: float) -> None:
+        self.limit = self.after(self.limit, load)
+        self.history.append((batch, rows, load, self.limit))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.reader}/limit.json")
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(f'{{"limit": {self.limit}}}'.encode()))
+        out.close()
+
+    def metrics(self) -> DataFrame:
+        return self.spark.createDataFrame(self.history, "batch long, rows long, load double, limit long")
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        if progress.numInputRows:
+            self.note(progress.batchId, progress.numInputRows, progress.durationMs["triggerExecution"] / 1000 / self.seconds)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class Backpressure(StreamingQueryListener):
     """Compares input and processing rate after each micro-batch and reports when the query
-    falls behind. It only reports: rows are never dropped; limit the source instead."""
+    falls behind. It only reports; ``AdmissionControl`` acts."""
 
     def __init__(self, report: Callable[[str, float], None], levels: tuple[float, ...] = (0.8, 0.9, 1.0)):
         self.report, self.levels = report, sorted(levels)
