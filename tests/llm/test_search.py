@@ -100,7 +100,7 @@ def sets_of(spark, size):
 @pytest.mark.parametrize("size,many", [(100, 2048), (1300, 300), (1300, 2048)])
 def test_only_shared_band_is_a_large_bucket(spark, monkeypatch, size, many):
     monkeypatch.setattr(neardup, "MANY", many)
-    found = neardup._links_apart(*crowd(spark, size), sets_of(spark, size)).collect()
+    found = neardup._links_apart(*crowd(spark, size), lambda nodes: sets_of(spark, size)).collect()
     assert {(r.a, r.b) for r in found} == {(size - 1, 0)}
 
 
@@ -123,7 +123,7 @@ def test_rows_stay_in_proportion(spark, monkeypatch, alike):
     sets = spark.createDataFrame(sets, "node long, set array<long>")
     members = neardup._in_tiles(neardup._tiles(rows, full, found), neardup._may_link, neardup._MEMBER)
     assert members.count() == size
-    links = neardup._links_apart(rows, full, found, sets).collect()
+    links = neardup._links_apart(rows, full, found, lambda nodes: sets).collect()
     assert len(links) == (size - 1 if alike > 0.75 else 0)
 
 

@@ -4,12 +4,12 @@ A signature keeps the smallest and the largest value of each permutation, so 88
 44 bands of four, each from four permutations. Two sets of similarity 0.75 agree in a band with probability 0.316, of any
 size, and share none with probability 6e-8 (if bands were independent; smallest and largest value of a permutation are
 not quite, in small sets). Sets that are equal are one class from
-the start. Candidates come in steps that never list all pairs of a bucket: first every class of a bucket against its
-smallest one, in some bands, which joins large groups of near copies; then, in buckets of all bands that hold several
-components, each class against one of the smallest component; then, inside each bucket that is left, classes of different
-components by their sketches, of which only pairs that may be links leave the task: one pair of two components first, and
-all others where components stay apart. A large bucket (a passage that very many documents share) is cut into parts, and
-every two parts meet in a task of bounded size, so that no pair of a bucket is left out.
+the start. Candidates come in two steps that never list all pairs of a bucket: first every class of a bucket against its
+smallest one, in some bands, which joins large groups of near copies; then, inside each bucket of all bands that still holds
+several components, all classes of different components: sketches say which may have a link, and those are compared on
+their full sets by a product of matrices in the same tasks. What leaves a task are classes and links between components, so
+rows stay in proportion. A large bucket (a passage that very many documents share) is cut into parts, and every two parts
+meet in a task of bounded size, so that no pair of a bucket is left out.
 """
 
 from __future__ import annotations
@@ -115,15 +115,10 @@ class _Checker:
     def __init__(self, docs: DataFrame, classes: DataFrame) -> None:
         self.classes = classes
         self.texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("node"), "text")
-        self.sets: DataFrame | None = None
 
-    def _sets_of(self, nodes: DataFrame) -> DataFrame:
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
         return written(_sets(self.texts.join(nodes.distinct(), "node", "left_semi")), "near-sets")
 
-    def prepare(self, nodes: DataFrame) -> None:
-        """Make the sets that later pairs take once: pairs are of these nodes from now on."""
-        self.sets = self._sets_of(nodes)
-
     def _side(self, name: str) -> DataFrame:
         return self.classes.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
 
@@ -132,7 +127,7 @@ class _Checker:
         sized = pairs.join(self._side("a"), "a").join(self._side("b"), "b")
         sized = sized.filter(100 * F.least("n_a", "n_b") >= 75 * F.greatest("n_a", "n_b"))
         near = written(sized.select("a", "b", "s_a", "s_b").mapInArrow(_alike, "a long, b long").distinct(), "near-pairs")
-        sets = self.sets or self._sets_of(near.select(F.col("a").alias("node")).unionAll(near.select("b")))
+        sets = self.sets_of(near.select(F.col("a").alias("node")).unionAll(near.select("b")))
         x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
@@ -169,10 +164,15 @@ _MEMBER = "tile long, part long, same boolean, node long, component long"
 
 
 def _may_link(table: pa.Table, block: int = 64) -> Iterator[pa.RecordBatch]:
-    """The members of a tile that have one of another component whose size and sketch allow a link: not the pairs."""
+    """The members of a tile that have one of another component whose size and sketch allow a link: not the pairs.
+
+    A pair counts in the first band that both share, so that sets are not sent to all buckets that two texts meet in.
+    """
     part, node, component, n = (table.column(c).to_numpy() for c in ("part", "node", "component", "n"))
     same = table.column("same").to_numpy(zero_copy_only=False)
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u2").reshape(len(node), -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    key = table.column("key")[0].as_py()
     wanted = np.zeros(len(node), bool)
     for at in range(0, len(node), block):
         left, right = np.arange(at, min(at + block, len(node))), np.arange(at, len(node))
@@ -184,7 +184,9 @@ def _may_link(table: pa.Table, block: int = 64) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(i), 4096):
             a, b = i[k : k + 4096], j[k : k + 4096]
             near = (sketch[a] == sketch[b]).mean(axis=1) >= SURE
-            wanted[a[near]] = wanted[b[near]] = True
+            a, b = a[near], b[near]
+            here = bands[a, (bands[a] == bands[b]).argmax(axis=1)] == key
+            wanted[a[here]] = wanted[b[here]] = True
     names = [f.split()[0] for f in _MEMBER.split(", ")]
     for batch in table.select(names).filter(pa.array(wanted)).to_batches():
         yield batch
@@ -258,11 +260,12 @@ def _tiles(rows: DataFrame, full: DataFrame, found: DataFrame) -> DataFrame:
     placed = written(placed, "near-placed")
     ends = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("classes"))
     apart = ends.filter("low != high").select("key", F.ceil(F.col("classes") / MANY).alias("parts"))
-    members = placed.join(apart, "key").join(full.select("node", "n", "sketch"), "node")
+    members = placed.join(apart, "key").join(full.select("node", "n", "sketch", "bands"), "node")
     members = members.withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     tile = F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))
-    return members.select(tile.alias("tile"), "part", (F.col("part") == F.col("other")).alias("same"), "node", "component", "n", "sketch")
+    same = (F.col("part") == F.col("other")).alias("same")
+    return members.select(tile.alias("tile"), "key", "part", same, "node", "component", "n", "sketch", "bands")
 
 
 def _in_tiles(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatch]], layout: str) -> DataFrame:
@@ -270,10 +273,10 @@ def _in_tiles(rows: DataFrame, work: Callable[[pa.Table], Iterator[pa.RecordBatc
     return rows.repartition(parts, "tile").sortWithinPartitions("tile").mapInArrow(_by_tile(work), layout)
 
 
-def _links_apart(rows: DataFrame, full: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+def _links_apart(rows: DataFrame, full: DataFrame, found: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links ``a, b`` between components that share a bucket: all pairs of its classes are compared, none is listed."""
     members = written(_in_tiles(_tiles(rows, full, found), _may_link, _MEMBER), "near-members")
-    return _in_tiles(members.join(sets, "node"), _joined, "a long, b long").distinct()
+    return _in_tiles(members.join(sets_of(members.select("node")), "node"), _joined, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -306,9 +309,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # all bands; from here on only buckets that hold more than one component
     placed = full.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "bands")
     rows = _apart(placed.select("node", "component", F.explode("bands").alias("key")))
-    checker.prepare(rows.select("node"))
-    found = components(_as_links(found).unionAll(checker.confirmed(_stars(rows))))
-    links = written(_links_apart(rows.select("key", "node"), full, found, checker.sets), "near-links")
+    links = written(_links_apart(rows.select("key", "node"), full, found, checker.sets_of), "near-links")
     found = components(_as_links(found).unionAll(links))
     placed = classes.select("h1", "h2", "node").join(found, "node", "left")
     placed = placed.select("h1", "h2", F.coalesce("component", "node").alias("component"))
