@@ -112,3 +112,55 @@ def test_bitmaps_are_runs(spark):
     data = [(1, "\n".join(f"line number {i}" for i in (3, 4, 5, 9, 40, 41))), (2, text)]
     marks = lines.keep_bitmaps(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert [(r.doc, [tuple(x) for x in r.drop_runs]) for r in marks] == [(2, [(3, 3), (9, 1), (40, 2)])]
+
+
+SCRIPTS = {
+    "arabic": ["كتاب", "مدرسة", "بيت،", "شمس", "قمر", "نهر", "جبل", "طريق", "سماء.", "بحر", "ولد", "بنت؟"],
+    "hindi": ["किताब", "विद्यालय", "घर।", "सूरज", "चाँद", "नदी", "पहाड़", "रास्ता", "आकाश", "समुद्र", "क्ष", "हिन्दी"],
+    "persian": ["می\u200cروم", "خانه", "کتاب\u200cها", "روز", "شب", "آب", "نان", "دست", "چشم", "سر", "پا", "دل"],
+    "chinese": ["我们", "今天", "学习。", "天气", "很好，", "老师", "学生", "书", "水", "火", "山", "朋友"],
+    "hebrew": ["ספר", "בית", "שמש", "ירח.", "נהר", "הר", "דרך", "שמים", "ים", "ילד", "ילדה", "עץ"],
+}
+
+
+@pytest.mark.parametrize("many", [1, 40])
+def test_scripts_without_case_are_clean_in_any_number(spark, many):
+    import random
+
+    english = [(i, brute.invented(i, 120)) for i in range(200)]
+    junk = [(1000 + i, " ".join(w + "###" for w in brute.invented(i, 80).split())) for i in range(20)]
+    data, at = english + junk, 2000
+    for words in SCRIPTS.values():
+        for k in range(many):
+            r = random.Random(at + k)
+            fresh = ["".join(r.sample(words, 2)).replace(".", "").replace("،", "") for _ in range(40)]
+            data.append((at + k, " ".join(r.choice(words + fresh) for _ in range(150))))
+        at += 100
+    found = {r.doc_id: r.kept for r in rules.quality(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert all(kept for k, kept in found.items() if k < 1000 or k >= 2000) and not any(found[k] for k, _ in junk)
+
+
+def test_verdicts_equal_a_plain_version(repetitive):
+    """Votes, expectation-maximisation over single documents, and the verdict, all in plain Python."""
+    data, docs = repetitive
+    found = rules.quality(docs).collect()
+    names, votes = list(rules._votes()), []
+    for _, text, *_ in data:
+        n, chars, symbols, dup, often = counts(text)
+        w, text = brute.words(text), text or ""
+        lines = sum(bool(brute.words(x)) for x in text.split("\n"))
+        plain, distinct = sum(bool(re.fullmatch(r"[^\W\d_][^\W\d_A-ZÉÇ]*[.,;:]?", x)) for x in w), len(set(w))
+        caps, spread = sum("A" <= c <= "Z" for c in text), min(n, 200)
+        votes.append({
+            "length": -(n < 20), "repetition": -(100 * often > 30 * n), "symbols": -(100 * symbols > 4 * chars),
+            "lines": -(100 * dup > 30 * lines), "capitals": -(100 * caps > 40 * chars),
+            "word_length": -(chars < 2 * n or chars > 15 * n), "variety": -(n >= 20 and 100 * distinct < 20 * spread),
+            "prose": 1 if n and 100 * plain >= 85 * n and 100 * distinct >= 30 * spread else -(100 * plain < 60 * n),
+        })
+    prior, ratios = rules.fit([{**v, "n": 1} for v in votes], names)
+    want = Counter()
+    for (k, text, *_), v in zip(data, votes, strict=True):
+        n, _, _, _, often = counts(text)
+        odds = prior + sum(ratios[r][v[r]] for r in names)
+        want[(k, not (n < 20 or 100 * often > 30 * n) and odds >= 0)] += 1
+    assert brute.keyed(found, "doc_id", "kept") == want

@@ -19,8 +19,10 @@ from tickloom.session import written
 VOTES = (-1, 0, 1)
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-# a whole word of letters, lower case after the first, with at most one mark behind it
-PLAIN = r"(?<![^\x20\x09-\x0D])\p{L}\p{Ll}*+[.,;:]?+(?![^\x20\x09-\x0D])"
+# a whole word of letters, lower case after the first, or of letters and marks of a script without case (joiners of such
+# scripts included), with at most one mark of punctuation behind it
+MARKS = ".,;:،؛؟۔।。，、；：！？"
+PLAIN = rf"(?<![^\x20\x09-\x0D])(?:\p{{L}}\p{{Ll}}*+|[\p{{Lo}}\p{{Lm}}\p{{M}}\x{{200C}}\x{{200D}}]++)[{MARKS}]?+(?![^\x20\x09-\x0D])"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
