@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import brute
 import numpy as np
@@ -298,3 +299,22 @@ def test_word_memory_forgets(plain):
     texts = [t or "" for _, t, *_ in brute.rows()] + ["İstanbul ΣΑΣ ﬁne ǅ it's, we'll!! a.b.c <|ENDOFTEXT|> x<|startoftext|>y Å é ́e ٣ 12"]
     got = [np.frombuffer(b"".join(ids), "<u4").tolist() for t in texts for ids in memory.ids([t])]
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_complements_beside_lengths_in_use():
+    index = packing.Complements([0, 0, 1, 1, 1, 1, 0, 0, 0, 0, 0, 0])
+    assert index.filling(5, 7) == (4, 3) and index.filling(5, 9) == (4, 3, 2) and index.filling(4, 8) == (5, 3)
+    assert index.filling(5, 10) is None
+    r = np.random.default_rng(3)
+    for _ in range(200):  # as all combinations say, whatever was asked before
+        n = r.integers(0, 3, 25).tolist()
+        n[0] = 0
+        index = packing.Complements(n + [0] * 40)
+        for _ in range(20):
+            length, gap = int(r.integers(1, 25)), int(r.integers(1, 40))
+            if not n[length]:
+                continue
+            have = [x for x in range(25) for _ in range(min(3, n[x] - (x == length)))]
+            any_fit = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(have, k))
+            found = index.filling(length, gap)
+            assert (found is not None) == any_fit and (found is None or sum(found) == gap)

@@ -40,24 +40,31 @@ class Complements:
     def _has(self, *lengths: int) -> bool:
         return all(self.n[x] >= lengths.count(x) for x in lengths)
 
-    def pair(self, total: int) -> tuple[int, ...] | None:
-        a = min(self.pair_at[total], total - 1)
+    def pair(self, total: int, *used: int) -> tuple[int, ...] | None:
+        """Two lengths of that sum that are there beside those ``used``; only what is gone for good moves the pointer."""
+        a, gone = min(self.pair_at[total], total - 1), True
         while 2 * a >= total:
             if self._has(a, total - a):
-                self.pair_at[total] = a
-                return a, total - a
+                if gone:
+                    self.pair_at[total], gone = a, False
+                if self._has(*used, a, total - a):
+                    return a, total - a
             a -= 1
-        self.pair_at[total] = a
+        if gone:
+            self.pair_at[total] = a
         return None
 
-    def triple(self, total: int) -> tuple[int, ...] | None:
-        a = min(self.triple_at[total], total - 2)
+    def triple(self, total: int, *used: int) -> tuple[int, ...] | None:
+        a, gone = min(self.triple_at[total], total - 2), True
         while 3 * a >= total:
-            if self.n[a] and (two := self.pair(total - a)) and self._has(a, *two):
-                self.triple_at[total] = a
-                return a, *two
+            if self.n[a] and self.pair(total - a, a):
+                if gone:
+                    self.triple_at[total], gone = a, False
+                if self._has(*used, a) and (two := self.pair(total - a, *used, a)):
+                    return a, *two
             a -= 1
-        self.triple_at[total] = a
+        if gone:
+            self.triple_at[total] = a
         return None
 
     def filling(self, length: int, gap: int) -> tuple[int, ...] | None:
@@ -66,11 +73,7 @@ class Complements:
             return ()
         if self._has(length, gap):
             return (gap,)
-        two = self.pair(gap)
-        if two and self._has(length, *two):
-            return two
-        three = self.triple(gap)
-        return three if three and self._has(length, *three) else None
+        return self.pair(gap, length) or self.triple(gap, length)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[tuple[int, int]], int]]:
