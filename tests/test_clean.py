@@ -14,6 +14,7 @@ from tickloom.operators import spikes as S
 from tickloom.operators.ordered import (
     by_seq,
     by_time,
+    equal_depth,
     last_rows,
     measured,
     nearest,
@@ -292,6 +293,48 @@ def test_time_slices_hold_neighbours(tick_frame):
     assert [r["before"] for r in near] == [None] + [float(i) for i in range(1, 20)]
 
 
+def bursty(spark, n=4000):
+    """Nine of ten ticks of A within a hundredth of its time; B is even, C is short, one symbol is missing."""
+    r = np.random.default_rng(3)
+    quiet, burst = r.integers(0, 10_000_000, n // 10), r.integers(5_000_000, 5_100_000, n - n // 10)
+    rows = [("A", int(t)) for t in np.unique(np.concatenate([quiet, burst]))]
+    rows += [("B", i * 5000) for i in range(n // 2)] + [("C", 7), ("C", 9), (None, 1), (None, 2)]
+    return spark.createDataFrame([(s, t, float(t % 97)) for s, t in rows], "symbol string, seq long, bid double")
+
+
+def test_equal_slices_of_a_burst(spark):
+    ticks = bursty(spark).cache()
+    for width in (64, 250):
+        cut = equal_depth(ticks, "seq", width)
+        held = cut.cut(ticks).groupBy("symbol", "__slice").count().collect()
+        assert max(r["count"] for r in held) <= 2 * width
+        assert {r["__slice"] for r in held if r.symbol in ("C", None)} == {0}
+        alone = ticks.filter("symbol = 'A'")
+        fixed = measured(alone, "seq", width).cut(alone).groupBy("symbol", "__slice").count()
+        assert fixed.agg(F.max("count")).first()[0] > 8 * width  # what average density gives
+        order = cut.cut(ticks).groupBy("symbol", "__slice").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+        ranges = sorted((r.symbol or "", r["__slice"], r.lo, r.hi) for r in order.collect())
+        assert all(a[3] < b[2] for a, b in zip(ranges, ranges[1:]) if a[0] == b[0])
+
+
+def test_equal_slices_give_the_same_results(spark):
+    ticks = bursty(spark, 1000)
+    cut = equal_depth(ticks, "seq", 40)
+    for one, two in [
+        (neighbours(ticks, ["symbol"], cut, {"before": "bid"}, {"after": "bid"}), neighbours(ticks, ["symbol"], by_seq(1 << 40), {"before": "bid"}, {"after": "bid"})),
+        (with_position(ticks, ["symbol"], cut), with_position(ticks, ["symbol"], by_seq(1 << 40))),
+    ]:
+        assert sorted(map(tuple, one.fillna("", "symbol").fillna(-1.0).collect())) == sorted(map(tuple, two.fillna("", "symbol").fillna(-1.0).collect()))
+    few = equal_depth(ticks.limit(5), "seq", 40)
+    assert few.most == 0 and with_position(ticks.limit(5), ["symbol"], few).count() == 5
+
+
+def test_spikes_in_equal_slices(tick_frame):
+    rows = noisy(500, 7, 0.3)
+    ticks = tick_frame(rows)
+    assert flags(C.flag_spikes(ticks, slicing=equal_depth(ticks, "seq", 30))) == fold_spikes(rows, 0.1, 300)
+
+
 def test_measured_slices_follow_the_density(spark):
     sparse = spark.range(1000).select((F.col("id") * 1_000_000).alias("seq"))
     assert 9_900_000 <= measured(sparse, "seq", 10).width <= 10_000_000

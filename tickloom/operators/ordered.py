@@ -4,7 +4,8 @@ A plain ``Window.partitionBy(symbol).orderBy(seq)`` sorts a symbol's whole
 history in a single task, which fails as soon as one symbol owns a large share
 of the ticks. Everything here cuts a key's history into bounded runs instead:
 
-* a *slice* is a fixed range of the order column (arrival numbers or time).
+* a *slice* is a range of the order column (arrival numbers or time), of fixed
+  width or, with ``equal_depth``, of about equally many rows.
   What a row needs from before its slice is summarised per (key, slice) by an
   ordinary map-side-combined aggregate, scanned over the tiny summary, and
   handed to the slice as one extra *carry row*. The data itself is shuffled
@@ -27,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickloom.session import written
+
 DEFAULT_SLICE_ROWS = 1 << 20
 DEFAULT_BLOCK_ROWS = 1 << 16
 # Blocks whose states are scanned in one task.
@@ -47,6 +50,39 @@ class Slicing:
         value = F.unix_micros(F.col(self.order).cast("timestamp")) if self.is_time else F.col(self.order)
         return F.floor(value / F.lit(self.width)).cast("long")
 
+    def cut(self, df: DataFrame) -> DataFrame:
+        """``df`` with the number of each row's slice."""
+        return df.withColumn(_SLICE, self.column())
+
+
+@dataclass(frozen=True)
+class EqualDepth(Slicing):
+    """Slices of about equally many rows per key, however its rows are spread over the order column.
+
+    ``bounds`` has a row per key that needs more than one slice: the values at which its slices end, in order. A row's
+    slice is the number of bounds below it, found by halving, one projection per step.
+    """
+
+    bounds: DataFrame | None = None
+    keys: tuple[str, ...] = ()
+    most: int = 0  # bounds of a key, at most
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        if not self.most:
+            return df.withColumn(_SLICE, F.when(F.col(self.order).isNotNull(), F.lit(0).cast("long")))
+        value = F.unix_micros(F.col(self.order).cast("timestamp")) if self.is_time else F.col(self.order)
+        of_key = self.bounds.select(*[F.col(k).alias(f"__of_{k}") for k in self.keys], F.col("bounds").alias("__bounds"))
+        same = F.lit(True)
+        for k in self.keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+        joined = df.join(of_key, same, "left").withColumn("__at", F.lit(0))
+        step = 1 << (self.most.bit_length() - 1)
+        while step:
+            beyond = F.coalesce(F.get("__bounds", F.col("__at") + F.lit(step - 1)) < value, F.lit(False))
+            joined = joined.withColumn("__at", F.col("__at") + F.when(beyond, step).otherwise(0))
+            step //= 2
+        return joined.select(*df.columns, F.when(value.isNotNull(), F.col("__at").cast("long")).alias(_SLICE))
+
 
 def by_seq(width: int = DEFAULT_SLICE_ROWS, order: str = "seq") -> Slicing:
     """Slices of ``width`` arrival numbers; for numbers without large holes (else ``measured``)."""
@@ -79,6 +115,40 @@ def measured(
     return Slicing(order, min(max(int(width), 1), 1 << 62), is_time)
 
 
+# Slices of a key at most: beyond, slices hold more rows.
+MOST_SLICES = 4096
+
+
+def equal_depth(
+    df: DataFrame, order: str = "seq", rows: int = DEFAULT_SLICE_ROWS, keys: Sequence[str] = ("symbol",)
+) -> EqualDepth:
+    """Slices that hold about ``rows`` rows of a key wherever its rows are dense.
+
+    A burst (most ticks of a day in some minutes) falls into one slice of fixed
+    width. Here bounds are quantiles of the order column from mergeable summaries,
+    exact to a twentieth of a slice; a key of up to ``rows`` rows is one slice, and a
+    key has ``MOST_SLICES`` at most. Two narrow aggregates run while this is called.
+    """
+    is_time = dict(df.dtypes)[order].startswith(("timestamp", "date"))
+    value = F.unix_micros(F.col(order).cast("timestamp")) if is_time else F.col(order).cast("long")
+    held = [k for k in keys if k in df.columns]
+    counts = df.groupBy(*held).agg(F.count(order).alias("n"))
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    parts = min(-(-largest // rows), MOST_SLICES)
+    if parts < 2:
+        return EqualDepth(order, rows, is_time, None, tuple(held), 0)
+    cuts = [i / parts for i in range(1, parts)]
+    found = df.groupBy(*held).agg(F.count(order).alias("n"), F.percentile_approx(value, cuts, 20 * parts).alias("cuts"))
+    # a key with fewer rows takes every so many cuts of the largest one
+    mine = F.greatest(F.lit(1), F.least(F.lit(parts), F.ceil(F.col("n") / rows))).cast("int")
+    each = F.floor(F.lit(parts) / mine).cast("int")
+    some = F.array_distinct(F.filter("cuts", lambda x, i: (i + 1) % F.col("each") == 0))
+    bounds = found.withColumn("mine", mine).withColumn("each", each).filter("mine > 1")
+    bounds = written(bounds.select(*held, some.alias("bounds")), "slice-bounds")
+    most = bounds.agg(F.max(F.size("bounds"))).first()[0] or 0
+    return EqualDepth(order, rows, is_time, bounds, tuple(held), most)
+
+
 def by_time(seconds: int, order: str = "time") -> Slicing:
     """Slices of ``seconds`` of event time."""
     return Slicing(order, seconds * 1_000_000, True)
@@ -90,7 +160,7 @@ def by_bars(bar_seconds: int, order: str = "time", bars: int = DEFAULT_BLOCK_ROW
 
 
 def _sliced(df: DataFrame, slicing: Slicing) -> DataFrame:
-    return df.withColumn(_SLICE, slicing.column())
+    return slicing.cut(df)
 
 
 def _scan(keys: Sequence[str]) -> WindowSpec:

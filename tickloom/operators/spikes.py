@@ -319,7 +319,7 @@ def flag_spikes(
     if threshold_percent <= 0 or market_gap < 0:
         raise ValueError("threshold_percent must be positive and market_gap non-negative")
     typed = ticks.withColumns({"bid": F.col("bid").cast("double"), "ask": F.col("ask").cast("double")})
-    runs = typed.withColumn("__slice", slicing.column())
+    runs = slicing.cut(typed)
     narrow = runs.select("symbol", "__slice", "ts", "seq", "bid", "ask")
     carried, _ = _Filter(narrow, threshold_percent, market_gap).carried()
     schema = T.StructType([*typed.schema.fields, T.StructField("is_spike", T.BooleanType())])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tickloom.operators import clean as C
 from tickloom.operators.bars import tick_bars
-from tickloom.operators.ordered import by_seq
+from tickloom.operators.ordered import by_seq, equal_depth
 from tickloom.plans.registry import HOURLY, MINUTE, SHUFFLED, TICKS, USER_TICKS, bars_sql, query, r, rx, seconds
 from tickloom.sources import fx_views as V
 
@@ -67,6 +67,15 @@ def spikes(spark, folder):
     return C.flag_spikes(ticks, 50.0, 3600.0).select("symbol", "seq", "is_spike")
 
 
+@query(
+    "t3_percent_spike_filter_equal_slices",
+    spikes_sql(TICKS, 50.0, 3_600_000_000) + " SELECT symbol, seq, is_spike FROM w",
+)
+def spikes_in_equal_slices(spark, folder):
+    ticks = V.ticks(spark, folder).filter(F.col("bid") > 0)
+    return C.flag_spikes(ticks, 50.0, 3600.0, slicing=equal_depth(ticks, "seq", 300)).select("symbol", "seq", "is_spike")
+
+
 @query(
     "t3_percent_spike_filter_many_symbols",
     spikes_sql(USER_TICKS, 80.0, 86_400_000_000) + " SELECT symbol, seq, is_spike FROM w",
