@@ -182,3 +182,36 @@ def test_admission_follows_the_load(spark, tmp_path):
 def test_a_limit_needs_a_place(spark, tmp_path):
     with pytest.raises(ValueError):
         feeds.FeedReader(S.ARRIVED_TICK, {"path": str(tmp_path), "limit": "5"})
+
+
+def test_a_quiet_symbols_bar_closes_by_its_timer(spark, tmp_path):
+    """B has one tick and is quiet from then on; A moves the watermark over several batches."""
+    rows = ticks_of("A", range(0, 600, 10), [1.0] * 60) + ticks_of("B", [5], [2.0], first=1)
+    rows = sorted(rows, key=lambda r: r[1])
+    rows = [(s, t, i, *rest) for i, (s, t, _, *rest) in enumerate(rows)]
+    place, path = str(tmp_path / "run"), str(tmp_path / "feed")
+    feeds.append(spark.createDataFrame(rows, S.ARRIVED_TICK), path)
+    stream = feeds.read_feed(spark, path, S.ARRIVED_TICK, f"{place}/reader", 13)
+    plain = X.CleanSettings(spike_threshold_percent=None)
+    out = X.only_bars(sinks.drain(X.clean_bars(stream, plain, close_after="0 seconds"), place)).collect()
+    assert [(r.open, r.tick_count) for r in out if r.symbol == "B"] == [(2.0, 1)]
+    assert sorted(r.tick_count for r in out if r.symbol == "A") == [6] * 9
+    again = feeds.read_feed(spark, path, S.ARRIVED_TICK, f"{place}/other", 13)
+    exact = X.only_bars(sinks.drain(X.clean_bars(again, plain), f"{place}/exact")).collect()
+    assert [r.symbol for r in exact if r.symbol == "B"] == []  # without the option it waits for B's next tick
+
+
+def test_recent_ticks_in_state_over_a_restart(spark, tmp_path):
+    rows = sorted(messy("EURUSD", 90, 1) + messy("USDJPY", 8, 2), key=lambda r: r[2])
+    place, path = str(tmp_path / "run"), str(tmp_path / "feed")
+    ticks = spark.createDataFrame(rows, S.ARRIVED_TICK)
+    for some in (ticks.filter("seq < 50"), ticks.filter("seq >= 50")):
+        feeds.append(some, path)
+        stream = feeds.read_feed(spark, path, S.ARRIVED_TICK, f"{place}/reader", 20)
+        held = sinks.drain_updates(X.keep_recent(stream, 25), place, ["symbol"])
+    assert {r.symbol: r.held for r in held.collect()} == {"EURUSD": 25, "USDJPY": 8}
+    from tickloom.sources.ticks import recent_ticks
+
+    want = recent_ticks(ticks, 25).select("symbol", "seq", "ts", "bid").collect()
+    got = X.recent_of(spark, f"{place}/checkpoint").select("symbol", "seq", "ts", "bid").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

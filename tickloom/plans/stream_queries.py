@@ -119,6 +119,31 @@ def clean_bars(spark, folder):
     return stateful.only_bars(cleaned(spark, folder))
 
 
+@query(
+    "st3_bars_closed_by_timers",
+    _CLEAN
+    + f", {bars_sql('b', HOUR, 'clean')} SELECT symbol, time, time + INTERVAL '1 hour' - INTERVAL '1 microsecond' AS end_time, {_BAR} FROM b "
+    "WHERE time + INTERVAL '1 hour' <= (SELECT max(ts) FROM ticks WHERE bid > 0)",
+)
+def timed_bars(spark, folder):
+    # a quiet symbol's bar closes when the watermark passes its end, without the symbol's next tick
+    stream = tick_stream(spark, folder).filter(F.col("bid") > 0)
+    with rocksdb(spark):
+        out = sinks.drain(stateful.clean_bars(stream, SETTINGS, close_after="0 seconds"), sinks.stream_folder(spark, "timed"))
+    return stateful.only_bars(out)
+
+
+@query(
+    "s15_recent_ticks_of_a_stream",
+    f"WITH {TICKS} SELECT symbol, ts, seq, {r('bid', 'ask', 'volume')} FROM ticks QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) <= 700",
+)
+def recent_of_stream(spark, folder):
+    place = sinks.stream_folder(spark, "recent")
+    with rocksdb(spark):
+        sinks.drain_updates(stateful.keep_recent(tick_stream(spark, folder), 700), place, ["symbol"])
+        return stateful.recent_of(spark, f"{place}/checkpoint")
+
+
 @query(
     "st3_stateful_gaps",
     _CLEAN

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -144,23 +144,7 @@ def advance(state: dict, frame: pd.DataFrame, s: CleanSettings) -> tuple[dict, l
     for c in _BAR:
         state[c] = int(current[c]) if c in ("bar_start", "bar_count") else float(current[c])
     if len(done):
-        start = done["bar_start"].to_numpy(dtype="int64")
-        out.append(
-            pd.DataFrame(
-                {
-                    "kind": "bar",
-                    "ts": _at(start),
-                    "end_ts": _at(start + width - 1),
-                    "open": done["bar_open"].to_numpy(),
-                    "high": done["bar_high"].to_numpy(),
-                    "low": done["bar_low"].to_numpy(),
-                    "close": done["bar_close"].to_numpy(),
-                    "volume": done["bar_volume"].to_numpy(),
-                    "tick_count": done["bar_count"].to_numpy(dtype="int64"),
-                    "avg_spread": (done["bar_spread"] / done["bar_count"]).to_numpy(),
-                }
-            )
-        )
+        out.append(_closed(done, width))
     return state, out
 
 
@@ -197,6 +181,99 @@ class CleanBars(StatefulProcessor):
         pass
 
 
+class TimedCleanBars(CleanBars):
+    """The same, and a bar whose end the watermark has passed closes without its symbol's next tick.
+
+    One event-time timer per symbol stands at the end of its open bar.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        yield from super().handleInputRows(key, rows, timerValues)
+        start = self.held.get()[_STATE.fieldNames().index("bar_start")] if self.held.exists() else None
+        end = None if start is None else (start + self.settings.bar_seconds * 1_000_000) // 1000
+        standing = list(self.handle.listTimers())
+        for timer in standing:
+            if timer != end:
+                self.handle.deleteTimer(timer)
+        if end is not None and end not in standing:
+            self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = dict(zip(_STATE.fieldNames(), self.held.get())) if self.held.exists() else {}
+        if state.get("bar_start") is None:
+            return
+        width = self.settings.bar_seconds * 1_000_000
+        if state["bar_start"] + width <= expiredTimerInfo.getExpiryTimeInMs() * 1000:
+            bar = pd.DataFrame([{c: state[c] for c in _BAR}])
+            yield _closed(bar, width).assign(symbol=key[0]).reindex(columns=OUTPUT.fieldNames()).pipe(_typed)
+            self.held.update(tuple(None if n in _BAR else state[n] for n in _STATE.fieldNames()))
+
+
+class RecentTicks(StatefulProcessor):
+    """The last ``n`` ticks of a symbol in a list that never holds more."""
+
+    def __init__(self, n: int, schema: T.StructType):
+        self.n, self.schema = n, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getListState("ring", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, at = self.schema.fieldNames(), self.schema.fieldNames().index("seq")
+        held = list(self.ring.get()) if self.ring.exists() else []
+        for frame in rows:
+            few = frame.nlargest(self.n, "seq")[names]
+            for c in names:
+                if isinstance(self.schema[c].dataType, T.TimestampType):
+                    few[c] = few[c].dt.to_pydatetime()
+            held = sorted([*held, *few.itertuples(index=False, name=None)], key=lambda r: r[at])[-self.n :]
+        self.ring.put([tuple(r) for r in held])
+        yield pd.DataFrame({"symbol": [key[0]], "held": [len(held)]})
+
+    def close(self) -> None:
+        pass
+
+
+def keep_recent(stream: DataFrame, n: int = 10_000) -> DataFrame:
+    """Keep the last ``n`` ticks of each symbol as the stream's state; a row per symbol and batch says how many there are.
+
+    Needs the RocksDB state store provider. ``recent_of`` reads the ticks back.
+    """
+    schema = T.StructType([f for f in stream.schema.fields if f.name != "symbol"])
+    return stream.groupBy("symbol").transformWithStateInPandas(
+        RecentTicks(n, schema), outputStructType="symbol string, held long", outputMode="Update", timeMode="None"
+    )
+
+
+def recent_of(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The ticks that the last finished batch of a ``keep_recent`` query left in its state."""
+    state = spark.read.format("statestore").option("stateVarName", "ring").load(checkpoint)
+    return state.select("key.symbol", "list_element.*")
+
+
+def _closed(bars: pd.DataFrame, width: int) -> pd.DataFrame:
+    """Output rows of finished bars of the state's layout."""
+    start = bars["bar_start"].to_numpy(dtype="int64")
+    return pd.DataFrame(
+        {
+            "kind": "bar",
+            "ts": _at(start),
+            "end_ts": _at(start + width - 1),
+            "open": bars["bar_open"].to_numpy(),
+            "high": bars["bar_high"].to_numpy(),
+            "low": bars["bar_low"].to_numpy(),
+            "close": bars["bar_close"].to_numpy(),
+            "volume": bars["bar_volume"].to_numpy(),
+            "tick_count": bars["bar_count"].to_numpy(dtype="int64"),
+            "avg_spread": (bars["bar_spread"] / bars["bar_count"]).to_numpy(),
+        }
+    )
+
+
 def _typed(frame: pd.DataFrame) -> pd.DataFrame:
     for field in OUTPUT.fields:
         if isinstance(field.dataType, T.TimestampType):
@@ -208,11 +285,18 @@ def _typed(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def clean_bars(stream: DataFrame, settings: CleanSettings = CleanSettings()) -> DataFrame:
+def clean_bars(stream: DataFrame, settings: CleanSettings = CleanSettings(), *, close_after: str | None = None) -> DataFrame:
     """Bars, gaps, spikes and reversals of a tick stream, told apart by ``kind``.
 
-    Needs the RocksDB state store provider.
+    A bar closes when a later tick of its symbol comes. With ``close_after`` it also
+    closes when the watermark, that far behind the newest tick of any symbol, passes its
+    end; ticks behind the watermark are then dropped (``sinks.dropped_rows`` counts
+    them). Needs the RocksDB state store provider.
     """
+    if close_after is not None:
+        return stream.withWatermark("ts", close_after).groupBy("symbol").transformWithStateInPandas(
+            TimedCleanBars(settings), outputStructType=OUTPUT, outputMode="Append", timeMode="EventTime"
+        )
     return stream.groupBy("symbol").transformWithStateInPandas(
         CleanBars(settings), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
