@@ -318,3 +318,17 @@ def test_complements_beside_lengths_in_use():
             any_fit = any(sum(c) == gap for k in (1, 2, 3) for c in combinations(have, k))
             found = index.filling(length, gap)
             assert (found is not None) == any_fit and (found is None or sum(found) == gap)
+
+
+def test_a_long_labelled_text_counts_whole(spark):
+    """Calibration sees texts of over 100 KB as they are; dictionaries take what the parameter says."""
+    good, bad = brute.invented(1, 25_000), brute.invented(2, 25_000, "zz qu xi wo").upper()
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(24)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(24)], "doc_id long, quality int")
+    model = compression.learn(docs, labels, material=200_000)
+    sizes = compression.Sizes(model.good, model.bad)
+    whole = [sizes.features(t.encode()) for t in (good, bad)]
+    assert len(good) > 100_000 and np.allclose(model.mean, np.mean(whole, axis=0), rtol=1e-12)
+    assert model.scorer()(good.encode()) > 0.5 > model.scorer()(bad.encode())
+    raw = bytes(range(256)) * 800
+    assert b"".join(compression.material_of(raw, len(raw))) == raw and len(compression.material_of(raw, 8192)) == 4

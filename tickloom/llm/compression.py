@@ -7,14 +7,15 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import held_out
 from tickloom.llm.linear import logistic
+from tickloom.session import written
 
 SAMPLE = 4000  # labelled rows learnt from at most, half of them of each label
-CUTS, CUT = 8, 2048  # parts taken from a sampled text, evenly spread, and their bytes
+MATERIAL = 64 * 1024  # bytes of a sampled text that may go into the making of a dictionary
 DICTIONARY, LEVEL, BLOCK = 112 * 1024, 3, 2048
 
 
@@ -22,19 +23,19 @@ def blocks(raw: bytes) -> list[bytes]:
     return [raw[at : at + BLOCK] for at in range(0, len(raw), BLOCK)]
 
 
-def spread_cuts(raw: bytes) -> bytes:
-    """The text, or evenly spread parts of a long one."""
-    if len(raw) <= CUTS * CUT:
-        return raw
-    return b"".join(raw[at : at + CUT] for at in np.linspace(0, len(raw) - CUT, CUTS).astype(int).tolist())
+def material_of(raw: bytes, most: int = MATERIAL) -> list[bytes]:
+    """A text's blocks for the dictionaries: all of them, or of a text of over ``most`` bytes as many, evenly spread."""
+    parts = blocks(raw)
+    count = max(1, most // BLOCK)
+    return parts if len(parts) <= count else [parts[i] for i in np.linspace(0, len(parts) - 1, count).astype(int).tolist()]
 
 
-def dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary, or the texts themselves where they are too few to train one."""
+def dictionary(parts: list[bytes]) -> bytes:
+    """A trained dictionary, or the blocks themselves, the last ones that fit, where they are too few to train one."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, [b for t in texts for b in blocks(t)], level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(DICTIONARY, parts, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        return b"".join(texts)[-DICTIONARY:]
+        return b"".join(parts)[-DICTIONARY:]
 
 
 class Sizes:
@@ -66,18 +67,16 @@ def _expand(x: np.ndarray) -> np.ndarray:
 class Model:
     """Both dictionaries and the calibration from sizes to the probability of label 1."""
 
-    def __init__(self, rows: list[tuple[int, bytes]], odds: float) -> None:
-        """``rows``: label and text of a sample with as many rows of each label; ``odds``: label 1 over label 0."""
+    def __init__(self, odds: float, dictionaries: tuple[bytes, bytes] | None = None, measured: list[tuple[int, list[float]]] = ()) -> None:
+        """``odds``: label 1 over label 0; ``dictionaries`` of good and of bad text; ``measured``: label and features of
+        whole texts that no dictionary is made of. Without both, or with one label only, the score is the prior."""
         self.prior = odds / (1 + odds)
         self.weights = None
-        train, check = rows[::2], rows[1::2]
-        good, bad = ([t for y, t in train if y == label] for label in (1, 0))
-        if not any(good) or not any(bad) or len({y for y, _ in check}) < 2:
+        if dictionaries is None or len({y for y, _ in measured}) < 2:
             return
-        self.good, self.bad = dictionary(good), dictionary(bad)
-        sizes = Sizes(self.good, self.bad)
-        y = np.array([y for y, _ in check], float)
-        x = np.array([sizes.features(t) for _, t in check])
+        self.good, self.bad = dictionaries
+        y = np.array([y for y, _ in measured], float)
+        x = np.array([f for _, f in measured])
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         each = np.where(y > 0, self.prior / max(y.mean(), 1e-9), (1 - self.prior) / max(1 - y.mean(), 1e-9))
         self.weights = logistic(_expand((x - self.mean) / self.scale), y, each, ridge=1.0)
@@ -96,17 +95,20 @@ class Model:
         return score
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, material: int = MATERIAL) -> Model:
     """A model from ``doc_id, text`` and ``doc_id, quality``: at most ``sample`` rows, drawn by hash of doc_id.
 
-    Documents with contradicting labels are left out; of rows repeated under one id, the one with the smallest text hash
-    is used.
+    Half of the sampled rows calibrate the score: their whole texts are compressed in the tasks, and only four numbers of
+    each come to the driver. The other half makes the dictionaries, from at most ``material`` bytes of each text, evenly
+    spread over it. Documents with contradicting labels are left out; of rows repeated under one id, the one with the
+    smallest text hash is used.
     """
     one = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id")
     one = one.agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most")
     counts = {r["quality"]: r["count"] for r in one.groupBy("quality").count().collect()}
+    odds = (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)
     if not counts:
-        return Model([], 1.0)
+        return Model(1.0)
     half = sample // 2
     draw = F.pmod(F.xxhash64(F.lit(17), F.col("doc_id")), F.lit(2**30))
     drawn = None
@@ -116,20 +118,32 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         part = part.orderBy("draw", "doc_id").limit(half).select("doc_id", "quality", "draw")
         drawn = part if drawn is None else drawn.unionAll(part)
     texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    texts = texts.groupBy("draw", F.col("quality").cast("int").alias("quality")).agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+    order = Window.partitionBy("quality").orderBy("draw")  # at most half of the sample
+    texts = written(texts.withColumn("nth", F.row_number().over(order)), "quality-sample")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [spread_cuts((t.as_py() or "").encode()) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(raw, pa.binary())], ["draw", "quality", "raw"])
+            parts = [material_of(t.as_py().encode(), material) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(parts, pa.list_(pa.binary()))], ["draw", "quality", "parts"])
+
+    odd, even = (texts.filter(F.col("nth") % 2 == k).select("draw", "quality", "text") for k in (1, 0))
+    made = sorted(odd.mapInArrow(cut, "draw long, quality int, parts array<binary>").toArrow().to_pylist(), key=lambda r: r["draw"])
+    good, bad = ([b for r in made if r["quality"] == label for b in r["parts"]] for label in (1, 0))
+    if not good or not bad:
+        return Model(odds)
+    dictionaries = dictionary(good), dictionary(bad)
+
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(*dictionaries)
+        for batch in batches:
+            found = [sizes.features(t.as_py().encode()) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.float64()))], ["draw", "quality", "features"])
 
-    cuts = texts.select("draw", F.col("quality").cast("int"), "text").mapInArrow(cut, "draw long, quality int, raw binary")
-    cuts = cuts.groupBy("draw", "quality").agg(F.min_by("raw", F.xxhash64("raw")).alias("raw"))
-    rows = sorted(cuts.toArrow().to_pylist(), key=lambda r: (r["draw"], r["quality"], r["raw"]))
-    odds = (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)
-    by_label = [[(r["quality"], r["raw"]) for r in rows if r["quality"] == label] for label in (0, 1)]
-    # alternate halves of each label: one half makes the dictionaries, the other calibrates
-    paired = [r for label in by_label for r in label[: len(label) // 2 * 2]]
-    return Model(paired, odds)
+    measured = even.mapInArrow(measure, "draw long, quality int, features array<double>").toArrow().to_pylist()
+    measured.sort(key=lambda r: (r["quality"], r["draw"]))
+    return Model(odds, dictionaries, [(r["quality"], r["features"]) for r in measured])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, divisor: int = 3, at: int = 1) -> DataFrame:
