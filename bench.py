@@ -65,6 +65,7 @@ def cases(spark):
         ),
         "million_m1_gaps": lambda: gaps.detect_missing_periods(minutes(), "M1"),
         "million_m1_indicators": lambda: indicators.calculate_indicators(minutes(), ["sma", "ema", "rsi"]),
+        "million_m1_rci": lambda: indicators.rci(minutes()),
         "stream_bars": lambda: sinks.drain(
             streams.windowed_bars(stream(), 3600, delay="1 hour"), sinks.stream_folder(spark, "bench")
         ),
@@ -101,6 +102,7 @@ def main() -> None:
                     "ticks_to_bars_lineitem": round(lines / seconds["tick_bars_lineitem_d1"]),
                     "stream_bars": round(events / seconds["stream_bars"]),
                     "million_m1_gaps": round(999_760 / seconds["million_m1_gaps"]),
+                    "million_m1_rci": round(999_760 / seconds["million_m1_rci"]),
                     "million_m1_indicators": round(999_760 / seconds["million_m1_indicators"]),
                     "tick_gap_detection_lineitem": round(lines / seconds["tick_gaps_lineitem"]),
                 },
