@@ -36,22 +36,8 @@ def test_entry(spark):
     assert "SMA_20" in out.columns and out.count() > 0
 
 
-@pytest.mark.parametrize(
-    "name",
-    [
-        "b1_tick_bars",
-        "t1_rejected_ticks",
-        "t3_percent_spike_filter",
-        "t11_trailing_rates",
-        "i8_ema",
-        "i26_spread_distribution",
-        "g8_fill_linear",
-        "j1_bar_comparison",
-        "m2_momentum_alerts",
-        "st3_stateful_clean_bars",
-    ],
-)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    mine = entry.queries()[name](spark, FOLDER).toPandas()
-    theirs = con.execute(entry.oracle_sql()[name]).df()
+    mine = QUERIES[name](spark, FOLDER).toPandas()
+    theirs = con.execute(ORACLES[name]).df()
     assert plain(mine).equals(plain(theirs))
