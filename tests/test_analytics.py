@@ -446,3 +446,19 @@ def test_forecasts(bar_frame):
     assert np.isclose(row["mae"], np.abs(errors).mean(), rtol=1e-4)
     assert np.isclose(row["rmse"], np.sqrt((errors**2).mean()), rtol=1e-4)
     assert row["pairs"] == 2 and np.isclose(row["mape"], (np.abs(errors) / [101, 102]).mean() * 100, rtol=1e-4)
+
+
+def test_correlation_of_many_symbols_sends_a_vector_to_few_parts(spark, monkeypatch):
+    monkeypatch.setattr(A, "CELL_SYMBOLS", 2)
+    monkeypatch.setattr(A, "MATRIX_PARTS", 3)
+    monkeypatch.setattr(A, "MATRIX_ROWS", 4)  # a cell is handed over in several pieces
+    rng = np.random.default_rng(5)
+    series = {f"Y{i:02d}": rng.normal(100, 1, 6) for i in range(22)} | {"Y99": np.full(6, 2.5)}
+    rows = [(name, i, float(v)) for name, x in series.items() for i, v in enumerate(x)]
+    out = A.correlation_matrix(spark.createDataFrame(rows, "symbol string, seq long, bid double"), more_than=3, last=5)
+    assert out.rdd.getNumPartitions() == 6  # 11 parts of two symbols would be 66 cells
+    got = {(r.symbol_a, r.symbol_b): r.r for r in out.collect()}
+    assert set(got) == {(a, b) for a in series for b in series if a < b} and len(got) == out.count()
+    for (a, b), r in got.items():
+        want = None if "Y99" in (a, b) else np.corrcoef(series[a][-5:], series[b][-5:])[0, 1]
+        assert r is None if want is None else np.isclose(r, want)
