@@ -462,3 +462,16 @@ def test_correlation_of_many_symbols_sends_a_vector_to_few_parts(spark, monkeypa
     for (a, b), r in got.items():
         want = None if "Y99" in (a, b) else np.corrcoef(series[a][-5:], series[b][-5:])[0, 1]
         assert r is None if want is None else np.isclose(r, want)
+
+
+def test_looking_ahead_runs_along_the_rows_once(spark):
+    """A frame up to the end is computed anew for each row: the work grew with the square of a slice."""
+    from tickloom.operators.ordered import nearest
+
+    rows = [("A", at, at if at % 4 == 0 else None) for at in range(23)] + [("B", 3, None), ("A", None, 99)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, x long")
+    out = nearest(df, ["symbol"], by_seq(5), F.col("x"), "hit", "forward")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = {(r.symbol, r.seq): r.hit for r in out.collect()}
+    assert got.pop(("A", None)) == 99 and got.pop(("B", 3)) is None
+    assert got == {("A", at): (at + 3) // 4 * 4 if at <= 20 else None for at in range(23)}

@@ -307,21 +307,16 @@ def nearest(
         [*keys, _SLICE],
         "left",
     )
-    if forward:
-        scan = _scan(keys).rowsBetween(1, Window.unboundedFollowing)
-        found = F.first("__value", ignorenulls=True).over(scan)
-    else:
-        scan = _scan(keys).rowsBetween(Window.unboundedPreceding, -1)
-        found = F.last("__value", ignorenulls=True).over(scan)
+    # a frame that ends at a fixed row is computed anew for each row; looking ahead is looking back in reversed order
+    scan = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(_SLICE) if forward else F.asc_nulls_first(_SLICE))
+    found = F.last("__value", ignorenulls=True).over(scan.rowsBetween(Window.unboundedPreceding, -1))
     carry = per_slice.select(
         *keys, _SLICE, F.lit(1 if forward else -1).alias(_EDGE), found.alias("__value")
     )
     both = data.withColumn(_EDGE, F.lit(0)).unionByName(carry, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, _SLICE).orderBy(_EDGE, order, *tie)
-    if forward:
-        hit = F.first("__value", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        hit = F.last("__value", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    along = [F.desc_nulls_last(c) if forward else F.asc_nulls_first(c) for c in (_EDGE, order, *tie)]
+    inside = Window.partitionBy(*keys, _SLICE).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0)
+    hit = F.last("__value", ignorenulls=True).over(inside)
     return both.select(*df.columns, _EDGE, hit.alias(name)).filter(F.col(_EDGE) == 0).drop(_EDGE)
 
 
