@@ -339,3 +339,13 @@ def test_measured_slices_follow_the_density(spark):
     sparse = spark.range(1000).select((F.col("id") * 1_000_000).alias("seq"))
     assert 9_900_000 <= measured(sparse, "seq", 10).width <= 10_000_000
     assert measured(sparse.limit(0), "seq", 10).width == 10
+
+
+def test_a_tick_that_passes_many_slices_takes_one_round(tick_frame):
+    """Slices with prices on both sides of the carried tick, none near it: each took a round of its own."""
+    prices = [100.0] + [50.0, 200.0] * 20 + [101.0]
+    ticks = tick_frame([(i, p) for i, p in enumerate(prices)])
+    runs = by_seq(4).cut(ticks).select("symbol", "__slice", "ts", "seq", "bid", "ask")
+    # the first slice holds the first tick; what it hands over is one of its ends
+    carried, rounds = S._Filter(runs, 10.0, 10_000.0).carried()
+    assert rounds <= 1 and {r.carried.bid for r in carried.filter("__slice > 0").collect()} == {100.0}

@@ -7,14 +7,14 @@ seconds. The history is cut into slices, and one row per slice (first tick, ends
 tick ends) settles nearly all of them without a second look: a carried tick that accepts the first tick ends like the
 walk from there, and one that is out of the slice's range passes through it.
 
-For the others the map is made from the ticks themselves: for the tick really carried in, and, over twice as many slices
-each time, for all ends of the slice before. So the rounds that read ticks grow with the logarithm of the slices, also
+For the others the map is made from the ticks themselves: for the tick really carried in, and, over eight times as many
+slices each time, for all ends of the slice before. So the rounds that read ticks grow with the logarithm of the slices, also
 where two price levels never agree.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.ordered import Slicing, by_seq, ordered_by
+from tickloom.operators.ordered import Slicing, by_seq
 from tickloom.session import written
 
 Tick = tuple[int, float, float]  # time in µs, bid, ask
@@ -176,7 +176,8 @@ def scan(rows: list[SliceRow], reach: int) -> tuple[list[Tick | None], dict[int,
             continue
         asked, before = {}, [state, *(rows[k - 1].ends if k else [])]
         for j in range(k, min(k + reach, len(rows))):
-            missing = [t for t in dict.fromkeys(before) if not rows[j].transfer(t)[0]]
+            # the carried tick may pass several slices
+            missing = [t for t in dict.fromkeys([state, *before]) if not rows[j].transfer(t)[0]]
             if missing:
                 asked[j] = missing
             before = rows[j].ends or before
@@ -184,11 +185,60 @@ def scan(rows: list[SliceRow], reach: int) -> tuple[list[Tick | None], dict[int,
     return carried, {}
 
 
-def _quotes(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """The group's rows in arrival order and its times (µs), bids and asks."""
-    table = ordered_by(table, "seq")
-    ts = table.column("ts").cast(pa.timestamp("us")).cast(pa.int64()).to_numpy()
-    return table, ts, table.column("bid").to_numpy(), table.column("ask").to_numpy()
+def _quotes(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Times (µs), bids and asks of the rows; a row without a time has no usable bid."""
+    ts = table.column("ts").cast(pa.timestamp("us")).cast(pa.int64())
+    bid = np.where(ts.is_valid().to_numpy(), table.column("bid").to_numpy(), np.nan)
+    return ts.fill_null(0).to_numpy(), bid, table.column("ask").to_numpy()
+
+
+# Rows that are looked at together, where groups are small.
+CHUNK_ROWS = 1 << 15
+
+
+def _starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Where the groups of a sorted table begin; nulls are a group."""
+    new = np.ones(table.num_rows, bool)
+    new[1:] = False
+    for key in keys:
+        column = table.column(key)
+        a, b = column.slice(0, table.num_rows - 1), column.slice(1)
+        other = pa.compute.fill_null(pa.compute.not_equal(a, b), False).to_numpy()
+        new[1:] |= other | (a.is_null().to_numpy() != b.is_null().to_numpy())
+    return np.flatnonzero(new)
+
+
+def _whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Sorted rows as tables of whole groups, with the bounds of the groups."""
+    held: list[pa.RecordBatch] = []
+    rows, enough = 0, CHUNK_ROWS
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= enough:
+            table = pa.Table.from_batches(held).combine_chunks()
+            starts = _starts(table, keys)
+            last = int(starts[-1])  # the last group may go on
+            if last:
+                yield table.slice(0, last), list(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+            held, rows = table.slice(last).to_batches(), table.num_rows - last
+            enough = max(CHUNK_ROWS, 2 * rows)
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        starts = _starts(table, keys)
+        yield table, list(zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True))
+
+
+def _by_group(df: DataFrame, keys: Sequence[str], order: Sequence, work: Callable, layout: T.StructType) -> DataFrame:
+    """``work(table, bounds)`` over many whole groups at a time, sorted: a group alone is too small a unit where keys are light."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in _whole_groups(batches, keys):
+            yield from work(table, bounds).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, layout)
 
 
 def _shown(tick: Tick | None) -> dict | None:
@@ -207,15 +257,21 @@ class _Rule:
     threshold: float
     market_gap: float
 
-    def run(self, table: pa.Table) -> Run:
-        _, ts, bid, ask = _quotes(table)
+    def runs(self, table: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[Run]:
+        ts, bid, ask = _quotes(table)
         usable = usable_quotes(bid, ask)
-        return Run(ts[usable], bid[usable], ask[usable], self.threshold, self.market_gap)
+        for a, b in bounds:
+            some = usable[a:b]
+            yield Run(ts[a:b][some], bid[a:b][some], ask[a:b][some], self.threshold, self.market_gap)
 
     def row(self, row: dict, moves: Iterable[dict]) -> SliceRow:
         return SliceRow(row, moves, self.threshold, self.market_gap)
 
 
+# Slices that the first round asks; each further one asks eight times as many.
+FIRST_REACH = 64
+
+
 class _Filter:
     """The jobs of one filter over ``symbol, __slice, ts, seq, bid, ask`` rows."""
 
@@ -230,19 +286,22 @@ class _Filter:
 
         rule = self.rule
 
-        def summarise(table: pa.Table) -> pa.Table:
-            run = rule.run(table)
-            one = table.select(["symbol", "__slice"]).slice(0, 1)
-            some = len(run.ts) > 0
-            made = {"first": _shown(run.tick(0) if some else None), "free": _shown(run.transfer(None)), "ends": [_shown(t) for t in run.ends()]}
-            for name, value in made.items():
-                one = one.append_column(name, pa.array([value], pa.list_(_ARROW_TICK) if name == "ends" else _ARROW_TICK))
-            numbers = [run.ts.max(), run.bid.min(), run.bid.max(), run.ask.min(), run.ask.max()] if some else [None] * 5
-            for name, value in zip(_RANGE, numbers, strict=True):
-                one = one.append_column(name, pa.array([value], pa.int64() if name == "ts_high" else pa.float64()))
-            return one
-
-        return self.runs.groupBy("symbol", "__slice").applyInArrow(summarise, layout)
+        def summarise(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
+            firsts, frees, ends, numbers = [], [], [], []
+            for run in rule.runs(table, bounds):
+                some = len(run.ts) > 0
+                firsts.append(_shown(run.tick(0) if some else None))
+                frees.append(_shown(run.transfer(None)))
+                ends.append([_shown(t) for t in run.ends()])
+                numbers.append([run.ts.max(), run.bid.min(), run.bid.max(), run.ask.min(), run.ask.max()] if some else [None] * 5)
+            out = table.select(["symbol", "__slice"]).take([a for a, _ in bounds])
+            out = out.append_column("first", pa.array(firsts, _ARROW_TICK)).append_column("free", pa.array(frees, _ARROW_TICK))
+            out = out.append_column("ends", pa.array(ends, pa.list_(_ARROW_TICK)))
+            for name, values in zip(_RANGE, zip(*numbers, strict=True), strict=True):
+                out = out.append_column(name, pa.array(values, pa.int64() if name == "ts_high" else pa.float64()))
+            return out
+
+        return _by_group(self.runs, ["symbol", "__slice"], ["seq"], summarise, layout)
 
     def scanned(self, summaries: DataFrame, maps: DataFrame, reach: int) -> DataFrame:
         """``symbol, __slice, carried, asked``; one row per slice is looked at."""
@@ -250,22 +309,31 @@ class _Filter:
 
         rule = self.rule
 
-        def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        def one(table: pa.Table) -> tuple[list, list]:
+            rows = table.to_pylist()
             moves: dict[int | None, list[dict]] = {}
-            for s, found in zip(known.column("__slice").to_pylist(), known.column("moves").to_pylist(), strict=True):
-                moves.setdefault(s, []).extend(found)
-            # ticks without a number are a run of their own, in front of nothing
-            apart = pa.compute.is_null(table.column("__slice"))
-            alone, table = table.filter(apart), ordered_by(table.filter(pa.compute.invert(apart)), "__slice")
-            rows = [rule.row(r, moves.get(r["__slice"], ())) for r in table.to_pylist()]
-            carried, asked = scan(rows, reach)
-            carried += [None] * (len(rows) - len(carried) + alone.num_rows)
-            out = pa.concat_tables([table, alone]).select(["symbol", "__slice"])
-            out = out.append_column("carried", pa.array([_shown(t) for t in carried], _ARROW_TICK))
-            wanted = [[_shown(t) for t in asked[k]] if k in asked else None for k in range(out.num_rows)]
-            return out.append_column("asked", pa.array(wanted, pa.list_(_ARROW_TICK)))
-
-        return summaries.groupBy("symbol").cogroup(maps.groupBy("symbol")).applyInArrow(run, layout)
+            for r in rows:
+                if r["moves"] is not None:
+                    moves.setdefault(r["__slice"], []).extend(r["moves"])
+            # slices come in order; ticks without a number are a run of their own, in front of nothing
+            inner = [k for k, r in enumerate(rows) if r["moves"] is None and r["__slice"] is not None]
+            found, asked = scan([rule.row(rows[k], moves.get(rows[k]["__slice"], ())) for k in inner], reach)
+            carried, wanted = [None] * len(rows), [None] * len(rows)
+            for k, tick in zip(inner, found, strict=False):
+                carried[k] = _shown(tick)
+            for at, ticks in asked.items():
+                wanted[inner[at]] = [_shown(t) for t in ticks]
+            return carried, wanted
+
+        def run(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
+            made = [one(table.slice(a, b - a)) for a, b in bounds]
+            out = table.select(["symbol", "__slice"])
+            out = out.append_column("carried", pa.array([t for carried, _ in made for t in carried], _ARROW_TICK))
+            out = out.append_column("asked", pa.array([t for _, wanted in made for t in wanted], pa.list_(_ARROW_TICK)))
+            return out.filter(table.column("moves").is_null())
+
+        both = summaries.unionByName(maps, allowMissingColumns=True)
+        return _by_group(both, ["symbol"], ["__slice"], run, layout)
 
     def answered(self, asked: DataFrame) -> DataFrame:
         """``symbol, __slice, moves``: the asked entries of the slices' maps, from their ticks."""
@@ -273,26 +341,31 @@ class _Filter:
 
         rule = self.rule
 
-        def answer(table: pa.Table, question: pa.Table) -> pa.Table:
-            run = rule.run(table)
-            states = [(t["ts"], t["bid"], t["ask"]) for t in question.column("asked")[0].as_py()]
-            moves = [{"before": _shown(s), "after": _shown(run.transfer(s))} for s in states]
-            one = table.select(["symbol", "__slice"]).slice(0, 1)
-            return one.append_column("moves", pa.array([moves], pa.list_(_ARROW_MOVE)))
+        def answer(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
+            questions = table.column("asked").take([a for a, _ in bounds]).to_pylist()
+            moves = []
+            # the question is the first row of a slice
+            for run, question in zip(rule.runs(table, bounds), questions, strict=True):
+                states = [t and (t["ts"], t["bid"], t["ask"]) for t in question]
+                moves.append([{"before": _shown(s), "after": _shown(run.transfer(s))} for s in states])
+            out = table.select(["symbol", "__slice"]).take([a for a, _ in bounds])
+            return out.append_column("moves", pa.array(moves, pa.list_(_ARROW_MOVE)))
 
-        some = _same_slice(self.runs, asked).groupBy("symbol", "__slice")
-        return some.cogroup(asked.groupBy("symbol", "__slice")).applyInArrow(answer, layout)
+        some = _same_slice(self.runs, asked).unionByName(asked, allowMissingColumns=True)
+        return _by_group(some, ["symbol", "__slice"], [F.col("asked").isNull(), "seq"], answer, layout)
 
     def carried(self) -> tuple[DataFrame | None, int]:
         """The tick carried into each slice and how often ticks were read for it; None where no symbol has two slices."""
-        slices = self.runs.groupBy("symbol", "__slice").count().groupBy("symbol").count()
-        if not slices.filter("count > 1").limit(1).count():
+        slices = self.runs.groupBy("symbol", "__slice").count().groupBy("symbol").count().filter("count > 1")
+        several = written(slices.select(F.col("symbol").alias("__symbol")), "spike-symbols")
+        if several.isEmpty():
             return None, 0
+        self.runs = self.runs.join(several, F.col("symbol").eqNullSafe(F.col("__symbol")), "left_semi")
         summaries = written(self.summaries(), "spike-slices")
         maps = summaries.sparkSession.createDataFrame([], T.StructType([*self.key, T.StructField("moves", T.ArrayType(_MOVE))]))
         rounds = 0
         while True:
-            state = written(self.scanned(summaries, maps, 1 << rounds), "spike-scan")
+            state = written(self.scanned(summaries, maps, FIRST_REACH << (3 * rounds)), "spike-scan")
             asked = state.filter("asked is not null").select("symbol", "__slice", "asked")
             if asked.isEmpty():
                 return state.select("symbol", "__slice", "carried"), rounds
@@ -325,16 +398,23 @@ def flag_spikes(
     schema = T.StructType([*typed.schema.fields, T.StructField("is_spike", T.BooleanType())])
     names = typed.columns
 
-    def decide(table: pa.Table, before: pa.Table | None = None) -> pa.Table:
-        table, ts, bid, ask = _quotes(table)
-        state = before.column("carried")[0].as_py() if before is not None else None
-        spikes, _ = walk_spikes(ts, bid, ask, state and (state["ts"], state["bid"], state["ask"]), threshold_percent, market_gap)
-        return table.select(names).append_column("is_spike", pa.array(spikes))
-
-    grouped = runs.groupBy("symbol", "__slice")
-    if carried is None:
-        return grouped.applyInArrow(lambda table: decide(table), schema)
-    return grouped.cogroup(carried.groupBy("symbol", "__slice")).applyInArrow(decide, schema)
+    def decide(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
+        ts, bid, ask = _quotes(table)
+        before, own = table.column("__carried"), table.column("__edge").to_numpy() == 0
+        spikes = np.zeros(table.num_rows, bool)
+        for a, b in bounds:
+            state = None
+            if not own[a]:  # the tick carried into the slice is its first row
+                state, a = before[a].as_py(), a + 1
+            if a < b:
+                spikes[a:b], _ = walk_spikes(ts[a:b], bid[a:b], ask[a:b], state and (state["ts"], state["bid"], state["ask"]), threshold_percent, market_gap)
+        return table.select(names).append_column("is_spike", pa.array(spikes)).filter(pa.array(own))
+
+    rows = runs.withColumns({"__carried": F.lit(None).cast(_TICK), "__edge": F.lit(0)})
+    if carried is not None:
+        edges = carried.select("symbol", "__slice", F.col("carried").alias("__carried"), F.lit(-1).alias("__edge"))
+        rows = rows.unionByName(edges, allowMissingColumns=True)
+    return _by_group(rows, ["symbol", "__slice"], ["__edge", "seq"], decide, schema)
 
 
 def drop_spikes(ticks: DataFrame, **options) -> DataFrame:
