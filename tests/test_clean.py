@@ -349,3 +349,12 @@ def test_a_tick_that_passes_many_slices_takes_one_round(tick_frame):
     # the first slice holds the first tick; what it hands over is one of its ends
     carried, rounds = S._Filter(runs, 10.0, 10_000.0).carried()
     assert rounds <= 1 and {r.carried.bid for r in carried.filter("__slice > 0").collect()} == {100.0}
+
+
+def test_light_symbols_share_the_rows_that_are_looked_at_together():
+    import pyarrow as pa
+
+    names = ["A", "A", "B", "C", "C", "C", None, None]
+    table = pa.table({"symbol": names, "__slice": pa.array([0, 1, 1, 1, 1, None, None, None], pa.int64())})
+    ((whole, bounds),) = S._whole_groups(table.to_batches(max_chunksize=3), ["symbol", "__slice"])
+    assert whole.num_rows == 8 and bounds == [(0, 1), (1, 2), (2, 3), (3, 5), (5, 6), (6, 8)]
