@@ -215,3 +215,12 @@ def test_recent_ticks_in_state_over_a_restart(spark, tmp_path):
     want = recent_ticks(ticks, 25).select("symbol", "seq", "ts", "bid").collect()
     got = X.recent_of(spark, f"{place}/checkpoint").select("symbol", "seq", "ts", "bid").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_row_groups_of_a_feed_are_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "GROUP_ROWS", 100)
+    path = str(tmp_path / "feed")
+    feeds.append(spark.createDataFrame(ticks_of("EURUSD", range(950), [1.0] * 950), S.ARRIVED_TICK), path)
+    reader = feeds.FeedReader(S.ARRIVED_TICK, {"path": path, "limit": "60", "reader": f"{tmp_path}/reader"})
+    assert reader.latestOffset() == {"EURUSD": 59} and len(reader.numbers) < len(reader._groups()["EURUSD"])
+    assert reader.latestOffset() == {"EURUSD": 119}
