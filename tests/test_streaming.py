@@ -217,6 +217,23 @@ def test_recent_ticks_in_state_over_a_restart(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+def test_several_admissions_in_a_micro_batch(spark, tmp_path):
+    rows = sorted(messy("EURUSD", 90, 1) + messy("USDJPY", 60, 2) + messy("A", 7, 3), key=lambda r: (r[2], r[0]))
+    path, place = str(tmp_path / "feed"), str(tmp_path / "run")
+    ticks = spark.createDataFrame(rows, S.ARRIVED_TICK)
+    for some in (ticks.filter("seq < 50"), ticks.filter("seq >= 50")):  # the second run goes on from the cursor
+        feeds.append(some, path)
+        out = sinks.deliver(feeds.read_feed(spark, path, S.ARRIVED_TICK, f"{place}/reader", 11, 4), place)
+    half = sum(r[2] < 50 for r in rows)
+    cuts = [*range(11, half, 11), half, *range(half + 11, len(rows), 11), len(rows)]
+    want = {(r[0], r[2], sum(i >= c for c in cuts)) for i, r in enumerate(rows)}
+    got = [(r.symbol, r.seq, r.batch) for r in out.collect()]
+    assert len(got) == len(rows) and set(got) == want
+    import glob
+
+    assert len(glob.glob(f"{place}/out/micro_batch=*")) == -(-half // 44) + -(-(len(rows) - half) // 44)
+
+
 def test_row_groups_of_a_feed_are_small(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(feeds, "GROUP_ROWS", 100)
     path = str(tmp_path / "feed")
