@@ -241,3 +241,9 @@ def test_row_groups_of_a_feed_are_small(spark, tmp_path, monkeypatch):
     reader = feeds.FeedReader(S.ARRIVED_TICK, {"path": path, "limit": "60", "reader": f"{tmp_path}/reader"})
     assert reader.latestOffset() == {"EURUSD": 59} and len(reader.numbers) < len(reader._groups()["EURUSD"])
     assert reader.latestOffset() == {"EURUSD": 119}
+
+
+def test_a_micro_batch_does_not_grow_with_the_table():
+    from tickloom.plans.stream_queries import TOGETHER, batch_rows
+
+    assert batch_rows(0) == 1 and batch_rows(101) == 21 and batch_rows(36_000_000) == TOGETHER
