@@ -247,3 +247,25 @@ def test_a_micro_batch_does_not_grow_with_the_table():
     from tickloom.plans.stream_queries import TOGETHER, batch_rows
 
     assert batch_rows(0) == 1 and batch_rows(101) == 21 and batch_rows(36_000_000) == TOGETHER
+
+
+def test_recent_ticks_sort_a_micro_batch_once(monkeypatch):
+    """Arrow hands over small frames; each used to be ranked, turned to rows and sorted with what was held."""
+    import pandas as pd
+
+    calls, plain = [], pd.DataFrame.nlargest
+    monkeypatch.setattr(pd.DataFrame, "nlargest", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    kept = X.RecentTicks(3, S.T.StructType([S.T.StructField("seq", S.T.LongType())]))
+
+    class Ring:
+        rows = [(7,)]
+        exists = lambda self: True
+        get = lambda self: iter(self.rows)
+
+        def put(self, rows):
+            self.rows = rows
+
+    kept.ring = Ring()
+    frames = [pd.DataFrame({"seq": [i, 40 - i]}) for i in range(10)]
+    list(kept.handleInputRows(("A",), iter(frames), None))
+    assert kept.ring.rows == [(38,), (39,), (40,)] and len(calls) == 1

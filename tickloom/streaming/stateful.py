@@ -225,12 +225,18 @@ class RecentTicks(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names, at = self.schema.fieldNames(), self.schema.fieldNames().index("seq")
         held = list(self.ring.get()) if self.ring.exists() else []
+        parts, count = [], 0
         for frame in rows:
-            few = frame.nlargest(self.n, "seq")[names]
-            for c in names:
-                if isinstance(self.schema[c].dataType, T.TimestampType):
-                    few[c] = few[c].dt.to_pydatetime()
-            held = sorted([*held, *few.itertuples(index=False, name=None)], key=lambda r: r[at])[-self.n :]
+            parts.append(frame[names])
+            count += len(frame)
+            if count > 16 * self.n + 65_536:
+                parts = [pd.concat(parts).nlargest(self.n, "seq")]
+                count = len(parts[0])
+        few = pd.concat(parts).nlargest(self.n, "seq")
+        for c in names:
+            if isinstance(self.schema[c].dataType, T.TimestampType):
+                few[c] = few[c].dt.to_pydatetime()
+        held = sorted([*held, *few.itertuples(index=False, name=None)], key=lambda r: r[at])[-self.n :]
         self.ring.put([tuple(r) for r in held])
         yield pd.DataFrame({"symbol": [key[0]], "held": [len(held)]})
 
