@@ -269,3 +269,19 @@ def test_recent_ticks_sort_a_micro_batch_once(monkeypatch):
     frames = [pd.DataFrame({"seq": [i, 40 - i]}) for i in range(10)]
     list(kept.handleInputRows(("A",), iter(frames), None))
     assert kept.ring.rows == [(38,), (39,), (40,)] and len(calls) == 1
+
+
+def test_many_resets_give_few_frames():
+    import pandas as pd
+
+    class Held:
+        exists = lambda self: False
+        update = lambda self, row: None
+        clear = lambda self: None
+
+    cleaner = X.CleanBars(X.CleanSettings(spike_threshold_percent=None))
+    cleaner.held = Held()
+    frame = pd.DataFrame({"ts": pd.to_datetime([60 * i for i in range(40)], unit="s"), "seq": range(40), "bid": 1.0, "ask": 2.0, "volume": 1.0})
+    frame["control"] = ["reset" if i % 4 == 3 else None for i in range(40)]
+    out = list(cleaner.handleInputRows(("A",), iter([frame]), None))
+    assert len([f for f in out if (f["kind"] == "bar").any()]) == 1 and sum((f["kind"] == "bar").sum() for f in out) == 20

@@ -174,8 +174,12 @@ class CleanBars(StatefulProcessor):
             self.held.update(tuple(state.get(n) for n in _STATE.fieldNames()))
         else:
             self.held.clear()
+        # many resets make many small pieces; those of the same columns go as one
+        alike: dict[tuple[str, ...], list[pd.DataFrame]] = {}
         for made in out:
-            yield made.assign(symbol=key[0]).reindex(columns=OUTPUT.fieldNames()).pipe(_typed)
+            alike.setdefault(tuple(made.columns), []).append(made)
+        for some in alike.values():
+            yield pd.concat(some, ignore_index=True).assign(symbol=key[0]).reindex(columns=OUTPUT.fieldNames()).pipe(_typed)
 
     def close(self) -> None:
         pass
