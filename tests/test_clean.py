@@ -335,6 +335,16 @@ def test_spikes_in_equal_slices(tick_frame):
     assert flags(C.flag_spikes(ticks, slicing=equal_depth(ticks, "seq", 30))) == fold_spikes(rows, 0.1, 300)
 
 
+def test_light_symbols_of_one_counter_are_single_slices(tick_frame, monkeypatch):
+    """Numbers a million apart: slices of fixed width held one tick each, and all of them were scanned."""
+    rows = {s: noisy(40, i, 0.3) for i, s in enumerate("ABC")}
+    ticks = tick_frame([(t, b, a, 1.0, s) for at in zip(*rows.values()) for s, (t, b, a) in zip(rows, at)])
+    monkeypatch.setattr(S._Filter, "carried", lambda self: pytest.fail("slices of light symbols were scanned"))
+    flagged = C.flag_spikes(ticks.withColumn("seq", F.col("seq") * (1 << 20)))
+    for s in rows:
+        assert flags(flagged.filter(F.col("symbol") == s)) == fold_spikes(rows[s], 0.1, 300)
+
+
 def test_measured_slices_follow_the_density(spark):
     sparse = spark.range(1000).select((F.col("id") * 1_000_000).alias("seq"))
     assert 9_900_000 <= measured(sparse, "seq", 10).width <= 10_000_000

@@ -50,6 +50,11 @@ class Slicing:
         value = F.unix_micros(F.col(self.order).cast("timestamp")) if self.is_time else F.col(self.order)
         return F.floor(value / F.lit(self.width)).cast("long")
 
+    @property
+    def single(self) -> bool:
+        """Whether it is known that no key has two slices."""
+        return False
+
     def cut(self, df: DataFrame) -> DataFrame:
         """``df`` with the number of each row's slice."""
         return df.withColumn(_SLICE, self.column())
@@ -67,6 +72,10 @@ class EqualDepth(Slicing):
     keys: tuple[str, ...] = ()
     most: int = 0  # bounds of a key, at most
 
+    @property
+    def single(self) -> bool:
+        return not self.most
+
     def cut(self, df: DataFrame) -> DataFrame:
         if not self.most:
             return df.withColumn(_SLICE, F.when(F.col(self.order).isNotNull(), F.lit(0).cast("long")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickloom.operators.ordered import Slicing, by_seq
+from tickloom.operators.ordered import Slicing, equal_depth
 from tickloom.session import written
 
 Tick = tuple[int, float, float]  # time in µs, bid, ask
@@ -385,16 +385,21 @@ def flag_spikes(
     flagged and compared with nothing. Rows without a symbol or an arrival number
     stay: each such group is walked on its own.
 
-    This runs Spark jobs while it is called (one that returns a row per slice, and
-    one per round for slices in doubt); the flags themselves are lazy.
+    Slices are of equal depth unless given: one counter may serve many light symbols,
+    whose ticks would lie one by one in slices of fixed width.
+
+    This runs Spark jobs while it is called (one that counts the ticks of a symbol, and
+    where a symbol needs several slices, one that returns a row per slice and one per
+    round for slices in doubt); the flags themselves are lazy.
     """
-    slicing = slicing or by_seq()
     if threshold_percent <= 0 or market_gap < 0:
         raise ValueError("threshold_percent must be positive and market_gap non-negative")
+    slicing = slicing or equal_depth(ticks)
     typed = ticks.withColumns({"bid": F.col("bid").cast("double"), "ask": F.col("ask").cast("double")})
-    runs = slicing.cut(typed)
-    narrow = runs.select("symbol", "__slice", "ts", "seq", "bid", "ask")
-    carried, _ = _Filter(narrow, threshold_percent, market_gap).carried()
+    runs, carried = slicing.cut(typed), None
+    if not slicing.single:
+        narrow = runs.select("symbol", "__slice", "ts", "seq", "bid", "ask")
+        carried, _ = _Filter(narrow, threshold_percent, market_gap).carried()
     schema = T.StructType([*typed.schema.fields, T.StructField("is_spike", T.BooleanType())])
     names = typed.columns
 
