@@ -115,6 +115,15 @@ def test_base_scores(spark):
     assert scoring.language_model_scores(brute.empty(spark)).collect() == []
 
 
+def test_scores_send_code_and_tables_once(spark, monkeypatch):
+    """A function above a megabyte is broadcast as bytes: three of them held the tables, each a file on every machine."""
+    sent, broadcast = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or broadcast(value))
+    data = [(i, f"word{i % 7} and word{i % 5} rare{i}") for i in range(40)]
+    assert scoring.language_model_scores(spark.createDataFrame(data, "doc_id long, text string")).count() == 40
+    assert not any(isinstance(value, bytes) for value in sent) and len(sent) == 2
+
+
 def test_mixing_learns(spark):
     """Held-out texts of the training texts' kind cost far fewer bits than texts of another kind."""
     data = [(i, brute.invented(i, 120)) for i in range(300)]
