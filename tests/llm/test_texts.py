@@ -8,9 +8,11 @@ import random
 import zlib
 from collections import Counter
 from itertools import combinations
+from types import SimpleNamespace
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tickloom.llm import compression, languages, media, packing, png, scoring, tokens, vocabulary
@@ -158,6 +160,79 @@ def test_tables_add_up():
     assert [w.decode() for w in read.words(np.arange(len(read.hashes)))][:50] == brute.lower_words(texts[0])
 
 
+def small_model(texts):
+    """A code, tables and scorer learnt from ``texts``, without Spark."""
+    read = scoring.Texts(texts)
+    hashes, n = np.unique(read.hashes, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    top = order[: len(order) // 2]
+    code = scoring.Code(hashes[top].tolist(), n[top].tolist(), int(n.sum() - n[top].sum()), int((n == 1).sum()))
+    counts = scoring.Counts()
+    counts.add(texts, code)
+    rows = [(at, zlib.compress(scoring._halved(np.frombuffer(zlib.decompress(raw), "<u4")).astype("<u4").tobytes())) for at, raw in counts.rows()]
+    return scoring.Model(code, rows), counts, dict(zip(hashes.tolist(), n.tolist(), strict=True))
+
+
+def test_equal_tokens_are_scored_once(monkeypatch):
+    """300 copies in a block took 300 times the mixer's bits of one copy."""
+    text = " ".join(brute.invented(i, 60) for i in range(3)) + " onlyhere"
+    model, _, known = small_model([text] * 300)
+    sent = scoring.Sent(SimpleNamespace(value=model.code), SimpleNamespace(value=model.tables))
+    uses = pa.table({"word": np.array(list(known), np.uint64).view(np.int64), "count": list(known.values())})
+    bits, costs = [], scoring.Mixer.costs
+    monkeypatch.setattr(scoring.Mixer, "costs", lambda self, inputs, gate, sign: bits.append(len(sign)) or costs(self, inputs, gate, sign))
+
+    def scored(copies):
+        bits.clear()
+        docs = pa.record_batch({"doc_id": list(range(copies)), "held_out": [False] * copies, "text": [text] * copies})
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, docs.schema) as stream:
+            stream.write_batch(docs)
+        found = scoring._score_block(sent, sum(known.values()), len(known))(pa.table({"raw": [out.getvalue().to_pybytes()]}), uses)
+        return found.column("score").to_pylist(), sum(bits)
+
+    (one,), bits_of_one = scored(1)
+    many, bits_of_many = scored(300)
+    assert bits_of_many == bits_of_one > 0
+    assert len(many) == 300 and np.allclose(many, one)
+
+
+def test_equal_tokens_count_and_cost_as_many():
+    """What is worked out once gives the counts and costs of each token by itself."""
+    texts = [brute.invented(i % 9, 40) + f" the the the rare{i % 5}" for i in range(30)]
+    model, counts, _ = small_model(texts)
+    code, read = model.code, scoring.Texts(texts)
+    symbols = code.symbols(read.hashes)
+    keys = scoring.token_keys(symbols, read.starts, code.size)
+    for i in range(scoring.WORD_TABLES):
+        token, flat, bit = code.bits(symbols)
+        slots = scoring.word_slots(scoring.contexts(keys, code.size)[i], token, code.hashed[flat])
+        assert (counts.tables[i] == np.bincount(slots * 2 + bit, minlength=len(counts.tables[i]))).all()
+    spelled = sorted(set(read.words(np.flatnonzero(symbols == 0))))
+    for i in range(scoring.SPELL_TABLES):
+        expected = np.zeros(len(counts.tables[scoring.WORD_TABLES + i]), np.int64)
+        for _, slots, bit in scoring.Letters(scoring.letter_keys(spelled)[1]).parts():
+            np.add.at(expected, slots[i] * 2 + bit, 1)
+        assert expected.sum() and (counts.tables[scoring.WORD_TABLES + i] == expected).all()
+    scorer = scoring.Scorer(model)
+    scorer.learn_words(read, symbols)
+    scorer.learn_letters(spelled)
+    for own in (True, False):
+        assert np.allclose(scorer.word_costs(keys, own)[::7], [scorer.word_costs(k[None], own)[0] for k in keys[::7]], rtol=1e-5)
+        assert np.allclose(scorer.letter_costs(spelled, own), [scorer.letter_costs([w], own)[0] for w in spelled], rtol=1e-5)
+
+
+def test_mixer_learns_a_bit_as_often_as_it_came():
+    rng = np.random.default_rng(5)
+    inputs, gate, bit = [rng.normal(size=200).astype(np.float32) for _ in range(3)], rng.integers(0, 16, 200), rng.integers(0, 2, 200)
+    times = rng.integers(1, 9, 200)
+    once, repeated = (scoring.Mixer(16, [1.0, 0.2, 0.6]) for _ in range(2))
+    once.learn(inputs, gate, bit, times.astype(np.float32))
+    repeated.learn([np.repeat(x, times) for x in inputs], np.repeat(gate, times), np.repeat(bit, times))
+    for name in ("curve", "ones", "all", "weights"):
+        assert np.allclose(getattr(once, name), getattr(repeated, name), rtol=1e-4, atol=1e-5)
+
+
 # --- packing -----------------------------------------------------------------------
 
 
