@@ -475,3 +475,22 @@ def test_looking_ahead_runs_along_the_rows_once(spark):
     got = {(r.symbol, r.seq): r.hit for r in out.collect()}
     assert got.pop(("A", None)) == 99 and got.pop(("B", 3)) is None
     assert got == {("A", at): (at + 3) // 4 * 4 if at <= 20 else None for at in range(23)}
+
+
+def test_correlation_shuffles_no_copies_of_vectors(spark, monkeypatch):
+    """Each vector went to 16 cells through a shuffle, some five times the input on disk; ranks were shuffled twice."""
+    from tickloom.operators.ordered import last_rows
+
+    monkeypatch.setattr(A, "CELL_SYMBOLS", 3)
+    rng = np.random.default_rng(8)
+    series = {f"Z{i:02d}": rng.normal(100, 1, 6) for i in range(20)}
+    rows = [(name, i, float(v)) for name, x in (series | {None: series["Z00"]}).items() for i, v in enumerate(x)]
+    ticks = spark.createDataFrame(rows, "symbol string, seq long, bid double")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(last_rows(ticks, ["symbol"], "seq", 5)) == 1
+    out = A.correlation_matrix(ticks, more_than=3, last=5)
+    assert exchanges(out) == 0
+    got = {(r.symbol_a, r.symbol_b): r.r for r in out.collect()}
+    # a symbol without a name is in no pair: it is neither before nor behind another one
+    assert set(got) == {(a, b) for a in series for b in series if a < b} and len(got) == out.count()
+    assert all(np.isclose(r, np.corrcoef(series[a][-5:], series[b][-5:])[0, 1]) for (a, b), r in got.items())
