@@ -368,3 +368,56 @@ def test_light_symbols_share_the_rows_that_are_looked_at_together():
     table = pa.table({"symbol": names, "__slice": pa.array([0, 1, 1, 1, 1, None, None, None], pa.int64())})
     ((whole, bounds),) = S._whole_groups(table.to_batches(max_chunksize=3), ["symbol", "__slice"])
     assert whole.num_rows == 8 and bounds == [(0, 1), (1, 2), (2, 3), (3, 5), (5, 6), (6, 8)]
+
+
+def test_light_slices_in_doubt_are_settled_where_they_are_summarised(tick_frame):
+    """Two price levels that never agree, in light slices: each round read all ticks anew."""
+    rows = [(i, 100.0 if i % 2 else 105.0, 106.0) for i in range(512)]
+    runs = by_seq(7).cut(tick_frame(rows)).select("symbol", "__slice", "ts", "seq", "bid", "ask")
+    carried, rounds = S._Filter(runs, 0.1, 10_000.0).carried()
+    assert rounds == 0 and {r.carried.bid for r in carried.filter("__slice > 0").collect()} == {105.0}
+
+
+@pytest.mark.parametrize("heads, edge, chunk", [(1, 1, 1), (1, 3, 64), (2, 40, 1 << 15)])
+def test_what_heads_do_not_tell_is_asked_or_followed(tick_frame, monkeypatch, heads, edge, chunk):
+    for name, value in {"HEADS": heads, "EDGE_HEADS": edge, "CHUNK_ROWS": chunk, "PASSING": 2, "LOOK": 1}.items():
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(chunk)
+    # times that go back, prices of which few agree, quotes that cannot be used
+    prices = [100.0, 100.05, 100.2, 101.0, 150.0, 150.1, 0.0]
+    rows = [(rng.choice([0, 0, 5000]) + i * rng.choice([1, 1, 3]), rng.choice(prices)) for i in range(400)]
+    ticks = tick_frame(rows)
+    usable = [(t, b, b + 0.0002) for t, b in rows if b > 0]
+    for cut in (by_seq(7), equal_depth(ticks, "seq", 20)):
+        out = C.flag_spikes(ticks, 0.1, 300.0, slicing=cut).orderBy("seq").collect()
+        assert [r.is_spike for r in out if r.bid > 0] == fold_spikes(usable, 0.1, 300)
+        assert all(r.is_spike for r in out if r.bid == 0)
+
+
+@pytest.mark.parametrize("look", [1, 3, 32])
+def test_runs_of_a_table_are_walked_apart(monkeypatch, look):
+    monkeypatch.setattr(S, "LOOK", look)
+    rng = np.random.default_rng(look)
+    t = np.cumsum(rng.integers(-20, 120, 300)) * 1_000_000
+    bid = rng.choice([100.0, 100.05, 100.2, 101.0, 150.0], 300)
+    stops = np.array([0, 1, 40, 40, 41, 200, 300])
+    together = S.Run(t, bid, bid + 0.01, 0.1, 300.0, stops)
+    for k, (a, b) in enumerate(zip([0, *stops[:-1]], stops)):
+        alone = S.Run(t[a:b], bid[a:b], bid[a:b] + 0.01, 0.1, 300.0)
+        assert together.ends(k) == alone.ends()
+        for state in (None, (0, 100.1, 100.11), (int(t[150]), 77.0, 77.01), (int(t.max()), 150.0, 150.01)):
+            assert together.transfer(state, k) == alone.transfer(state)
+            assert together.flags(state, k).tolist() == alone.flags(state).tolist()
+            rows = [(x / 1e6, p, p + 0.01) for x, p in zip(t[a:b], bid[a:b])]
+            before = [] if state is None else [(state[0] / 1e6, *state[1:])]
+            assert alone.flags(state).tolist() == fold_spikes([*before, *rows], 0.1, 300)[len(before) :]
+
+
+def test_the_cuts_of_many_slices_are_one_literal(spark, monkeypatch):
+    """Each cut was a call of its own: some 2 ms for each of up to 4,096."""
+    import pyspark.sql.functions.builtin as B
+
+    calls, real = [], B.lit
+    monkeypatch.setattr(B, "lit", lambda x: calls.append(x) or real(x))
+    cut = equal_depth(spark.range(2000).select(F.lit("A").alias("symbol"), F.col("id").alias("seq")), "seq", 10)
+    assert cut.most == 199 and len(calls) < 100

@@ -55,6 +55,11 @@ class Slicing:
         """Whether it is known that no key has two slices."""
         return False
 
+    @property
+    def cut_keys(self) -> DataFrame | None:
+        """The keys that may have two slices, where they are known without reading rows."""
+        return None
+
     def cut(self, df: DataFrame) -> DataFrame:
         """``df`` with the number of each row's slice."""
         return df.withColumn(_SLICE, self.column())
@@ -76,6 +81,10 @@ class EqualDepth(Slicing):
     def single(self) -> bool:
         return not self.most
 
+    @property
+    def cut_keys(self) -> DataFrame | None:
+        return None if self.bounds is None else self.bounds.select(*self.keys)
+
     def cut(self, df: DataFrame) -> DataFrame:
         if not self.most:
             return df.withColumn(_SLICE, F.when(F.col(self.order).isNotNull(), F.lit(0).cast("long")))
@@ -146,8 +155,10 @@ def equal_depth(
     parts = min(-(-largest // rows), MOST_SLICES)
     if parts < 2:
         return EqualDepth(order, rows, is_time, None, tuple(held), 0)
-    cuts = [i / parts for i in range(1, parts)]
-    found = df.groupBy(*held).agg(F.count(order).alias("n"), F.percentile_approx(value, cuts, 20 * parts).alias("cuts"))
+    # as text: a list becomes a literal per call, and thousands of them take seconds
+    cuts = ", ".join(f"{i / parts!r}D" for i in range(1, parts))
+    found = df.withColumn("__at", value).groupBy(*held)
+    found = found.agg(F.count(order).alias("n"), F.expr(f"percentile_approx(__at, array({cuts}), {20 * parts})").alias("cuts"))
     # a key with fewer rows takes every so many cuts of the largest one
     mine = F.greatest(F.lit(1), F.least(F.lit(parts), F.ceil(F.col("n") / rows))).cast("int")
     each = F.floor(F.lit(parts) / mine).cast("int")

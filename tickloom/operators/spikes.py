@@ -3,13 +3,14 @@
 A decision depends on all decisions before it, but walks that accept one common tick coincide from there on. So a run of
 ticks is condensed to a transfer map: from the tick carried in to the tick handed over. What can be handed over are few
 ticks, the *ends* of the run: those that accept no later tick of it, which therefore lie within its last ``market_gap``
-seconds. The history is cut into slices, and one row per slice (first tick, ends, price range, where a walk from the first
-tick ends) settles nearly all of them without a second look: a carried tick that accepts the first tick ends like the
-walk from there, and one that is out of the slice's range passes through it.
-
-For the others the map is made from the ticks themselves: for the tick really carried in, and, over eight times as many
-slices each time, for all ends of the slice before. So the rounds that read ticks grow with the logarithm of the slices, also
-where two price levels never agree.
+seconds. The history is cut into slices, and one row per slice
+(its first ticks and where walks that accept them end, its ends, its price range) settles nearly all of them without a second
+look: a carried tick that accepts one of the first ticks ends like the walk from there, and one that is out of the slice's
+range passes through it.
+
+For the others the map is made from the ticks themselves: for the tick really carried in, and, over the next thousands of
+slices and eight times as many each time, for all ends of the slice before. So few rounds read ticks, also where two price
+levels never agree. Slices may be light: those that lie behind each other in a task are looked at together.
 """
 
 from __future__ import annotations
@@ -33,6 +34,15 @@ _TICK = T.StructType([T.StructField("ts", T.LongType()), T.StructField("bid", T.
 _ARROW_TICK = pa.struct([("ts", pa.int64()), ("bid", pa.float64()), ("ask", pa.float64())])
 _ARROW_MOVE = pa.struct([("before", _ARROW_TICK), ("after", _ARROW_TICK)])
 _MOVE = T.StructType([T.StructField("before", _TICK), T.StructField("after", _TICK)])
+_HEADS = T.StructType(
+    [
+        T.StructField("ts", T.ArrayType(T.LongType())),
+        T.StructField("bid", T.ArrayType(T.DoubleType())),
+        T.StructField("ask", T.ArrayType(T.DoubleType())),
+        T.StructField("end", T.ArrayType(T.LongType())),
+        T.StructField("whole", T.BooleanType()),
+    ]
+)
 _RANGE = ("ts_high", "bid_low", "bid_high", "ask_low", "ask_high")
 
 
@@ -47,75 +57,141 @@ def _moved(b0, a0, bid, ask):
     return np.maximum(np.abs((bid - b0) / b0) * 100, np.abs((ask - a0) / a0) * 100)
 
 
+# Ticks behind a stretch that are looked at for all stretches together; a later one is searched for when it is needed.
+LOOK = 32
+_NONE, _UNKNOWN = -1, -2
+
+
 class Run:
-    """Usable ticks in arrival order; stretches where each tick accepts the next are walked in one step."""
+    """Usable ticks in arrival order; stretches where each tick accepts the next are walked in one step.
 
-    def __init__(self, ts: np.ndarray, bid: np.ndarray, ask: np.ndarray, threshold: float, market_gap: float) -> None:
+    ``stops`` cuts them into several runs, each walked on its own and named by its number.
+    """
+
+    def __init__(
+        self, ts: np.ndarray, bid: np.ndarray, ask: np.ndarray, threshold: float, market_gap: float, stops: np.ndarray | None = None
+    ) -> None:
         self.ts, self.bid, self.ask = ts, bid, ask
         self.threshold, self.gap = threshold, int(market_gap * 1_000_000)
-        moved = _moved(bid[:-1], ask[:-1], bid[1:], ask[1:])
-        breaks = (moved > threshold) & ~(ts[1:] - ts[:-1] > self.gap)
-        self.last = np.append(np.flatnonzero(breaks), len(ts) - 1) if len(ts) else np.zeros(0, np.int64)
-        self.after: dict[int, int] = {}  # where a walk that accepts the last tick of a stretch ends
+        self.stops = np.array([len(ts)]) if stops is None else stops
+        self.starts = np.append(0, self.stops[:-1])
+        breaks = np.ones(len(ts), bool)
+        if len(ts):
+            breaks[:-1] = ~self.accepts(np.arange(len(ts) - 1), np.arange(1, len(ts)))
+            breaks[self.stops[self.stops > self.starts] - 1] = True
+        self.last = np.flatnonzero(breaks)
+        self.first_stretch, self.stop_stretch = np.searchsorted(self.last, self.starts), np.searchsorted(self.last, self.stops)
+        self.limit = np.repeat(self.stops, self.stop_stretch - self.first_stretch)  # where the run of a stretch ends
+        self.known = self._hops()
+        to = np.where(self.known < 0, self.known, np.searchsorted(self.last, self.known))
+        # the tick that the last one of a stretch accepts next, its stretch, and the stretch where the walk ends
+        self.hop, self.to, self.final = self.known.tolist(), to.tolist(), [_UNKNOWN] * len(self.last)
+        self.last_of = self.last.tolist()
+
+    def accepts(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        far = self.ts[j] - self.ts[i] > self.gap
+        return far | ~(_moved(self.bid[i], self.ask[i], self.bid[j], self.ask[j]) > self.threshold)
+
+    def _hops(self) -> np.ndarray:
+        hop, left = np.full(len(self.last), _UNKNOWN), np.arange(len(self.last))
+        for step in range(2, LOOK + 2):  # the next tick is out of the stretch because it is not accepted
+            at = self.last[left] + step
+            inside = at < self.limit[left]
+            hop[left[~inside]] = _NONE
+            left, at = left[inside], at[inside]
+            if not len(left):
+                break
+            good = self.accepts(self.last[left], at)
+            hop[left[good]] = at[good]
+            left = left[~good]
+        return hop
 
     def tick(self, i: int) -> Tick:
         return int(self.ts[i]), float(self.bid[i]), float(self.ask[i])
 
-    def accepted(self, state: Tick, start: int) -> int | None:
+    def accepted(self, state: Tick, start: int, stop: int | None = None) -> int | None:
         """The first tick from ``start`` on that ``state`` accepts."""
         t0, b0, a0 = state
-        step = 32
-        while start < len(self.ts):
-            part = slice(start, start + step)
+        stop, step = len(self.ts) if stop is None else stop, 32
+        while start < stop:
+            part = slice(start, min(start + step, stop))
             good = (self.ts[part] - t0 > self.gap) | ~(_moved(b0, a0, self.bid[part], self.ask[part]) > self.threshold)
             if good.any():
                 return start + int(good.argmax())
             start, step = start + step, step * 2
         return None
 
-    def stretch_end(self, i: int) -> int:
-        return int(self.last[np.searchsorted(self.last, i)])
-
-    def end_of(self, i: int) -> int:
-        """The last tick that a walk accepts which accepts tick ``i``."""
-        path, at = [], self.stretch_end(i)
-        while at not in self.after:
-            path.append(at)
-            found = self.accepted(self.tick(at), at + 1)
-            if found is None:
-                self.after[at] = at
+    def next_stretch(self, s: int) -> int:
+        """The stretch that the last tick of stretch ``s`` goes on with."""
+        if self.to[s] == _UNKNOWN:
+            at = self.last_of[s]
+            found = self.accepted(self.tick(at), at + LOOK + 2, int(self.limit[s]))
+            self.hop[s] = _NONE if found is None else found
+            self.to[s] = _NONE if found is None else self.stretch(found)
+        return self.to[s]
+
+    def stretch(self, i: int) -> int:
+        return int(np.searchsorted(self.last, i))
+
+    def end_of(self, s: int) -> int:
+        """The last tick that a walk accepts which accepts a tick of stretch ``s``."""
+        path = []
+        while self.final[s] < 0:
+            path.append(s)
+            to = self.next_stretch(s)
+            if to == _NONE:
+                self.final[s] = s
                 break
-            at = self.stretch_end(found)
-        end = self.after[at]
-        self.after.update(dict.fromkeys(path, end))
-        return end
-
-    def transfer(self, carried: Tick | None) -> Tick | None:
-        """What is handed over when ``carried`` comes in."""
-        first = (0 if len(self.ts) else None) if carried is None else self.accepted(carried, 0)
-        return carried if first is None else self.tick(self.end_of(first))
-
-    def ends(self) -> list[Tick]:
-        """Ticks that accept no later one: all that a walk of this run can hand over but what it was given."""
-        if not len(self.ts):
-            return []
-        later = np.maximum.accumulate(self.ts[::-1])[::-1]
-        late = self.last[:-1][later[self.last[:-1] + 1] - self.ts[self.last[:-1]] <= self.gap]
-        found = [i for i in late.tolist() if self.end_of(i) == i]
-        return [self.tick(i) for i in [*found, int(self.last[-1])]]
-
-    def flags(self, carried: Tick | None) -> np.ndarray:
-        spike, i = np.zeros(len(self.ts), bool), 0
-        state = carried
-        while i < len(self.ts):
-            found = i if state is None else self.accepted(state, i)
-            to = len(self.ts) if found is None else found
-            spike[i:to] = True
-            if found is None:
-                break
-            at = self.stretch_end(found)
-            state, i = self.tick(at), at + 1
-        return spike
+            s = to
+        end = self.final[s]
+        for p in path:
+            self.final[p] = end
+        return self.last_of[end]
+
+    def first_accepted(self, carried: Tick | None, k: int) -> int | None:
+        start, stop = int(self.starts[k]), int(self.stops[k])
+        return (start if start < stop else None) if carried is None else self.accepted(carried, start, stop)
+
+    def transfer(self, carried: Tick | None, k: int = 0) -> Tick | None:
+        """What is handed over when ``carried`` comes into run ``k``."""
+        first = self.first_accepted(carried, k)
+        return carried if first is None else self.tick(self.end_of(self.stretch(first)))
+
+    def transfer_behind(self, i: int, start: int, k: int) -> int:
+        """The tick that is handed over when tick ``i`` is carried to ``start`` in run ``k``."""
+        first = self.accepted(self.tick(i), start, int(self.stops[k]))
+        return i if first is None else self.end_of(self.stretch(first))
+
+    def end_ticks(self, k: int) -> list[int]:
+        """Ticks that accept no later one: all that a walk of run ``k`` can hand over but what it was given."""
+        a, b = int(self.first_stretch[k]), int(self.stop_stretch[k])
+        open_ = a + np.flatnonzero(self.known[a:b] < 0)
+        if (self.known[open_] == _UNKNOWN).any():
+            start, stop = self.starts[k], self.stops[k]
+            later = np.maximum.accumulate(self.ts[start:stop][::-1])[::-1]
+            behind = np.minimum(self.last[open_] + 1, stop - 1) - start
+            open_ = open_[(self.known[open_] == _NONE) | (later[behind] - self.ts[self.last[open_]] <= self.gap)]
+        return [self.last_of[s] for s in open_.tolist() if self.next_stretch(s) == _NONE]
+
+    def ends(self, k: int = 0) -> list[Tick]:
+        return [self.tick(i) for i in self.end_ticks(k)]
+
+    def flags(self, carried: Tick | None, k: int = 0) -> np.ndarray:
+        start = int(self.starts[k])
+        edge = np.zeros(int(self.stops[k]) - start + 1, np.int8)
+        i = self.first_accepted(carried, k)
+        if i is not None:
+            begins, behind, s = [], [], self.stretch(i)
+            while True:
+                begins.append(i)
+                behind.append(self.last_of[s] + 1)
+                to = self.next_stretch(s)
+                if to == _NONE:
+                    break
+                i, s = self.hop[s], to
+            edge[np.array(begins) - start] = 1
+            edge[np.array(behind) - start] = -1
+        return np.cumsum(edge[:-1], dtype=np.int8) == 0
 
 
 def walk_spikes(ts, bid, ask, carried: Tick | None, threshold: float, market_gap: float):
@@ -140,6 +216,7 @@ class SliceRow:
         tick = lambda t: t and (t["ts"], t["bid"], t["ask"])
         self.first, self.free = tick(row["first"]), tick(row["free"])
         self.ends = [tick(t) for t in row["ends"]]
+        self.heads = row.get("heads")  # the ticks behind the first one: times, bids, asks, places of their ends among the ends
         self.moves = {tick(m["before"]): tick(m["after"]) for m in moves}
 
     def transfer(self, carried: Tick | None) -> tuple[bool, Tick | None]:
@@ -151,6 +228,12 @@ class SliceRow:
         (t0, b0, a0), (t, b, a) = carried, self.first
         if t - t0 > self.gap or not _moved(b0, a0, b, a) > self.threshold:
             return True, self.free
+        if self.heads:
+            good = (self.heads["ts"] - t0 > self.gap) | ~(_moved(b0, a0, self.heads["bid"], self.heads["ask"]) > self.threshold)
+            if good.any():
+                return True, self.ends[self.heads["end"][int(good.argmax())]]
+            if self.heads["whole"]:
+                return True, carried
         if self.row["ts_high"] - t0 <= self.gap and any(self._outside(q, x) for q, x in (("bid", b0), ("ask", a0))):
             return True, carried
         return carried in self.moves, self.moves.get(carried)
@@ -231,14 +314,40 @@ def _whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Ite
         yield table, list(zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True))
 
 
-def _by_group(df: DataFrame, keys: Sequence[str], order: Sequence, work: Callable, layout: T.StructType) -> DataFrame:
-    """``work(table, bounds)`` over many whole groups at a time, sorted: a group alone is too small a unit where keys are light."""
+def _by_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence, work: Callable, layout: T.StructType, together: Sequence | None = None
+) -> DataFrame:
+    """``work(table, bounds)`` over many whole groups at a time, sorted: a group alone is too small a unit where keys are light.
+
+    Groups that agree in ``together`` come to one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, bounds in _whole_groups(batches, keys):
             yield from work(table, bounds).to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, layout)
+    return df.repartition(*(together or keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, layout)
+
+
+def _ticks(run: Run, at: np.ndarray) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(run.ts[at], pa.int64()), pa.array(run.bid[at]), pa.array(run.ask[at])], fields=list(_ARROW_TICK))
+
+
+def _spread(values: pa.Array, at: np.ndarray, rows: int) -> pa.Array:
+    """``values`` in the rows ``at`` of so many, nulls in the others."""
+    place, missing = np.zeros(rows, np.int64), np.ones(rows, bool)
+    place[at], missing[at] = np.arange(len(at)), False
+    return values.take(pa.array(place, mask=missing))
+
+
+def _heads(column: pa.ChunkedArray) -> list[dict]:
+    """The entries of a column of heads; their numbers stay arrays."""
+    *lists, whole = column.combine_chunks().flatten()
+    parts = [(x.offsets.to_numpy(), x.values.to_numpy()) for x in lists]
+    return [
+        {"whole": all_} | {f.name: values[at[i] : at[i + 1]] for f, (at, values) in zip(_HEADS, parts, strict=False)}
+        for i, all_ in enumerate(whole.to_pylist())
+    ]
 
 
 def _shown(tick: Tick | None) -> dict | None:
@@ -257,51 +366,104 @@ class _Rule:
     threshold: float
     market_gap: float
 
-    def runs(self, table: pa.Table, bounds: list[tuple[int, int]]) -> Iterator[Run]:
+    def runs(self, table: pa.Table, bounds: list[tuple[int, int]], own: np.ndarray | None = None) -> tuple[Run, np.ndarray]:
+        """The groups of the table as runs, and which of its rows are in them: usable ticks, and ``own`` if given."""
         ts, bid, ask = _quotes(table)
         usable = usable_quotes(bid, ask)
-        for a, b in bounds:
-            some = usable[a:b]
-            yield Run(ts[a:b][some], bid[a:b][some], ask[a:b][some], self.threshold, self.market_gap)
+        usable = usable if own is None else usable & own
+        stops = np.append(0, np.cumsum(usable))[[b for _, b in bounds]]
+        return Run(ts[usable], bid[usable], ask[usable], self.threshold, self.market_gap, stops), usable
 
     def row(self, row: dict, moves: Iterable[dict]) -> SliceRow:
         return SliceRow(row, moves, self.threshold, self.market_gap)
 
 
-# Slices that the first round asks; each further one asks eight times as many.
-FIRST_REACH = 64
+# Slices that the first round may ask, which reads the table once however many; each further one eight times as many.
+FIRST_REACH = 4096
+# Ticks of a slice, behind its first one, that its row knows the ends of; more where the slice before was in another task.
+HEADS, EDGE_HEADS = 64, 1024
+# Ticks that passed whole slices and are followed on, at most; the rounds ask for others.
+PASSING = 64
 
 
 class _Filter:
     """The jobs of one filter over ``symbol, __slice, ts, seq, bid, ask`` rows."""
 
-    def __init__(self, runs: DataFrame, threshold: float, market_gap: float) -> None:
-        self.runs, self.rule = runs, _Rule(threshold, market_gap)
+    def __init__(self, runs: DataFrame, threshold: float, market_gap: float, together: int = 1) -> None:
+        """``together``: how many neighbouring slices a task may look at at a time."""
+        self.runs, self.rule, self.together = runs, _Rule(threshold, market_gap), together
         self.key = [runs.schema["symbol"], T.StructField("__slice", T.LongType())]
 
     def summaries(self) -> DataFrame:
         """One row per slice."""
         ranges = [T.StructField(c, T.LongType() if c == "ts_high" else T.DoubleType()) for c in _RANGE]
-        layout = T.StructType([*self.key, T.StructField("first", _TICK), T.StructField("free", _TICK), T.StructField("ends", T.ArrayType(_TICK)), *ranges])
-
-        rule = self.rule
+        layout = T.StructType(
+            [
+                *self.key,
+                *[T.StructField(c, _TICK) for c in ("first", "free")],
+                T.StructField("ends", T.ArrayType(_TICK)),
+                T.StructField("heads", _HEADS),
+                T.StructField("within", T.ArrayType(_MOVE)),
+                *ranges,
+            ]
+        )
+
+        rule, together, most = self.rule, self.together, (HEADS, EDGE_HEADS)
+
+        def within(run: Run, edge: np.ndarray, counts: np.ndarray, ends: list[list[int]]) -> list[list[dict]]:
+            """What the heads do not tell of the ticks that the slices before in this task hand over."""
+            moves, coming = [], np.zeros(0, np.int64)
+            for k in range(len(edge)):
+                known, passing, start = [], coming[:0], run.starts[k]
+                if len(coming) and not edge[k]:
+                    told = start + np.arange(min(counts[k] + 1, run.stops[k] - start))
+                    passing = coming[~run.accepts(coming[:, None], told[None, :]).any(axis=1)]
+                    if start + len(told) < run.stops[k]:
+                        after = [run.transfer_behind(i, int(start) + len(told), k) for i in passing.tolist()]
+                        known = [{"before": _shown(run.tick(i)), "after": _shown(run.tick(j))} for i, j in zip(passing.tolist(), after, strict=True)]
+                        passing = passing[np.array(after, np.int64) == passing]
+                moves.append(known)
+                coming = np.append(np.array(ends[k], np.int64), passing[:PASSING])
+            return moves
 
         def summarise(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
-            firsts, frees, ends, numbers = [], [], [], []
-            for run in rule.runs(table, bounds):
-                some = len(run.ts) > 0
-                firsts.append(_shown(run.tick(0) if some else None))
-                frees.append(_shown(run.transfer(None)))
-                ends.append([_shown(t) for t in run.ends()])
-                numbers.append([run.ts.max(), run.bid.min(), run.bid.max(), run.ask.min(), run.ask.max()] if some else [None] * 5)
-            out = table.select(["symbol", "__slice"]).take([a for a, _ in bounds])
-            out = out.append_column("first", pa.array(firsts, _ARROW_TICK)).append_column("free", pa.array(frees, _ARROW_TICK))
-            out = out.append_column("ends", pa.array(ends, pa.list_(_ARROW_TICK)))
-            for name, values in zip(_RANGE, zip(*numbers, strict=True), strict=True):
-                out = out.append_column(name, pa.array(values, pa.int64() if name == "ts_high" else pa.float64()))
+            run, _ = rule.runs(table, bounds)
+            sizes = run.stops - run.starts
+            some = np.flatnonzero(sizes)
+            ends = [run.end_ticks(k) for k in range(len(bounds))]
+            firsts = run.starts[some]
+            frees = [run.end_of(s) for s in run.first_stretch[some].tolist()]
+            # the first ticks of all slices, slice after slice
+            names = table.select(["symbol", "__slice"]).take([a for a, _ in bounds])
+            names = names.append_column("group", pa.compute.divide(names.column("__slice"), together))
+            edge = np.isin(np.arange(len(bounds)), _starts(names, ["symbol", "group"]))
+            counts = np.minimum(np.maximum(sizes - 1, 0), np.where(edge, most[1], most[0]))
+            heads = np.repeat(run.starts + 1 - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            last_ticks = np.array([run.end_of(s) for s in np.searchsorted(run.last, heads).tolist()], np.int64)
+            flat = np.array([i for found in ends for i in found], np.int64)
+            before = np.append(0, np.cumsum([len(found) for found in ends]))
+            place = np.searchsorted(flat, last_ticks) - np.repeat(before[:-1], counts)
+
+            def lists(values: np.ndarray | pa.Array, offsets: np.ndarray) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+
+            upto = np.append(0, np.cumsum(counts))
+            columns = [lists(run.ts[heads], upto), lists(run.bid[heads], upto), lists(run.ask[heads], upto), lists(place, upto), pa.array(counts == sizes - 1)]
+            out = names.select(["symbol", "__slice"])
+            out = out.append_column("first", _spread(_ticks(run, firsts), some, len(bounds)))
+            out = out.append_column("free", _spread(_ticks(run, np.array(frees, np.int64)), some, len(bounds)))
+            out = out.append_column("ends", lists(_ticks(run, flat), before))
+            out = out.append_column("heads", pa.StructArray.from_arrays(columns, [f.name for f in _HEADS]))
+            out = out.append_column("within", pa.array(within(run, edge, counts, ends), pa.list_(_ARROW_MOVE)))
+            for name in _RANGE:
+                column = {"ts": run.ts, "bid": run.bid, "ask": run.ask}[name.split("_")[0]]
+                fold = np.minimum if name.endswith("low") else np.maximum
+                values = fold.reduceat(column, firsts) if len(some) else column
+                out = out.append_column(name, _spread(pa.array(values), some, len(bounds)))
             return out
 
-        return _by_group(self.runs, ["symbol", "__slice"], ["seq"], summarise, layout)
+        near = [F.col("symbol"), F.floor(F.col("__slice") / together)]
+        return _by_group(self.runs, ["symbol", "__slice"], ["seq"], summarise, layout, near)
 
     def scanned(self, summaries: DataFrame, maps: DataFrame, reach: int) -> DataFrame:
         """``symbol, __slice, carried, asked``; one row per slice is looked at."""
@@ -310,11 +472,12 @@ class _Filter:
         rule = self.rule
 
         def one(table: pa.Table) -> tuple[list, list]:
-            rows = table.to_pylist()
+            rows = table.drop_columns("heads").to_pylist()
+            for r, heads in zip(rows, _heads(table.column("heads")), strict=True):
+                r["heads"] = heads
             moves: dict[int | None, list[dict]] = {}
             for r in rows:
-                if r["moves"] is not None:
-                    moves.setdefault(r["__slice"], []).extend(r["moves"])
+                moves.setdefault(r["__slice"], []).extend(r["within"] if r["moves"] is None else r["moves"])
             # slices come in order; ticks without a number are a run of their own, in front of nothing
             inner = [k for k, r in enumerate(rows) if r["moves"] is None and r["__slice"] is not None]
             found, asked = scan([rule.row(rows[k], moves.get(rows[k]["__slice"], ())) for k in inner], reach)
@@ -344,22 +507,28 @@ class _Filter:
         def answer(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
             questions = table.column("asked").take([a for a, _ in bounds]).to_pylist()
             moves = []
+            run, _ = rule.runs(table, bounds)
             # the question is the first row of a slice
-            for run, question in zip(rule.runs(table, bounds), questions, strict=True):
+            for k, question in enumerate(questions):
                 states = [t and (t["ts"], t["bid"], t["ask"]) for t in question]
-                moves.append([{"before": _shown(s), "after": _shown(run.transfer(s))} for s in states])
+                moves.append([{"before": _shown(s), "after": _shown(run.transfer(s, k))} for s in states])
             out = table.select(["symbol", "__slice"]).take([a for a, _ in bounds])
             return out.append_column("moves", pa.array(moves, pa.list_(_ARROW_MOVE)))
 
         some = _same_slice(self.runs, asked).unionByName(asked, allowMissingColumns=True)
         return _by_group(some, ["symbol", "__slice"], [F.col("asked").isNull(), "seq"], answer, layout)
 
-    def carried(self) -> tuple[DataFrame | None, int]:
-        """The tick carried into each slice and how often ticks were read for it; None where no symbol has two slices."""
-        slices = self.runs.groupBy("symbol", "__slice").count().groupBy("symbol").count().filter("count > 1")
-        several = written(slices.select(F.col("symbol").alias("__symbol")), "spike-symbols")
-        if several.isEmpty():
-            return None, 0
+    def carried(self, several: DataFrame | None = None) -> tuple[DataFrame | None, int]:
+        """The tick carried into each slice and how often ticks were read for it; None where no symbol has two slices.
+
+        ``several`` has the symbols that may have two, if they are known.
+        """
+        if several is None:
+            found = self.runs.groupBy("symbol").agg((F.min("__slice") < F.max("__slice")).alias("several")).filter("several")
+            several = written(found.select("symbol"), "spike-symbols")
+            if several.isEmpty():
+                return None, 0
+        several = several.select(F.col("symbol").alias("__symbol"))
         self.runs = self.runs.join(several, F.col("symbol").eqNullSafe(F.col("__symbol")), "left_semi")
         summaries = written(self.summaries(), "spike-slices")
         maps = summaries.sparkSession.createDataFrame([], T.StructType([*self.key, T.StructField("moves", T.ArrayType(_MOVE))]))
@@ -399,20 +568,24 @@ def flag_spikes(
     runs, carried = slicing.cut(typed), None
     if not slicing.single:
         narrow = runs.select("symbol", "__slice", "ts", "seq", "bid", "ask")
-        carried, _ = _Filter(narrow, threshold_percent, market_gap).carried()
+        several = slicing.cut_keys
+        known = several is not None and several.columns == ["symbol"]
+        # a slice has ``width`` rows at most, or about so many
+        together = 1 if slicing.is_time else max(1, CHUNK_ROWS // slicing.width)
+        carried, _ = _Filter(narrow, threshold_percent, market_gap, together).carried(several if known else None)
     schema = T.StructType([*typed.schema.fields, T.StructField("is_spike", T.BooleanType())])
     names = typed.columns
 
+    rule = _Rule(threshold_percent, market_gap)
+
     def decide(table: pa.Table, bounds: list[tuple[int, int]]) -> pa.Table:
-        ts, bid, ask = _quotes(table)
-        before, own = table.column("__carried"), table.column("__edge").to_numpy() == 0
-        spikes = np.zeros(table.num_rows, bool)
-        for a, b in bounds:
-            state = None
-            if not own[a]:  # the tick carried into the slice is its first row
-                state, a = before[a].as_py(), a + 1
-            if a < b:
-                spikes[a:b], _ = walk_spikes(ts[a:b], bid[a:b], ask[a:b], state and (state["ts"], state["bid"], state["ask"]), threshold_percent, market_gap)
+        own = table.column("__edge").to_numpy() == 0
+        run, usable = rule.runs(table, bounds, own)
+        # the tick carried into a slice is its first row
+        states = table.column("__carried").take([a for a, _ in bounds]).to_pylist()
+        spikes = np.ones(table.num_rows, bool)
+        found = [run.flags(state and (state["ts"], state["bid"], state["ask"]), k) for k, state in enumerate(states)]
+        spikes[usable] = np.concatenate(found)
         return table.select(names).append_column("is_spike", pa.array(spikes)).filter(pa.array(own))
 
     rows = runs.withColumns({"__carried": F.lit(None).cast(_TICK), "__edge": F.lit(0)})

@@ -63,7 +63,7 @@ def spikes_sql(source: str, threshold: float, gap_us: int) -> str:
     spikes_sql(TICKS, 50.0, 3_600_000_000) + " SELECT symbol, seq, is_spike FROM w",
 )
 def spikes(spark, folder):
-    ticks = V.ticks(spark, folder).filter(F.col("bid") > 0)
+    ticks = V.ticks(spark, folder).filter(F.col("bid") > 0).drop("volume")
     return C.flag_spikes(ticks, 50.0, 3600.0).select("symbol", "seq", "is_spike")
 
 
@@ -72,7 +72,7 @@ def spikes(spark, folder):
     spikes_sql(TICKS, 50.0, 3_600_000_000) + " SELECT symbol, seq, is_spike FROM w",
 )
 def spikes_in_equal_slices(spark, folder):
-    ticks = V.ticks(spark, folder).filter(F.col("bid") > 0)
+    ticks = V.ticks(spark, folder).filter(F.col("bid") > 0).drop("volume")
     return C.flag_spikes(ticks, 50.0, 3600.0, slicing=equal_depth(ticks, "seq", 300)).select("symbol", "seq", "is_spike")
 
 
@@ -81,7 +81,7 @@ def spikes_in_equal_slices(spark, folder):
     spikes_sql(USER_TICKS, 80.0, 86_400_000_000) + " SELECT symbol, seq, is_spike FROM w",
 )
 def spikes_by_user(spark, folder):
-    ticks = V.ticks_by_user(spark, folder).filter(F.col("bid") > 0)
+    ticks = V.ticks_by_user(spark, folder).filter(F.col("bid") > 0).drop("volume")
     return C.flag_spikes(ticks, 80.0, 86_400.0).select("symbol", "seq", "is_spike")
 
 
