@@ -380,8 +380,9 @@ class _Rule:
 
 # Slices that the first round may ask, which reads the table once however many; each further one eight times as many.
 FIRST_REACH = 4096
-# Ticks of a slice, behind its first one, that its row knows the ends of; more where the slice before was in another task.
-HEADS, EDGE_HEADS = 64, 1024
+# Ticks of a slice, behind its first one, that its row knows the ends of. Up to so many more where the slice before was in
+# another task, if that is a small part of the ticks: of the slice itself, or of those looked at together.
+HEADS, EDGE_HEADS = 16, 1024
 # Ticks that passed whole slices and are followed on, at most; the rounds ask for others.
 PASSING = 64
 
@@ -408,7 +409,7 @@ class _Filter:
             ]
         )
 
-        rule, together, most = self.rule, self.together, (HEADS, EDGE_HEADS)
+        rule, together, heads_of, most = self.rule, self.together, HEADS, EDGE_HEADS
 
         def within(run: Run, edge: np.ndarray, counts: np.ndarray, ends: list[list[int]]) -> list[list[dict]]:
             """What the heads do not tell of the ticks that the slices before in this task hand over."""
@@ -437,7 +438,8 @@ class _Filter:
             names = table.select(["symbol", "__slice"]).take([a for a, _ in bounds])
             names = names.append_column("group", pa.compute.divide(names.column("__slice"), together))
             edge = np.isin(np.arange(len(bounds)), _starts(names, ["symbol", "group"]))
-            counts = np.minimum(np.maximum(sizes - 1, 0), np.where(edge, most[1], most[0]))
+            more = np.minimum(np.maximum(sizes // 32, together * heads_of), most)
+            counts = np.minimum(np.maximum(sizes - 1, 0), np.where(edge, more, heads_of))
             heads = np.repeat(run.starts + 1 - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
             last_ticks = np.array([run.end_of(s) for s in np.searchsorted(run.last, heads).tolist()], np.int64)
             flat = np.array([i for found in ends for i in found], np.int64)
